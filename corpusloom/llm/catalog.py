@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.session import table
 
-from . import repeated_lines
+from . import rank_walk, repeated_lines, split_overlap, term_weight
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlaps(table(spark, d, "cases")).select("case_a", "case_b")
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlap_report(table(spark, d, "cases"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +33,26 @@ def p3_clean_chunks(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(rows, id_col="id", counted=docs)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    ranked = rank_walk.combined_ranking(table(spark, d, "runs").select("id", "result"))
+    return ranked.where("place = 1 and kinds >= 3").select("run_id", "chunk_id")
+
+
+def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return rank_walk.combined_ranking(table(spark, d, "runs").select("id", "result"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    active = table(spark, d, "chunks").where("active").select("id", "kind", "text")
+    scored = term_weight.distinctive_terms(active, keep=("kind",), min_tf=4, df_range=(2, 6), where="kind = 'body'")
+    return scored.select(F.col("record").alias("chunk_id"), "term")
+
+
+def p6_scores(spark: SparkSession, d: str) -> DataFrame:
+    active = table(spark, d, "chunks").where("active").select("id", "text")
+    return term_weight.distinctive_terms(active).select(F.col("record").alias("chunk_id"), "term", "tf", "cf", "df", F.round("score", 4).alias("score"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -38,3 +66,17 @@ c as (select src, key, count(distinct doc_id) c from k where length(key) >= 8 gr
 r as (select src, key from c join n using (src) where c >= 5 and c >= 0.10 * docs)
 select doc_id, cast(line_no as int) line_no from k join r using (src, key)
 """
+
+_TERMS = """
+c as (select id, any_value(kind) kind, any_value(text) text from chunks where active and id is not null group by id),
+t as (select id, kind, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) term from c),
+f as (select id, kind, term, count(*) tf from t where regexp_matches(term, '[a-z]') group by all),
+s as (select term, sum(tf) cf, count(*) df from f group by 1)
+"""
+ORACLE_SQL["p6_found"] = f"with {_TERMS} select id chunk_id, term from f join s using (term) where tf >= 4 and kind = 'body' and df between 2 and 6"
+ORACLE_SQL["p6_scores"] = f"""with {_TERMS},
+n as (select id, sum(tf) n1 from f group by 1), a as (select sum(tf) n from f),
+x as (select id, term, tf, cf, df, tf::double a, (cf - tf)::double b, n1::double n1, (n - n1)::double n2, n::double n from f join s using (term) join n using (id), a),
+g as (select *, 2 * (a * ln(a / (n1 * (a + b) / n)) + case when b > 0 then b * ln(b / (n2 * (a + b) / n)) else 0 end
+ + case when n1 - a > 0 then (n1 - a) * ln((n1 - a) / (n1 * (n - a - b) / n)) else 0 end + case when n2 - b > 0 then (n2 - b) * ln((n2 - b) / (n2 * (n - a - b) / n)) else 0 end) g from x)
+select id chunk_id, term, tf, cast(cf as bigint) cf, df, round(case when a * n2 >= b * n1 then g else -g end, 4) score from g"""
