@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.session import table
 
-from . import rank_walk, repeated_lines, split_overlap, term_weight
+from . import rank_walk, repeated_lines, split_overlap, term_weight, vector_neighbours
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +17,15 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.overlap_report(table(spark, d, "cases"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return vector_neighbours.near_pairs(table(spark, d, "vectors"))
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 20, against all vectors."""
+    return vector_neighbours.nearest(table(spark, d, "vectors"), modulus=20)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_line_numbers(table(spark, d, "documents").select("doc_id", "text", "source"))
 
