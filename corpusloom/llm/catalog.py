@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.session import table
+from corpusloom.session import cut, table
 
-from . import rank_walk, repeated_lines, split_overlap, term_weight, vector_neighbours
+from . import mixing, packing, rank_walk, repeated_lines, split_overlap, term_weight, token_budget, tokenizers, vector_neighbours
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +42,31 @@ def p3_clean_chunks(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(rows, id_col="id", counted=docs)
 
 
+def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return token_budget.collection_tokens(table(spark, d, "documents"), table(spark, d, "chunks").select("id", "text"))
+
+
+def p4_totals(spark: SparkSession, d: str) -> DataFrame:
+    counted, _ = token_budget.counted_rows(token_budget.normalised(table(spark, d, "documents")))
+    return token_budget.totals(token_budget.cube(counted))
+
+
+def p4_update(spark: SparkSession, d: str) -> DataFrame:
+    """The cube of the retired state of the collection (documents rebuilt from retired pieces), brought to today's by signed deltas.
+
+    Retired pieces stand for yesterday's documents; documents that are gone are removed, new ones added, changed ones both.
+    """
+    docs = table(spark, d, "documents")
+    old = table(spark, d, "chunks").where("not active").select("id", "doc_id", "start_line", "text").dropDuplicates(["id"])
+    old = old.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "id", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("text"))
+    about = docs.select(F.col("id").alias("doc_id"), "source", "lang", "domain", "splitter")
+    yesterday = token_budget.normalised(old.join(about, "doc_id", "left"))
+    today = token_budget.normalised(docs.select(F.col("id").alias("doc_id"), "source", "lang", "domain", "splitter", "text"))
+    before, known = token_budget.counted_rows(yesterday)
+    after, _ = token_budget.counted_rows(today, known)
+    return token_budget.updated_cube(token_budget.cube(before), token_budget.signed_deltas(before, after))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     ranked = rank_walk.combined_ranking(table(spark, d, "runs").select("id", "result"))
     return ranked.where("place = 1 and kinds >= 3").select("run_id", "chunk_id")
@@ -62,6 +87,36 @@ def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     return term_weight.distinctive_terms(active).select(F.col("record").alias("chunk_id"), "term", "tf", "cf", "df", F.round("score", 4).alias("score"))
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
+    return tokenizers.counted(docs)
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    capacities = [r[0] for r in table(spark, d, "model_config").select("context_token_upper_bound").distinct().collect()]
+    return packing.containers(cut(_sized(spark, d).drop("source")), capacities)
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_room(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    listed = targets.select(repeated_lines.source_key().alias("src")).distinct()
+    docs = table(spark, d, "documents").select("doc_id", "source", "text").where("doc_id is not null").withColumn("src", repeated_lines.source_key())
+    wanted = docs.join(F.broadcast(listed), "src", "left_semi").drop("src").dropDuplicates(["doc_id"])
+    return mixing.mixed(tokenizers.counted(wanted), targets)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.reached_shares(cut(p9_mixture(spark, d)), table(spark, d, "mix_targets"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 ORACLE_SQL: dict[str, str] = {}
 
