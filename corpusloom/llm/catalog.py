@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.session import cut, table
 
-from . import mixing, packing, rank_walk, repeated_lines, split_overlap, term_weight, token_budget, tokenizers, vector_neighbours
+from . import mixing, packing, rank_walk, repeated_lines, split_overlap, term_weight, token_budget, tokenizers, unwanted, vector_neighbours
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -117,6 +117,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(cut(p9_mixture(spark, d)), table(spark, d, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return unwanted.scored(docs, table(spark, d, "review_labels")).where("score > 0.5").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return unwanted.rates(unwanted.scored(docs, table(spark, d, "review_labels")))
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 ORACLE_SQL: dict[str, str] = {}
 

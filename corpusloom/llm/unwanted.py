@@ -5,7 +5,8 @@ sentences that look most like the confirmed and least like the unlabelled rest (
 their words, then by the classifier itself, in ROUNDS rounds; a confirmed document without a witness above the boundary
 drops out, as raters err. Between rounds a linear classifier in numpy is fitted by the class-prior-corrected risk
     prior * R+(witnesses) + max(0, R-(unlabelled) - prior * R-(witnesses)),
-so that abusive sentences among the unlabelled do not count as clean. Words are described by themselves, by the letter
+so that abusive sentences among the unlabelled do not count as clean; the prior is the
+share of unlabelled sentences with as strong a first evidence as the witnesses. Words are described by themselves, by the letter
 sequences in them and by their neighbours, after disguises are undone (signs for letters, stretched or spaced-out
 letters). A document scores as its highest sentence; the boundary is set on the labelled documents.
 
@@ -15,6 +16,7 @@ scoring covers every document, whole.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -25,46 +27,52 @@ from pyspark.sql import DataFrame, functions as F
 
 from .repeated_lines import source_key
 
-POSITIVE, NEGATIVE, UNLABELLED = 1500, 1500, 3000  # documents used for fitting, at most
-PRIOR = 0.004  # share of unlabelled sentences taken to be abusive
-ROUNDS, STEPS = 4, 60
+POSITIVE, NEGATIVE, UNLABELLED = 1200, 1000, 2500  # documents used for fitting, at most
+WEIGHT = 0.02  # of the witnesses' own risk
+ROUNDS, FOLDS, STEPS = 1, 3, 90
 BITS = 18
 
 # Signs that stand for letters in disguised words
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e", "|": "i"})
 
-_SPLIT = re.compile(r"\n|(?<=[.!?。！？])(?:\s+|(?=[一-鿿]))")
-_SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][.·\-_*~]){2,}[^\W\d_](?![^\W\d_])|(?<![^\W_])[^\W_](?: [^\W_]){3,}(?![^\W_])")
-_HAN_DOTS = re.compile(r"(?<=[一-鿿])[·.\-_*~ ]{1,2}(?=[一-鿿])")
-_TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+(?:[@$!#*|€0-9]+[^\W_一-鿿]+)*|[@$](?=[^\W\d_])[^\W_]+(?:[@$!#*|€][^\W_]+)*")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060\ufeff]")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_]([ .·\-_*~])[^\W_](?:\1[^\W_])+(?![^\W_]|[.·\-_*~][^\W_](?![^\W_]))")
+_TOKEN = re.compile(r"[a-zäöüßñáéíóú]+(?![@$!#*|€\w])|\n|[。！？]|[.!?]+(?=\s|$)|[一-鿿]|[@$]?[^\W_一-鿿]+(?:[@$!#*|€]+[^\W_一-鿿]+)*")
 _RUN = re.compile(r"(.)\1{2,}")
 _DOUBLE = re.compile(r"(.)\1+")
+_BREAKS = frozenset("\n.!?。！？")
 
+def _word_of(raw: str) -> str:
+    """A token with its disguise undone: signs for letters, stretched letters; a number becomes 0, the end of a sentence the empty word."""
+    if raw[0] in _BREAKS:
+        return ""
+    w = raw
+    if not w.isalpha():
+        w = "0" if w.isdigit() else w.translate(SIGNS)
+    return _RUN.sub(r"\1", w) if len(w) > 2 else w
 
-def sentences(text: str) -> list[str]:
-    return [s for s in _SPLIT.split(text) if s and not s.isspace()]
-
-
-def tokens(sentence: str) -> list[str]:
-    """Words in lower case with disguises undone; numbers become 0; Han characters one by one."""
-    if not sentence.isascii():
-        s = unicodedata.normalize("NFKC", sentence)
-        s = "".join(c for c in s if unicodedata.category(c) != "Cf")
-        s = _HAN_DOTS.sub("", s)
-    else:
-        s = sentence
-    s = _SPACED.sub(lambda m: re.sub(r"[^\w]|_", "", m[0]), s)
-    out = []
-    for w in _TOKEN.findall(s.lower()):
-        if not w.isalpha():
-            if w.isdigit():
-                w = "0"
-            else:
-                w = w.translate(SIGNS)
-        if len(w) > 2:
-            w = _RUN.sub(r"\1", w)
-        out.append(w)
-    return out
+
+def _raw(text: str) -> list[str]:
+    if not text.isascii():
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+    return _TOKEN.findall(_SPACED.sub(lambda m: m[0].replace(m[1], ""), text).lower())
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text; the empty word ends a sentence. Han characters are words of their own."""
+    return [_word_of(r) for r in _raw(text)]
+
+
+def sentences(text: str) -> list[list[str]]:
+    """The words of every sentence that has any."""
+    out, now = [], []
+    for w in words_of(text):
+        if w:
+            now.append(w)
+        elif now:
+            out.append(now)
+            now = []
+    return [*out, now] if now else out
 
 
 def _hash(s: str) -> int:
@@ -74,6 +82,12 @@ def _hash(s: str) -> int:
     return (h ^ (h >> 15)) & ((1 << BITS) - 1)
 
 
+def _pair_hash(a, b):
+    """Of two word hashes, numbers or arrays."""
+    h = a * 1000003 + b * 7919
+    return (h ^ (h >> 13)) & ((1 << BITS) - 1)
+
+
 def word_features(word: str) -> list[int]:
     """Of the word itself, of its letter sequences, and of it with signs as gaps."""
     bare = _DOUBLE.sub(r"\1", word)
@@ -83,49 +97,56 @@ def word_features(word: str) -> list[int]:
 
 
 class Model:
-    """A linear function of a sentence: mean word part over words and their letters, plus pairs of neighbours."""
+    """A linear function of a sentence: word parts over words and their letters, plus pairs of neighbours."""
 
     def __init__(self, words: np.ndarray, pairs: np.ndarray, bias: float, boundary: float = 0.0):
         self.words, self.pairs, self.bias, self.boundary = words, pairs, bias, boundary
-        self.word_memo: dict[str, float] = {}
-        self.pair_memo: dict[tuple[str, str], float] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.code: dict[str, int] = {}  # of a raw token; number 0 ends a sentence
+        self.hash, self.part = [0], [0.0]
 
-    def _word(self, w: str) -> float:
-        v = self.word_memo.get(w)
-        if v is None:
+    def _learn(self, raw: str) -> int:
+        w = _word_of(raw)
+        if not w:
+            n = 0
+        else:
             f = word_features(w)
-            v = float(self.words[f].sum() / np.sqrt(len(f)))
-            if len(self.word_memo) > 500_000:
-                self.word_memo.clear()
-            self.word_memo[w] = v
-        return v
-
-    def _pair(self, p: tuple[str, str]) -> float:
-        v = self.pair_memo.get(p)
-        if v is None:
-            v = float(self.pairs[_hash(p[0] + " " + p[1])])
-            if len(self.pair_memo) > 500_000:
-                self.pair_memo.clear()
-            self.pair_memo[p] = v
-        return v
-
-    def sentence(self, ts: list[str]) -> float:
-        if not ts:
-            return -1e9
-        word, pair = self.word_memo, self.pair_memo
-        total = 0.0
-        for w in ts:
-            v = word.get(w)
-            total += self._word(w) if v is None else v
-        for p in zip(ts, ts[1:]):
-            v = pair.get(p)
-            total += self._pair(p) if v is None else v
-        return total / np.sqrt(len(ts) + 2) + self.bias
-
-    def document(self, text: str | None) -> float:
+            n = len(self.part)
+            self.part.append(float(self.words[f].sum() / math.sqrt(len(f))))
+            self.hash.append(_hash("w" + w))
+        self.code[raw] = n
+        return n
+
+    def best(self, texts: list[str | None]) -> np.ndarray:
+        """Score of the highest sentence of every text; -1e9 for a text without words."""
+        if len(self.code) > 500_000:
+            self._forget()
+        get, learn = self.code.get, self._learn
+        flat, ends = [0], []
+        for t in texts:
+            for r in _raw(t) if t else ():
+                n = get(r)
+                flat.append(learn(r) if n is None else n)
+            flat.append(0)
+            ends.append(len(flat))
+        c = np.array(flat, np.int64)
+        h, part = np.array(self.hash, np.int64)[c], np.array(self.part)[c]
+        real = c > 0
+        sentence = np.cumsum(~real) - 1
+        n = np.bincount(sentence, real)
+        total = np.bincount(sentence, part)
+        follows = np.flatnonzero(real[1:] & real[:-1]) + 1
+        total += np.bincount(sentence[follows], self.pairs[_pair_hash(h[follows - 1], h[follows])], len(total))
+        score = np.where(n > 0, total / np.sqrt(n + 2) + self.bias, -1e9)
+        first = np.r_[0, sentence[np.array(ends[:-1], np.int64)]] if len(ends) > 1 else np.zeros(len(ends), np.int64)
+        return np.maximum.reduceat(score, first) if len(first) else np.zeros(0)
+
+    def documents(self, texts: list[str | None]) -> np.ndarray:
         """Highest sentence score over the boundary, as a probability; 0 for a text without words."""
-        best = max((self.sentence(tokens(s)) for s in sentences(text)), default=-1e9) if text else -1e9
-        return float(1 / (1 + np.exp(-np.clip(best - self.boundary, -50, 50)))) if best > -1e8 else 0.0
+        best = self.best(texts)
+        return np.where(best > -1e8, 1 / (1 + np.exp(-np.clip(best - self.boundary, -50, 50))), 0.0)
 
 
 class _Rows:
@@ -133,9 +154,8 @@ class _Rows:
 
     def __init__(self, bags: list[list[list[str]]]):
         vocabulary: dict[str, int] = {}
-        self.bag, word, pair, self.size = [], [], [], []
+        self.bag, word, self.size = [], [], []
         row_w, row_p = [], []
-        memo: dict[tuple[str, str], int] = {}
         n = 0
         for b, rows in enumerate(bags):
             for ts in rows:
@@ -143,16 +163,14 @@ class _Rows:
                 self.size.append(len(ts))
                 word.extend(vocabulary.setdefault(w, len(vocabulary)) for w in ts)
                 row_w.extend([n] * len(ts))
-                for p in zip(ts, ts[1:]):
-                    h = memo.get(p)
-                    if h is None:
-                        h = memo[p] = _hash(p[0] + " " + p[1])
-                    pair.append(h)
-                    row_p.append(n)
+                row_p.extend([n] * (len(ts) - 1))
                 n += 1
         self.n = n
-        self.bag, self.word, self.pair = np.array(self.bag, np.int64), np.array(word, np.int64), np.array(pair, np.int64)
+        self.bag, self.word = np.array(self.bag, np.int64), np.array(word, np.int64)
         self.row_w, self.row_p = np.array(row_w, np.int64), np.array(row_p, np.int64)
+        h = np.array([_hash("w" + w) for w in vocabulary] or [0], np.int64)[self.word] if len(word) else np.zeros(0, np.int64)
+        follows = np.flatnonzero(self.row_w[1:] == self.row_w[:-1]) + 1
+        self.pair = _pair_hash(h[follows - 1], h[follows])
         self.scale = 1 / np.sqrt(np.array(self.size) + 2.0)
         feats = [word_features(w) for w in vocabulary]
         self.feat = np.array([x for f in feats for x in f], np.int64)
@@ -171,55 +189,91 @@ class _Rows:
         return np.bincount(self.feat, on_word[self.feat_word] * self.feat_scale, 1 << BITS), np.bincount(self.pair, g[self.row_p], 1 << BITS)
 
 
-def fit(positive: list[str], negative: list[str], unlabelled: list[str], prior: float = PRIOR) -> Model | None:
+def fit(positive: list[str], negative: list[str], unlabelled: list[str], prior: float | None = None) -> Model | None:
     """Model from confirmed, cleared and unlabelled texts; None without confirmed texts that hold words."""
-    bags = [[t for t in map(tokens, dict.fromkeys(sentences(x))) if t] for x in [*positive, *negative, *unlabelled]]
+    memo: dict[str, list[list[str]]] = {}
+    bags = [memo[x] if x in memo else memo.setdefault(x, [list(t) for t in dict.fromkeys(map(tuple, sentences(x)))]) for x in [*positive, *negative, *unlabelled]]
     keep = [i for i, b in enumerate(bags) if b]
     n_pos = sum(i < len(positive) for i in keep)
     n_neg = sum(len(positive) <= i < len(positive) + len(negative) for i in keep)
     if not n_pos:
         return None
     rows = _Rows([bags[i] for i in keep])
-    is_pos_bag = rows.bag < n_pos
-    other = ~is_pos_bag
-    # first witnesses: mean of the highest log odds of the words of a sentence, by documents
-    docs = len(keep)
-    seen = np.unique(rows.bag[rows.row_w] * rows.vocabulary + rows.word)
-    in_pos = np.bincount(seen[seen < n_pos * rows.vocabulary] % rows.vocabulary, minlength=rows.vocabulary)
-    in_other = np.bincount(seen[seen >= n_pos * rows.vocabulary] % rows.vocabulary, minlength=rows.vocabulary)
-    odds = np.log((in_pos + 0.1) / (n_pos + 1)) - np.log((in_other + 1.0) / (docs - n_pos + 1))
-    odds[in_pos < 2] = np.minimum(odds[in_pos < 2], 0.0)
-    gain = np.maximum(odds[rows.word], 0)
-    first = np.bincount(rows.row_w, gain * gain, rows.n) * rows.scale
-    score = first
-    words, pairs, bias = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0
-    u = np.flatnonzero(other)
-    for round_ in range(ROUNDS):
-        candidates = np.flatnonzero(is_pos_bag)
-        order = candidates[np.lexsort((-score[candidates], rows.bag[candidates]))]
-        top = order[np.r_[True, rows.bag[order][1:] != rows.bag[order][:-1]]]
-        if round_ == 0:
-            floor = np.quantile(score[u], 0.99) if len(u) else 0.0
-            witness = top[score[top] > floor]
-        else:
-            witness = order[score[order] > 0]
+    in_bag = np.flatnonzero(rows.bag < n_pos)
+    u = np.flatnonzero(rows.bag >= n_pos)
+    score = _first_evidence(rows, n_pos, len(keep))
+    fold = np.arange(n_pos) % FOLDS
+    for round_ in range(ROUNDS + 1):
+        edge = _lift_edge(_bag_best(rows, score, 0, n_pos), _bag_best(rows, score, n_pos, len(keep)))
+        witness = in_bag[score[in_bag] > edge]
         if not len(witness):
-            witness = top
-        words, pairs, bias = _descend(rows, witness, u, prior)
-        score = rows.scores(words, pairs, bias)
+            witness = _best_of_bags(rows, in_bag, score)
+        if prior is None:
+            prior = float(np.clip(np.mean(score[u] > edge) if len(u) else 0.0, 1e-5, 0.02))
+        if round_ == ROUNDS:
+            break
+        # every bag is judged by a model that has not seen it, so that a wrong label cannot vouch for itself
+        score = np.full(rows.n, -50.0)
+        parts = []
+        for k in range(FOLDS):
+            seen = witness[fold[rows.bag[witness]] != k]
+            mine = in_bag[fold[rows.bag[in_bag]] == k]
+            s = rows.scores(*_descend(rows, seen if len(seen) else witness, u, prior))
+            score[mine] = s[mine]
+            parts.append(s[u])
+        score[u] = np.mean(parts, axis=0)
+    words, pairs, bias = _descend(rows, witness, u, prior)
+    final = rows.scores(words, pairs, bias)
+    final[in_bag] = score[in_bag]
     model = Model(words, pairs, float(bias))
-    best = np.full(len(keep), -50.0)
-    np.maximum.at(best, rows.bag, score)
-    model.boundary = _boundary(best[:n_pos], best[n_pos : n_pos + n_neg])
+    model.boundary = _boundary(_bag_best(rows, final, 0, n_pos), _bag_best(rows, final, n_pos, n_pos + n_neg))
     return model
 
 
+def _bag_best(rows: _Rows, score: np.ndarray, first: int, end: int) -> np.ndarray:
+    best = np.full(max(int(rows.bag.max(initial=-1)) + 1, end), -50.0)
+    np.maximum.at(best, rows.bag, score)
+    return best[first:end]
+
+
+def _lift_edge(positive: np.ndarray, other: np.ndarray, group: int = 4, lift: float = 3.0) -> float:
+    """The score down to which confirmed documents are enriched: from the top, groups of confirmed documents are taken in
+    while their share is at least `lift` times the share of other documents whose best sentence lies in the same stretch."""
+    p, o = np.sort(positive)[::-1], np.sort(other)[::-1]
+    edge = np.inf
+    for i in range(0, len(p), group):
+        low = p[min(i + group, len(p)) - 1]
+        inside = np.searchsorted(-o, -low, side="right") - (np.searchsorted(-o, -edge, side="right") if np.isfinite(edge) else 0)
+        taken = min(group, len(p) - i)
+        if taken / len(p) < lift * inside / max(1, len(o)) and i:
+            break
+        edge = low
+    return float(edge) - 1e-9
+
+
+def _best_of_bags(rows: _Rows, in_bag: np.ndarray, score: np.ndarray) -> np.ndarray:
+    order = in_bag[np.lexsort((-score[in_bag], rows.bag[in_bag]))]
+    return order[np.r_[True, rows.bag[order][1:] != rows.bag[order][:-1]]] if len(order) else order
+
+
+def _first_evidence(rows: _Rows, n_pos: int, docs: int) -> np.ndarray:
+    """Of every sentence: the log odds of its words in confirmed against other documents, its own document left out."""
+    seen = np.unique(rows.bag[rows.row_w] * rows.vocabulary + rows.word)
+    edge = n_pos * rows.vocabulary
+    in_pos = np.bincount(seen[seen < edge] % rows.vocabulary, minlength=rows.vocabulary)
+    in_other = np.bincount(seen[seen >= edge] % rows.vocabulary, minlength=rows.vocabulary)
+    rest = in_pos[rows.word] - (rows.bag[rows.row_w] < n_pos)
+    odds = np.log((rest + 0.02) / (n_pos + 1)) - np.log((in_other[rows.word] + 0.5) / (docs - n_pos + 1))
+    gain = np.maximum(odds, 0) ** 2
+    return np.bincount(rows.row_w, gain, rows.n) * rows.scale
+
+
 def _descend(rows: _Rows, p: np.ndarray, u: np.ndarray, prior: float):
-    """Adam on the non-negative risk with the logistic loss; if the corrected part turns negative, its gradient is reversed."""
-    words, pairs, bias = np.zeros(1 << BITS), np.zeros(1 << BITS), -2.0
+    """Adam on the non-negative risk with the logistic loss; a corrected part below zero has no gradient."""
+    words, pairs, bias = np.zeros(1 << BITS), np.zeros(1 << BITS), -4.0
     m = [np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0]
     v = [np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0]
-    weight = max(prior, 0.05)  # the witnesses' share of the risk; few sentences are abusive
+    weight = WEIGHT
     for step in range(1, STEPS + 1):
         s = rows.scores(words, pairs, bias)
         sig = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
@@ -232,7 +286,7 @@ def _descend(rows: _Rows, p: np.ndarray, u: np.ndarray, prior: float):
                 g += np.bincount(u, sig[u] / len(u), rows.n)
             g -= prior * np.bincount(p, sig[p] / len(p), rows.n)
         else:
-            g -= np.bincount(u, sig[u] / len(u), rows.n) - prior * np.bincount(p, sig[p] / len(p), rows.n)
+            g += weight * positive  # the corrected part is held at zero
         grads = [*rows.gradient(g), g.sum()]
         for k, (x, y) in enumerate(zip((words, pairs), grads)):
             y = y + 2e-7 * x
@@ -246,14 +300,14 @@ def _descend(rows: _Rows, p: np.ndarray, u: np.ndarray, prior: float):
 
 
 def _boundary(positive: np.ndarray, negative: np.ndarray) -> float:
-    """The score that parts confirmed from cleared documents with the fewest errors (both classes as they are), nearest to 0."""
+    """The score that parts confirmed from cleared documents with the fewest errors; the middle, where several do."""
     if not len(negative):
         return 0.0
-    cuts = np.unique(np.r_[positive, negative, 0.0])
-    mids = np.r_[(cuts[1:] + cuts[:-1]) / 2, 0.0]
-    wrong = np.array([(positive <= c).sum() + (negative > c).sum() for c in mids])
+    cuts = np.unique(np.r_[positive, negative])
+    mids = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else np.zeros(1)
+    wrong = (np.searchsorted(np.sort(positive), mids, side="right") + len(negative) - np.searchsorted(np.sort(negative), mids, side="right")).astype(int)
     good = mids[wrong == wrong.min()]
-    return float(good[np.argmin(np.abs(good))])
+    return float((good.min() + good.max()) / 2)
 
 
 def confirmed(labels: DataFrame) -> DataFrame:
@@ -263,7 +317,7 @@ def confirmed(labels: DataFrame) -> DataFrame:
     return n.select("doc_id", (F.col("b") >= F.col("g")).alias("bad"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, prior: float = PRIOR) -> Model | None:
+def fitted(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model | None:
     """The model from bounded samples of the labelled and the unlabelled documents."""
     marks = confirmed(labels)
     n_docs, (n_bad, n_good) = docs.count(), marks.agg(F.count_if("bad"), F.count_if(~F.col("bad"))).first()
@@ -280,7 +334,7 @@ def fitted(docs: DataFrame, labels: DataFrame, prior: float = PRIOR) -> Model |
     return fit(positive, negative, unlabelled, prior)
 
 
-def scored(docs: DataFrame, labels: DataFrame, prior: float = PRIOR) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
     """(doc_id, source, score): probability-like score of every document, 0.5 at the boundary; blank or null text scores 0.
 
     Without a confirmed document there is nothing to learn from and every score is null.
@@ -294,7 +348,7 @@ def scored(docs: DataFrame, labels: DataFrame, prior: float = PRIOR) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model(*shared.value)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": [own.document(t) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": own.documents(b["text"].tolist())})
 
     return rows.mapInPandas(run, "doc_id bigint, source string, score double")
 
