@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.session import cut, table
 
-from . import mixing, packing, rank_walk, repeated_lines, split_overlap, term_weight, token_budget, tokenizers, unwanted, vector_neighbours
+from . import markup, mixing, packing, rank_walk, repeated_lines, split_overlap, term_weight, token_budget, tokenizers, unwanted, vector_neighbours
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,6 +97,21 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(cut(_sized(spark, d).drop("source")), capacities)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_kinds(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "markup").distinct()
+
+
+def p7_clean_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = markup.trained_model(docs.select("id", "text", "snapshot"), table(spark, d, "chunks"))
+    return markup.cleaned(docs, model, "doc_id", "snapshot")
+
+
+def p7_clean_chunks(spark: SparkSession, d: str) -> DataFrame:
+    model = markup.trained_model(table(spark, d, "documents").select("id", "text", "snapshot"), table(spark, d, "chunks"))
+    return markup.cleaned(table(spark, d, "chunks").select("id", "text").dropDuplicates(["id"]), model, "id", "text", least=0.0)
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
