@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusloom.session import cut
+
 from . import split
 
 DOCUMENT_COLUMNS = ["id", "title", "source", "license", "acquired", "hash", "splitter", "snapshot"]
@@ -73,10 +75,10 @@ def chunked(rows: DataFrame) -> DataFrame:
 def import_documents(documents: DataFrame, chunks: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two tables after an import. Old chunks of changed documents retire; a chunk that comes back is reactivated, not doubled."""
     status = import_status(documents, incoming)
-    changed = status.where("status <> 'unchanged'")
+    changed = cut(status.where("status <> 'unchanged'"))
     fresh = changed.withColumn("snapshot", F.col("text")).select(*DOCUMENT_COLUMNS)
     docs = documents.select(*DOCUMENT_COLUMNS).join(changed.select("id"), "id", "left_anti").select(*DOCUMENT_COLUMNS).unionByName(fresh)
-    new = chunked(changed)
+    new = cut(chunked(changed))
     touched = changed.select(F.col("id").alias("doc_id"), F.lit(True).alias("touched"))
     old = chunks.join(new.select("id"), "id", "left_anti").join(touched, "doc_id", "left").withColumn("active", F.col("active") & F.col("touched").isNull())
     return docs, old.select(*split.CHUNK_COLUMNS).unionByName(new.select(*split.CHUNK_COLUMNS))

@@ -97,7 +97,7 @@ def freeze(sampled: DataFrame, documents: DataFrame) -> DataFrame:
         sums = [F.coalesce(F.sum(F.conv(F.substring("h", a, 8), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for a in (1, 9, 17, 25)]
         return once.agg(F.count(F.lit(1)).alias(name), F.sha2(F.concat_ws(":", *sums), 256).alias(f"{name}_hash"))
 
-    a = part(sampled, F.concat_ws(":", "case_id", "question", F.to_json("spans")), "cases")
+    a = part(sampled, F.concat_ws(":", "case_id", "question", F.array_join(F.transform("spans", lambda e: F.concat_ws("|", e["source"], e["start_line"].cast("string"), e["end_line"].cast("string"), F.array_join(F.coalesce(e["must_include"], F.array().cast("array<string>")), "~"), e["required_together"].cast("string"))), ";")), "cases")
     b = part(documents, F.concat_ws(":", "id", "hash", "splitter"), "documents")
     return a.join(b)  # one row each
 

@@ -6,6 +6,10 @@ broadcast, so what crosses an exchange are postings of wanted terms, pre-aggrega
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import text as T
@@ -13,6 +17,7 @@ from corpusloom.session import cut, maybe_broadcast
 
 # Parameters of the scores
 K1, B, RRF_K, MOST = 1.5, 0.75, 60, 20
+QUERY_BLOCK = 1024  # query vectors a task holds at once
 
 
 def check_arguments(query: str | None, limit: int) -> None:
@@ -88,21 +93,52 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _nearest_in_task(ids: list, q: np.ndarray, k: int):
+    """mapInPandas function: the k best rows of a task for every query, by one matrix product a batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for b in batches:
+            b = b[b["embedding"].str.len() == q.shape[1]]
+            if not len(b):
+                continue
+            scores = np.round(np.stack(b["embedding"].to_numpy()).astype(np.float64) @ q.T, 6)
+            own = b["id"].to_numpy()
+            part = []
+            for j in range(len(ids)):
+                order = np.lexsort((own, -scores[:, j]))[:k]
+                part.append(pd.DataFrame({"j": j, "id": own[order], "score": scores[order, j]}))
+            best = pd.concat([best, *part]) if best is not None else pd.concat(part)
+            best = best.sort_values(["j", "score", "id"], ascending=[True, False, True]).groupby("j", sort=False).head(k)
+        if best is not None:
+            yield pd.DataFrame({"query_id": [ids[j] for j in best["j"]], "id": best["id"], "score": best["score"]})
+
+    return run
+
+
 def vector(queries: DataFrame, vectors: DataFrame, k: int = 5, live: DataFrame | None = None) -> DataFrame:
     """queries(query_id, embedding) against vectors(id, embedding) by dot product, exact, no floor; ties by id.
 
-    The queries are a set counted and bounded before they are sent to every task; each vector is scored where it lies, and
-    only k rows a task and query leave it.
+    Queries go to the tasks in blocks of QUERY_BLOCK; each vector is scored where it lies, and only k rows a task and query
+    leave it. Rows without an embedding or of another length are left out, repeated ids count once.
     """
     check_arguments(None, k)
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    rows = vectors.where("embedding is not null").select("id", "embedding").dropDuplicates(["id"])
+    rows = vectors.where("embedding is not null and id is not null").select("id", "embedding").dropDuplicates(["id"])
     if live is not None:
         rows = rows.join(live.where("active").select("id").distinct(), "id", "left_semi")
-    asked = q.agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))  # the query batch, one row
-    scored = rows.join(F.broadcast(asked)).select("id", "embedding", F.explode("qs").alias("x")).where(F.size("embedding") == F.size("x.q"))
-    scored = scored.select(F.col("x.query_id").alias("query_id"), "id", F.round(dot(F.col("embedding"), F.col("x.q")), 6).alias("score"))
-    return top(scored, k, F.desc("score"), "id").select("query_id", "id", "rank", "score")
+    asked = queries.where("embedding is not null").select("query_id", "embedding")
+    total = asked.count()
+    blocks = max(1, -(-2 * total // QUERY_BLOCK))  # half full on average, by a hash of the id
+    q = cut(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+    out = None
+    for n in range(blocks):
+        block = q.where(F.col("block") == n).collect()  # about QUERY_BLOCK / 2 rows
+        dims = len(block[0]["embedding"]) if block else 0
+        m = np.array([r["embedding"] for r in block if len(r["embedding"]) == dims], np.float64).reshape(-1, dims)
+        part = rows.mapInPandas(_nearest_in_task([r["query_id"] for r in block if len(r["embedding"]) == dims], m, k), schema)
+        out = part if out is None else out.unionByName(part)
+    return top(out, k, F.desc("score"), "id").select("query_id", "id", "rank", "score")
 
 
 def pooled(windows: DataFrame) -> DataFrame:

@@ -78,29 +78,31 @@ def _sections(rows: DataFrame) -> DataFrame:
     return rows.withColumn("units", units).drop("starts")
 
 
-def _peeled(units: Column, ls: Column) -> Column:
-    """Provenance between a heading and its body becomes a unit of its own, with the heading line; line numbers stay."""
+def _peel(rows: DataFrame) -> DataFrame:
+    """Of rows with u struct<start, end, section> and ls: adds parts, u itself or provenance and body of it.
 
-    def one(u):
-        block = F.slice(ls, u["start"], u["end"] - u["start"] + 1)
-        rest = F.slice(block, 2, F.greatest(F.size(block) - 1, F.lit(0)))
-        boiler = lambda x: x.rlike(T.META_LINE) | x.rlike(T.ADAPT_NOTE)
-        body_at = F.array_position(F.transform(rest, lambda x: ~(T.is_blank(x) | boiler(x))), True)
-        lead = F.when(body_at > 0, F.slice(rest, 1, (body_at - 1).cast("int"))).otherwise(rest)
-        has = F.exists(lead, boiler)
-        peelable = F.element_at(block, 1).rlike(T.HEADING) & has & ~T.is_metadata_block(block)
-        whole = F.array(F.struct(u["start"].alias("start"), u["end"].alias("end"), F.lit(T.METADATA_SECTION).alias("section")))
-        cut_at = (u["start"] + body_at).cast("int")
-        two = F.array(F.struct(u["start"].alias("start"), (cut_at - 1).alias("end"), F.lit(T.METADATA_SECTION).alias("section")), F.struct(cut_at.alias("start"), u["end"].alias("end"), u["section"].alias("section")))
-        return F.when(peelable & (body_at == 0), whole).when(peelable, two).otherwise(F.array(F.struct(u["start"].alias("start"), u["end"].alias("end"), u["section"].alias("section"))))
-
-    return F.flatten(F.transform(units, one))
+    Provenance between a heading and its body becomes a unit of its own, with the heading line; line numbers stay. The
+    steps are columns of their own so that no line is matched twice.
+    """
+    boiler = lambda x: x.rlike(T.META_LINE) | x.rlike(T.ADAPT_NOTE)
+    rows = rows.withColumn("block", F.slice("ls", F.col("u.start"), F.col("u.end") - F.col("u.start") + 1))
+    # only a block that opens with a heading can be peeled; 0 body, 1 blank, 2 provenance
+    kinds = F.transform("block", lambda x, i: F.when(i == 0, F.when(x.rlike(T.HEADING), 3).otherwise(4)).when(T.is_blank(x), 1).when(boiler(x), 2).otherwise(0))
+    rows = rows.withColumn("marks", F.when(F.element_at("block", 1).rlike(T.HEADING), kinds))
+    rows = rows.withColumn("body_at", F.array_position("marks", 0).cast("int"))
+    lead = F.when(F.col("body_at") > 0, F.slice("marks", 1, F.col("body_at") - 1)).otherwise(F.col("marks"))
+    rows = rows.withColumn("peel", F.coalesce(F.array_contains(lead, 2), F.lit(False)))
+    part = lambda a, z, name: F.struct(a.alias("start"), z.alias("end"), name.alias("section"))
+    start, end, meta = F.col("u.start"), F.col("u.end"), F.lit(T.METADATA_SECTION)
+    cut_at = start + F.col("body_at") - 1
+    parts = F.when(F.col("peel") & (F.col("body_at") == 0), F.array(part(start, end, meta))).when(F.col("peel"), F.array(part(start, cut_at - 1, meta), part(cut_at, end, F.col("u.section")))).otherwise(F.array(part(start, end, F.col("u.section"))))
+    return rows.withColumn("parts", parts).drop("block", "marks", "body_at", "peel")
 
 
 def split_blocks(docs: DataFrame) -> DataFrame:
     """Blocks by heading, provenance peeled off, cut at 20 lines unless a colon line would part from its list."""
-    rows = _sections(docs.select("doc_id", "hash", T.lines(F.col("text")).alias("ls"))).withColumn("units", _peeled(F.col("units"), F.col("ls")))
-    rows = rows.select("doc_id", "hash", "ls", F.explode("units").alias("u"))
+    rows = _sections(docs.select("doc_id", "hash", T.lines(F.col("text")).alias("ls")))
+    rows = _peel(rows.select("doc_id", "hash", "ls", F.explode("units").alias("u"))).select("doc_id", "hash", "ls", F.explode("parts").alias("u"))
     rows = rows.withColumn("block", F.slice("ls", F.col("u.start"), F.col("u.end") - F.col("u.start") + 1))
     marks = F.transform("block", lambda x, i: F.struct(i.cast("int").alias("i"), T.is_blank(x).alias("blank"), x.rlike(r"(?U)[:：]\s*$").alias("colon"), F.coalesce(F.try_element_at("block", (i + 2).cast("int")).rlike(T.LIST_ITEM), F.lit(False)).alias("next_item")))
     zero = F.struct(F.array().cast("array<struct<start:int,section:string>>").alias("starts"), F.lit(0).alias("n"), F.lit(False).alias("colon"))
@@ -279,9 +281,8 @@ def split_pages(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("starts", F.aggregate("pl", zero, step, lambda s: s["starts"]))
     spans = F.transform("starts", lambda s, i: F.struct(s["start"].alias("start"), F.when(i + 1 < F.size("starts"), F.try_element_at("starts", (i + 2).cast("int"))["start"] - 1).otherwise(F.size("ls")).alias("end"), s["section"].alias("section"), s["edge"].alias("edge"), s["page"].alias("page")))
     rows = rows.select("doc_id", "hash", "ls", F.explode(spans).alias("s"))
-    own = F.array(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.section").alias("section")))
-    peeled = _peeled(own, F.col("ls"))
-    spans = F.when(~F.col("s.edge") & (F.size(peeled) > 1), peeled).otherwise(own)
+    rows = _peel(rows.withColumn("u", F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.section").alias("section"))))
+    spans = F.when(~F.col("s.edge") & (F.size("parts") > 1), F.col("parts")).otherwise(F.array("u"))
     kind = F.when(F.col("s.edge") | ((F.col("span.section") == T.METADATA_SECTION)), "metadata").otherwise("body")
     return _emit(rows, PAGES, spans, kind, F.col("s.page"))
 
