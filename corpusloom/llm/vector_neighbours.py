@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.session import cut, shared_dir
 
-M = 6  # projections; even, for the closed form of the chi-square distribution
+M = 4  # projections; even, for the closed form of the chi-square distribution
 CONFIDENCE = 0.9
 SAMPLE = 40_000  # rows the tree is fitted on, at most
-LEAF = 256  # rows of a leaf, about
+LEAF = 128  # rows of a leaf, about
 BLOCK = 4096  # rows of a block, about
-DEPTH = 14  # of the tree at most
+DEPTH = 15  # of the tree at most
 SEED = 20_240_607
 
 
@@ -97,15 +97,21 @@ class Blocks:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
+        import pyarrow as pa
+
         parts = sorted(x.path for x in self.fs.get_file_info(fs.FileSelector(f"{self.path}/block={block}", allow_not_found=True)) if x.path.endswith(".parquet"))
-        tables = [pq.ParquetFile(self.fs.open_input_file(p)).read(columns=["leaf", "id", "ask", "vec"]) for p in parts]
-        leaf = np.concatenate([t["leaf"].to_numpy() for t in tables]) if tables else np.zeros(0, np.int32)
-        ids = np.concatenate([t["id"].to_numpy(zero_copy_only=False) for t in tables]) if tables else np.zeros(0, object)
-        ask = np.concatenate([t["ask"].to_numpy(zero_copy_only=False) for t in tables]).astype(bool) if tables else np.zeros(0, bool)
-        raw = b"".join(x for t in tables for x in t["vec"].to_pylist())
-        vecs = np.frombuffer(raw, np.float32).reshape(-1, self.dims)
+        if not parts:
+            return np.zeros(0, np.int32), pa.array([], pa.string()), np.zeros((0, self.dims), np.float32), np.zeros(0, bool)
+        t = pa.concat_tables([pq.ParquetFile(self.fs.open_input_file(p)).read(columns=["leaf", "id", "ask", "vec"]) for p in parts]).combine_chunks()
+        leaf = t["leaf"].to_numpy()
         order = np.argsort(leaf, kind="stable")
-        return leaf[order], ids[order], vecs[order], ask[order]
+        if (order[1:] < order[:-1]).any():
+            t, leaf = t.take(order), leaf[order]
+        vec = t["vec"].combine_chunks()
+        vec = vec.chunk(0) if isinstance(vec, pa.ChunkedArray) else vec
+        start = np.frombuffer(vec.buffers()[1], np.int32, 1, vec.offset * 4)[0]
+        vecs = np.frombuffer(vec.buffers()[2], np.float32, len(vec) * self.dims, int(start)).reshape(-1, self.dims)
+        return leaf, t["id"], vecs, t["ask"].to_numpy(zero_copy_only=False)
 
 
 def _boxes(path: str, proj: np.ndarray, dims: int):
@@ -145,7 +151,8 @@ def _search(path: str, leaf_block: np.ndarray, leaf_no: np.ndarray, low: np.ndar
 
     def one(blocks: Blocks, block: int) -> pd.DataFrame:
         q_leaf, q_ids, q, ask = blocks.read(block)
-        q_leaf, q_ids, q = q_leaf[ask], q_ids[ask], q[ask]  # the stated query set
+        ask = ask.astype(bool)
+        q_leaf, q_ids, q = q_leaf[ask], q_ids.to_numpy(zero_copy_only=False)[ask], q[ask]  # the stated query set
         n = len(q_ids)
         empty = pd.DataFrame({"id": [], "other": [], "similarity": []}).astype({"id": str, "other": str, "similarity": float})
         if not n:
@@ -170,26 +177,31 @@ def _search(path: str, leaf_block: np.ndarray, leaf_no: np.ndarray, low: np.ndar
             d_leaf, d_ids, d, _ = blocks.read(int(names[at]))
             d_start = np.searchsorted(d_leaf, leaf_no[inside])
             d_end = np.searchsorted(d_leaf, leaf_no[inside], side="right")
-            for g in range(len(starts)):
-                rows = wanted[g]
-                if not rows.any():
+            group = np.repeat(np.arange(len(starts)), ends - starts)
+            for x in np.flatnonzero(wanted.any(0)):
+                mine = np.flatnonzero(wanted[group, x])
+                gap = np.maximum(0, np.maximum(low[inside[x]] - qp[mine], qp[mine] - high[inside[x]]))
+                mine = mine[(gap * gap).sum(1) <= radius2[mine]]  # the others have stopped
+                if not len(mine):
                     continue
-                s, e = starts[g], ends[g]
-                take = np.concatenate([np.arange(x, y) for x, y in zip(d_start[rows], d_end[rows])]) if not rows.all() else np.arange(len(d_ids))
-                sims = q[s:e] @ d[take].T
-                least = best[s:e, k - 1] if floor is None else np.maximum(best[s:e, k - 1], np.float32(floor - 1e-4))
+                a, z = d_start[x], d_end[x]
+                sims = q[mine] @ d[a:z].T
+                least = best[mine, k - 1] if floor is None else np.maximum(best[mine, k - 1], np.float32(floor - 1e-4))
                 hits = sims >= least[:, None]
+                if not hits.any():
+                    continue
                 for i in np.flatnonzero(hits.any(1)):
                     c = np.flatnonzero(hits[i])
                     if len(c) > 4 * k + 4:
                         kth = np.partition(sims[i, c], len(c) - k - 1)[len(c) - k - 1]
                         c = c[sims[i, c] >= kth]
-                    names_c = d_ids[take[c]]
-                    other = names_c != q_ids[s + i]
-                    merged = np.concatenate([best[s + i], sims[i, c][other]])
-                    whose = np.concatenate([who[s + i], names_c[other]])
+                    m = mine[i]
+                    names_c = d_ids.take(a + c).to_numpy(zero_copy_only=False)
+                    other = names_c != q_ids[m]
+                    merged = np.concatenate([best[m], sims[i, c][other]])
+                    whose = np.concatenate([who[m], names_c[other]])
                     order = np.lexsort((whose.astype(str), -merged))[:k]
-                    best[s + i], who[s + i] = merged[order], whose[order]
+                    best[m], who[m] = merged[order], whose[order]
         found = best > (-np.inf if floor is None else floor - 1e-4)
         i, j = np.nonzero(found)
         if not len(i):
@@ -216,9 +228,9 @@ def _divisible(modulus: int):
 
 
 def usable(vectors: DataFrame, dims: int = 64) -> DataFrame:
-    """(id, embedding): one row an id; null, wrongly sized, all-zero and non-finite embeddings and null ids are left out."""
+    """(id, embedding), repeated rows still in; null, wrongly sized, all-zero and non-finite embeddings and null ids are left out."""
     ok = "id is not null and size(embedding) = {0} and exists(embedding, x -> x <> 0) and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))".format(dims)
-    return vectors.select("id", "embedding").where(ok).dropDuplicates(["id"])
+    return vectors.select("id", "embedding").where(ok)
 
 
 def nearest(vectors: DataFrame, k: int = 10, floor: float | None = None, dims: int = 64, confidence: float = CONFIDENCE, modulus: int | None = None) -> DataFrame:
@@ -228,39 +240,45 @@ def nearest(vectors: DataFrame, k: int = 10, floor: float | None = None, dims: i
     Fewer than two usable vectors give no row.
     """
     spark = vectors.sparkSession
-    good = usable(vectors, dims).withColumns({"h": F.xxhash64("embedding"), "g": F.xxhash64(F.lit(7), "embedding")})
-    good = cut(good.withColumn("ask", _divisible(modulus)("id") if modulus else F.lit(True)))
-    groups = good.groupBy("h", "g").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"), F.bool_or("ask").alias("ask"))
-    groups = cut(groups)
-    n = groups.count()
+    good = usable(vectors, dims).withColumns({"h": F.xxhash64("embedding"), "g": F.xxhash64(F.lit(7), "embedding"), "ask": _divisible(modulus)("id") if modulus else F.lit(True)})
+    members = cut(good.select("id", "h", "g").distinct())  # without the vectors
+    n = members.count()
     if n == 0:
         return spark.createDataFrame([], "id string, other string, similarity double, place int")
+    groups = cut(members.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    copies = members.join(groups, ["h", "g"]).select("id", "rep")
     proj = directions(dims)
     depth = max(0, min(DEPTH, round(math.log2(max(1, n / LEAF)))))
     bits = max(0, min(depth, round(math.log2(max(1, n / BLOCK)))))
-    fraction = min(1.0, SAMPLE / n)
-    rows = [r[0] for r in groups.sample(fraction=fraction, seed=7).select("embedding").limit(2 * SAMPLE).collect()] if depth else []
+    rows = [r[0] for r in good.sample(fraction=min(1.0, SAMPLE / n), seed=7).select("embedding").limit(2 * SAMPLE).collect()] if depth else []
     points = np.array(rows, np.float32).reshape(-1, dims)
     points = (points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-30)) @ proj if len(points) else np.zeros((0, M), np.float32)
     dim, value = fit_tree(points, depth)
     path = f"{shared_dir(spark).rstrip('/')}/vector-index-{uuid.uuid4().hex}"
     parts = int(min(2**bits, 2000))
-    groups.select("id", "ask", "embedding").mapInPandas(_leafed(proj, dim, value, depth, bits, dims), "block int, leaf int, id string, ask boolean, vec binary").repartition(parts, "block").sortWithinPartitions("block", "leaf").write.partitionBy("block").parquet(path)
+    # of a group of copies one vector is indexed; it is a query if any of the copies is
+    single = good.join(copies.where("id <> rep").select("id"), "id", "left_anti") if not modulus else good.join(copies.select("id"), "id", "left_anti").unionByName(_asking_representatives(good, copies))
+    leafed = single.select("id", "ask", "embedding").mapInPandas(_leafed(proj, dim, value, depth, bits, dims), "block int, leaf int, id string, ask boolean, vec binary")
+    leafed.repartition(parts, "block").dropDuplicates(["block", "id"]).sortWithinPartitions("block", "leaf").write.partitionBy("block").parquet(path)
     tasks = spark.range(2**bits).repartition(int(2**bits))
     boxes = tasks.mapInPandas(_boxes(path, proj, dims), "block int, leaf int, low array<float>, high array<float>").toPandas().sort_values(["block", "leaf"])  # at most 2^DEPTH rows
     search = _search(path, boxes["block"].to_numpy(), boxes["leaf"].to_numpy(), np.stack(boxes["low"].to_numpy()), np.stack(boxes["high"].to_numpy()), proj, dims, k, floor, confidence)
     found = cut(tasks.mapInPandas(search, "id string, other string, similarity double"))
-    return _with_copies(found, good, groups, k, floor, modulus)
+    return _with_copies(found, copies, k, floor, modulus)
+
+
+def _asking_representatives(good: DataFrame, copies: DataFrame) -> DataFrame:
+    own = good.select("id", "ask").distinct().join(copies, "id").groupBy("rep").agg(F.bool_or("ask").alias("ask"))
+    return good.drop("ask").join(own.withColumnRenamed("rep", "id"), "id").select(*good.columns)
 
 
-def _with_copies(found: DataFrame, good: DataFrame, groups: DataFrame, k: int, floor: float | None, modulus: int | None) -> DataFrame:
-    """Expands groups of copies: every copy is a query; as neighbours, the k + 1 first ids of a group are all that can count."""
+def _with_copies(found: DataFrame, copies: DataFrame, k: int, floor: float | None, modulus: int | None) -> DataFrame:
+    """Expands groups of copies (id, rep): every copy is a query; as neighbours, the k + 1 first ids of a group are all that can count."""
     if floor is not None:
         found = found.where(F.col("similarity") >= floor)
-    many = cut(groups.where("copies > 1").select("h", "g", F.col("id").alias("rep")))
     pairs = found
-    if not many.isEmpty():
-        members = cut(good.select("id", "h", "g").join(many, ["h", "g"]).select("rep", "id"))
+    members = cut(copies)
+    if not members.isEmpty():
         targets = cut(members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1).drop("n"))
         own = members.join(targets.withColumnRenamed("id", "other"), "rep").where("id <> other").select("id", "other", F.lit(1.0).alias("similarity"))
         t = targets.select(F.col("rep").alias("other"), F.col("id").alias("t"))
