@@ -1,7 +1,8 @@
 """Retrieval, batch first: a retriever maps queries(query_id, text) to ranked(query_id, id, rank, score).
 
-Statistics are computed for the query terms only: the terms are a small table that joins the exploded chunks by
-broadcast, so what crosses an exchange are postings of wanted terms, pre-aggregated. Texts are joined after top-k.
+Statistics are computed for the query terms only and pre-aggregate before their exchange. A bounded block of queries goes
+to the tasks as a matrix; a task scores its chunks by matrix products and lets only the k best a batch and query go, so a
+frequent term never multiplies rows. Texts are joined after top-k.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from corpusloom.session import cut, maybe_broadcast
 # Parameters of the scores
 K1, B, RRF_K, MOST = 1.5, 0.75, 60, 20
 QUERY_BLOCK = 1024  # query vectors a task holds at once
+SLICE = 512  # chunks that are scored by one matrix product
 
 
 def check_arguments(query: str | None, limit: int) -> None:
@@ -53,13 +55,83 @@ def _wanted(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return maybe_broadcast(distinct, n, 64), maybe_broadcast(terms, terms.count(), 96)
 
 
+def _best_in_task(terms: list[str], weights: np.ndarray, ids: list, avgdl: float | None, k: int):
+    """mapInPandas function over (id, kind, ts): scores of all queries by one matrix product a slice, the k best a batch.
+
+    weights [terms, queries] holds what a query gives a term (idf or 1); avgdl None counts terms instead of weighing them.
+    """
+    at = {t: i for i, t in enumerate(terms)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.sort_values("id", kind="stable")
+            own, body = b["id"].to_numpy(), (b["kind"] == "body").to_numpy()
+            scores = np.zeros((len(b), len(ids)))
+            ts = b["ts"].to_numpy()
+            for first in range(0, len(b), SLICE):
+                part = ts[first : first + SLICE]
+                m = np.zeros((len(part), len(terms)))
+                for i, words in enumerate(part):
+                    for w in words:
+                        j = at.get(w)
+                        if j is not None:
+                            m[i, j] += 1
+                if avgdl is None:
+                    m = np.minimum(m, 1)
+                else:
+                    length = np.array([max(1, len(w)) for w in part])[:, None]
+                    m = m * (K1 + 1) / (m + K1 * (1 - B + B * length / avgdl))
+                scores[first : first + SLICE] = np.round(m @ weights, 6)
+            key = scores + (1e6 if avgdl is not None else 0.5) * body[:, None]  # body decides first or breaks ties
+            key[scores <= 0] = -1
+            out = []
+            for j in range(len(ids)):
+                c = np.flatnonzero(key[:, j] > 0)
+                if len(c) > k:
+                    edge = np.partition(key[c, j], len(c) - k)[len(c) - k]
+                    more = c[key[c, j] > edge]
+                    c = np.concatenate([more, c[key[c, j] == edge][: k - len(more)]])  # ties by id, in which rows are sorted
+                out.append((np.full(len(c), j), c))
+            j, c = (np.concatenate(x) for x in zip(*out))
+            if not len(c):
+                continue
+            yield pd.DataFrame({"query_id": [ids[x] for x in j], "id": own[c], "body": body[c], "score": scores[c, j]})
+
+    return run
+
+
+def _term_batches(queries: DataFrame, chunks: DataFrame, k: int, weigh: bool) -> DataFrame:
+    """(query_id, id, body, score): the best of every task and query, QUERY_BLOCK / 2 queries at a time."""
+    terms = cut(query_terms(queries))
+    rows = active_once(chunks).select("id", "kind", T.tokens(F.coalesce("text", F.lit(""))).alias("ts"))
+    schema = f"query_id {terms.schema['query_id'].dataType.simpleString()}, id string, body boolean, score double"
+    n_terms = terms.count()
+    blocks = max(1, -(-n_terms // (10 * QUERY_BLOCK)))
+    terms = cut(terms.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
+    avgdl = None
+    if weigh:
+        n, mean = rows.select(F.greatest(F.lit(1), F.size("ts")).alias("l")).agg(F.count(F.lit(1)), F.avg("l")).first()
+        avgdl = float(mean or 1.0)
+        wanted = terms.select("term").distinct()
+        df = cut(rows.select(F.explode(F.array_distinct("ts")).alias("term")).join(maybe_broadcast(wanted, n_terms, 64), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+        terms = terms.join(df, "term", "left").select("query_id", "term", "block", F.log1p((F.lit(float(n)) - F.coalesce("df", F.lit(0)) + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5)).alias("idf"))
+    out = None
+    for x in range(blocks):
+        asked = terms.where(F.col("block") == x).collect()  # the terms of a bounded block of queries
+        ids, words = sorted({r["query_id"] for r in asked}), sorted({r["term"] for r in asked})
+        qi, wi = {q: i for i, q in enumerate(ids)}, {w: i for i, w in enumerate(words)}
+        m = np.zeros((len(words), len(ids)))
+        for r in asked:
+            m[wi[r["term"]], qi[r["query_id"]]] = r["idf"] if weigh else 1.0
+        part = rows.mapInPandas(_best_in_task(words, m, ids, avgdl, k), schema) if ids else rows.sparkSession.createDataFrame([], schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def keyword(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """Number of query terms a chunk has; ties: body before others, then id."""
     check_arguments(None, k)
-    wanted, terms = _wanted(queries)
-    has = active_once(chunks).select("id", "kind", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).join(wanted, "term", "left_semi")
-    scored = has.join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score"), F.first("kind").alias("kind"))
-    return top(scored, k, F.desc("score"), F.col("kind") != "body", "id").select("query_id", "id", "rank", F.col("score").cast("double").alias("score"))
+    return top(_term_batches(queries, chunks, k, False), k, F.desc("score"), F.desc("body"), "id").select("query_id", "id", "rank", "score")
 
 
 def bm25_parts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,9 +156,9 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """Body chunks precede others whatever their score; then score, then id."""
+    """Body chunks precede others whatever their score; then score (rounded to 6), then id."""
     check_arguments(None, k)
-    return top(bm25_scores(queries, chunks), k, F.col("kind") != "body", F.desc("score"), "id").select("query_id", "id", "rank", "score")
+    return top(_term_batches(queries, chunks, k, True), k, F.desc("body"), F.desc("score"), "id").select("query_id", "id", "rank", "score")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -1,9 +1,8 @@
 """Splitters: documents to line-addressed chunks.
 
-Baseline, block and page splitting are folds over the lines of one row: the state holds the starts of the chunks so far,
-so a document becomes its chunks in the scan's own stage, without exploding lines and without an exchange. Only
-procedure splitting, whose rules look back over earlier units, runs as a Python function, batch by batch and again
-without an exchange.
+Baseline and page splitting are folds over the lines of one row: the state holds the starts of the chunks so far, so a
+document becomes its chunks in the scan's own stage, without exploding lines and without an exchange. Block and procedure
+splitting, whose rules look back and ahead, run as Python functions in Arrow batches, again without an exchange.
 
 Input: (doc_id, hash, text) and, for pages, (doc_id, hash, pages array<array<string>>). Output columns: CHUNK_COLUMNS.
 Null or blank texts give no chunk.
@@ -67,17 +66,6 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return _emit(rows.withColumn("starts", F.aggregate("f", zero, step, lambda s: s["starts"])).drop("f"), LINES, spans, F.lit("body"))
 
 
-def _sections(rows: DataFrame) -> DataFrame:
-    """Adds units array<struct<start, end, section>> opened by any heading line; fences play no part; blank units drop out."""
-    flags = _flagged(F.col("ls"))
-    heads = F.filter(flags, lambda x: x["head"].isNotNull())
-    starts = F.concat(F.array(F.struct(F.lit(1).alias("start"), F.lit(T.BODY_SECTION).alias("section"))), F.transform(heads, lambda h: F.struct((h["i"] + 1).alias("start"), h["head"].alias("section"))))
-    rows = rows.withColumn("starts", starts)
-    units = F.filter(_closed(F.col("starts"), F.size("ls")), lambda u: u["end"] >= u["start"])
-    units = F.filter(units, lambda u: F.exists(F.slice(F.col("ls"), u["start"], u["end"] - u["start"] + 1), lambda x: ~T.is_blank(x)))
-    return rows.withColumn("units", units).drop("starts")
-
-
 def _peel(rows: DataFrame) -> DataFrame:
     """Of rows with u struct<start, end, section> and ls: adds parts, u itself or provenance and body of it.
 
@@ -99,30 +87,56 @@ def _peel(rows: DataFrame) -> DataFrame:
     return rows.withColumn("parts", parts).drop("block", "marks", "body_at", "peel")
 
 
-def split_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks by heading, provenance peeled off, cut at 20 lines unless a colon line would part from its list."""
-    rows = _sections(docs.select("doc_id", "hash", T.lines(F.col("text")).alias("ls")))
-    rows = _peel(rows.select("doc_id", "hash", "ls", F.explode("units").alias("u"))).select("doc_id", "hash", "ls", F.explode("parts").alias("u"))
-    rows = rows.withColumn("block", F.slice("ls", F.col("u.start"), F.col("u.end") - F.col("u.start") + 1))
-    marks = F.transform("block", lambda x, i: F.struct(i.cast("int").alias("i"), T.is_blank(x).alias("blank"), x.rlike(r"(?U)[:：]\s*$").alias("colon"), F.coalesce(F.try_element_at("block", (i + 2).cast("int")).rlike(T.LIST_ITEM), F.lit(False)).alias("next_item")))
-    zero = F.struct(F.array().cast("array<struct<start:int,section:string>>").alias("starts"), F.lit(0).alias("n"), F.lit(False).alias("colon"))
+# ---- procedures -----------------------------------------------------------------------------------------------------
 
-    def step(s, x):
-        new = s["n"] == 0
-        starts = F.when(new, F.concat(s["starts"], F.array(F.struct((F.col("u.start") + x["i"]).alias("start"), F.col("u.section").alias("section"))))).otherwise(s["starts"])
-        colon = F.when(x["blank"], ~new & s["colon"]).otherwise(x["colon"])
-        flush = (s["n"] + 1 >= BUDGET) & ~(colon & x["next_item"])
-        return F.struct(starts.alias("starts"), F.when(flush, 0).otherwise(s["n"] + 1).alias("n"), (colon & ~flush).alias("colon"))
+_HEAD, _FENCED = re.compile(r"^#{1,6}\s+(.+)$"), re.compile(r"^\s*(```|~~~)")
+_ITEM = re.compile(T.LIST_ITEM.replace("(?U)", ""))
+_PROVENANCE, _NOTE = re.compile(T.META_LINE.replace("(?iU)", ""), re.I), re.compile(T.ADAPT_NOTE.replace("(?iU)", ""), re.I)
 
-    rows = rows.withColumn("starts", F.aggregate(marks, zero, step, lambda s: s["starts"]))
-    kind = F.when((F.col("span.section") == T.METADATA_SECTION) | T.is_metadata_block(F.col("block")), "metadata").otherwise("body")
-    return _emit(rows.drop("block"), BLOCK, _closed(F.col("starts"), F.col("u.end")), kind)
 
+def _opened(lines: list[str], fences: bool) -> list[tuple[str, int, int]]:
+    """Non-blank sections (title, first, last) opened by headings; with `fences`, a heading inside a fence is none."""
+    out: list[list] = []
+    inside = False
+    for n, line in enumerate(lines, 1):
+        if fences and _FENCED.match(line):
+            inside = not inside
+        head = None if inside else _HEAD.match(line)
+        if head or not out:
+            out.append([head[1] if head else T.BODY_SECTION, n, n])
+        else:
+            out[-1][2] = n
+    return [(t, a, z) for t, a, z in out if any(x.strip() for x in lines[a - 1 : z])]
 
-# ---- procedures -----------------------------------------------------------------------------------------------------
 
-_HEAD, _FENCED = re.compile(r"^#{1,6}\s+(.+)$"), re.compile(r"^\s*(```|~~~)")
-_PROVENANCE, _NOTE = re.compile(T.META_LINE.replace("(?iU)", ""), re.I), re.compile(T.ADAPT_NOTE.replace("(?iU)", ""), re.I)
+def _parted(lines: list[str], first: int, last: int) -> int:
+    """Number of lines at the start of a headed section that are its heading and provenance; 0 where there is none to peel."""
+    rows = lines[first - 1 : last]
+    if not _HEAD.match(rows[0]):
+        return 0
+    n = next((i for i in range(1, len(rows)) if rows[i].strip() and not _PROVENANCE.match(rows[i]) and not _NOTE.match(rows[i])), len(rows))
+    return n if any(_PROVENANCE.match(x) or _NOTE.match(x) for x in rows[1:n]) else 0
+
+
+def block_chunks(lines: list[str]) -> list[tuple[str, int, int, str]]:
+    """(section, start, end, kind) of blocks: opened by any heading line (fences play no part), provenance peeled off, cut at
+    the budget unless the text so far ends in a colon and a list item follows."""
+    out = []
+    for title, first, last in _opened(lines, False):
+        n = _parted(lines, first, last)
+        for name, a, z in [(T.METADATA_SECTION, first, first + n - 1), (title, first + n, last)] if n else [(title, first, last)]:
+            start, colon = a, False
+            for i in range(a, z + 1):
+                bare = lines[i - 1].rstrip()
+                colon = bare.endswith((":", "：")) if bare else colon
+                full = i - start + 1 >= BUDGET and not (colon and i < z and _ITEM.match(lines[i]))
+                if full or i == z:
+                    rows = [x for x in lines[start - 1 : i] if x.strip()]
+                    if rows:
+                        meta = name == T.METADATA_SECTION or all(_PROVENANCE.match(x) for x in rows)
+                        out.append((name, start, i, "metadata" if meta else "body"))
+                    start, colon = i + 1, False
+    return out
 
 
 def procedure_chunks(lines: list[str]) -> list[tuple[str, int, int, str]]:
@@ -133,33 +147,17 @@ def procedure_chunks(lines: list[str]) -> list[tuple[str, int, int, str]]:
     and a heading belongs to the first piece of its section (blank lines between them stay in the piece, so every piece is
     exactly its lines).
     """
-    sections: list[list] = []  # title, first line, last line, all 1-based
-    inside = False
-    for n, line in enumerate(lines, 1):
-        if _FENCED.match(line):
-            inside = not inside
-        head = None if inside else _HEAD.match(line)
-        if head or not sections:
-            sections.append([head[1] if head else T.BODY_SECTION, n, n])
-        else:
-            sections[-1][2] = n
     parts: list[list] = []
-    for title, first, last in sections:
-        rows = lines[first - 1 : last]
-        if not any(x.strip() for x in rows):
-            continue
-        if _HEAD.match(rows[0]) and not all(_PROVENANCE.match(x) for x in rows if x.strip()):
-            skip = 1
-            while skip < len(rows) and (not rows[skip].strip() or _PROVENANCE.match(rows[skip]) or _NOTE.match(rows[skip])):
-                skip += 1
-            if any(_PROVENANCE.match(x) or _NOTE.match(x) for x in rows[1:skip]):
-                parts.append([T.METADATA_SECTION, first, first + skip - 1])
-                if skip < len(rows):
-                    # what follows a peeled title keeps the last real title before it, else its own
-                    real = [p[0] for p in parts if p[0] != T.METADATA_SECTION]
-                    parts.append([real[-1] if real else title, first + skip, last])
-                continue
-        parts.append([title, first, last])
+    for title, first, last in _opened(lines, True):
+        n = _parted(lines, first, last)
+        if n:
+            parts.append([T.METADATA_SECTION, first, first + n - 1])
+        if not n:
+            parts.append([title, first, last])
+        elif first + n <= last:
+            # what follows a peeled title keeps the last real title before it, else its own
+            real = [p[0] for p in parts if p[0] != T.METADATA_SECTION]
+            parts.append([real[-1] if real else title, first + n, last])
     out = []
     for title, first, last in parts:
         headed = bool(_HEAD.match(lines[first - 1]))
@@ -196,8 +194,8 @@ def _pieces(lines: list[str], first: int, last: int) -> list[tuple[int, int]]:
     return [*out, (start, last)] if start is not None else out
 
 
-def split_procedures(docs: DataFrame) -> DataFrame:
-    """Procedure splitting in Arrow batches; no exchange."""
+def _by_lines(docs: DataFrame, splitter: str, rule) -> DataFrame:
+    """Chunks by a rule on the lines of a document, in Arrow batches; no exchange."""
     breaks = re.compile(T.LINE_BREAK)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -207,15 +205,26 @@ def split_procedures(docs: DataFrame) -> DataFrame:
             for doc, version, text in zip(b["doc_id"], b["hash"], b["text"]):
                 ls = breaks.split(text) if text else []
                 ls = ls[:-1] if ls and ls[-1] == "" else ls
-                for section, a, z, k in procedure_chunks(ls):
-                    name = hashlib.sha256(f"{doc}:{version}:{PROCEDURE}:{a}:{z}".encode()).hexdigest()
+                for section, a, z, k in rule(ls):
+                    name = hashlib.sha256(f"{doc}:{version}:{splitter}:{a}:{z}".encode()).hexdigest()
                     out.append((name, doc, section, a, z, "\n".join(ls[a - 1 : z]), version, True, k))
-            yield pd.DataFrame(out, columns=CHUNK_COLUMNS[:-1])
+            if out:
+                yield pd.DataFrame(out, columns=CHUNK_COLUMNS[:-1])
 
     chunks = docs.select("doc_id", "hash", "text").mapInPandas(run, f"id string, doc_id {kind}, section string, start_line int, end_line int, text string, version string, active boolean, kind string")
     return chunks.withColumn("page", F.lit(None).cast("int"))
 
 
+def split_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks by heading; see block_chunks."""
+    return _by_lines(docs, BLOCK, block_chunks)
+
+
+def split_procedures(docs: DataFrame) -> DataFrame:
+    """Procedures; see procedure_chunks."""
+    return _by_lines(docs, PROCEDURE, procedure_chunks)
+
+
 # ---- pages ----------------------------------------------------------------------------------------------------------
 
 
