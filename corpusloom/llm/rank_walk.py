@@ -87,6 +87,16 @@ def stationary(scores: np.ndarray, kinds: np.ndarray, items: np.ndarray, damping
     return mass
 
 
+def number_above(scores: np.ndarray) -> np.ndarray:
+    """Of every item in its kind: how many score strictly higher; ties share the number."""
+    order = (-scores).argsort(2, kind="stable")
+    ranked = np.take_along_axis(scores, order, 2)
+    new = np.ones(ranked.shape, bool)
+    new[:, :, 1:] = ranked[:, :, 1:] != ranked[:, :, :-1]
+    start = np.maximum.accumulate(np.where(new, np.arange(ranked.shape[2]), 0), axis=2)
+    return np.take_along_axis(start, order.argsort(2), 2)
+
+
 def _rank(damping: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -113,7 +123,7 @@ def _rank_part(b: pd.DataFrame, damping: float) -> pd.DataFrame:
         present[i, kind] = True
     ids = b["ids"].to_numpy()
     mass = stationary(scores, kinds, items, damping)
-    place = (-scores).argsort(2, kind="stable").argsort(2)
+    place = number_above(scores)
     mean = np.where(np.arange(most)[None, :, None] < kinds[:, None, None], place, 0).sum(1) / np.maximum(kinds[:, None], 1)
     out = []
     for i, run_id in enumerate(b["run_id"]):

@@ -140,7 +140,8 @@ class Model:
         follows = np.flatnonzero(real[1:] & real[:-1]) + 1
         total += np.bincount(sentence[follows], self.pairs[_pair_hash(h[follows - 1], h[follows])], len(total))
         score = np.where(n > 0, total / np.sqrt(n + 2) + self.bias, -1e9)
-        first = np.r_[0, sentence[np.array(ends[:-1], np.int64)]] if len(ends) > 1 else np.zeros(len(ends), np.int64)
+        # a text's sentences begin with the one that the end of the text before it opens
+        first = np.r_[0, sentence[np.array(ends[:-1], np.int64) - 1]] if len(ends) > 1 else np.zeros(len(ends), np.int64)
         return np.maximum.reduceat(score, first) if len(first) else np.zeros(0)
 
     def documents(self, texts: list[str | None]) -> np.ndarray:
