@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,13 +159,22 @@ _ITEM = re.compile(r"^[ \t]*(?:[-*+•·]|\d+[.)]|\([a-z]\)|\\item|<(?:ul|ol)[^>
 _ROW = re.compile(r"^[ \t]*(?:\||<tr|<td|<th|\{\||!)", re.I)
 _RULE = re.compile(r"^[ \t]*(?:[-=_*]{3,}|\|?[-:| \t]+\|?|\{\|.*|\|\}|\|-.*|\\(?:begin|end)\{[^}]*\})[ \t]*$")
 _META = re.compile(r"^\s*(?:source|publisher|license|retrieved|title|author|date)\s*[:：]", re.I)
+_VERBATIM = re.compile(r"\\begin\{(?:(verbatim\*?)\}|(lstlisting|minted)\}(?:\[[^\]\n]*\])?(?:(?<=minted\})\{\w*\}|(?<=\])\{\w*\})?)")
+_PRE = re.compile(r"</?(?:pre|code)\b[^>]*>")
 FEATURES = 10
 
 
 def blocks_of(text: str) -> list[tuple[str, str]]:
     """(type, line) of every line, code kept apart: heading, item, row, code, rule, formula, text, blank."""
-    out, fence, verbatim, before = [], "", "", ""
-    for line in text.split("\n"):
+    return [(kind, line) for _, kind, line in numbered_blocks(text)]
+
+
+def numbered_blocks(text: str) -> list[tuple[int, str, str]]:
+    """Blocks with the line, from 0, that they stand on; where code starts or ends within a line, the rest of it is a block of its own."""
+    out, fence, verbatim, before = [], "", None, ""
+    rest = deque(enumerate(text.split("\n")))
+    while rest:
+        at, line = rest.popleft()
         s = line.strip()
         if fence:
             kind = "code"
@@ -173,14 +183,21 @@ def blocks_of(text: str) -> list[tuple[str, str]]:
                 kind = "rule"
         elif verbatim:
             kind = "code"
-            if verbatim in line:
-                verbatim, kind = "", "rule"
+            if m := verbatim.search(line):
+                head, tail = line[: m.start()].rstrip(), line[m.end() :]
+                if _PRE.sub("", head).strip():
+                    out.append((at, "code", head))
+                if tail.strip():
+                    rest.appendleft((at, tail.lstrip()))
+                verbatim, kind, line = None, "rule", m[0]
         elif s[:3] in ("```", "~~~"):
             fence, kind = s[:3], "rule"
-        elif s.startswith("\\begin{verbatim") and "\\end{verbatim" not in s:
-            verbatim, kind = "\\end{verbatim", "rule"
+        elif m := _VERBATIM.match(s):
+            if s[m.end() :]:
+                rest.appendleft((at, s[m.end() :].removeprefix(" ")))
+            verbatim, kind, line = re.compile(re.escape("\\end{" + (m[1] or m[2]) + "}")), "rule", m[0]
         elif re.match(r"<pre\b", s, re.I) and "</pre" not in s.lower():
-            verbatim, kind = "</pre", "code"
+            verbatim, kind = re.compile(r"</pre\s*>?", re.I), "code"
         elif not s:
             kind = "blank"
         elif line.startswith("    "):
@@ -188,7 +205,7 @@ def blocks_of(text: str) -> list[tuple[str, str]]:
         elif _HEADING.match(line):
             kind = "heading"
         elif re.fullmatch(r"={3,}|-{3,}", s) and before == "text":
-            out[-1] = ("heading", out[-1][1])
+            out[-1] = (out[-1][0], "heading", out[-1][2])
             kind = "rule"
         elif _RULE.match(line):
             kind = "rule"
@@ -200,7 +217,7 @@ def blocks_of(text: str) -> list[tuple[str, str]]:
             kind = "formula"
         else:
             kind = "text"
-        out.append((kind, line))
+        out.append((at, kind, line))
         before = kind
     return out
 
@@ -228,16 +245,16 @@ class ContentModel:
         """From (text, [(first line, last line, is body)]) of labelled pages; without any, potentials are neutral towards content."""
         seen, body, same, pairs = np.ones((2, FEATURES)), np.ones(2), 1.0, 2.0
         for text, spans in pages:
-            lines = blocks_of(text)
-            label = [None] * len(lines)
+            lines = numbered_blocks(text)
+            label = [None] * (lines[-1][0] + 1)
             for a, z, is_body in spans:
-                for i in range(max(1, a) - 1, min(z, len(lines))):
+                for i in range(max(1, a) - 1, min(z, len(label))):
                     label[i] = is_body
             last = None
-            for i, (kind, line) in enumerate(lines):
-                if label[i] is None or kind in ("blank", "rule"):
+            for i, (at, kind, line) in enumerate(lines):
+                if label[at] is None or kind in ("blank", "rule"):
                     continue
-                c = int(label[i])
+                c = int(label[at])
                 seen[c] += _features(kind, line, i / len(lines))
                 body[c] += 1
                 if last is not None:
@@ -306,7 +323,7 @@ def clean(text: str | None, model: ContentModel, least: float = 0.5) -> str | No
         if kind == "blank":
             out.append("")
         elif kind == "code":
-            out.append(re.sub(r"</?(?:pre|code)\b[^>]*>", "", line))
+            out.append(_PRE.sub("", line))
         elif kind in ("rule",) or q < least:
             continue
         elif kind == "heading":

@@ -222,6 +222,22 @@ def test_markup_rows_and_clean(spark):
     assert got[0] < 0.5 < got[1]
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("\\begin{verbatim} export A=**b**\nmid\necho '<b>' \\end{verbatim}\n\nx", "export A=**b**\nmid\necho '<b>'\n\nx"),
+        ("\\begin{verbatim} run --a\nrun --b \\end{verbatim}", "run --a\nrun --b"),
+        ("\\begin{verbatim} run **a** \\end{verbatim} then **b**", "run **a**\nthen b"),
+        ("\\begin{verbatim*}[1]\n  [2]\\end{verbatim*}", "[1]\n  [2]"),
+        ("\\begin{minted}[a=1]{python} x\ny \\end{minted}", "x\ny"),
+        ("\\begin{verbatim}\n_a_\n\\end{verbatim}", "_a_"),
+        ("x\n<pre>_a_\n_b_</pre>\n_c_", "x\n_a_\n_b_\nc"),
+    ],
+)
+def test_clean_keeps_code_on_the_lines_of_its_marks(text, want):
+    assert markup.clean(text, markup.ContentModel.trained([])) == want
+
+
 def test_messages_against_enumeration():
     rng = np.random.default_rng(8)
     parent = np.array([-1, 0, 0, 1, 1, 2])
