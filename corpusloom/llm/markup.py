@@ -4,13 +4,13 @@ A text is parsed into a tree: the document, its sections (opened by headings), t
 item, table row, code, formula), and in the blocks the signs of markup. Code (fenced, marked as code, verbatim or
 indented by four spaces) is masked first: nothing in it is a sign.
 
-Two-state variables sit on the nodes and are joined by parent-child potentials; sum-product messages go up from the
-leaves and down from the root and leave marginals:
-  - sign nodes hang below one node for each kind of markup; the marginal of a kind node tells whether the document holds
-    that markup (weak signs count less than unmistakable ones);
-  - block nodes hang below their section, sections below the document; a block's marginal tells whether it is content or
-    a leftover of the page (navigation, provenance). Unary and pairwise potentials of these are estimated from pages
-    labelled by the kind of their chunks (body, metadata), at most TRAINING pages.
+What a document holds (markup_kinds) is plain pattern matching: a kind of markup is held if any of its signs stands
+outside code, or if code is marked in its way. All signs count alike, nothing is trained, and no context outweighs a sign.
+
+What is content (cleaned) is decided on a tree of two-state variables, document > section > block, joined by parent-child
+potentials; sum-product messages go up from the leaves and down from the root, and a block's marginal tells whether it is
+content or a leftover of the page (navigation, provenance). Unary and pairwise potentials are estimated from pages
+labelled by the kind of their chunks (body, metadata), at most TRAINING pages.
 Clean text keeps headings (as #), list items (as -), table rows, code and formulas, and drops signs and leftovers.
 """
 
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 
 TRAINING = 600  # labelled pages the content potentials are estimated on, at most
 KINDS = ("html", "markdown", "wiki", "latex")
-PRIOR = -2.0  # log odds of a kind of markup before any sign is seen
-ODDS = 6.0  # log odds that one kind of sign adds
+PRIOR = -2.0  # score of a kind of markup without any sign
+ODDS = 6.0  # what each matched pattern adds; the same for all, so one match decides
 
 # Element names of HTML
 ELEMENTS = (
@@ -128,7 +128,7 @@ def two_state_marginals(prior: np.ndarray, pair: np.ndarray, parent: np.ndarray)
 
 
 def kind_marginals(counts: np.ndarray) -> np.ndarray:
-    """P(kind is held) [docs, kinds]: messages of like sign nodes multiply, so a kind node gets count times their log odds."""
+    """Score [docs, kinds]: sigmoid of PRIOR + ODDS * matched patterns; above 0.5 exactly if any pattern of the kind matched."""
     weight = np.zeros((counts.shape[1], len(KINDS)))
     for i, (kind, _, _) in enumerate(SIGNS):
         weight[i, KINDS.index(kind)] = ODDS
@@ -138,7 +138,7 @@ def kind_marginals(counts: np.ndarray) -> np.ndarray:
 
 
 def markup_kinds(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, markup, probability): one row for each kind of markup a text holds; null or blank texts hold none."""
+    """(id, markup, probability): one row for each kind of markup a text holds, probability being the score of kind_marginals; null or blank texts hold none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
