@@ -170,9 +170,12 @@ def blocks_of(text: str) -> list[tuple[str, str]]:
 
 
 def numbered_blocks(text: str) -> list[tuple[int, str, str]]:
-    """Blocks with the line, from 0, that they stand on; where code starts or ends within a line, the rest of it is a block of its own."""
+    """Blocks with the line, from 0, that they stand on; where code starts or ends within a line, the rest of it is a block of its own.
+
+    Lines may end in \\r\\n or \\r; the blocks are without them.
+    """
     out, fence, verbatim, before = [], "", None, ""
-    rest = deque(enumerate(text.split("\n")))
+    rest = deque(enumerate(re.sub(r"\r\n?", "\n", text).split("\n")))
     while rest:
         at, line = rest.popleft()
         s = line.strip()

@@ -238,6 +238,20 @@ def test_clean_keeps_code_on_the_lines_of_its_marks(text, want):
     assert markup.clean(text, markup.ContentModel.trained([])) == want
 
 
+@pytest.mark.parametrize("end", ["\r\n", "\r"])
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("# A #\n\nx", "# A\n\nx"), ("A\n===\n\nx", "# A\n\nx"), ("== A ==\nx", "## A\nx"), ("=== A ===\nx", "### A\nx"), ("<h3 id=a>A</h3>\nx", "### A\nx"), ("\\section{A}\nx", "# A\nx"), ("\\subsection*{A}\nx", "## A\nx"),
+        ("| a | b |\n|---|---|\n| 1 | 2 |", "a | b\n1 | 2"), ("\\begin{quote}\nx\n\\end{quote}\ny", "x\ny"), ("```\n_a_\n```\n* b", "_a_\n- b"), ("{|\n|-\n| a\n|}\nx", "a\nx"),
+    ],
+)
+def test_clean_with_other_line_ends(text, want, end):
+    m = markup.ContentModel.trained([])
+    assert markup.clean(text.replace("\n", end), m) == markup.clean(text, m)
+    assert markup.clean(text.replace("\n", end), m).replace("# A", "#A").splitlines() == want.replace("# A", "#A").splitlines()
+
+
 def test_messages_against_enumeration():
     rng = np.random.default_rng(8)
     parent = np.array([-1, 0, 0, 1, 1, 2])
