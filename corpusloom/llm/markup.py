@@ -160,6 +160,18 @@ _ROW = re.compile(r"^[ \t]*(?:\||<tr|<td|<th|\{\||!)", re.I)
 _RULE = re.compile(r"^[ \t]*(?:[-=_*]{3,}|\|?[-:| \t]+\|?|\{\|.*|\|\}|\|-.*|\\(?:begin|end)\{[^}]*\})[ \t]*$")
 _META = re.compile(r"^\s*(?:source|publisher|license|retrieved|title|author|date)\s*[:：]", re.I)
 _VERBATIM = re.compile(r"\\begin\{(?:(verbatim\*?)\}|(lstlisting|minted)\}(?:\[[^\]\n]*\])?(?:(?<=minted\})\{\w*\}|(?<=\])\{\w*\})?)")
+_FORMULAS = r"(?:equation|align|alignat|gather|multline|eqnarray|displaymath|math|[bpvBV]?matrix|cases|array|aligned|split)\*?"
+_TABLES = r"tabular[xy]?\*?|longtable|tabulary"
+#: Where a line of LaTeX is cut: environments and list items, not within code spans and formulas
+_CUT = re.compile(
+    r"(?P<kept>(?P<q>`+)[^`\n]+(?P=q)|\$[^$\n]*\\[^$\n]*\$|\\verb\*?(?P<d>[^\w\s*])[^\n]*?(?P=d))|(?P<item>\\item(?![a-zA-Z]))"
+    rf"|\\begin\{{(?:(?P<formula>{_FORMULAS})|(?P<table>{_TABLES}))\}}|\\(?:begin|end)\{{(?P<name>[a-zA-Z]+\*?)\}}"
+)
+#: What follows \\begin{..} and is no content: options of lists and floats, columns (and width) of tables
+_OPTIONS = re.compile(r"\[[^\]\n]*\]")
+_COLUMNS = re.compile(r"(?:\[[^\]\n]*\]|\{(?:[^{}\n]|\{[^{}\n]*\})*\}){0,3}")
+_LINES = re.compile(r"\\(?:hline|toprule|midrule|bottomrule|endhead|endfirsthead|endfoot|endlastfoot)(?![a-zA-Z])|\\(?:cline|cmidrule(?:\([lr]+\))?)\{[^{}]*\}")
+_OPEN = "\n"  # the end of a table that is never closed: the next blank line
 _PRE = re.compile(r"</?(?:pre|code)\b[^>]*>")
 FEATURES = 10
 
@@ -169,12 +181,19 @@ def blocks_of(text: str) -> list[tuple[str, str]]:
     return [(kind, line) for _, kind, line in numbered_blocks(text)]
 
 
+def _cut(line: str) -> re.Match | None:
+    """The first sign of LaTeX in the line that what follows, or what precedes, must be cut off at."""
+    if not any(x in line for x in ("\\begin{", "\\end{", "\\item")):
+        return None
+    return next((m for m in _CUT.finditer(line) if m["kept"] is None and (m["item"] is None or line[: m.start()].strip())), None)
+
+
 def numbered_blocks(text: str) -> list[tuple[int, str, str]]:
-    """Blocks with the line, from 0, that they stand on; where code starts or ends within a line, the rest of it is a block of its own.
+    """Blocks with the line, from 0, that they stand on; where code, an environment or an item starts or ends within a line, the rest of it is a block of its own.
 
     Lines may end in \\r\\n or \\r; the blocks are without them.
     """
-    out, fence, verbatim, before = [], "", None, ""
+    out, fence, verbatim, formula, table, before = [], "", None, "", "", ""
     rest = deque(enumerate(re.sub(r"\r\n?", "\n", text).split("\n")))
     while rest:
         at, line = rest.popleft()
@@ -193,6 +212,22 @@ def numbered_blocks(text: str) -> list[tuple[int, str, str]]:
                 if tail.strip():
                     rest.appendleft((at, tail.lstrip()))
                 verbatim, kind, line = None, "rule", m[0]
+        elif formula:
+            kind = "formula" if s else "blank"
+            head, end, tail = line.partition(formula)
+            if end:
+                formula, line = "", head + end
+                if tail.strip():
+                    rest.appendleft((at, tail.lstrip()))
+        elif table and (s or table != _OPEN):
+            head, end, tail = line.partition(table)
+            rows = [re.sub(r"[ \t]*(?<!\\)&(?!#?\w+;)[ \t]*", " & ", _LINES.sub("", x)).strip() for x in re.split(r"\\\\(?:\[[^\]\n]*\])?|\\tabularnewline(?![a-zA-Z])", head)]
+            out += [(at, "row", x) for x in rows if x]
+            if end:
+                table = ""
+                if tail.strip():
+                    rest.appendleft((at, tail.lstrip()))
+            kind, line = "rule" if s else "blank", end
         elif s[:3] in ("```", "~~~"):
             fence, kind = s[:3], "rule"
         elif m := _VERBATIM.match(s):
@@ -202,9 +237,31 @@ def numbered_blocks(text: str) -> list[tuple[int, str, str]]:
         elif re.match(r"<pre\b", s, re.I) and "</pre" not in s.lower():
             verbatim, kind = re.compile(r"</pre\s*>?", re.I), "code"
         elif not s:
-            kind = "blank"
+            kind, table = "blank", ""
         elif line.startswith("    "):
             kind = "code"
+        elif m := _cut(line):
+            if line[: m.start()].strip():
+                rest.extendleft([(at, line[m.start() :]), (at, line[: m.start()].rstrip())])
+                continue
+            end, tail = "\\end" + m[0].removeprefix("\\begin"), line[m.end() :]
+            if m["formula"]:
+                formula = end
+                rest.appendleft((at, line))
+                if not any(end in x for _, x in rest):
+                    formula, kind = "", "formula"
+                    rest.popleft()
+                else:
+                    continue
+            else:
+                kind, line = "rule", m[0]
+                if m["table"]:
+                    tail = tail[_COLUMNS.match(tail).end() :]
+                    table = end if end in tail or any(end in x for _, x in rest) else _OPEN
+                elif line.startswith("\\begin") and (x := _OPTIONS.match(tail)) and re.fullmatch(r"itemize|enumerate|description|figure|table", m["name"].rstrip("*")):
+                    tail = tail[x.end() :]
+                if tail.strip():
+                    rest.appendleft((at, tail.lstrip()))
         elif _HEADING.match(line):
             kind = "heading"
         elif re.fullmatch(r"={3,}|-{3,}", s) and before == "text":
@@ -216,7 +273,7 @@ def numbered_blocks(text: str) -> list[tuple[int, str, str]]:
             kind = "item"
         elif _ROW.match(line):
             kind = "row"
-        elif "\\begin{equation" in s or (s.startswith("$") and s.endswith("$") and len(s) > 2):
+        elif s.startswith("$") and s.endswith("$") and len(s) > 2:
             kind = "formula"
         else:
             kind = "text"
@@ -338,7 +395,7 @@ def clean(text: str | None, model: ContentModel, least: float = 0.5) -> str | No
             m = _ITEM.match(line)
             out.append("- " + _inline(m[1] if m else line).strip())
         elif kind == "row":
-            cells = [c for c in (_inline(x).strip() for x in re.split(r"\|+|</t[dh]>\s*<t[dh][^>]*>|&(?!\w)|\\\\", line.strip().strip("|"))) if c]
+            cells = [c for c in (_inline(x).strip() for x in re.split(r"\|+|</t[dh]>\s*<t[dh][^>]*>|(?<!\\)&(?!\w)|\\\\", line.strip().strip("|"))) if c]
             out.append(" | ".join(cells))
         else:
             out.append(_inline(line).strip() if kind == "text" else line.strip())

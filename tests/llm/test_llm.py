@@ -252,6 +252,26 @@ def test_clean_with_other_line_ends(text, want, end):
     assert markup.clean(text.replace("\n", end), m).replace("# A", "#A").splitlines() == want.replace("# A", "#A").splitlines()
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("\\begin{itemize} \\item A b.\n\\item C \\emph{d}. \\end{itemize}\n\nx", "- A b.\n- C d.\n\nx"),
+        ("\\begin{enumerate}[a)] \\item A \\item B\n\\end{enumerate} x", "- A\n- B\nx"),
+        ("so: \\begin{itemize}\n\\item A\n\\end{itemize}", "so:\n- A"),
+        ("\\begin{tabular}{lr} a & 1 \\\\ b c & 2 \\end{tabular}\nx **y**", "a | 1\nb c | 2\nx y"),
+        ("\\begin{tabular}{l@{}p{3cm}}\n    a&1\\\\[2pt] \\hline\n    R\\&D & 2 \\\\\n\\end{tabular} x", "a | 1\nR\\&D | 2\nx"),
+        ("\\begin{tabular}{lr} a & 1\n\nx & y", "a | 1\n\nx & y"),
+        ("\\begin{quote} A *b*. \\end{quote}", "A b."),
+        ("a \\begin{equation} x_{i} \\end{equation} _b_", "a\n\\begin{equation} x_{i} \\end{equation}\nb"),
+        ("\\begin{align*}\na &= *b* \\\\\nc\n\\end{align*}\n_x_", "\\begin{align*}\na &= *b* \\\\\nc\n\\end{align*}\nx"),
+        ("\\begin{itemize} \\item \\begin{verbatim} **a** \\end{verbatim} \\end{itemize}", "- \n**a**"),
+        ("use `\\begin{itemize}` and $\\begin{matrix} a \\end{matrix}$", "use `\\begin{itemize}` and $\\begin{matrix} a \\end{matrix}$"),
+    ],
+)
+def test_clean_keeps_lists_and_tables_on_the_lines_of_their_marks(text, want):
+    assert markup.clean(text, markup.ContentModel.trained([])) == want
+
+
 def test_messages_against_enumeration():
     rng = np.random.default_rng(8)
     parent = np.array([-1, 0, 0, 1, 1, 2])
