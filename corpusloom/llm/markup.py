@@ -373,7 +373,7 @@ def _inline(s: str) -> str:
 
 
 def clean(text: str | None, model: ContentModel, least: float = 0.5) -> str | None:
-    """Clean text: markup gone; headings, list items, table rows, code and formulas kept; blocks below `least` content dropped."""
+    """Clean text: markup gone; headings, list items, table rows, code and formulas kept; of plain text, blocks below `least` content dropped."""
     if text is None:
         return None
     blocks = blocks_of(text)
@@ -384,7 +384,7 @@ def clean(text: str | None, model: ContentModel, least: float = 0.5) -> str | No
             out.append("")
         elif kind == "code":
             out.append(_PRE.sub("", line))
-        elif kind in ("rule",) or q < least:
+        elif kind == "rule" or (kind == "text" and q < least):
             continue
         elif kind == "heading":
             m = _HEADING.match(line)

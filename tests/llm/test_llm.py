@@ -272,6 +272,16 @@ def test_clean_keeps_lists_and_tables_on_the_lines_of_their_marks(text, want):
     assert markup.clean(text, markup.ContentModel.trained([])) == want
 
 
+def test_clean_drops_plain_text_only():
+    m = markup.ContentModel(np.zeros(markup.FEATURES), np.zeros(markup.FEATURES), -5.0, 0.0)  # all is taken for a leftover
+    text = "# A\n\nplain\n\n* b\n1. c\n\n| d | e |\n|---|---|\n| 1 | 2 |\n\n$x_{i} \\leq 2$\n\n    code\n\nplain"
+    kinds = [k for k, _ in markup.blocks_of(text)]
+    assert all(q < 0.5 for k, q in zip(kinds, m.marginals(markup.blocks_of(text))) if k not in ("blank", "rule"))
+    out = markup.clean(text, m).split("\n")
+    removed = {k: kinds.count(k) - n for k, n in {"heading": out.count("# A"), "item": out.count("- b") + out.count("- c"), "row": out.count("d | e") + out.count("1 | 2"), "formula": out.count("$x_{i} \\leq 2$"), "code": out.count("    code"), "text": out.count("plain")}.items()}
+    assert removed == {"heading": 0, "item": 0, "row": 0, "formula": 0, "code": 0, "text": 2}
+
+
 def test_messages_against_enumeration():
     rng = np.random.default_rng(8)
     parent = np.array([-1, 0, 0, 1, 1, 2])
