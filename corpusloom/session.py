@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,9 +15,33 @@ BROADCAST_BYTES = 32 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; a single file or a folder of part files."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the executors, once a session, as a zip in the shared folder; without it their Python workers find it only by chance."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(here):  # else it came as a zip itself
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in sorted(os.walk(here)):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.relpath(full, os.path.dirname(here)))
+        path = f"{shared_dir(spark).rstrip('/')}/corpusloom-{sc.applicationId}.zip"
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        sc.addPyFile(path)
+    sc._corpusloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
@@ -41,11 +67,3 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only if the counted rows fit the bound; beyond it the join shuffles."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    return max(2, spark.sparkContext.defaultParallelism)
-
-
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
