@@ -1,43 +1,52 @@
 """Abusive, hateful or sexual language: non-negative positive-unlabelled learning on sentences, scores for documents.
 
-Raters confirm documents, language is abusive in a sentence. Confirmed documents are therefore bags: each gives the
-sentences that look most like the confirmed and least like the unlabelled rest (witnesses), first by the log odds of
-their words, then by the classifier itself, in ROUNDS rounds; a confirmed document without a witness above the boundary
-drops out, as raters err. Between rounds a linear classifier in numpy is fitted by the class-prior-corrected risk
-    prior * R+(witnesses) + max(0, R-(unlabelled) - prior * R-(witnesses)),
-so that abusive sentences among the unlabelled do not count as clean; the prior is the
-share of unlabelled sentences with as strong a first evidence as the witnesses. Words are described by themselves, by the letter
-sequences in them and by their neighbours, after disguises are undone (signs for letters, stretched or spaced-out
-letters). A document scores as its highest sentence; the boundary is set on the labelled documents.
-
-Fitting uses at most POSITIVE confirmed, NEGATIVE cleared and UNLABELLED other documents (drawn by a hash of the id);
-scoring covers every document, whole.
+Raters confirm documents, language is abusive in a sentence. A sentence is described by its words, by the letter
+sequences in them and by pairs of neighbours, after disguises are undone (signs for letters, stretched or spaced-out
+letters). Of these the features count that confirmed documents hold LIFT times as often as they occur in all documents. A sentence becomes the set of its features (a pattern); sentences without any share one empty
+pattern, so the whole collection shrinks, without loss for the classifier, to a table of patterns and their counts.
+
+Confirmed documents are bags: each gives the sentences that the classifier, fitted on the other folds, takes for abusive
+(witnesses; at first the one with the most evidence), in ROUNDS rounds, and a confirmed document without any drops out, as
+raters err. Between rounds a linear classifier in numpy is fitted by the class-prior-corrected risk (see descend); the
+prior is estimated in each round from the tails of all documents' and the witnesses' scores. The mean of
+the folds' classifiers scores the documents by their highest sentence; the boundary lies where, at the base rate that the
+prior states, a sentence is as likely abusive as not by the scores that held-out confirmed documents reach.
+
+Fitting uses at most about POSITIVE confirmed and NEGATIVE cleared documents; the unlabelled side of the risk is all
+documents. Up to LOCAL distinct patterns the sums of a step are taken on the driver, beyond that as partial sums of tasks.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from corpusloom.session import cut
+
 from .repeated_lines import source_key
 
-POSITIVE, NEGATIVE, UNLABELLED = 1200, 1000, 2500  # documents used for fitting, at most
-WEIGHT = 0.02  # of the witnesses' own risk
-ROUNDS, FOLDS, STEPS = 1, 3, 90
-BITS = 18
+POSITIVE, NEGATIVE = 4000, 8000  # labelled documents used for fitting, about, at most
+LIFT, LEAST = 3.0, 2  # a feature is as many times as frequent in confirmed documents, and in so many of them
+CLEARED = 0.2  # share of the negative risk that cleared documents give
+DECAY = 1e-3  # of weights, as a share of the prior
+ROUNDS, FOLDS, STEPS = 2, 3, 150
+GROUP = 4  # confirmed documents in a stretch of scores, at least
+LOCAL = 300_000  # distinct patterns the driver holds at most
+BITS = 20
 
 # Signs that stand for letters in disguised words
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e", "|": "i"})
 
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060\ufeff]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_]([ .·\-_*~])[^\W_](?:\1[^\W_])+(?![^\W_]|[.·\-_*~][^\W_](?![^\W_]))")
-_TOKEN = re.compile(r"[a-zäöüßñáéíóú]+(?![@$!#*|€\w])|\n|[。！？]|[.!?]+(?=\s|$)|[一-鿿]|[@$]?[^\W_一-鿿]+(?:[@$!#*|€]+[^\W_一-鿿]+)*")
+_MAYBE_SPACED = re.compile(r"([ .·\-_*~])[^\W_]\1[^\W_](?![^\W_])")  # cheaper, and true of every text with a match
+_TOKEN = re.compile(r"[a-zäöüßñáéíóú]+(?![@$!#*|€\w])|[\n。！？]|[.!?]+(?=\s|$)|[一-鿿]|[@$]?[^\W_一-鿿]+(?:[@$!#*|€]+[^\W_一-鿿]+)*")
 _RUN = re.compile(r"(.)\1{2,}")
 _DOUBLE = re.compile(r"(.)\1+")
 _BREAKS = frozenset("\n.!?。！？")
@@ -55,7 +64,9 @@ def _word_of(raw: str) -> str:
 def _raw(text: str) -> list[str]:
     if not text.isascii():
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
-    return _TOKEN.findall(_SPACED.sub(lambda m: m[0].replace(m[1], ""), text).lower())
+    if _MAYBE_SPACED.search(text):
+        text = _SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
+    return _TOKEN.findall(text.lower())
 
 
 def words_of(text: str) -> list[str]:
@@ -76,10 +87,8 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def _hash(s: str) -> int:
-    h = 2166136261
-    for b in s.encode():
-        h = ((h ^ b) * 16777619) & 0xFFFFFFFF
-    return (h ^ (h >> 15)) & ((1 << BITS) - 1)
+    h = zlib.crc32(s.encode())
+    return (h ^ (h >> 13)) & ((1 << BITS) - 1)
 
 
 def _pair_hash(a, b):
@@ -96,219 +105,273 @@ def word_features(word: str) -> list[int]:
     return [_hash("w" + word), *(_hash("g" + g) for g in grams if "#" not in g and "*" not in g)]
 
 
-class Model:
-    """A linear function of a sentence: word parts over words and their letters, plus pairs of neighbours."""
+class _Codes(dict):
+    """Codes of raw tokens; an unknown one is learnt."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, raw: str) -> int:
+        n = self[raw] = self.learn(raw)
+        return n
+
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, bias: float, boundary: float = 0.0):
-        self.words, self.pairs, self.bias, self.boundary = words, pairs, bias, boundary
+class Reader:
+    """Reads texts as word codes, vectorised: code 0 ends a sentence; the features of a word are computed once."""
+
+    def __init__(self, index: np.ndarray | None = None):
+        #: of every feature: its number among the chosen ones or -1; None keeps all
+        self.index = index
         self._forget()
 
     def _forget(self) -> None:
-        self.code: dict[str, int] = {}  # of a raw token; number 0 ends a sentence
-        self.hash, self.part = [0], [0.0]
+        self.code = _Codes(self._learn)
+        self.hash, self.features = [0], [np.zeros(0, np.int64)]
 
     def _learn(self, raw: str) -> int:
         w = _word_of(raw)
-        if not w:
-            n = 0
-        else:
-            f = word_features(w)
-            n = len(self.part)
-            self.part.append(float(self.words[f].sum() / math.sqrt(len(f))))
+        n = 0
+        if w:
+            n = len(self.hash)
             self.hash.append(_hash("w" + w))
-        self.code[raw] = n
+            f = np.unique(np.array(word_features(w), np.int64))
+            if self.index is not None:
+                f = self.index[f]
+                f = f[f >= 0]
+            self.features.append(f)
         return n
 
-    def best(self, texts: list[str | None]) -> np.ndarray:
-        """Score of the highest sentence of every text; -1e9 for a text without words."""
+    def read(self, texts: list[str | None]):
+        """(codes, sentence of every code, document of every sentence, position and hash of every pair of neighbours); a code 0 ends each text."""
         if len(self.code) > 500_000:
             self._forget()
-        get, learn = self.code.get, self._learn
-        flat, ends = [0], []
+        flat, sizes = [], []
         for t in texts:
-            for r in _raw(t) if t else ():
-                n = get(r)
-                flat.append(learn(r) if n is None else n)
+            before = len(flat)
+            if t:
+                flat.extend(map(self.code.__getitem__, _raw(t)))
             flat.append(0)
-            ends.append(len(flat))
+            sizes.append(len(flat) - before)
         c = np.array(flat, np.int64)
-        h, part = np.array(self.hash, np.int64)[c], np.array(self.part)[c]
-        real = c > 0
-        sentence = np.cumsum(~real) - 1
-        n = np.bincount(sentence, real)
-        total = np.bincount(sentence, part)
-        follows = np.flatnonzero(real[1:] & real[:-1]) + 1
-        total += np.bincount(sentence[follows], self.pairs[_pair_hash(h[follows - 1], h[follows])], len(total))
-        score = np.where(n > 0, total / np.sqrt(n + 2) + self.bias, -1e9)
-        # a text's sentences begin with the one that the end of the text before it opens
-        first = np.r_[0, sentence[np.array(ends[:-1], np.int64) - 1]] if len(ends) > 1 else np.zeros(len(ends), np.int64)
-        return np.maximum.reduceat(score, first) if len(first) else np.zeros(0)
-
-    def documents(self, texts: list[str | None]) -> np.ndarray:
-        """Highest sentence score over the boundary, as a probability; 0 for a text without words."""
-        best = self.best(texts)
-        return np.where(best > -1e8, 1 / (1 + np.exp(-np.clip(best - self.boundary, -50, 50))), 0.0)
-
-
-class _Rows:
-    """Sentences as flat arrays: words of a sentence, features of a word, neighbour pairs of a sentence."""
-
-    def __init__(self, bags: list[list[list[str]]]):
-        vocabulary: dict[str, int] = {}
-        self.bag, word, self.size = [], [], []
-        row_w, row_p = [], []
-        n = 0
-        for b, rows in enumerate(bags):
-            for ts in rows:
-                self.bag.append(b)
-                self.size.append(len(ts))
-                word.extend(vocabulary.setdefault(w, len(vocabulary)) for w in ts)
-                row_w.extend([n] * len(ts))
-                row_p.extend([n] * (len(ts) - 1))
-                n += 1
-        self.n = n
-        self.bag, self.word = np.array(self.bag, np.int64), np.array(word, np.int64)
-        self.row_w, self.row_p = np.array(row_w, np.int64), np.array(row_p, np.int64)
-        h = np.array([_hash("w" + w) for w in vocabulary] or [0], np.int64)[self.word] if len(word) else np.zeros(0, np.int64)
-        follows = np.flatnonzero(self.row_w[1:] == self.row_w[:-1]) + 1
-        self.pair = _pair_hash(h[follows - 1], h[follows])
-        self.scale = 1 / np.sqrt(np.array(self.size) + 2.0)
-        feats = [word_features(w) for w in vocabulary]
-        self.feat = np.array([x for f in feats for x in f], np.int64)
-        self.feat_word = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-        self.feat_scale = np.repeat([1 / np.sqrt(len(f)) for f in feats], [len(f) for f in feats]) if feats else np.zeros(0)
-        self.vocabulary = len(feats)
-
-    def scores(self, words, pairs, bias):
-        per_word = np.bincount(self.feat_word, words[self.feat] * self.feat_scale, self.vocabulary)
-        total = np.bincount(self.row_w, per_word[self.word], self.n) + np.bincount(self.row_p, pairs[self.pair], self.n)
-        return total * self.scale + bias
-
-    def gradient(self, per_row):
-        g = per_row * self.scale
-        on_word = np.bincount(self.word, g[self.row_w], self.vocabulary)
-        return np.bincount(self.feat, on_word[self.feat_word] * self.feat_scale, 1 << BITS), np.bincount(self.pair, g[self.row_p], 1 << BITS)
-
-
-def fit(positive: list[str], negative: list[str], unlabelled: list[str], prior: float | None = None) -> Model | None:
-    """Model from confirmed, cleared and unlabelled texts; None without confirmed texts that hold words."""
-    memo: dict[str, list[list[str]]] = {}
-    bags = [memo[x] if x in memo else memo.setdefault(x, [list(t) for t in dict.fromkeys(map(tuple, sentences(x)))]) for x in [*positive, *negative, *unlabelled]]
-    keep = [i for i, b in enumerate(bags) if b]
-    n_pos = sum(i < len(positive) for i in keep)
-    n_neg = sum(len(positive) <= i < len(positive) + len(negative) for i in keep)
-    if not n_pos:
+        sentence = np.cumsum(c == 0) - (c == 0)
+        document = np.repeat(np.arange(len(texts)), sizes)[c == 0]
+        h = np.array(self.hash, np.int64)[c]
+        second = np.flatnonzero((c[1:] > 0) & (c[:-1] > 0)) + 1 if len(c) else np.zeros(0, np.int64)
+        return c, sentence, document, second, _pair_hash(h[second - 1], h[second])
+
+    def counts(self, texts: list[str | None], groups: np.ndarray) -> np.ndarray:
+        """[2, features]: occurrences in all texts, and in how many texts of group 1, by distinct word or pair."""
+        c, sentence, document, second, pair = self.read(texts)
+        out = np.zeros((2, 1 << BITS))
+        words, own = self.spread(np.bincount(c[c > 0], minlength=len(self.hash))), groups == 1
+        out[0] = words + np.bincount(pair, minlength=1 << BITS)
+        if own.any():
+            real = np.flatnonzero((c > 0) & own[document[sentence]])
+            held = np.unique(document[sentence[real]] * len(self.hash) + c[real]) % len(self.hash)
+            some = own[document[sentence[second]]]
+            pairs = np.unique(document[sentence[second[some]]] * (1 << BITS) + pair[some]) % (1 << BITS)
+            out[1] = self.spread(np.bincount(held, minlength=len(self.hash))) + np.bincount(pairs, minlength=1 << BITS)
+        return out
+
+    def spread(self, n: np.ndarray) -> np.ndarray:
+        """Counts of features from counts of words."""
+        at = np.flatnonzero(n)
+        if not len(at):
+            return np.zeros(1 << BITS)
+        return np.bincount(np.concatenate([self.features[i] for i in at]), np.repeat(n[at], [len(self.features[i]) for i in at]), 1 << BITS)
+
+    def patterns(self, texts: list[str | None]) -> list[list[np.ndarray]]:
+        """Of every document: the distinct sets of chosen features that its sentences hold; sentences without any are left out."""
+        c, sentence, document, second, pair = self.read(texts)
+        held = np.array([len(f) for f in self.features])
+        words = np.flatnonzero(held[c])
+        hit = self.index[pair]
+        pairs = np.flatnonzero(hit >= 0)
+        s = np.concatenate([np.repeat(sentence[words], held[c[words]]), sentence[second[pairs]]])
+        f = np.concatenate([*(self.features[i] for i in c[words]), hit[pairs]]).astype(np.int64) if len(words) + len(pairs) else np.zeros(0, np.int64)
+        width = int(self.index.max(initial=0)) + 1
+        key = np.unique(s * width + f)
+        s, f = key // width, (key % width).astype(np.int32)
+        starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+        out: list[dict[bytes, np.ndarray]] = [{} for _ in texts]
+        for a, z in zip(starts, [*starts[1:], len(s)]):
+            out[document[s[a]]].setdefault(f[a:z].tobytes(), f[a:z])
+        return [list(d.values()) for d in out]
+
+
+class Rows:
+    """Patterns as a sparse matrix: sets of feature numbers, the value of each 1 / sqrt(1 + size)."""
+
+    def __init__(self, patterns: list, width: int):
+        self.n, self.width = len(patterns), width
+        sizes = np.array([len(p) for p in patterns], np.int64)
+        self.feature = np.concatenate([*map(np.asarray, patterns)]).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(self.n), sizes)
+        self.scale = 1 / np.sqrt(1.0 + sizes)
+
+    def scores(self, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """[patterns, models] for weights [features, models]."""
+        return np.stack([np.bincount(self.row, w[self.feature, k], self.n) * self.scale + b[k] for k in range(w.shape[1])], 1)
+
+    def transposed(self, g: np.ndarray) -> np.ndarray:
+        """[features, models] of [patterns, models]."""
+        g = g * self.scale[:, None]
+        return np.stack([np.bincount(self.feature, g[self.row, k], self.width) for k in range(g.shape[1])], 1)
+
+
+def _soft(s: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, s)
+
+
+def _sig(s: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(s, -40, 40)))
+
+
+def negative_sums(rows: Rows, counts: np.ndarray, w: np.ndarray, b: np.ndarray):
+    """Summed loss as negatives, [kinds of count, models], and its gradients by weights and bias; sums over parts of the rows add up."""
+    s = rows.scores(w, b)
+    soft, sig = _soft(s), _sig(s)
+    return counts.T @ soft, np.stack([rows.transposed(n[:, None] * sig) for n in counts.T]), counts.T @ sig
+
+
+class Corpus:
+    """The patterns of all documents with how often they occur (in all, in cleared documents), on the driver while they are few."""
+
+    def __init__(self, table: DataFrame, width: int):
+        self.table, self.width = table, width
+        if table.count() <= LOCAL:
+            p = table.toPandas()
+            self.rows, self.counts = Rows(p["pattern"].tolist(), width), p[["everywhere", "cleared"]].to_numpy(float)
+        else:
+            self.rows = None
+
+    def sums(self, w: np.ndarray, b: np.ndarray):
+        if self.rows is not None:
+            return negative_sums(self.rows, self.counts, w, b)
+        shape = (2, self.width + 2, w.shape[1])
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(shape)
+            for x in batches:
+                loss, by_w, by_b = negative_sums(Rows(x["pattern"].tolist(), shape[1] - 2), x[["everywhere", "cleared"]].to_numpy(float), w, b)
+                total += np.concatenate([by_w, by_b[:, None], loss[:, None]], 1)
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"at": at, "x": total.ravel()[at]})
+
+        got = self.table.mapInPandas(part, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+        total = np.zeros(shape).ravel()
+        total[got["at"].to_numpy()] = got["x"].to_numpy()
+        total = total.reshape(shape)
+        return total[:, -1], total[:, :-2], total[:, -2]
+
+    def tail(self, w: np.ndarray, b: float, edges: np.ndarray) -> np.ndarray:
+        """How many occurrences score at least each edge."""
+
+        def local(rows: Rows, n: np.ndarray) -> np.ndarray:
+            s = rows.scores(w[:, None], np.array([b]))[:, 0]
+            order = np.argsort(s)
+            above = np.r_[np.cumsum(n[order][::-1])[::-1], 0]
+            return above[np.searchsorted(s[order], edges)]
+
+        if self.rows is not None:
+            return local(self.rows, self.counts[:, 0])
+        width = self.width
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = sum((local(Rows(x["pattern"].tolist(), width), x["everywhere"].to_numpy(float)) for x in batches), np.zeros(len(edges)))
+            yield pd.DataFrame({"at": np.arange(len(edges)), "x": total})
+
+        got = self.table.mapInPandas(part, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas().sort_values("at")
+        return got["x"].to_numpy()
+
+
+def stretches(best: np.ndarray, tail_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edges, confirmed, everywhere) from the top: stretches of at least GROUP of the confirmed documents' best scores, and how much of the corpus lies in each."""
+    ordered = np.sort(best)[::-1]
+    size = max(GROUP, len(best) // 40)
+    edges = np.unique(ordered[np.minimum(np.arange(size - 1, len(best) + size - 1, size), len(best) - 1)])[::-1]
+    own = np.array([(best >= e).sum() for e in edges], float)
+    return edges, np.diff(np.r_[0, own]), np.maximum(np.diff(np.r_[0, tail_of(edges)]), 0.5)
+
+
+def lowest(edges: np.ndarray, gain: np.ndarray, loss: np.ndarray) -> float:
+    """The edge down to which, from the top, the stretches gain most over what they lose; a stretch that falls short is made up for by better ones below."""
+    return float(edges[int(np.argmax(np.cumsum(gain - loss)))])
+
+
+def mixture_prior(witness: np.ndarray, edges: np.ndarray, tail: np.ndarray, total: float) -> float:
+    """Share of positives in a mixture: the least ratio of its tail to the witnesses' tail, over the edges that keep half of the witnesses."""
+    own = np.array([(witness >= e).mean() for e in edges])
+    some = own >= 0.5
+    return float(np.clip((tail[some] / total / own[some]).min(), 1 / total, 0.5)) if some.any() else 1 / total
+
+
+def descend(corpus: Corpus, p: Rows, weights: np.ndarray, prior: float, total: float, cleared: float, steps: int = STEPS):
+    """Weights [features, models] and biases of the non-negative risk, by Adam; weights [witnesses, models] say whose witness is whose.
+
+        prior * R+(witnesses) + (1 - CLEARED) * max(0, R-(all) - prior * R-(witnesses)) + CLEARED * (1 - prior) * R-(cleared)
+
+    While the corrected part is negative it has no gradient. All documents take part, their pattern-less sentences as one row.
+    """
+    k = weights.shape[1]
+    share = prior * weights / np.maximum(1e-9, weights.sum(0))
+    w, b = np.zeros((p.width, k)), np.full(k, np.log(prior / (1 - prior)))
+    m, v = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)]
+    gamma = CLEARED if cleared else 0.0
+    for step in range(1, steps + 1):
+        loss, by_w, by_b = corpus.sums(w, b)
+        s = p.scores(w, b)
+        sig = _sig(s)
+        corrected = loss[0] / total - (share * _soft(s)).sum(0)
+        free = (1 - gamma) * (corrected > 0)
+        on_p = share * (sig - 1) - free * share * sig
+        c = gamma * (1 - prior) / max(1.0, cleared)
+        grads = (p.transposed(on_p) + free * by_w[0] / total + c * by_w[1] + prior * DECAY * w, on_p.sum(0) + free * by_b[0] / total + c * by_b[1])
+        for i, (x, y) in enumerate(zip((w, b), grads)):
+            m[i] = 0.9 * m[i] + 0.1 * y
+            v[i] = 0.99 * v[i] + 0.01 * y * y
+            x -= 0.2 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + prior * 1e-4)
+    return w, b
+
+
+def fit(bags: list[list], corpus: Corpus, width: int, docs: float, total: float, cleared: float, evidence: np.ndarray) -> tuple[np.ndarray, float, float] | None:
+    """(weights, bias, prior), the boundary at 0, from the patterns of every confirmed document and of the corpus; None without a pattern.
+
+    evidence: log lift of every feature, for the first choice of witnesses.
+    """
+    flat = [(i, x) for i, bag in enumerate(bags) for x in bag]
+    if not flat:
         return None
-    rows = _Rows([bags[i] for i in keep])
-    in_bag = np.flatnonzero(rows.bag < n_pos)
-    u = np.flatnonzero(rows.bag >= n_pos)
-    score = _first_evidence(rows, n_pos, len(keep))
-    fold = np.arange(n_pos) % FOLDS
+    bag = np.array([i for i, _ in flat])
+    p = Rows([x for _, x in flat], width)
+    score = p.scores(evidence[:, None], np.zeros(1))[:, 0]
+    fold = bag % FOLDS
+    tail_of = lambda edges: corpus.tail(evidence, 0.0, edges)
     for round_ in range(ROUNDS + 1):
-        edge = _lift_edge(_bag_best(rows, score, 0, n_pos), _bag_best(rows, score, n_pos, len(keep)))
-        witness = in_bag[score[in_bag] > edge]
-        if not len(witness):
-            witness = _best_of_bags(rows, in_bag, score)
-        if prior is None:
-            prior = float(np.clip(np.mean(score[u] > edge) if len(u) else 0.0, 1e-5, 0.02))
+        best = _best_of_bags(bag, score)
+        edges, own, everywhere = stretches(np.r_[score[best], np.full(len(bags) - best.sum(), -1e9)], tail_of)
+        # confirmed documents stand out: a stretch holds LIFT times the share of them that it holds of all documents
+        witness = score >= lowest(edges, own / len(bags), LIFT * everywhere / docs)
+        prior = mixture_prior(score[witness & best], edges, np.cumsum(everywhere), total)
         if round_ == ROUNDS:
             break
-        # every bag is judged by a model that has not seen it, so that a wrong label cannot vouch for itself
-        score = np.full(rows.n, -50.0)
-        parts = []
-        for k in range(FOLDS):
-            seen = witness[fold[rows.bag[witness]] != k]
-            mine = in_bag[fold[rows.bag[in_bag]] == k]
-            s = rows.scores(*_descend(rows, seen if len(seen) else witness, u, prior))
-            score[mine] = s[mine]
-            parts.append(s[u])
-        score[u] = np.mean(parts, axis=0)
-    words, pairs, bias = _descend(rows, witness, u, prior)
-    final = rows.scores(words, pairs, bias)
-    final[in_bag] = score[in_bag]
-    model = Model(words, pairs, float(bias))
-    model.boundary = _boundary(_bag_best(rows, final, 0, n_pos), _bag_best(rows, final, n_pos, n_pos + n_neg))
-    return model
-
-
-def _bag_best(rows: _Rows, score: np.ndarray, first: int, end: int) -> np.ndarray:
-    best = np.full(max(int(rows.bag.max(initial=-1)) + 1, end), -50.0)
-    np.maximum.at(best, rows.bag, score)
-    return best[first:end]
-
-
-def _lift_edge(positive: np.ndarray, other: np.ndarray, group: int = 4, lift: float = 3.0) -> float:
-    """The score down to which confirmed documents are enriched: from the top, groups of confirmed documents are taken in
-    while their share is at least `lift` times the share of other documents whose best sentence lies in the same stretch."""
-    p, o = np.sort(positive)[::-1], np.sort(other)[::-1]
-    edge = np.inf
-    for i in range(0, len(p), group):
-        low = p[min(i + group, len(p)) - 1]
-        inside = np.searchsorted(-o, -low, side="right") - (np.searchsorted(-o, -edge, side="right") if np.isfinite(edge) else 0)
-        taken = min(group, len(p) - i)
-        if taken / len(p) < lift * inside / max(1, len(o)) and i:
-            break
-        edge = low
-    return float(edge) - 1e-9
-
-
-def _best_of_bags(rows: _Rows, in_bag: np.ndarray, score: np.ndarray) -> np.ndarray:
-    order = in_bag[np.lexsort((-score[in_bag], rows.bag[in_bag]))]
-    return order[np.r_[True, rows.bag[order][1:] != rows.bag[order][:-1]]] if len(order) else order
-
-
-def _first_evidence(rows: _Rows, n_pos: int, docs: int) -> np.ndarray:
-    """Of every sentence: the log odds of its words in confirmed against other documents, its own document left out."""
-    seen = np.unique(rows.bag[rows.row_w] * rows.vocabulary + rows.word)
-    edge = n_pos * rows.vocabulary
-    in_pos = np.bincount(seen[seen < edge] % rows.vocabulary, minlength=rows.vocabulary)
-    in_other = np.bincount(seen[seen >= edge] % rows.vocabulary, minlength=rows.vocabulary)
-    rest = in_pos[rows.word] - (rows.bag[rows.row_w] < n_pos)
-    odds = np.log((rest + 0.02) / (n_pos + 1)) - np.log((in_other[rows.word] + 0.5) / (docs - n_pos + 1))
-    gain = np.maximum(odds, 0) ** 2
-    return np.bincount(rows.row_w, gain, rows.n) * rows.scale
-
-
-def _descend(rows: _Rows, p: np.ndarray, u: np.ndarray, prior: float):
-    """Adam on the non-negative risk with the logistic loss; a corrected part below zero has no gradient."""
-    words, pairs, bias = np.zeros(1 << BITS), np.zeros(1 << BITS), -4.0
-    m = [np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0]
-    v = [np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0]
-    weight = WEIGHT
-    for step in range(1, STEPS + 1):
-        s = rows.scores(words, pairs, bias)
-        sig = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
-        negative_part = np.mean(np.logaddexp(0, s[u])) - prior * np.mean(np.logaddexp(0, s[p])) if len(u) else 0.0
-        g = np.zeros(rows.n)
-        positive = np.bincount(p, (sig[p] - 1) / len(p), rows.n)
-        if negative_part >= 0 or not len(u):
-            g += weight * positive
-            if len(u):
-                g += np.bincount(u, sig[u] / len(u), rows.n)
-            g -= prior * np.bincount(p, sig[p] / len(p), rows.n)
-        else:
-            g += weight * positive  # the corrected part is held at zero
-        grads = [*rows.gradient(g), g.sum()]
-        for k, (x, y) in enumerate(zip((words, pairs), grads)):
-            y = y + 2e-7 * x
-            m[k] = 0.9 * m[k] + 0.1 * y
-            v[k] = 0.999 * v[k] + 0.001 * y * y
-            x -= 0.12 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-6)
-        m[2] = 0.9 * m[2] + 0.1 * grads[2]
-        v[2] = 0.999 * v[2] + 0.001 * grads[2] ** 2
-        bias -= 0.12 * (m[2] / (1 - 0.9**step)) / (np.sqrt(v[2] / (1 - 0.999**step)) + 1e-6)
-    return words, pairs, bias
-
-
-def _boundary(positive: np.ndarray, negative: np.ndarray) -> float:
-    """The score that parts confirmed from cleared documents with the fewest errors; the middle, where several do."""
-    if not len(negative):
-        return 0.0
-    cuts = np.unique(np.r_[positive, negative])
-    mids = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else np.zeros(1)
-    wrong = (np.searchsorted(np.sort(positive), mids, side="right") + len(negative) - np.searchsorted(np.sort(negative), mids, side="right")).astype(int)
-    good = mids[wrong == wrong.min()]
-    return float((good.min() + good.max()) / 2)
+        # every document is judged by a model that has not seen it, so that a wrong label cannot vouch for itself
+        weights = np.stack([(witness & (fold != k)).astype(float) for k in range(FOLDS)], 1)
+        w, b = descend(corpus, p, weights, prior, total, cleared)
+        score = p.scores(w, b)[np.arange(len(bag)), fold]
+        w, b = w.mean(1), float(b.mean())
+        tail_of = lambda edges, w=w, b=b: corpus.tail(w, b, edges)
+    # the boundary at the base rate: down to where half of what lies in a stretch is accounted for by positives
+    expected = prior * total * own / max(1, (witness & best).sum())
+    return w, b - lowest(edges, expected, 0.5 * everywhere) + 1e-6, prior
+
+
+def _best_of_bags(bag: np.ndarray, score: np.ndarray) -> np.ndarray:
+    order = np.lexsort((-score, bag))
+    best = np.zeros(len(bag), bool)
+    best[order[np.r_[True, bag[order][1:] != bag[order][:-1]]]] = True
+    return best
 
 
 def confirmed(labels: DataFrame) -> DataFrame:
@@ -318,40 +381,97 @@ def confirmed(labels: DataFrame) -> DataFrame:
     return n.select("doc_id", (F.col("b") >= F.col("g")).alias("bad"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model | None:
-    """The model from bounded samples of the labelled and the unlabelled documents."""
-    marks = confirmed(labels)
-    n_docs, (n_bad, n_good) = docs.count(), marks.agg(F.count_if("bad"), F.count_if(~F.col("bad"))).first()
-    texts = docs.select("doc_id", "text").where("text is not null")
+def labelled_ids(labels: DataFrame) -> dict[int, int]:
+    """Group of the labelled documents that fitting uses: 1 confirmed, 2 cleared; at most twice POSITIVE and NEGATIVE, by a hash of the id."""
+    marks = cut(confirmed(labels))
+    bad, good = marks.agg(F.count_if("bad"), F.count_if(~F.col("bad"))).first()
+    out = {}
+    for group, where, n, most in ((1, "bad", bad, POSITIVE), (2, "not bad", good, NEGATIVE)):
+        kept = marks.where(where).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1_000_000, 1 + 1_000_000 * most / max(1, n))))
+        out |= {int(r[0]): group for r in kept.select("doc_id").limit(2 * most).collect()}
+    return out
 
-    def some(rows: DataFrame, n: int, most: int) -> list[str]:
-        keep = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1_000_000, 1 + 1_000_000 * most / max(1, n))))
-        return [r[0] for r in keep.select("doc_id", "text").limit(2 * most).toPandas().sort_values("doc_id")[["text"]].to_numpy().tolist()]
 
-    labelled = texts.join(marks, "doc_id")
-    positive = some(labelled.where("bad"), n_bad, POSITIVE)
-    negative = some(labelled.where("not bad"), n_good, NEGATIVE)
-    unlabelled = some(texts.join(marks, "doc_id", "left_anti"), n_docs, UNLABELLED)
-    return fit(positive, negative, unlabelled, prior)
+def _groups(ids: dict[int, int], doc_ids: pd.Series) -> np.ndarray:
+    return np.array([ids.get(int(i), 0) for i in doc_ids], np.int64)
 
 
-def scored(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
+def _counted(rows: DataFrame, ids: dict[int, int], only: np.ndarray | None) -> DataFrame:
+    """(f, everywhere, confirmed): occurrences of features, and confirmed documents that hold them, a row a task and feature; f = -1 counts the documents."""
+    keep = np.arange(1 << BITS) if only is None else np.unique(only)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader, total, docs = Reader(), np.zeros((2, 1 << BITS)), np.zeros(2)
+        for x in batches:
+            g = _groups(ids, x["doc_id"])
+            total += reader.counts(x["text"].tolist(), g)
+            docs += len(g), (g == 1).sum()
+        at = keep[total[0, keep] > 0]
+        yield pd.DataFrame({"f": np.r_[at, -1], "everywhere": np.r_[total[0, at], docs[0]].astype(np.int64), "confirmed": np.r_[total[1, at], docs[1]].astype(np.int64)})
+
+    return rows.mapInPandas(run, "f int, everywhere bigint, confirmed bigint")
+
+
+def features(rows: DataFrame, ids: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The features that confirmed documents hold LIFT times as often as they occur in all documents, with their log lift; counted over all documents."""
+    sums = lambda df: df.groupBy("f").agg(F.sum("everywhere").alias("everywhere"), F.sum("confirmed").alias("confirmed"))
+    chosen = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i, g in ids.items() if g == 1], "doc_id bigint")), "doc_id")  # a bounded list
+    held = sums(_counted(chosen, ids, None)).where((F.col("f") >= 0) & (F.col("confirmed") >= LEAST)).select("f").toPandas()["f"].to_numpy(np.int64)
+    c = sums(_counted(rows, ids, held)).toPandas()
+    docs = c[c["f"] == -1].iloc[0] if (c["f"] == -1).any() else {"everywhere": 1, "confirmed": 1}
+    c = c[c["f"] >= 0]
+    bad, every = c["confirmed"].to_numpy(float), c["everywhere"].to_numpy(float)
+    lift = ((bad - 0.5) / max(1, docs["confirmed"])) / ((every + 0.5) / max(1, docs["everywhere"]))  # half a document less, as its own counts
+    ok = (bad >= LEAST) & (lift >= LIFT)
+    return c["f"].to_numpy(np.int64)[ok], np.log(lift[ok])
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, score): probability-like score of every document, 0.5 at the boundary; blank or null text scores 0.
 
-    Without a confirmed document there is nothing to learn from and every score is null.
+    Without a confirmed document, or where confirmed documents share no words, there is nothing to learn from and every score
+    is null. Repeated rows of a document give repeated rows.
     """
-    rows = docs.select("doc_id", source_key().alias("source"), "text").where("doc_id is not null")
-    model = fitted(docs, labels, prior)
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_key().alias("source"), "text").where("doc_id is not null")
+    nothing = rows.select("doc_id", "source", F.lit(None).cast("double").alias("score"))
+    ids = labelled_ids(labels)
+    if 1 not in ids.values():
+        return nothing
+    chosen, evidence = features(rows, ids)
+    if not len(chosen):
+        return nothing
+    index = np.full(1 << BITS, -1, np.int32)
+    index[chosen] = np.arange(len(chosen))
+    shared = spark.sparkContext.broadcast(index)  # 4 MB, fixed by BITS
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(shared.value)
+        for x in batches:
+            yield pd.DataFrame({"doc_id": x["doc_id"], "source": x["source"], "words": x["text"].map(lambda t: bool(t and t.strip())), "grp": _groups(ids, x["doc_id"]).astype(np.int32), "patterns": reader.patterns(x["text"].tolist())})
+
+    found = cut(rows.mapInPandas(find, "doc_id bigint, source string, words boolean, grp int, patterns array<array<int>>"))
+    n = found.groupBy("grp").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("patterns")).alias("held")).toPandas().set_index("grp")
+    total = float(n.to_numpy().sum())
+    cleared = float(n.loc[2].sum()) if 2 in n.index else 0.0
+    flat = found.select("grp", F.explode("patterns").alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("everywhere"), F.count_if(F.col("grp") == 2).alias("cleared"))
+    empty = found.agg(F.array().cast("array<int>").alias("pattern"), F.count(F.lit(1)).alias("everywhere"), F.count_if(F.col("grp") == 2).alias("cleared"))
+    corpus = Corpus(cut(flat.unionByName(empty)), len(chosen))
+    bags = [[np.array(x) for x in r[0]] for r in found.where("grp = 1").orderBy("doc_id").select("patterns").collect()]  # of a bounded list
+    model = fit(bags, corpus, len(chosen), float(n["docs"].sum()), total, cleared, evidence)
     if model is None:
-        return rows.select("doc_id", "source", F.lit(None).cast("double").alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast((model.words.astype(np.float32), model.pairs.astype(np.float32), model.bias, model.boundary))  # 2 MB, fixed by BITS
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(*shared.value)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": own.documents(b["text"].tolist())})
-
-    return rows.mapInPandas(run, "doc_id bigint, source string, score double")
+        return nothing
+    w, b, _ = model
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            sizes = x["patterns"].str.len().to_numpy()
+            s = Rows([p for d in x["patterns"] for p in d], len(w)).scores(w[:, None], np.array([b]))[:, 0]
+            best = np.full(len(x), b)
+            np.maximum.at(best, np.repeat(np.arange(len(x)), sizes), s)
+            yield pd.DataFrame({"doc_id": x["doc_id"], "source": x["source"], "score": np.where(x["words"], _sig(best), 0.0)})
+
+    return found.mapInPandas(score, "doc_id bigint, source string, score double")
 
 
 def rates(scores: DataFrame) -> DataFrame:
