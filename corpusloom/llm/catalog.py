@@ -77,9 +77,10 @@ def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Terms that mark out a chunk significantly by their score; counts and document frequencies are checked exactly."""
     active = table(spark, d, "chunks").where("active").select("id", "kind", "text")
     scored = term_weight.distinctive_terms(active, keep=("kind",), min_tf=4, df_range=(2, 6), where="kind = 'body'")
-    return scored.select(F.col("record").alias("chunk_id"), "term")
+    return scored.where(F.col("score") >= term_weight.SIGNIFICANT).select(F.col("record").alias("chunk_id"), "term")
 
 
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -4,10 +4,11 @@ The table of a term in a record: its count in the record (a) and in the rest (b)
 (n1 - a) and of the rest (n2 - b). G2 = 2 * sum(observed * ln(observed / expected)); it is negative where the record
 uses the term less often than the rest does.
 
-Plan: one exchange on the record id removes repeated rows and, since (id, term) is clustered by id already, also serves
-the per-record counts. Term totals are pre-aggregated before their exchange. Scoring joins on the term; the terms that
-make up at least 1 / HEAD of all tokens (at most HEAD of them, whatever the size of the data) join by broadcast, so no
-frequent term gathers in one task, and the rest by an exchange.
+Plan: one exchange on the record id removes repeated rows; (id, term) is clustered by id already, so a record's counts
+need no other. Texts are split once: the counts are written as one row a record and read again for the totals and for the
+scores. Term totals are pre-aggregated before their exchange. The terms that make up at least 1 / HEAD of all tokens (at
+most HEAD of them, whatever the size of the data) are joined by broadcast, and only what they leave over goes through an
+exchange on the term: no frequent term gathers in one task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.session import cut
 
 HEAD = 20_000
+SIGNIFICANT = 10.83  # fixed value: the 0.999 quantile of the chi-square distribution with one degree of freedom
 
 
 def terms_of(text: Column) -> Column:
@@ -25,14 +27,16 @@ def terms_of(text: Column) -> Column:
 
 
 def record_terms(records: DataFrame, id_col: str = "id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(record, *keep, tokens, term, tf). Repeated ids count once; null or term-less texts give no row."""
+    """(record, *keep, tokens, terms array<struct<term, tf>>). Repeated ids count once; null or term-less texts give no row."""
     once = records.select(F.col(id_col).alias("record"), *keep, F.col(text).alias("body_text")).where("record is not null").dropDuplicates(["record"])
     tokens = once.select("record", *keep, terms_of(F.col("body_text")).alias("ts"))
-    return (
-        tokens.select("record", *keep, F.size("ts").alias("tokens"), F.explode("ts").alias("term"))
-        .groupBy("record", *keep, "tokens", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    flat = tokens.select("record", *keep, F.size("ts").alias("tokens"), F.explode("ts").alias("term")).groupBy("record", *keep, "tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return flat.groupBy("record", *keep, "tokens").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+
+
+def flattened(counted: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(record, *keep, tokens, term, tf) of record_terms."""
+    return counted.select("record", *keep, "tokens", F.inline("terms"))
 
 
 def term_totals(tf: DataFrame) -> DataFrame:
@@ -60,19 +64,18 @@ def distinctive_terms(
 
     min_tf, df_range and where choose which scores are wanted; totals always cover all records. Empty input: no row.
     """
-    tf = record_terms(records, id_col, text, keep)
+    counted = cut(record_terms(records, id_col, text, keep))
+    tf = flattened(counted, keep)
     totals = cut(term_totals(tf))
     everything = totals.agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
     wanted = tf.where(F.col("tf") >= min_tf)
     if where:
         wanted = wanted.where(where)
-    if df_range:
-        totals = totals.where(F.col("df").between(*df_range) & (F.col("cf") >= min_tf))
     edge = max(1, -(-everything // HEAD))
-    if df_range and edge > df_range[1] * 1_000:
-        joined = wanted.join(totals, "term")
-    else:
-        head = F.broadcast(totals.where(F.col("cf") >= edge))
-        joined = wanted.join(head, "term").unionByName(wanted.join(totals.where(F.col("cf") < edge), "term")) if not df_range else wanted.join(totals, "term")
+    asked = F.col("df").between(*df_range) if df_range else F.lit(True)
+    marked = wanted.join(F.broadcast(totals.where(F.col("cf") >= edge)), "term", "left")  # at most HEAD terms
+    columns = ["record", *keep, "tokens", "term", "tf", "cf", "df"]
+    rest = marked.where("cf is null").drop("cf", "df").join(totals.where((F.col("cf") < edge) & asked), "term")
+    joined = marked.where(F.col("cf").isNotNull() & asked).select(*columns).unionByName(rest.select(*columns))
     score = g2(F.col("tf"), F.col("cf") - F.col("tf"), F.col("tokens"), F.lit(everything) - F.col("tokens"))
     return joined.select("record", *keep, "term", "tf", "cf", "df", score.alias("score"))
