@@ -85,7 +85,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     active = table(spark, d, "chunks").where("active").select("id", "text")
-    return term_weight.distinctive_terms(active).select(F.col("record").alias("chunk_id"), "term", "tf", "cf", "df", F.round("score", 4).alias("score"))
+    return term_weight.distinctive_terms(active).select(F.col("record").alias("chunk_id"), "term", "tf", "cf", "df", (F.round("score", 4) + 0.0).alias("score"))
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
@@ -169,4 +169,4 @@ n as (select id, sum(tf) n1 from f group by 1), a as (select sum(tf) n from f),
 x as (select id, term, tf, cf, df, tf::double a, (cf - tf)::double b, n1::double n1, (n - n1)::double n2, n::double n from f join s using (term) join n using (id), a),
 g as (select *, 2 * (a * ln(a / (n1 * (a + b) / n)) + case when b > 0 then b * ln(b / (n2 * (a + b) / n)) else 0 end
  + case when n1 - a > 0 then (n1 - a) * ln((n1 - a) / (n1 * (n - a - b) / n)) else 0 end + case when n2 - b > 0 then (n2 - b) * ln((n2 - b) / (n2 * (n - a - b) / n)) else 0 end) g from x)
-select id chunk_id, term, tf, cast(cf as bigint) cf, df, round(case when a * n2 >= b * n1 then g else -g end, 4) score from g"""
+select id chunk_id, term, tf, cast(cf as bigint) cf, df, round(case when a * n2 >= b * n1 then g else -g end, 4) + 0.0 score from g"""

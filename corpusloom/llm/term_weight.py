@@ -4,8 +4,8 @@ The table of a term in a record: its count in the record (a) and in the rest (b)
 (n1 - a) and of the rest (n2 - b). G2 = 2 * sum(observed * ln(observed / expected)); it is negative where the record
 uses the term less often than the rest does.
 
-Plan: one exchange on the record id removes repeated rows; (id, term) is clustered by id already, so a record's counts
-need no other. Texts are split once: the counts are written as one row a record and read again for the totals and for the
+Plan: one exchange on the record id removes repeated rows; a record's counts come from its own sorted terms, without
+another. Texts are split once: the counts are written as one row a record and read again for the totals and for the
 scores. Term totals are pre-aggregated before their exchange. The terms that make up at least 1 / HEAD of all tokens (at
 most HEAD of them, whatever the size of the data) are joined by broadcast, and only what they leave over goes through an
 exchange on the term: no frequent term gathers in one task.
@@ -29,9 +29,11 @@ def terms_of(text: Column) -> Column:
 def record_terms(records: DataFrame, id_col: str = "id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(record, *keep, tokens, terms array<struct<term, tf>>). Repeated ids count once; null or term-less texts give no row."""
     once = records.select(F.col(id_col).alias("record"), *keep, F.col(text).alias("body_text")).where("record is not null").dropDuplicates(["record"])
-    tokens = once.select("record", *keep, terms_of(F.col("body_text")).alias("ts"))
-    flat = tokens.select("record", *keep, F.size("ts").alias("tokens"), F.explode("ts").alias("term")).groupBy("record", *keep, "tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return flat.groupBy("record", *keep, "tokens").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+    tokens = once.select("record", *keep, F.sort_array(terms_of(F.col("body_text"))).alias("ts")).where(F.size("ts") > 0)
+    # a term's run in the sorted terms starts where it differs from the one before
+    runs = tokens.select("record", *keep, "ts", F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1))).alias("starts"))
+    ends = lambda j: F.coalesce(F.get("starts", j + 1), F.size("ts"))
+    return runs.select("record", *keep, F.size("ts").alias("tokens"), F.transform("starts", lambda a, j: F.struct(F.get("ts", a).alias("term"), (ends(j) - a).cast("bigint").alias("tf"))).alias("terms"))
 
 
 def flattened(counted: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
