@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import text as T
@@ -12,6 +15,7 @@ ANSWER = (
     " coverage array<struct<question_id:string,claims:array<int>,missing:string>>, status string, missing string"
 )
 LIMIT = 10_000_000  # fixed value: the budget in millionths
+STRETCH = 10_000  # calls of an account summed in one place, about
 
 
 def _blank(c: Column) -> Column:
@@ -52,10 +56,24 @@ def covered(answers: DataFrame) -> DataFrame:
     return rows.withColumns({"status": F.when(good, status), "missing": F.when(good, F.array_join(named, "\n"))})
 
 
+def normalised(answers: DataFrame) -> DataFrame:
+    """answers with inline citations (objects, as JSON text, in place of an id) turned into ids, and normalised, inline_ok.
+
+    Only an exact repetition of one of the answer's own citations becomes its id; any other object is left, and inline_ok is false.
+    """
+    own = lambda x: F.from_json(x, "id string, quote string, translation string")
+    inline = lambda x: F.coalesce(x.startswith("{"), F.lit(False))
+    known = lambda x: F.coalesce(F.exists("citations", lambda c: (c["id"] == own(x)["id"]) & (c["quote"] == own(x)["quote"]) & (c["translation"] == own(x)["translation"])), F.lit(False))
+    cited = F.flatten(F.transform("claims", lambda c: F.coalesce(c["citations"], F.array().cast("array<string>"))))
+    claims = F.transform("claims", lambda c: F.struct(c["text"].alias("text"), F.transform(c["citations"], lambda x: F.when(inline(x) & known(x), own(x)["id"]).otherwise(x)).alias("citations")))
+    rows = answers.withColumns({"normalised": F.coalesce(F.exists(cited, inline), F.lit(False)), "inline_ok": F.coalesce(F.forall(F.filter(cited, inline), known), F.lit(True))})
+    return rows.withColumn("claims", claims)
+
+
 def validated(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(answer_id, status, problem, quotes) of answers(answer_id, status, missing, claims, citations) against evidence(answer_id, id, text).
+    """(answer_id, status, problem, quotes, normalised, scope) of answers(answer_id, status, missing, claims, citations) against evidence(answer_id, id, text).
 
-    Quotes must be verbatim in the cited evidence of the same answer: an equi-join on (answer_id, id), containment as
+    scope is missing_context where a sound answer is insufficient and still cites what it found. Quotes must be verbatim in the cited evidence of the same answer: an equi-join on (answer_id, id), containment as
     its residual, never a join on containment alone.
     """
     c = answers.select("answer_id", F.posexplode("citations").alias("at", "c")).select("answer_id", "at", F.col("c.id").alias("id"), F.col("c.quote").alias("quote"), F.col("c.translation").alias("translation"))
@@ -67,7 +85,7 @@ def validated(answers: DataFrame, evidence: DataFrame) -> DataFrame:
         F.bool_and(F.col("evidence_text").isNotNull()).alias("known"), F.bool_and(~_blank(F.col("quote")) & F.coalesce(F.contains("evidence_text", "quote"), F.lit(False))).alias("verbatim"),
         F.bool_and(~_blank(F.col("translation"))).alias("translated"), F.bool_and(~F.col("twice")).alias("single"), F.collect_set("id").alias("ids"), F.count(F.lit(1)).alias("quotes"),
     )
-    rows = answers.join(per, "answer_id", "left")
+    rows = normalised(answers).join(per, "answer_id", "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     n = F.coalesce("quotes", F.lit(0))
     some = lambda x: F.coalesce(x, F.lit(True))
@@ -80,12 +98,33 @@ def validated(answers: DataFrame, evidence: DataFrame) -> DataFrame:
         (some(F.col("verbatim")), "quote is not verbatim"),
         (some(F.col("translated")), "translation is blank"),
         (some(F.col("single")), "citation twice"),
+        (F.col("inline_ok"), "inline citation differs"),
         (F.forall("claims", lambda x: ~_blank(x["text"]) & (F.coalesce(F.size(x["citations"]), F.lit(0)) > 0) & F.forall(x["citations"], lambda i: F.array_contains(ids, i))), "claim without valid citation"),
         (F.when(F.col("status") == "insufficient", ~claimed & gap).otherwise(claimed & (n > 0)), "claims do not fit the status"),
         ((F.col("status") != "partial") | gap, "partial without a gap"),
         ((F.col("status") != "grounded") | ~gap, "grounded with a gap"),
     ]
-    return rows.select("answer_id", "status", first_problem(rules).alias("problem"), n.alias("quotes"))
+    scope = F.when(F.col("problem").isNull() & (F.col("status") == "insufficient") & (n > 0), "missing_context")
+    return rows.withColumn("problem", first_problem(rules)).select("answer_id", "status", "problem", n.alias("quotes"), "normalised", scope.alias("scope"))
+
+
+def replayed(runs: DataFrame) -> DataFrame:
+    """validated, for the model texts stored in runs(id, result), against the evidence of the retrieval run that each names; no network.
+
+    A run without model text has the problem "no model text", one whose retrieval run is gone "unknown citation".
+    """
+    text = F.get_json_object("result", "$.model_output")
+    a = runs.select(F.col("id").alias("answer_id"), text.alias("model"), F.get_json_object("result", "$.retrieval_run_id").alias("of"))
+    parsed = a.where("model is not null").select("answer_id", "of", F.from_json("model", ANSWER).alias("m")).select("answer_id", "of", "m.*")
+    found = runs.select(F.col("id").cast("string").alias("of"), F.explode(F.from_json(F.get_json_object("result", "$.candidates"), "array<struct<id:string,text:string>>")).alias("c")).select("of", "c.id", "c.text")
+    evidence = parsed.select("answer_id", "of").join(found, "of").select("answer_id", "id", "text")
+    none = a.where("model is null").select("answer_id", F.lit(None).cast("string").alias("status"), F.lit("no model text").alias("problem"), F.lit(0).cast("bigint").alias("quotes"), F.lit(False).alias("normalised"), F.lit(None).cast("string").alias("scope"))
+    return validated(parsed.drop("of"), evidence).unionByName(none)
+
+
+def redacted(text: Column, secret: str) -> Column:
+    """Text without a secret, wherever it occurs; an empty secret changes nothing."""
+    return F.replace(text, F.lit(secret), F.lit("[redacted]")) if secret else text
 
 
 def cost(input_tokens: Column, output_tokens: Column, input_price: Column, output_price: Column) -> Column:
@@ -108,17 +147,57 @@ def last_state(events: DataFrame) -> DataFrame:
     return events.groupBy("id").agg(s.alias("s")).select("id", "s.*")
 
 
-def guarded(calls: DataFrame, by: str = "account", limit: int = LIMIT) -> DataFrame:
-    """(by, at, id, amount, accepted, spent_before): reservations of an account in order (at, id), each accepted if it still fits.
+def settlement_problems(calls: DataFrame) -> DataFrame:
+    """(id, problem) of settled calls that cost more than was reserved for them."""
+    return calls.where("status = 'settled' and spent > reserved").select("id", F.lit("spent more than reserved").alias("problem"))
 
-    A sequential rule, so a fold over an account's ordered calls; accounts are independent.
-    """
-    ordered = calls.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("at", "id", "amount"))).alias("xs"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("spent"), F.array().cast("array<struct<accepted:boolean,before:bigint>>").alias("out"))
 
-    def step(s, x):
-        ok = F.coalesce(x["amount"] >= 0, F.lit(False)) & (s["spent"] + F.coalesce(x["amount"], F.lit(0)) <= limit)
-        return F.struct(F.when(ok, s["spent"] + x["amount"]).otherwise(s["spent"]).alias("spent"), F.concat(s["out"], F.array(F.struct(ok.alias("accepted"), s["spent"].alias("before")))).alias("out"))
+def _in_order(by: str, limit: int):
+    """mapInPandas function over calls sorted by account and time: the rule, one state carried from batch to batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        account, spent, blocked = None, 0, False
+        for b in batches:
+            accepted, before = [], []
+            for who, amount, cost_, open_ in zip(b[by], b["amount"], b["cost"], b["open"]):
+                if account is None or who != account:
+                    account, spent, blocked = who, 0, False
+                before.append(spent)
+                ok = not blocked and not pd.isna(amount) and amount >= 0 and spent + amount <= limit
+                accepted.append(ok)
+                if ok:
+                    blocked = bool(open_)
+                    spent += 0 if open_ else int(cost_)
+            yield b[[by, "at", "id", "amount"]].assign(accepted=accepted, spent_before=before)
+
+    return run
 
-    rows = ordered.select(by, F.arrays_zip(F.col("xs").alias("x"), F.aggregate("xs", zero, step, lambda s: s["out"]).alias("o")).alias("z"))
-    return rows.select(by, F.explode("z").alias("z")).select(by, F.col("z.x.at").alias("at"), F.col("z.x.id").alias("id"), F.col("z.x.amount").alias("amount"), F.col("z.o.accepted").alias("accepted"), F.col("z.o.before").alias("spent_before"))
+
+def guarded(calls: DataFrame, by: str = "account", limit: int = LIMIT) -> DataFrame:
+    """(by, at, id, amount, accepted, spent_before): reservations of an account in order (at, id), each accepted or refused.
+
+    A call is refused while an accepted one is pending or unknown (column status, if there is one), if its amount is null
+    or negative, or if what is spent and its amount exceed the limit. An accepted, settled call costs its spent (column, if
+    there is one), else its amount. Calls without account drop out.
+
+    Accounts in which nothing can be refused need sums only: of stretches of time first, then within a stretch, so a large
+    account is spread over tasks. The others are sequential by nature and pass through one task an account, in order, with
+    one number of state.
+    """
+    open_ = F.col("status").isin("pending", "unknown") if "status" in calls.columns else F.lit(False)
+    cost_ = F.coalesce(F.col("spent"), F.col("amount")) if "spent" in calls.columns else F.col("amount")
+    rows = calls.where(F.col(by).isNotNull()).select(by, "at", "id", "amount", F.coalesce(open_, F.lit(False)).alias("open"), cost_.cast("bigint").alias("cost"))
+    dated = rows.schema["at"].dataType.simpleString().startswith(("timestamp", "date"))
+    moment = (F.col("at").cast("timestamp") if dated else F.col("at")).cast("double")
+    kind = rows.schema[by].dataType.simpleString()
+    schema = f"`{by}` {kind}, at {rows.schema['at'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, amount {rows.schema['amount'].dataType.simpleString()}, accepted boolean, spent_before bigint"
+    hard = F.bool_or(F.col("open") | F.col("amount").isNull() | (F.col("amount") < 0) | (F.col("cost") < 0)) | (F.sum(F.greatest("amount", "cost")) > limit)
+    totals = rows.groupBy(by).agg(F.coalesce(hard, F.lit(True)).alias("hard"), F.min(moment).alias("first"), F.max(moment).alias("last"), F.count(F.lit(1)).alias("n"))
+    marked = rows.join(totals, by)
+    folded = marked.where("hard").select(*rows.columns).repartition(by).sortWithinPartitions(by, "at", "id").mapInPandas(_in_order(by, limit), schema)
+    easy = marked.where("not hard").withColumn("stretch", F.coalesce(F.floor((moment - F.col("first")) / F.nullif(F.col("last") - F.col("first"), F.lit(0.0)) * F.col("n") / STRETCH), F.lit(0)))
+    sums = easy.groupBy(by, "stretch").agg(F.sum("cost").alias("t"))
+    before = sums.select(by, "stretch", (F.sum("t").over(Window.partitionBy(by).orderBy("stretch")) - F.col("t")).alias("before"))
+    inner = F.sum("cost").over(Window.partitionBy(by, "stretch").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1))
+    summed = easy.join(before, [by, "stretch"]).select(by, "at", "id", "amount", F.lit(True).alias("accepted"), (F.col("before") + F.coalesce(inner, F.lit(0))).alias("spent_before"))
+    return folded.unionByName(summed)

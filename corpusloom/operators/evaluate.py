@@ -8,9 +8,28 @@ from corpusloom.functions import text as T
 
 
 def sample(cases: DataFrame, kinds: tuple[str, ...] = ("development",)) -> DataFrame:
-    """(case_id, question, spans) of the named splits with at least one annotated span; repeated ids count once."""
+    """(case_id, split, question, spans) of the named splits with at least one annotated span; repeated ids count once."""
     ok = "id is not null and question is not null and trim(question) <> '' and size(evidence) > 0"
-    return cases.where(F.col("split").isin(*kinds)).where(ok).select(F.col("id").alias("case_id"), "question", F.col("evidence").alias("spans")).dropDuplicates(["case_id"])
+    return cases.where(F.col("split").isin(*kinds)).where(ok).select(F.col("id").alias("case_id"), "split", "question", F.col("evidence").alias("spans")).dropDuplicates(["case_id"])
+
+
+def loaded(development: DataFrame, holdout: DataFrame | None = None) -> DataFrame:
+    """The sample of files of cases: each must be of the kind it is given as, no id in both, none against the contract; else an error."""
+    parts = [("development", development)] + ([("holdout", holdout)] if holdout is not None else [])
+    for kind, rows in parts:
+        other = rows.where(~F.col("split").eqNullSafe(F.lit(kind))).head(1)
+        if other:
+            raise ValueError(f"a file of kind {other[0]['split']} was given as {kind}")
+        from corpusloom.sources import files
+
+        bad = files.invalid_cases(rows).head(1)
+        if bad:
+            raise ValueError(f"case {bad[0]['id']}: {bad[0]['problem']}")
+    rows = development if holdout is None else development.unionByName(holdout)
+    twice = sample_overlap(rows).head(1)
+    if twice:
+        raise ValueError(f"case {twice[0]['id']} is in both files")
+    return sample(rows, ("development", "holdout"))
 
 
 def sample_overlap(cases: DataFrame) -> DataFrame:
@@ -60,14 +79,30 @@ def case_scores(sampled: DataFrame, bundle_rows: DataFrame, ranked: DataFrame, c
     return rows.select("case_id", F.coalesce("relevant", F.lit(0)).alias("relevant"), zero(F.col("whole")).alias("whole"), zero(F.col("broken")).alias("broken"), F.when(~bad, F.round(F.col("whole") / F.col("relevant"), 6)).alias("recall"), zero(F.col("t")).alias("tokens"), zero(F.col("m")).alias("metadata_chunks"))
 
 
-def summary(scores: DataFrame) -> DataFrame:
-    """(cases, scored, macro_recall, mean_tokens, metadata_chunks, broken): recall over scored cases, tokens over all."""
-    return scores.agg(
+def summary(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, cases, scored, macro_recall, mean_tokens, metadata_chunks, broken_bundles): recall over scored cases, tokens over all."""
+    return scores.groupBy(*by).agg(
         F.count(F.lit(1)).alias("cases"), F.count("recall").alias("scored"), F.round(F.avg("recall"), 6).alias("macro_recall"), F.round(F.avg("tokens"), 6).alias("mean_tokens"),
         F.coalesce(F.sum("metadata_chunks"), F.lit(0)).alias("metadata_chunks"), F.coalesce(F.sum("broken"), F.lit(0)).alias("broken_bundles"),
     )
 
 
+def report(scores: DataFrame, frozen: DataFrame, encoder: str = "", not_run: tuple[str, ...] = ("generation",)) -> DataFrame:
+    """One row: the summary with what pins it (sample, corpus, encoder), what was not run, that it is therefore not complete, and its cost of 0."""
+    return summary(scores).join(frozen.drop("cases", "documents")).select(  # one row each
+        "*", F.lit(encoder).alias("encoder"), F.array(*(F.lit(x) for x in not_run)).cast("array<string>").alias("not_run"), F.lit(not not_run).alias("complete"), F.lit(0).alias("cost")
+    )
+
+
+def section_recall(wanted: DataFrame, ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, section, chunks, retrieved, recall): of wanted(query_id, section), the share of the section's active chunks in the list; null where it has none."""
+    c = chunks.where("active").select("id", "section").dropDuplicates(["id"])
+    got = ranked.select("query_id", "id", F.lit(1).alias("hit"))
+    rows = wanted.select("query_id", "section").distinct().join(c, "section", "left").join(got, ["query_id", "id"], "left")
+    n, r = F.count("id"), F.count("hit")
+    return rows.groupBy("query_id", "section").agg(n.alias("chunks"), r.alias("retrieved"), F.when(n > 0, F.round(r / n, 6)).alias("recall"))
+
+
 def compared(scores: dict[str, DataFrame], baseline: str) -> DataFrame:
     """(case_id, one recall column a strategy, change_<strategy> gained | lost | same | unscored against the baseline)."""
     out = None
@@ -120,3 +155,67 @@ def stop_reasons(queries: DataFrame, evidence: DataFrame, n: int = 3, required:
     stop = F.when(done.isNotNull(), "sufficient").when(F.col("last") < n, "no_new_evidence").otherwise("round_limit")
     ran = F.when(done.isNotNull(), done).otherwise(F.least(F.lit(n), F.col("last") + 1))
     return rows.select("query_id", ran.cast("int").alias("rounds"), "chunks", stop.alias("stop_reason"))
+
+
+def supplement_modes(queries: DataFrame, ranked: DataFrame, k: int, n: int = 3) -> DataFrame:
+    """(query_id, mode, rounds, reached, stop_reason, change): one round (off), the same search again (on), and wider ones k, 2k, ... (widening).
+
+    change compares the reached chunks with those of off: gained where they are a proper superset, else same.
+    """
+    sets = ranked.groupBy("query_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("rank") <= k * i, F.col("id")))).alias(f"s{i}") for i in range(1, n + 1)))
+    none = F.array().cast("array<string>")
+    rows = queries.select("query_id").distinct().join(sets, "query_id", "left").select("query_id", *(F.coalesce(f"s{i}", none).alias(f"s{i}") for i in range(1, n + 1)))
+    dry = F.lit(n - 1)  # supplementary rounds until one brings nothing new
+    for i in range(n, 1, -1):
+        dry = F.when(F.size(f"s{i}") == F.size(f"s{i - 1}"), i - 1).otherwise(dry)
+    stopped = F.lit(False)
+    for i in range(2, n + 1):
+        stopped = stopped | (F.size(f"s{i}") == F.size(f"s{i - 1}"))
+    modes = F.array(
+        F.struct(F.lit("off").alias("mode"), F.lit(0).alias("rounds"), F.col("s1").alias("reached"), F.lit("round_limit").alias("stop_reason")),
+        F.struct(F.lit("on").alias("mode"), F.lit(1).alias("rounds"), F.col("s1").alias("reached"), F.lit("no_new_evidence").alias("stop_reason")),
+        F.struct(F.lit("widening").alias("mode"), dry.alias("rounds"), F.col(f"s{n}").alias("reached"), F.when(stopped, "no_new_evidence").otherwise("round_limit").alias("stop_reason")),
+    )
+    gained = (F.size(F.array_except("m.reached", "s1")) > 0) & (F.size(F.array_except("s1", "m.reached")) == 0)
+    return rows.select("query_id", "s1", F.explode(modes).alias("m")).select("query_id", "m.mode", "m.rounds", F.size("m.reached").alias("reached"), "m.stop_reason", F.when(gained, "gained").otherwise("same").alias("change"))
+
+
+def stop_histogram(modes: DataFrame) -> DataFrame:
+    """(mode, stop_reason, queries)."""
+    return modes.groupBy("mode", "stop_reason").agg(F.count(F.lit(1)).alias("queries"))
+
+
+def bounded_rounds(passes: DataFrame, most: int = 2) -> DataFrame:
+    """(query_id, stop_reason, supplementary_rounds, evidence array<id>) of passes(query_id, round, late, broke, failed, candidates, sufficient, required).
+
+    A pass is one round of a query: late and broke say that the time or the budget was out when it began, failed that its
+    search broke down, candidates array<struct<id, fields array<string>>> what it returned, sufficient what the answer
+    made of it, required array<string> the ids that suffice (the same in all rounds; null or empty: none). The order within a
+    round: time, budget, search, vetting (no id, or a field that asks for a tool), from round 1 on no new evidence, sufficient,
+    all required, the limit of `most` supplementary rounds. Evidence is the union by first sight. A round that is missing
+    stops as one without new evidence. At most three rows a query are gathered.
+    """
+    tools = F.array(*(F.lit(x) for x in ("tool", "tool_call", "function_call", "arguments")))
+    rows = passes.where(F.col("round").between(0, most)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("round", "late", "broke", "failed", "candidates", "sufficient", "required"))).alias("ps"))
+    none = F.array().cast("array<string>")
+    zero = F.struct(F.lit(None).cast("string").alias("stop"), F.lit(0).alias("at"), none.alias("known"))
+
+    def step(s, p):
+        yes = lambda c: F.coalesce(c, F.lit(False))
+        given = F.coalesce(p["candidates"], F.array().cast("array<struct<id:string,fields:array<string>>>"))
+        unfit = F.exists(given, lambda c: c["id"].isNull() | yes(F.arrays_overlap(c["fields"], tools)))
+        early = F.when(yes(p["late"]), "timeout").when(yes(p["broke"]), "budget").when(yes(p["failed"]) | unfit, "error")
+        known = F.when(early.isNotNull(), s["known"]).otherwise(F.array_union(s["known"], F.transform(given, lambda c: c["id"])))
+        need = F.coalesce(p["required"], none)
+        late = (
+            F.when((p["round"] >= 1) & (F.size(known) == F.size(s["known"])), "no_new_evidence")
+            .when(yes(p["sufficient"]) | ((F.size(need) > 0) & (F.size(F.array_except(need, known)) == 0)), "sufficient")
+            .when(p["round"] >= most, "round_limit")
+        )
+        skipped = p["round"] > s["at"] + F.when(F.size(s["known"]) + s["at"] > 0, 1).otherwise(0)
+        now = F.struct(F.coalesce(early, late).alias("stop"), p["round"].cast("int").alias("at"), known.alias("known"))
+        gap = F.struct(F.lit("no_new_evidence").alias("stop"), s["at"].alias("at"), s["known"].alias("known"))
+        return F.when(s["stop"].isNotNull(), s).when(skipped & (p["round"] > 1), gap).otherwise(now)
+
+    out = rows.select("query_id", F.aggregate("ps", zero, step).alias("s"))
+    return out.select("query_id", F.coalesce("s.stop", F.lit("no_new_evidence")).alias("stop_reason"), F.when(F.col("s.stop").isNull(), F.col("s.at") + 1).otherwise(F.col("s.at")).alias("supplementary_rounds"), F.col("s.known").alias("evidence"))

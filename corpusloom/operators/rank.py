@@ -1,12 +1,14 @@
 """Retrieval, batch first: a retriever maps queries(query_id, text) to ranked(query_id, id, rank, score).
 
-Statistics are computed for the query terms only and pre-aggregate before their exchange. A bounded block of queries goes
-to the tasks as a matrix; a task scores its chunks by matrix products and lets only the k best a batch and query go, so a
-frequent term never multiplies rows. Texts are joined after top-k.
+Chunks are split into terms once: what a chunk holds of the queries' terms is kept as one short row of numbers, and only
+that row goes through an exchange (repeated chunks count once) and is written. Statistics come from these rows, and a task
+scores its rows against every query of the batch, block by block in one scan, and lets only the k best of a batch and
+query go, so a frequent term never multiplies rows. Texts are joined after top-k.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,12 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.session import cut, maybe_broadcast
+from corpusloom.session import cut
 
 # Parameters of the scores
 K1, B, RRF_K, MOST = 1.5, 0.75, 60, 20
-QUERY_BLOCK = 1024  # query vectors a task holds at once
-SLICE = 512  # chunks that are scored by one matrix product
+QUERY_BLOCK = 1024  # queries a task holds scores of at once
+QUERY_SCAN = 16 * QUERY_BLOCK  # queries, about, that one scan of the rows answers; more take further scans
+CELLS = 4 << 20  # of a task's matrix of terms by chunks
 
 
 def check_arguments(query: str | None, limit: int) -> None:
@@ -30,9 +33,15 @@ def check_arguments(query: str | None, limit: int) -> None:
 
 
 def one_query(spark, text: str, query_id: str = "q") -> DataFrame:
+    check_arguments(text, 1)
     return spark.createDataFrame([(query_id, text)], "query_id string, text string")
 
 
+def refused(queries: DataFrame) -> DataFrame:
+    """(query_id, problem) of a batch's queries that a single call would refuse; they get no candidates."""
+    return queries.where(T.is_blank(F.col("text"))).select("query_id", F.lit("the query is blank").alias("problem"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term): the distinct terms of every query, aliases expanded; blank queries have none."""
     return queries.select("query_id", F.explode(F.array_distinct(T.search_terms(F.col("text")))).alias("term"))
@@ -48,83 +57,105 @@ def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _wanted(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    terms = cut(query_terms(queries))
-    distinct = terms.select("term").distinct()
-    n = distinct.count()
-    return maybe_broadcast(distinct, n, 64), maybe_broadcast(terms, terms.count(), 96)
+def held_terms(chunks: DataFrame, words: list[str]) -> DataFrame:
+    """(id, body, length, ts, tfs): of every active chunk once, which of `words` (by number) it holds, and how often; without terms its length is 1."""
+    number = chunks.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # the words of QUERY_SCAN queries
+    pattern = re.compile(T.TOKEN)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = number.value.get
+        for b in batches:
+            lengths, ts, tfs = [], [], []
+            for text in b["text"]:
+                own = pattern.findall(text.lower()) if text else ()
+                at, n = np.unique([i for i in map(get, own) if i is not None], return_counts=True)
+                lengths.append(max(1, len(own)))
+                ts.append(at.astype(np.int32))
+                tfs.append(n.astype(np.int32))
+            yield pd.DataFrame({"id": b["id"], "body": b["kind"] == "body", "length": np.array(lengths, np.int32), "ts": ts, "tfs": tfs})
+
+    rows = chunks.where("active and id is not null").select("id", "kind", "text")
+    return cut(rows.mapInPandas(run, "id string, body boolean, length int, ts array<int>, tfs array<int>").dropDuplicates(["id"]))
+
+
+def best_columns(key: np.ndarray, k: int) -> np.ndarray:
+    """The k columns with the highest key above 0; of equal keys at the edge the first ones."""
+    c = np.flatnonzero(key > 0)
+    if len(c) > k:
+        edge = np.partition(key[c], len(c) - k)[len(c) - k]
+        more = c[key[c] > edge]
+        c = np.concatenate([more, c[key[c] == edge][: k - len(more)]])
+    return c
 
 
-def _best_in_task(terms: list[str], weights: np.ndarray, ids: list, avgdl: float | None, k: int):
-    """mapInPandas function over (id, kind, ts): scores of all queries by one matrix product a slice, the k best a batch.
+def _best_in_task(ids: list, terms: list[np.ndarray], weights: list[np.ndarray], avgdl: float | None, k: int):
+    """mapInPandas function over held_terms: the k best of a slice for every query.
 
-    weights [terms, queries] holds what a query gives a term (idf or 1); avgdl None counts terms instead of weighing them.
+    A query is the numbers of its terms and what it gives each (idf or 1); avgdl None counts terms instead of weighing them.
     """
-    at = {t: i for i, t in enumerate(terms)}
+    blocks = []
+    for first in range(0, len(ids), QUERY_BLOCK):
+        own = terms[first : first + QUERY_BLOCK]
+        used = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
+        blocks.append((first, used, [np.searchsorted(used, t) for t in own]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b.sort_values("id", kind="stable")
-            own, body = b["id"].to_numpy(), (b["kind"] == "body").to_numpy()
-            scores = np.zeros((len(b), len(ids)))
-            ts = b["ts"].to_numpy()
-            for first in range(0, len(b), SLICE):
-                part = ts[first : first + SLICE]
-                m = np.zeros((len(part), len(terms)))
-                for i, words in enumerate(part):
-                    for w in words:
-                        j = at.get(w)
-                        if j is not None:
-                            m[i, j] += 1
-                if avgdl is None:
-                    m = np.minimum(m, 1)
-                else:
-                    length = np.array([max(1, len(w)) for w in part])[:, None]
-                    m = m * (K1 + 1) / (m + K1 * (1 - B + B * length / avgdl))
-                scores[first : first + SLICE] = np.round(m @ weights, 6)
-            key = scores + (1e6 if avgdl is not None else 0.5) * body[:, None]  # body decides first or breaks ties
-            key[scores <= 0] = -1
-            out = []
-            for j in range(len(ids)):
-                c = np.flatnonzero(key[:, j] > 0)
-                if len(c) > k:
-                    edge = np.partition(key[c, j], len(c) - k)[len(c) - k]
-                    more = c[key[c, j] > edge]
-                    c = np.concatenate([more, c[key[c, j] == edge][: k - len(more)]])  # ties by id, in which rows are sorted
-                out.append((np.full(len(c), j), c))
-            j, c = (np.concatenate(x) for x in zip(*out))
-            if not len(c):
-                continue
-            yield pd.DataFrame({"query_id": [ids[x] for x in j], "id": own[c], "body": body[c], "score": scores[c, j]})
+            b = b.sort_values("id", kind="stable")  # ties are by id
+            own, body, length = b["id"].to_numpy(), b["body"].to_numpy(), b["length"].to_numpy(float)
+            sizes = b["ts"].str.len().to_numpy()
+            t = np.concatenate(b["ts"].to_numpy()).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
+            tf = np.concatenate(b["tfs"].to_numpy()).astype(float) if sizes.sum() else np.zeros(0)
+            row = np.repeat(np.arange(len(b)), sizes)
+            value = np.ones(len(tf)) if avgdl is None else tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / avgdl))
+            at = np.r_[0, np.cumsum(sizes)]
+            for first, used, asked in blocks:
+                if not len(used):
+                    continue
+                step = max(64, CELLS // len(used))
+                for a in range(0, len(b), step):
+                    z = min(len(b), a + step)
+                    inside = slice(at[a], at[z])
+                    col = np.searchsorted(used, t[inside])
+                    hit = used[np.minimum(col, len(used) - 1)] == t[inside]
+                    m = np.zeros((len(used), z - a))
+                    m[col[hit], row[inside][hit] - a] = value[inside][hit]
+                    out = []
+                    for j, q in enumerate(asked):
+                        score = np.round(weights[first + j] @ m[q], 6)
+                        key = np.where(score > 0, score + (1e6 if avgdl is not None else 0.5) * body[a:z], -1)  # body decides first or breaks ties
+                        c = best_columns(key, k)
+                        out.append((np.full(len(c), first + j), c + a, score[c]))
+                    j, c, score = (np.concatenate(x) for x in zip(*out))
+                    if len(c):
+                        yield pd.DataFrame({"query_id": [ids[x] for x in j], "id": own[c], "body": body[c], "score": score})
 
     return run
 
 
 def _term_batches(queries: DataFrame, chunks: DataFrame, k: int, weigh: bool) -> DataFrame:
-    """(query_id, id, body, score): the best of every task and query, QUERY_BLOCK / 2 queries at a time."""
-    terms = cut(query_terms(queries))
-    rows = active_once(chunks).select("id", "kind", T.tokens(F.coalesce("text", F.lit(""))).alias("ts"))
-    schema = f"query_id {terms.schema['query_id'].dataType.simpleString()}, id string, body boolean, score double"
-    n_terms = terms.count()
-    blocks = max(1, -(-n_terms // (10 * QUERY_BLOCK)))
-    terms = cut(terms.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
-    avgdl = None
-    if weigh:
-        n, mean = rows.select(F.greatest(F.lit(1), F.size("ts")).alias("l")).agg(F.count(F.lit(1)), F.avg("l")).first()
-        avgdl = float(mean or 1.0)
-        wanted = terms.select("term").distinct()
-        df = cut(rows.select(F.explode(F.array_distinct("ts")).alias("term")).join(maybe_broadcast(wanted, n_terms, 64), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-        terms = terms.join(df, "term", "left").select("query_id", "term", "block", F.log1p((F.lit(float(n)) - F.coalesce("df", F.lit(0)) + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5)).alias("idf"))
-    out = None
-    for x in range(blocks):
-        asked = terms.where(F.col("block") == x).collect()  # the terms of a bounded block of queries
-        ids, words = sorted({r["query_id"] for r in asked}), sorted({r["term"] for r in asked})
-        qi, wi = {q: i for i, q in enumerate(ids)}, {w: i for i, w in enumerate(words)}
-        m = np.zeros((len(words), len(ids)))
-        for r in asked:
-            m[wi[r["term"]], qi[r["query_id"]]] = r["idf"] if weigh else 1.0
-        part = rows.mapInPandas(_best_in_task(words, m, ids, avgdl, k), schema) if ids else rows.sparkSession.createDataFrame([], schema)
-        out = part if out is None else out.unionByName(part)
+    """(query_id, id, body, score): the best of every task and query."""
+    asked = cut(queries.select("query_id", F.array_distinct(T.search_terms(F.col("text"))).alias("terms")).where("size(terms) > 0"))
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id string, body boolean, score double"
+    scans = max(1, -(-asked.count() // QUERY_SCAN))
+    out = chunks.sparkSession.createDataFrame([], schema)
+    for x in range(scans):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(scans)) == x).orderBy("query_id").collect()  # about QUERY_SCAN short rows
+        if not part:
+            continue
+        words = sorted({w for r in part for w in r["terms"]})
+        number = {w: i for i, w in enumerate(words)}
+        rows = held_terms(chunks, words)
+        terms = [np.array([number[w] for w in r["terms"]]) for r in part]
+        weight, avgdl = np.ones(len(words)), None
+        if weigh:
+            n, mean = rows.agg(F.count(F.lit(1)), F.avg("length")).first()
+            avgdl = float(mean or 1.0)
+            df = np.zeros(len(words))
+            for t, c in rows.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():  # one row a word of the queries
+                df[t] = c
+            weight = np.log1p((n - df + 0.5) / (df + 0.5))
+        out = out.unionByName(rows.mapInPandas(_best_in_task([r["query_id"] for r in part], terms, [weight[t] for t in terms], avgdl, k), schema))
     return out
 
 
@@ -141,20 +172,6 @@ def bm25_parts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl"))
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, id, kind, score): Okapi BM25 over the active chunks, rounded to 6; only positive scores."""
-    wanted, terms = _wanted(queries)
-    rows = active_once(chunks).select("id", "kind", T.tokens(F.coalesce("text", F.lit(""))).alias("ts")).select("id", "kind", "ts", F.greatest(F.lit(1), F.size("ts")).alias("length"))
-    postings = cut(rows.select("id", "kind", "length", F.explode("ts").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "kind", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
-    n, avgdl = active_once(chunks).select(F.greatest(F.lit(1), F.size(T.tokens(F.coalesce("text", F.lit(""))))).alias("length")).agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(0.0))).first()
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = terms.join(F.broadcast(df) if n else df, "term").select("query_id", "term", idf.alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(avgdl) or 1.0)))
-    scored = postings.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"), F.first("kind").alias("kind"))
-    return scored.where("score > 0")
-
-
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """Body chunks precede others whatever their score; then score (rounded to 6), then id."""
     check_arguments(None, k)
@@ -166,24 +183,23 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def _nearest_in_task(ids: list, q: np.ndarray, k: int):
-    """mapInPandas function: the k best rows of a task for every query, by one matrix product a batch."""
+    """mapInPandas function: the k best rows of a task for every query, by matrix products of a batch with blocks of queries."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
         for b in batches:
-            b = b[b["embedding"].str.len() == q.shape[1]]
+            b = b[b["embedding"].str.len() == q.shape[1]].sort_values("id", kind="stable").drop_duplicates("id")
             if not len(b):
                 continue
-            scores = np.round(np.stack(b["embedding"].to_numpy()).astype(np.float64) @ q.T, 6)
-            own = b["id"].to_numpy()
-            part = []
-            for j in range(len(ids)):
-                order = np.lexsort((own, -scores[:, j]))[:k]
-                part.append(pd.DataFrame({"j": j, "id": own[order], "score": scores[order, j]}))
-            best = pd.concat([best, *part]) if best is not None else pd.concat(part)
-            best = best.sort_values(["j", "score", "id"], ascending=[True, False, True]).groupby("j", sort=False).head(k)
-        if best is not None:
-            yield pd.DataFrame({"query_id": [ids[j] for j in best["j"]], "id": best["id"], "score": best["score"]})
+            own, x = b["id"].to_numpy(), np.stack(b["embedding"].to_numpy()).astype(np.float64)
+            for first in range(0, len(ids), QUERY_BLOCK):
+                scores = np.round(q[first : first + QUERY_BLOCK] @ x.T, 6)
+                low = scores.min(initial=0) - 1
+                out = []
+                for j in range(len(scores)):
+                    c = best_columns(scores[j] - low, k)
+                    out.append((np.full(len(c), first + j), c, scores[j, c]))
+                j, c, score = (np.concatenate(z) for z in zip(*out))
+                yield pd.DataFrame({"query_id": [ids[i] for i in j], "id": own[c], "score": score})
 
     return run
 
@@ -191,26 +207,25 @@ def _nearest_in_task(ids: list, q: np.ndarray, k: int):
 def vector(queries: DataFrame, vectors: DataFrame, k: int = 5, live: DataFrame | None = None) -> DataFrame:
     """queries(query_id, embedding) against vectors(id, embedding) by dot product, exact, no floor; ties by id.
 
-    Queries go to the tasks in blocks of QUERY_BLOCK; each vector is scored where it lies, and only k rows a task and query
-    leave it. Rows without an embedding or of another length are left out, repeated ids count once.
+    Each vector is scored where it lies, against blocks of QUERY_BLOCK queries in one scan, and only k rows a batch and query
+    leave it. Rows without an embedding or of another length are left out, repeated ids count once (with their best score).
     """
     check_arguments(None, k)
-    rows = vectors.where("embedding is not null and id is not null").select("id", "embedding").dropDuplicates(["id"])
+    rows = vectors.where("embedding is not null and id is not null").select("id", "embedding")
     if live is not None:
         rows = rows.join(live.where("active").select("id").distinct(), "id", "left_semi")
-    asked = queries.where("embedding is not null").select("query_id", "embedding")
-    total = asked.count()
-    blocks = max(1, -(-2 * total // QUERY_BLOCK))  # half full on average, by a hash of the id
-    q = cut(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
-    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
-    out = None
-    for n in range(blocks):
-        block = q.where(F.col("block") == n).collect()  # about QUERY_BLOCK / 2 rows
-        dims = len(block[0]["embedding"]) if block else 0
-        m = np.array([r["embedding"] for r in block if len(r["embedding"]) == dims], np.float64).reshape(-1, dims)
-        part = rows.mapInPandas(_nearest_in_task([r["query_id"] for r in block if len(r["embedding"]) == dims], m, k), schema)
-        out = part if out is None else out.unionByName(part)
-    return top(out, k, F.desc("score"), "id").select("query_id", "id", "rank", "score")
+    asked = cut(queries.where("embedding is not null").select("query_id", "embedding"))
+    scans = max(1, -(-asked.count() // QUERY_SCAN))
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+    out = vectors.sparkSession.createDataFrame([], schema)
+    for n in range(scans):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(scans)) == n).orderBy("query_id").collect()  # about QUERY_SCAN rows
+        dims = max((len(r["embedding"]) for r in block), default=0)
+        kept = [r for r in block if len(r["embedding"]) == dims]
+        if kept:
+            out = out.unionByName(rows.mapInPandas(_nearest_in_task([r["query_id"] for r in kept], np.array([r["embedding"] for r in kept], np.float64), k), schema))
+    once = out.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return top(once, k, F.desc("score"), "id").select("query_id", "id", "rank", "score")
 
 
 def pooled(windows: DataFrame) -> DataFrame:
@@ -238,13 +253,35 @@ def inactive_candidates(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     return ranked.join(chunks.where("active").select("id").distinct(), "id", "left_anti")
 
 
+def fused(ranked: list[tuple[str, DataFrame, float]], chunks: DataFrame, k: int = 5, pool: int | None = None) -> DataFrame:
+    """rrf, refusing lists with a candidate that is no active chunk: a retired one means that an index is stale."""
+    kept = [(name, cut(r), weight) for name, r, weight in ranked]
+    for name, r, _ in kept:
+        bad = inactive_candidates(r.select("id").distinct(), chunks).head(1)
+        if bad:
+            raise ValueError(f"{name} returned a chunk that is not active: {bad[0]['id']}")
+    return rrf(kept, k, pool)
+
+
 def excluding(retrieve, queries: DataFrame, chunks: DataFrame, excluded: DataFrame, k: int = 5) -> DataFrame:
-    """Oversample, drop chunks of excluded documents(doc_id), cut to k; may return fewer than k."""
-    n = excluded.select("doc_id").distinct().count()
-    wide = retrieve(queries, chunks, min(MOST, k + n + 3))
-    of = chunks.where("active").select("id", "doc_id").dropDuplicates(["id"])
-    kept = wide.join(of, "id").join(F.broadcast(excluded.select("doc_id").distinct()) if n <= 100_000 else excluded.select("doc_id").distinct(), "doc_id", "left_anti")
-    return top(kept.drop("rank"), k, F.desc("score"), "id").select("query_id", "id", "rank", "score")
+    """Oversample, drop chunks of excluded documents(doc_id), cut to k in the retriever's own order; may return fewer than k."""
+    gone = cut(excluded.select("doc_id").distinct())
+    n = gone.count()
+    wide = cut(retrieve(queries, chunks, min(MOST, k + n + 3)))
+    of = chunks.where("active").select("id", "doc_id").join(F.broadcast(wide.select("id").distinct()) if wide.count() <= 100_000 else wide.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    kept = wide.join(of, "id").join(F.broadcast(gone) if n <= 100_000 else gone, "doc_id", "left_anti")
+    return top(kept.withColumnRenamed("rank", "was"), k, F.col("was")).select("query_id", "id", "rank", "score")
+
+
+def rank_of(ranked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, id, rank): where each of wanted(query_id, id) stands in the list, null where it does not."""
+    return wanted.select("query_id", "id").distinct().join(ranked.select("query_id", "id", "rank"), ["query_id", "id"], "left")
+
+
+def supplied(evidence: DataFrame, k: int = 5) -> DataFrame:
+    """A retriever's answer from given evidence(query_id, id, at): the first k in the order `at`, all with score 1."""
+    check_arguments(None, k)
+    return top(evidence, k, F.col("at"), F.col("id")).select("query_id", "id", "rank", F.lit(1.0).alias("score"))
 
 
 def term_mismatch(queries: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Splitters: documents to line-addressed chunks.
 
-Baseline and page splitting are folds over the lines of one row: the state holds the starts of the chunks so far, so a
-document becomes its chunks in the scan's own stage, without exploding lines and without an exchange. Block and procedure
-splitting, whose rules look back and ahead, run as Python functions in Arrow batches, again without an exchange.
+A document becomes its chunks in the scan's own stage, without exploding lines and without an exchange. Page splitting is
+a fold over the lines of one row. The splitters for texts run as Python functions in Arrow batches: a fold in the JVM,
+whose state grows by copying, took twice their time, and an index form of it fifteen times.
 
 Input: (doc_id, hash, text) and, for pages, (doc_id, hash, pages array<array<string>>). Output columns: CHUNK_COLUMNS.
 Null or blank texts give no chunk.
@@ -25,14 +25,6 @@ BUDGET = 20
 CHUNK_COLUMNS = ["id", "doc_id", "section", "start_line", "end_line", "text", "version", "active", "kind", "page"]
 
 
-def _flagged(lines: Column) -> Column:
-    """array<struct<i, fence, head>> of lines; head is the heading's title or null, fences not yet considered."""
-    return F.transform(
-        lines,
-        lambda x, i: F.struct(i.cast("int").alias("i"), x.rlike(T.FENCE).alias("fence"), F.when(x.rlike(T.HEADING), F.regexp_extract(x, T.HEADING, 1)).alias("head")),
-    )
-
-
 def _emit(rows: DataFrame, splitter: str, spans: Column, kind: Column, page: Column | None = None) -> DataFrame:
     """Chunks of (doc_id, hash, ls) by spans array<struct<start, end, section>>; blank ones drop out."""
     flat = rows.withColumn("span", F.explode(spans)).withColumn("block", F.slice("ls", F.col("span.start"), F.col("span.end") - F.col("span.start") + 1)).withColumn("text", F.array_join("block", "\n"))
@@ -44,28 +36,6 @@ def _emit(rows: DataFrame, splitter: str, spans: Column, kind: Column, page: Col
     )
 
 
-def _closed(starts: Column, total: Column) -> Column:
-    """Spans from starts array<struct<start, section>>: each ends before the next starts."""
-    return F.transform(starts, lambda s, i: F.struct(s["start"].alias("start"), F.when(i + 1 < F.size(starts), F.try_element_at(starts, (i + 2).cast("int"))["start"] - 1).otherwise(total).alias("end"), s["section"].alias("section")))
-
-
-def split_lines(docs: DataFrame) -> DataFrame:
-    """Baseline: a heading outside fences or the 20-line budget starts a chunk; every chunk is body."""
-    rows = docs.select("doc_id", "hash", T.lines(F.col("text")).alias("ls")).withColumn("f", _flagged(F.col("ls")))
-    zero = F.struct(F.array().cast("array<struct<start:int,section:string>>").alias("starts"), F.lit(0).alias("n"), F.lit(False).alias("fenced"), F.lit(T.BODY_SECTION).alias("section"))
-
-    def step(s, x):
-        fenced = F.when(x["fence"], ~s["fenced"]).otherwise(s["fenced"])
-        head = x["head"].isNotNull() & ~fenced
-        section = F.when(head, x["head"]).otherwise(s["section"])
-        new = head | (s["n"] == 0) | (s["n"] >= BUDGET)
-        start = F.struct((x["i"] + 1).alias("start"), section.alias("section"))
-        return F.struct(F.when(new, F.concat(s["starts"], F.array(start))).otherwise(s["starts"]).alias("starts"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), fenced.alias("fenced"), section.alias("section"))
-
-    spans = _closed(F.col("starts"), F.size("ls"))
-    return _emit(rows.withColumn("starts", F.aggregate("f", zero, step, lambda s: s["starts"])).drop("f"), LINES, spans, F.lit("body"))
-
-
 def _peel(rows: DataFrame) -> DataFrame:
     """Of rows with u struct<start, end, section> and ls: adds parts, u itself or provenance and body of it.
 
@@ -194,46 +164,67 @@ def _pieces(lines: list[str], first: int, last: int) -> list[tuple[int, int]]:
     return [*out, (start, last)] if start is not None else out
 
 
-def _by_lines(docs: DataFrame, splitter: str, rule) -> DataFrame:
-    """Chunks by a rule on the lines of a document, in Arrow batches; no exchange."""
+def line_chunks(lines: list[str]) -> list[tuple[str, int, int, str]]:
+    """(section, start, end, kind) of the baseline."""
+    out, inside, title, start = [], False, T.BODY_SECTION, 1
+    for n, line in enumerate(lines, 1):
+        inside ^= bool(_FENCED.match(line))
+        head = None if inside else _HEAD.match(line)
+        if n > start and (head or n - start >= BUDGET):
+            out.append((title, start, n - 1, "body"))
+            start = n
+        title = head[1] if head else title
+    if lines:
+        out.append((title, start, len(lines), "body"))
+    return [x for x in out if any(r.strip() for r in lines[x[1] - 1 : x[2]])]
+
+
+def split_by_name(docs: DataFrame) -> DataFrame:
+    """Chunks of (doc_id, hash, text, splitter) by each row's own text splitter, in one pass; other splitters give none."""
     breaks = re.compile(T.LINE_BREAK)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    rules = {LINES: line_chunks, BLOCK: block_chunks, PROCEDURE: procedure_chunks}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, version, text in zip(b["doc_id"], b["hash"], b["text"]):
+            for doc, version, text, splitter in zip(b["doc_id"], b["hash"], b["text"], b["splitter"]):
+                if splitter not in rules:
+                    continue
                 ls = breaks.split(text) if text else []
                 ls = ls[:-1] if ls and ls[-1] == "" else ls
-                for section, a, z, k in rule(ls):
+                for section, a, z, k in rules[splitter](ls):
                     name = hashlib.sha256(f"{doc}:{version}:{splitter}:{a}:{z}".encode()).hexdigest()
                     out.append((name, doc, section, a, z, "\n".join(ls[a - 1 : z]), version, True, k))
             if out:
                 yield pd.DataFrame(out, columns=CHUNK_COLUMNS[:-1])
 
-    chunks = docs.select("doc_id", "hash", "text").mapInPandas(run, f"id string, doc_id {kind}, section string, start_line int, end_line int, text string, version string, active boolean, kind string")
+    chunks = docs.select("doc_id", "hash", "text", "splitter").mapInPandas(run, f"id string, doc_id {kind}, section string, start_line int, end_line int, text string, version string, active boolean, kind string")
     return chunks.withColumn("page", F.lit(None).cast("int"))
 
 
+def _by_lines(docs: DataFrame, splitter: str) -> DataFrame:
+    return split_by_name(docs.select("doc_id", "hash", "text", F.lit(splitter).alias("splitter")))
+
+
+def split_lines(docs: DataFrame) -> DataFrame:
+    """Baseline: a heading outside fences or the 20-line budget starts a chunk; every chunk is body."""
+    return _by_lines(docs, LINES)
+
+
 def split_blocks(docs: DataFrame) -> DataFrame:
     """Blocks by heading; see block_chunks."""
-    return _by_lines(docs, BLOCK, block_chunks)
+    return _by_lines(docs, BLOCK)
 
 
 def split_procedures(docs: DataFrame) -> DataFrame:
     """Procedures; see procedure_chunks."""
-    return _by_lines(docs, PROCEDURE, procedure_chunks)
+    return _by_lines(docs, PROCEDURE)
 
 
 # ---- pages ----------------------------------------------------------------------------------------------------------
 
 
-def page_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, pl array<struct<page, line>>) of (doc_id, hash, pages)."""
-    flat = F.flatten(F.transform("pages", lambda p, i: F.transform(p, lambda x: F.struct((i + 1).alias("page"), x.alias("line")))))
-    return docs.select("doc_id", "hash", flat.alias("pl"))
-
-
 def _edge_key(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), r"(?U)\d+", "#")
 
@@ -254,6 +245,13 @@ def page_furniture(docs: DataFrame) -> DataFrame:
     return out.where(F.col("pages") >= F.greatest(F.lit(2), F.floor((F.col("total") + 1) / 2))).select("doc_id", "edge", "key", "pages")
 
 
+def is_suspect(page: Column) -> Column:
+    """Of a page's lines: at least 12 are not blank, and over 60 % of those have 3 characters or fewer."""
+    real = F.filter(page, lambda x: ~T.is_blank(x))
+    short = F.filter(real, lambda x: F.length(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")) <= 3)
+    return (F.size(real) >= 12) & (F.size(short) > 0.6 * F.size(real))
+
+
 def suspect_pages(docs: DataFrame) -> DataFrame:
     """(doc_id, page, lines, short): pages of at least 12 non-blank lines of which over 60 % have 3 characters or fewer."""
     page = docs.select("doc_id", F.posexplode("pages").alias("at", "p")).select("doc_id", (F.col("at") + 1).alias("page"), F.transform(F.filter("p", lambda x: ~T.is_blank(x)), lambda x: F.length(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))).alias("n"))

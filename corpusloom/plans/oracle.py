@@ -33,7 +33,9 @@ def _expanded(q: str) -> str:
 
 
 _ACTIVE = "ch as (select id, any_value(kind) kind, any_value(doc_id) doc_id, any_value(text) text, any_value(start_line) start_line, any_value(end_line) end_line from chunks where active group by id)"
-_SAMPLE = "sm as (select id case_id, any_value(question) question, any_value(evidence) evidence from cases where split = 'development' and id is not null and trim(question) <> '' and len(evidence) > 0 group by id)"
+_PAGES = """pc as (select id, any_value(doc_id) doc_id, any_value(version) version, any_value(page) page, any_value(start_line) start_line, any_value(text) text from chunks where active and page is not null group by id),
+pp as (select doc_id id, row_number() over (partition by doc_id, version order by page) page, string_agg(text, chr(10) order by start_line, id) t from pc group by doc_id, version, page)"""
+_SAMPLE = "sm as (select id case_id, any_value(split) split, any_value(question) question, any_value(evidence) evidence from cases where split in ('development', 'holdout') and id is not null and trim(question) <> '' and len(evidence) > 0 group by id)"
 _ONE = f"qs as (select 'q' query_id, '{QUESTION}' text)"
 _DEV = f"{_SAMPLE}, qs as (select case_id query_id, question text from sm)"
 _TERMS = f"""tk as (select id, kind, unnest({_TOK.format("text")}) term from ch),
@@ -45,6 +47,19 @@ kr as (select query_id, id, score, row_number() over (partition by query_id orde
 _BM25 = """st as (select count(*) n, avg(length) avgdl from le), df as (select term, count(*) df from tf group by 1),
 bs as (select query_id, id, kind, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 6) score from tf join qt using (term) join df using (term) join le using (id, kind), st group by all),
 br as (select query_id, id, score, row_number() over (partition by query_id order by kind <> 'body', score desc, id) rank from bs where score > 0)"""
+_EXCLUDED = f"ex as (select id doc_id from documents where lower(trim(source)) = '{EXCLUDED}'), n as (select least(20, 5 + (select count(*) from ex) + 3) n)"
+_VECTORS = """{n}_t as (select id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]+') ts from {rows}), {n}_w as (select id, ts, unnest(range(0, greatest(1, cast(ceil(len(ts) / 100.0) as int)))) i from {n}_t),
+{n}_h as (select id, i, sha256(array_to_string(ts[i * 100 + 1:(i + 1) * 100], ' ')) h from {n}_w), {n}_d as (select id, i, h, unnest(range(0, 8)) dim from {n}_h),
+{n}_x as (select id, i, dim, cast(('0x' || substr(h, cast(8 * dim + 1 as int), 8)) as bigint) / 2147483648.0::double - 1 x from {n}_d), {n}_s as (select id, i, greatest(sqrt(sum(x * x)), 1e-12) s from {n}_x group by 1, 2),
+{n}_m as (select id, dim, avg(x / s) m from {n}_x join {n}_s using (id, i) group by 1, 2), {n}_l as (select id, greatest(sqrt(sum(m * m)), 1e-12) s from {n}_m group by 1), {n}_n as (select id, dim, m / s x from {n}_m join {n}_l using (id))"""
+_BY_VECTOR = f"""qx as (select query_id id, text from qs), {_VECTORS.format(rows='ch', n='vv')}, {_VECTORS.format(rows='qx', n='ww')}, ve as (select id, list(x order by dim) e from vv_n group by 1), we as (select id query_id, list(x order by dim) e from ww_n group by 1),
+vs as (select query_id, ve.id, round(list_dot_product(ve.e, we.e), 6) score from ve, we), vr as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) rank from vs)"""
+
+
+def _change(own: str, base: str) -> str:
+    return f"case when {own}.recall is null or {base}.recall is null then 'unscored' when {own}.recall > {base}.recall then 'gained' when {own}.recall < {base}.recall then 'lost' else 'same' end"
+
+
 _COVER = """sp as (select case_id, unnest(evidence) e, unnest(range(1, len(evidence) + 1)) span_no from sm),
 ds as (select case_id, span_no, coalesce(e.required_together, true) together, e.start_line a, e.end_line z, coalesce(u.id, v.id) doc from sp left join documents u on u.url = e.source left join documents v on v.id = e.source),
 cv as (select case_id, span_no, together, ch.id from ds left join ch on ch.doc_id = doc and ch.start_line <= z and ch.end_line >= a)"""
@@ -57,7 +72,7 @@ def _bundles(ranked: str, name: str) -> str:
 {name}_c as (select case_id, count(span_no) relevant, count(*) filter (where whole) w, count(*) filter (where retrieved > 0 and not whole) br, bool_or(stale) stale from {name}_b group by 1),
 {name}_s as (select case_id, coalesce(relevant, 0) relevant, cast(case when stale then 0 else w end as bigint) whole, cast(case when stale then 0 else br end as bigint) broken,
  case when not stale then round(w / relevant, 6) end recall, cast(case when stale then 0 else coalesce(t, 0) end as bigint) tokens, cast(case when stale then 0 else coalesce(m, 0) end as bigint) metadata_chunks
- from sm left join {name}_c using (case_id) left join {name}_e using (case_id))"""
+, split from sm left join {name}_c using (case_id) left join {name}_e using (case_id))"""
 
 
 _EVAL = f"with {_ACTIVE}, {_DEV}, {_TERMS}, {_BM25}, {_COVER}, {_bundles('br', 'b')}"
@@ -70,6 +85,19 @@ def _sums(rows: str, lead: str = "") -> str:
     return f"(select count(*) n, sha256({lead}" + " || ':' || ".join(_HASHSUM.format(a) for a in (1, 9, 17, 25)) + f") x from {rows})"
 
 
+_SIZES = "kc as (select query_id, count(*) c from kr where rank <= 15 group by 1), sz as (select qs.query_id, least(5, coalesce(c, 0)) s1, least(10, coalesce(c, 0)) s2, least(15, coalesce(c, 0)) s3 from qs left join kc using (query_id))"
+_MODES = f"""{_SIZES}, md as (select query_id, 'off' mode, 0 rounds, cast(s1 as int) reached, 'round_limit' stop_reason, 'same' change from sz union all select query_id, 'on', 1, cast(s1 as int), 'no_new_evidence', 'same' from sz
+union all select query_id, 'widening', case when s2 = s1 then 1 else 2 end, cast(s3 as int), case when s3 = s2 or s2 = s1 then 'no_new_evidence' else 'round_limit' end, case when s3 > s1 then 'gained' else 'same' end from sz)"""
+_CALLS = "cl as (select user_id account, event_id id, cast(round(value * 100) as bigint) amount, event_type in ('error', 'view') opens, row_number() over (partition by user_id order by ts, event_id) n from events)"
+
+
+def _guard(limit: int, opens: str) -> str:
+    ok = f"not blocked and spent + cl.amount <= {limit} and cl.amount >= 0"
+    return f"""with recursive {_CALLS}, f as (select account, n, id, 0::bigint spent_before, amount >= 0 and amount <= {limit} accepted, case when amount >= 0 and amount <= {limit} and not ({opens}) then amount else 0 end spent, amount >= 0 and amount <= {limit} and ({opens}) blocked from cl where n = 1
+union all select cl.account, cl.n, cl.id, spent, {ok}, case when {ok} and not ({opens}) then spent + cl.amount else spent end, blocked or ({ok} and ({opens})) from f join cl on cl.account = f.account and cl.n = f.n + 1)
+select account, id, accepted, spent_before from f"""
+
+
 _ANSWERS = """ca as (select id answer_id, any_value(question) question, any_value(expected_status) status, any_value(evidence) evidence from cases where len(evidence) > 0 and question is not null group by id),
 an as (select answer_id, question, status, case when status = 'grounded' then '' else 'not stated' end missing, list_filter(evidence, lambda e: len(e.must_include) > 0) ev from ca)"""
 
@@ -83,17 +111,19 @@ ORACLE_SQL: dict[str, str] = {
     "q_chunk_baseline": f"with {_BASE} select * from base",
     "q_chunk_census": f"with {_BASE} select doc_id, count(*) chunks, count(*) filter (where kind = 'metadata') metadata, count(*) filter (where kind <> 'metadata') body, cast(round(avg(length(text)), 0) as bigint) mean_chars from base group by 1",
     "q_page_furniture": f"""
-with pg as (select id, unnest(string_split(text, chr(10) || chr(10))) p, unnest(range(1, len(string_split(text, chr(10) || chr(10))) + 1)) page from documents where text is not null),
-nb as (select id, page, list_filter(string_split(p, chr(10)), lambda x: not ({_BLANK.format("x")})) r from pg),
+with {_PAGES}, pg as (select id, page, string_split(t, chr(10)) ls from pp),
+nb as (select id, page, list_filter(ls, lambda x: not ({_BLANK.format("x")})) r from pg),
 tot as (select id, count(*) total from pg group by 1),
 e as (select id, 'top' edge, r[1] x from nb where len(r) > 0 union all select id, 'bottom' edge, r[-1] x from nb where len(r) > 0),
 k as (select id, edge, regexp_replace(regexp_replace(x, '^{_S}+|{_S}+$', '', 'g'), '\\d+', '#', 'g') key from e)
 select id doc_id, edge, key, cast(count(*) as int) pages from k join tot using (id) where total >= 2 group by id, edge, key, total having count(*) >= greatest(2, (total + 1) // 2)""",
     "q_suspect_pages": f"""
-with pg as (select id, unnest(string_split(text, chr(10) || chr(10))) p, unnest(range(1, len(string_split(text, chr(10) || chr(10))) + 1)) page from documents where text is not null),
-nb as (select id, page, list_filter(string_split(p, chr(10)), lambda x: not ({_BLANK.format("x")})) r from pg),
+with {_PAGES}, nb as (select id, page, list_filter(regexp_extract_all(t, '[^\\n]{{1,3}}'), lambda x: not ({_BLANK.format("x")})) r from pp),
 c as (select id, page, len(r) n, len(list_filter(r, lambda x: length(regexp_replace(x, '^{_S}+|{_S}+$', '', 'g')) <= 3)) s from nb)
 select id doc_id, cast(page as int) page, cast(n as int) lines, cast(s as int) short from c where n >= 12 and s > 0.6 * n""",
+    "q_import_pages": f"""
+with {_PAGES}, x as (select id, page, len(list_filter(string_split(t, chr(10)), lambda x: not ({_BLANK.format("x")}))) n from pp)
+select 'pages/' || id source, 'pdf-pages-v1' splitter, cast(sum(n) as bigint) lines, count(*) filter (where n > 0) pages from x group by 1 having sum(n) > 0""",
     "q_chunk_preview": f"""with {_ACTIVE}, x as (select ch.*, string_split(d.text, chr(10)) ls from ch join documents d on d.id = ch.doc_id)
 select id, kind, start_line, end_line, cast(length(text) as int) chars, array_to_string(ls[greatest(1, start_line - 2):start_line - 1], chr(10)) before, array_to_string(ls[end_line + 1:end_line + 2], chr(10)) after from x""",
     "q_metadata_blocks": f"""with {_ACTIVE}, n as (select id, kind, list_filter(string_split_regex(text, {_BR}), lambda x: not ({_BLANK.format("x")})) r from ch where text is not null)
@@ -122,16 +152,31 @@ n as (select label, greatest(sqrt(sum(m * m)), 1e-12) s from m group by 1) selec
 u as (select query_id, id, 'k' n, rank from kr where rank <= 10 union all select query_id, id, 'b' n, rank from br where rank <= 10),
 f as (select query_id, id, round(sum(1.0::double / (60 + rank)), 9) score, max(case when n = 'k' then rank end) rk, max(case when n = 'b' then rank end) rb from u group by 1, 2)
 select query_id, id, cast(row_number() over (partition by query_id order by score desc, id) as int) rank, score, cast(coalesce(rk, 0) as int) rank_keyword, cast(coalesce(rb, 0) as int) rank_bm25 from f qualify rank <= 5""",
-    "q_exclude": f"""with {_ACTIVE}, {_ONE}, {_TERMS}, {_KEYWORD}, ex as (select id doc_id from documents where lower(trim(source)) = '{EXCLUDED}'),
-n as (select least(20, 5 + (select count(*) from ex) + 3) n), x as (select query_id, kr.id, score from kr join ch using (id), n where rank <= n and ch.doc_id not in (select doc_id from ex))
-select query_id, id, cast(row_number() over (partition by query_id order by score desc, id) as int) rank, cast(score as double) score from x qualify rank <= 5""",
+    "q_exclude": f"""with {_ACTIVE}, {_ONE}, {_TERMS}, {_KEYWORD}, {_EXCLUDED}, x as (select query_id, kr.id, score, rank was from kr join ch using (id), n where rank <= n and ch.doc_id not in (select doc_id from ex))
+select query_id, id, cast(row_number() over (partition by query_id order by was) as int) rank, cast(score as double) score from x qualify rank <= 5""",
+    "q_exclude_bm25": f"""with {_ACTIVE}, {_DEV}, {_TERMS}, {_BM25}, {_EXCLUDED}, x as (select query_id, br.id, score, rank was from br join ch using (id), n where rank <= n and ch.doc_id not in (select doc_id from ex))
+select query_id, id, cast(row_number() over (partition by query_id order by was) as int) rank, score from x qualify rank <= 5""",
+    "q_search_guard": "select distinct id query_id, 'the query is blank' problem from runs where id % 7 = 0 or trim(coalesce(query, '')) = ''",
+    "q_vector_index": f"with {_ACTIVE}, {_VECTORS.format(rows='ch', n='v')} select id, cast(dim as int) dim, round(x, 6) x from v_n",
+    "q_rrf_vector": f"""with {_ACTIVE}, {_DEV}, {_TERMS}, {_KEYWORD}, {_BM25}, {_BY_VECTOR},
+u as (select query_id, id, 'k' n, rank from kr where rank <= 10 union all select query_id, id, 'b' n, rank from br where rank <= 10 union all select query_id, id, 'v' n, rank from vr where rank <= 10),
+f as (select query_id, id, round(sum(1.0::double / (60 + rank)), 9) score, max(case when n = 'k' then rank end) rk, max(case when n = 'b' then rank end) rb, max(case when n = 'v' then rank end) rv from u group by 1, 2)
+select query_id, id, cast(row_number() over (partition by query_id order by score desc, id) as int) rank, score, cast(coalesce(rk, 0) as int) rank_keyword, cast(coalesce(rb, 0) as int) rank_bm25, cast(coalesce(rv, 0) as int) rank_vector from f qualify rank <= 5""",
+    "q_compare_modes": f"""with {_ACTIVE}, {_DEV}, {_TERMS}, {_BM25}, {_BY_VECTOR},
+u as (select query_id, id, rank from br where rank <= 10 union all select query_id, id, rank from vr where rank <= 10), f as (select query_id, id, round(sum(1.0::double / (60 + rank)), 9) score from u group by 1, 2),
+hr as (select query_id, id, row_number() over (partition by query_id order by score desc, id) rank from f), {_COVER}, {_bundles('vr', 'v')}, {_bundles('br', 'b')}, {_bundles('hr', 'h')}
+select case_id, v_s.recall recall_vector, b_s.recall recall_bm25, h_s.recall recall_hybrid, {_change('b_s', 'v_s')} change_bm25, {_change('h_s', 'v_s')} change_hybrid, v_s.split from v_s left join b_s using (case_id) left join h_s using (case_id)""",
+    "q_rank_lookup": f"with {_ACTIVE}, {_DEV}, {_TERMS}, {_BM25}, {_COVER}, w as (select distinct case_id query_id, id from cv where id is not null) select query_id, id, cast(rank as int) rank from w left join (select * from br where rank <= 5) r using (query_id, id)",
+    "q_section_recall": f"""with {_ACTIVE}, {_DEV}, {_TERMS}, {_BM25}, sc as (select id, any_value(section) section from chunks where active group by id), n as (select count(*) n from sc where section = '(body)'),
+g as (select query_id, count(*) r from br join sc using (id) where rank <= 5 and section = '(body)' group by 1)
+select query_id, '(body)' section, n chunks, coalesce(r, 0) retrieved, case when n > 0 then round(coalesce(r, 0) / n, 6) end recall from qs left join g using (query_id), n""",
     "q_term_mismatch": f"""with {_ACTIVE}, {_DEV}, {_TERMS}, {_KEYWORD}, c as (select query_id, count(*) n from kr where rank <= 5 group by 1),
 t as (select query_id, text, {_TOK.format(_expanded("text"))} ts from qs)
 select query_id, cast(len(list_filter(ts, lambda x: regexp_matches(x, '^[\\x{{4e00}}-\\x{{9fff}}]+$'))) as int) han_terms, cast(len(list_filter(ts, lambda x: not regexp_matches(x, '^[\\x{{4e00}}-\\x{{9fff}}]+$'))) as int) other_terms,
 {" or ".join(f"contains(text, '{a}')" for a, _ in _ALIAS)} alias_hit, coalesce(n, 0) candidates, n is null zero from t left join c using (query_id)""",
     "q_import_status": f"""with {_CURRENT}, {_INCOMING} select id, inc.hash, case when cur.hash is null then 'imported' when cur.hash = inc.hash then 'unchanged' else 'updated' end status from inc left join cur using (id)""",
     "q_import_invalid": f"""with p as (select case when {_BLANK.format("coalesce(source, '')")} then 'source is blank' when {_BLANK.format("coalesce(title, '')")} then 'title is blank' when {_BLANK.format("coalesce(license, '')")} then 'license is blank'
- when acquired is null then 'acquired is no date' when {_BLANK.format("coalesce(text, '')")} then 'text is blank' when splitter not in ('heading-lines-v1:20', 'heading-block-v2', 'heading-procedure-v3', 'pdf-pages-v1') then 'unknown splitter' end problem from documents)
+ when acquired is null then 'acquired is no date' when {_BLANK.format("coalesce(text, '')")} then 'text is blank' when splitter not in ('heading-lines-v1:20', 'heading-block-v2', 'heading-procedure-v3', 'pdf-pages-v1') then 'unknown splitter' when splitter = 'pdf-pages-v1' then 'the page splitter for a text' end problem from documents)
 select problem, count(*) "rows" from p where problem is not null group by 1""",
     "q_delete": f"""with g as (select id from documents where text is not null and contains(url, '{EXCLUDED}')), c as (select id, any_value(active) active, any_value(doc_id) doc_id from chunks group by id)
 select id, active and doc_id not in (select id from g) active from c""",
@@ -147,21 +192,29 @@ select c.id, d.hash as version, case when not active then 'retired' when c.versi
     "q_spans": f"with {_ACTIVE}, {_SAMPLE}, {_COVER} select case_id, cast(span_no as int) span_no, count(id) covering from cv group by 1, 2",
     "q_bundle_recall": f"{_EVAL} select case_id, cast(span_no as int) span_no, covering, retrieved, stale, whole, retrieved > 0 and not whole broken from b_b",
     "q_case_scores": f"{_EVAL} select * from b_s",
-    "q_macro_recall": f"{_EVAL} select count(*) cases, count(recall) scored, round(avg(recall), 6) macro_recall, round(avg(tokens), 6) mean_tokens, cast(sum(metadata_chunks) as bigint) metadata_chunks, cast(sum(broken) as bigint) broken_bundles from b_s",
+    "q_macro_recall": f"{_EVAL} select split, count(*) cases, count(recall) scored, round(avg(recall), 6) macro_recall, round(avg(tokens), 6) mean_tokens, cast(sum(metadata_chunks) as bigint) metadata_chunks, cast(sum(broken) as bigint) broken_bundles from b_s group by split",
+    "q_eval_report": f"""{_EVAL}, a as (select distinct sha256(case_id || ':' || question || ':' || array_to_string(list_transform(evidence, lambda e: array_to_string(list_filter([e.source, cast(e.start_line as varchar), cast(e.end_line as varchar), array_to_string(coalesce(e.must_include, []), '~'), cast(e.required_together as varchar)], lambda y: y is not null), '|')), ';')) h from sm),
+b as (select distinct sha256(id || ':' || hash || ':' || splitter) h from documents)
+select count(*) cases, count(recall) scored, round(avg(recall), 6) macro_recall, round(avg(tokens), 6) mean_tokens, cast(sum(metadata_chunks) as bigint) metadata_chunks, cast(sum(broken) as bigint) broken_bundles, any_value(a.x) cases_hash, any_value(b.x) documents_hash, 'none' encoder, 'generation' not_run, false complete, 0 "cost" from b_s, {_sums('a')} a, {_sums('b')} b""",
     "q_compare_retrievers": f"""with {_ACTIVE}, {_DEV}, {_TERMS}, {_KEYWORD}, {_BM25}, {_COVER}, {_bundles('br', 'b')}, {_bundles('kr', 'k')}
-select case_id, k_s.recall recall_keyword, b_s.recall recall_bm25, case when k_s.recall is null or b_s.recall is null then 'unscored' when b_s.recall > k_s.recall then 'gained' when b_s.recall < k_s.recall then 'lost' else 'same' end change_bm25 from k_s left join b_s using (case_id)""",
+select case_id, k_s.recall recall_keyword, b_s.recall recall_bm25, case when k_s.recall is null or b_s.recall is null then 'unscored' when b_s.recall > k_s.recall then 'gained' when b_s.recall < k_s.recall then 'lost' else 'same' end change_bm25, k_s.split from k_s left join b_s using (case_id)""",
     "q_degradation": f"""{_EVAL}, g as (select case_id, bool_or(stale) stale, bool_or(retrieved > 0 and not whole) broken, bool_and(whole) whole from b_b group by 1), n as (select distinct query_id case_id, 1 n from br where rank <= 5)
-select case_id, case when stale then 'stale' when n is null then 'zero_candidates' when whole then 'none' when broken then 'partial' else 'ranked_out' end reason from sm join g using (case_id) left join n using (case_id)""",
+select case_id, case when stale then 'stale' when n is null then 'zero_candidates' when whole then 'none' when broken then 'partial' else 'ranked_out' end reason, split from sm join g using (case_id) left join n using (case_id)""",
     "q_freeze": f"""with {_SAMPLE}, a as (select distinct sha256(case_id || ':' || question || ':' || array_to_string(list_transform(evidence, lambda e: array_to_string(list_filter([e.source, cast(e.start_line as varchar), cast(e.end_line as varchar), array_to_string(coalesce(e.must_include, []), '~'), cast(e.required_together as varchar)], lambda y: y is not null), '|')), ';')) h from sm),
 b as (select distinct sha256(id || ':' || hash || ':' || splitter) h from documents) select a.n cases, a.x cases_hash, b.n documents, b.x documents_hash from {_sums('a')} a, {_sums('b')} b""",
-    "q_sample_overlap": "select distinct id from cases where split = 'development' and id in (select id from cases where split = 'holdout')",
+    "q_sample_overlap": "select distinct id from cases where split = 'development' and (substr(id, -1) in ('1', '2', '3') or id in (select id from cases where split = 'holdout'))",
     "q_supplement_rounds": f"""with {_ACTIVE}, {_DEV}, {_TERMS}, {_KEYWORD}, e as (select query_id, id, ceil(rank / 5.0) r from kr where rank <= 15), m as (select query_id, max(r) last, count(*) n from e group by 1)
 select query_id, cast(least(3, coalesce(last, 0) + 1) as int) rounds, coalesce(n, 0) chunks, case when coalesce(last, 0) < 3 then 'no_new_evidence' else 'round_limit' end stop_reason from qs left join m using (query_id)""",
+    "q_supplement_modes": f"with {_ACTIVE}, {_DEV}, {_TERMS}, {_KEYWORD}, {_MODES} select * from md",
+    "q_stop_histogram": f"with {_ACTIVE}, {_DEV}, {_TERMS}, {_KEYWORD}, {_MODES} select mode, stop_reason, count(*) queries from md group by 1, 2",
+    "q_bounded_rounds": f"""with {_ACTIVE}, {_DEV}, {_TERMS}, {_KEYWORD}, {_SIZES}
+select query_id, case when s2 = s1 then 'no_new_evidence' when contains(lower(text), 'how') then 'sufficient' when contains(lower(text), 'limit') then 'timeout' when s3 = s2 then 'no_new_evidence' else 'round_limit' end stop_reason,
+ case when s2 = s1 or contains(lower(text), 'how') then 1 else 2 end supplementary_rounds, cast(case when s2 = s1 or contains(lower(text), 'how') or contains(lower(text), 'limit') then s2 else s3 end as int) evidence from sz join qs using (query_id)""",
     "q_quote_verify": """with c as (select id, any_value(evidence) ev from cases group by id), e as (select id, unnest(ev) e, unnest(range(0, len(ev))) passage from c),
 q as (select id, passage, e.source url, unnest(e.must_include) quote, unnest(range(0, len(e.must_include))) n from e)
 select q.id, cast(passage as int) passage, cast(n as int) n, coalesce(contains(text, quote), false) verbatim from q left join documents using (url)""",
     "q_inactive_candidates": """with r as (select id, any_value(result) j from runs where result is not null group by id), c as (select distinct id run_id, unnest(from_json(json_extract(j, '$.candidates[*].id'), '["varchar"]')) id from r where json_valid(j))
-select run_id, id from c where id not in (select id from chunks where active)""",
+select run_id, id from c where id not in (select id from chunks where active and kind = 'body')""",
     "q_validate": f"""with {_ANSWERS}, ct as (select answer_id, unnest(ev) e from an), x as (select answer_id, e.source id, e.must_include[1] quote, text from ct left join documents on url = e.source),
 t as (select answer_id, count(*) n, bool_and(text is not null) known, bool_and(regexp_matches(quote, '\\S') and coalesce(contains(text, quote), false)) verbatim, count(*) = count(distinct (id, quote)) single from x group by 1)
 select answer_id, status, case when not coalesce(known, true) then 'unknown citation' when not coalesce(verbatim, true) then 'quote is not verbatim' when not coalesce(single, true) then 'citation twice'
@@ -171,6 +224,21 @@ from an left join t using (answer_id)""",
     "q_import_result": f"""with {_CURRENT}, {_INCOMING}, allv as (select id, hash, text from cur union select id, hash, text from inc),
 k as (select a.id, a.hash, a.text, case when inc.hash is null then cur.hash else inc.hash end now from allv a left join inc using (id) left join cur on cur.id = a.id),
 __BASE__ select doc_id, count(*) chunks, count(*) filter (where live) live, count(distinct hash) versions from base group by 1""",
+    "q_ledger_guard": _guard(50_000, "opens"),
+    "q_ledger_limit": _guard(400_000, "false"),
+    "q_settlement_problems": "select event_id id, 'spent more than reserved' problem from events where event_type not in ('error', 'view') and event_id % 10 = 0",
+    "q_coverage": f"""with {_ANSWERS}, qp as (select *, list_filter(list_transform(regexp_extract_all(question, '[^？?；;\\n]+[？?；;\\n]*|[？?；;\\n]+'), lambda p: regexp_replace(p, '^{_S}+|{_S}+$', '', 'g')), lambda p: p <> '') ps from an),
+w as (select *, len(ev) n, list_transform(ps, lambda p, i: case when i = 1 then missing else 'no passage' end) gaps from qp),
+x as (select *, case when len(ps) = 0 and n > 0 then 'a claim is not used' when len(ps) > 0 and n = 0 and missing = '' then 'neither claims nor gap' end problem, len(list_filter(gaps, lambda g: g <> '')) g from w)
+select answer_id, problem, case when problem is not null then status when g > 0 and n > 0 then 'partial' when n > 0 then 'grounded' else 'insufficient' end status,
+ case when problem is not null then missing else array_to_string(list_filter(list_transform(ps, lambda p, i: case when gaps[i] <> '' then p || '：' || gaps[i] end), lambda y: y is not null), chr(10)) end missing from x""",
+    "q_unknown_sources": f"""with a as (select distinct case when doc_id % 9 = 0 then '  ' when doc_id % 11 = 0 then url || '/gone' else url end source from documents)
+select source, case when trim(source) = '' then 'source is blank' else 'unknown source' end problem from a where trim(source) = '' or sha256(source) not in (select id from documents where text is not null)""",
+    "q_migrate": "with c as (select id, any_value(doc_id) doc_id from chunks group by id) select c.id, coalesce(d.hash, '') as version, true active, 'body' kind, cast(null as int) page from c left join documents d on d.id = c.doc_id",
+    "q_amend": """with r as (select id, any_value(result) j from runs group by id), o as (select id, j, coalesce(try_cast(j as json) is not null and json_type(try_cast(j as json)) = 'OBJECT', false) ok from r)
+select id, case when ok then '50' end asked, case when ok then 'false' end checked, case when ok then '2' end a, case when ok then j ->> '$.mode' end as mode, case when ok then j ->> '$.run_id' end as run_id from o""",
+    "q_amend_problems": """with r as (select id, any_value(result) j from runs group by id), o as (select id, coalesce(try_cast(j as json) is not null and json_type(try_cast(j as json)) = 'OBJECT', false) ok from r)
+select case when id % 5 = 0 then -id else id end id, 1 "at", case when id % 5 = 0 then 'unknown run' when id % 3 = 0 then 'the amendment is no object' else 'the stored result is no object' end problem from o where id % 5 = 0 or id % 3 = 0 or not ok""",
     "q_cost": """with r as (select id, any_value(coalesce(length(query), 0)) i, any_value(coalesce(length(result), 0)) o from runs group by id)
 select id, model, cast(ceil(i * input_rmb_per_million + o * output_rmb_per_million) as bigint) as "cost" from r join model_config on cast(regexp_extract(model, '-(\\d+)$', 1) as int) = 1 << cast(id % 6 + 1 as int)""",
     "q_ledger": """with c as (select case when event_type = 'error' then 'unknown' when event_type = 'view' then 'pending' else 'settled' end status, cast(round(value * 100) as bigint) a from events),
@@ -179,3 +247,4 @@ select 10000000::bigint limit_amount, cast(spent as bigint) spent, cast(held as
     "q_ledger_by_account": "select user_id account, cast(coalesce(sum(cast(round(value * 100) as bigint)) filter (where event_type not in ('error', 'view')), 0) as bigint) spent, cast(coalesce(sum(cast(round(value * 100) as bigint)) filter (where event_type in ('error', 'view')), 0) as bigint) held from events group by 1",
 }
 ORACLE_SQL["q_import_result"] = ORACLE_SQL["q_import_result"].replace("__BASE__", _BASE_OF_VERSIONS)
+ORACLE_SQL["q_replay"] = ORACLE_SQL["q_validate"].replace("coalesce(n, 0) quotes", "coalesce(n, 0) quotes, len(ev) > 0 normalised")

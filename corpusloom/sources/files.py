@@ -79,27 +79,58 @@ def append_runs(runs: DataFrame, path: str) -> None:
 
 
 def amended(runs: DataFrame, amendments: DataFrame) -> DataFrame:
-    """Runs with the fields of amendments(id, at, extra JSON object) merged into their result, later ones last; unreadable results stay."""
-    fields = lambda c: F.from_json(c, "map<string,string>")
+    """Runs with the fields of amendments(id, at, extra JSON object) merged into their result, later ones last; values keep
+    their JSON type. Unreadable results and amendments that are no object change nothing (see amend_problems)."""
+    kind = "map<string,variant>"
+    fields = lambda c: F.from_json(c, kind)
+    empty = F.create_map().cast(kind)
     merged = amendments.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "extra"))).alias("xs"))
-    extra = F.aggregate("xs", F.create_map().cast("map<string,string>"), lambda a, x: F.map_concat(F.map_filter(a, lambda k, v: ~F.coalesce(F.array_contains(F.map_keys(fields(x["extra"])), k), F.lit(False))), F.coalesce(fields(x["extra"]), F.create_map().cast("map<string,string>"))))
-    m = merged.select("id", extra.alias("m"))
-    rows = runs.join(m, "id", "left")
-    own = fields(F.col("result"))
-    new = F.to_json(F.map_concat(F.map_filter(own, lambda k, v: ~F.array_contains(F.map_keys("m"), k)), F.col("m")))
-    return rows.withColumn("result", F.when(F.col("m").isNotNull() & own.isNotNull(), new).otherwise(F.col("result"))).drop("m")
+    over = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+    extra = F.aggregate("xs", empty, lambda a, x: over(a, F.coalesce(fields(x["extra"]), empty)))
+    rows = runs.join(merged.select("id", extra.alias("m")), "id", "left").withColumn("own", fields(F.col("result")))
+    return rows.withColumn("result", F.when((F.size("m") > 0) & F.col("own").isNotNull(), F.to_json(over(F.col("own"), F.col("m")))).otherwise(F.col("result"))).drop("m", "own")
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """Writes a new version of a table next to the old ones and only then points to it; readers never see a half-written table."""
-    spark = df.sparkSession
+def amend_problems(runs: DataFrame, amendments: DataFrame) -> DataFrame:
+    """(id, at, problem) of amendments to runs that are not there or that are no JSON object, and to unreadable results."""
+    own = runs.select("id", F.col("result").alias("stored"), F.lit(True).alias("known")).dropDuplicates(["id"])
+    is_object = lambda c: F.coalesce(F.json_object_keys(c).isNotNull(), F.lit(False))
+    problem = F.when(F.col("known").isNull(), "unknown run").when(~is_object(F.col("extra")), "the amendment is no object").when(~is_object(F.col("stored")), "the stored result is no object")
+    return amendments.join(own, "id", "left").select("id", "at", problem.alias("problem")).where("problem is not null")
+
+
+def run_result(runs: DataFrame, run_id) -> str:
+    """The stored JSON of one run; an unknown id is an error."""
+    rows = runs.where(F.col("id") == F.lit(run_id)).select("result").head(1)
+    if not rows:
+        raise ValueError(f"there is no run {run_id}")
+    return rows[0]["result"]
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of a few rows as one JSON file of lines, whole or not at all."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def publish(tables: dict[str, DataFrame], root: str) -> str:
+    """Writes a new version of tables that belong together next to the old ones and only then points to it: readers see all of the old or all of the new."""
     version = f"v-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(f"{root}/{version}")
+    spark = None
+    for name, df in tables.items():
+        spark = df.sparkSession
+        df.write.mode("errorifexists").parquet(f"{root}/{version}/{name}")
     spark.createDataFrame([(version,)], types.StructType([types.StructField("version", types.StringType())])).coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").json(f"{root}/_current")
     return version
 
 
-def published(spark: SparkSession, root: str) -> DataFrame:
-    """The version that was published last."""
+def published(spark: SparkSession, root: str, name: str, schema: str | None = None) -> DataFrame:
+    """A table of the version that was published last. Where nothing was ever published: an empty one of `schema`, if given; any other failure rises."""
+    if schema is not None and not exists(spark, f"{root}/_current"):
+        return spark.createDataFrame([], schema)
     last = spark.read.schema("version string, at timestamp").json(f"{root}/_current").orderBy(F.desc("at"), "version").first()
-    return spark.read.parquet(f"{root}/{last['version']}")
+    return spark.read.parquet(f"{root}/{last['version']}/{name}")

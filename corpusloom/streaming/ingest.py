@@ -8,29 +8,20 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusloom.operators import corpus
 from corpusloom.sources import files
 
-DOCUMENTS = "id string, title string, source string, license string, acquired string, hash string, splitter string, snapshot string"
-CHUNKS = "id string, doc_id string, section string, start_line int, end_line int, text string, version string, active boolean, kind string, page int"
-
-
-def _current(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    try:
-        return files.published(spark, root)
-    except Exception:  # nothing published yet
-        return spark.createDataFrame([], schema)
-
-
 def import_stream(spark: SparkSession, incoming: str, root: str, checkpoint: str, splitter: str | None = None) -> StreamingQuery:
-    """Imports the .md files that appear in `incoming`; documents and chunks are published under `root` once a micro-batch.
+    """Imports the .md files that appear in `incoming`; documents and chunks are published together under `root` once a micro-batch.
 
-    A batch that is replayed after a failure finds its documents unchanged, so the result is the same.
+    A batch that is replayed after a failure finds its documents unchanged, so the result is the same. A failure to
+    read what is published fails the batch; only a root where nothing was ever published counts as empty. A micro-batch writes
+    both tables anew, so batches should be large.
     """
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.md").load(incoming)
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
     rows = raw.select(F.col("path").alias("source"), F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("title"), F.lit("unknown").alias("license"), F.to_date("modificationTime").cast("string").alias("acquired"), text.alias("text"), F.lit(splitter).cast("string").alias("splitter")).where(F.col("text").rlike(r"(?U)\S"))
 
     def one(batch: DataFrame, _: int) -> None:
-        docs, chunks = corpus.import_documents(_current(spark, f"{root}/documents", DOCUMENTS), _current(spark, f"{root}/chunks", CHUNKS), batch)
-        files.publish(docs, f"{root}/documents")
-        files.publish(chunks, f"{root}/chunks")
+        now = batch.sparkSession
+        docs, chunks = corpus.import_documents(files.published(now, root, "documents", corpus.DOCUMENTS), files.published(now, root, "chunks", corpus.CHUNKS), batch)
+        files.publish({"documents": docs, "chunks": chunks}, root)
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

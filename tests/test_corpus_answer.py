@@ -1,5 +1,7 @@
 import datetime as dt
+import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import answer, corpus, split
@@ -37,6 +39,33 @@ def test_life_cycle_reactivates(spark):
     assert status == {"u": "unchanged", "v": "updated", "w": "imported"}
 
 
+def test_pages_go_through_the_import(spark):
+    schema = DOC + ", pages array<array<string>>"
+    give_pages = lambda *rows: spark.createDataFrame([(s, "t", "l", "2026-01-01", None, k, p) for s, k, p in rows], schema)
+    first = [["Head 1", "# A", "one"], ["Head 2", "two"]]
+    d1, c1 = corpus.import_documents(*start(spark), give_pages(("p", None, first)))
+    assert d1.first()["splitter"] == split.PAGES and {(r["text"], r["page"], r["kind"]) for r in c1.collect()} == {("Head 1", 1, "metadata"), ("# A\none", 1, "body"), ("Head 2", 2, "metadata"), ("two", 2, "body")}
+    assert corpus.import_status(d1, give_pages(("p", None, first))).first()["status"] == "unchanged"
+    d2, c2 = corpus.import_documents(d1, c1, give_pages(("p", split.PAGES, [["Head 1", "# A", "one", "Head 2", "two"]])))
+    assert c2.where("active").count() == 2 and c2.where("not active").count() == 4 and d2.count() == 1
+    _, c3 = corpus.delete_documents(d2, c2, spark.createDataFrame([("p",)], "source string"))
+    assert c3.where("active").count() == 0
+    narrow = [["ab"] * 12]
+    bad = give_pages(("a", split.LINES, first), ("b", None, narrow), ("c", None, [[" "]])).unionByName(give(spark, ("d", "x", split.PAGES)), allowMissingColumns=True)
+    assert {r["source"]: r["problem"] for r in corpus.invalid(bad).collect()} == {"a": "a text splitter for pages", "b": "suspect reading order", "c": "text is blank", "d": "the page splitter for a text"}
+
+
+def test_last_delivery_counts_and_unknown_sources(spark):
+    rows = spark.createDataFrame([("u", "t", "l", "2026-01-02", "new", None), ("u", "t", "l", "2026-01-01", "old", None), ("u ", "t", "l", "2025-01-01", "older", None)], DOC)
+    d, c = corpus.import_documents(*start(spark), rows)
+    assert live(c) == [("new", True)]
+    asked = spark.createDataFrame([("u",), ("w",), (" ",), (None,)], "source string")
+    assert sorted((r["source"] or "", r["problem"]) for r in corpus.unknown_sources(d, asked).collect()) == [("", "source is blank"), (" ", "source is blank"), ("w", "unknown source")]
+    old = c.drop("version", "active", "kind", "page")
+    assert corpus.migrated(old, d).first()["version"] == d.first()["hash"]
+    assert [r["text"] for r in corpus.rebuilt(d, split.PROCEDURE).collect()] == ["new"]
+
+
 def test_update_inherits_and_invalid(spark):
     d1, _ = corpus.import_documents(*start(spark), give(spark, ("u", "one", None)))
     r = corpus.inherited(d1, spark.createDataFrame([("u", None, None, None, "new", None), ("zz", None, None, None, "new", None)], DOC)).collect()
@@ -82,6 +111,29 @@ def test_validation(spark):
     assert (got["same"], got["wrong"], got["unknown"]) == ("citation twice", "quote is not verbatim", "unknown citation")
 
 
+def test_replay_and_inline_citations(spark):
+    q = '{"id": "e", "quote": "verbatim", "translation": "t"}'
+    model = lambda cited, status="grounded", missing="", claims=True: json.dumps({"claims": [{"text": "c", "citations": cited}] if claims else [], "citations": [json.loads(q)], "status": status, "missing": missing})
+    run = lambda i, m: (i, json.dumps({"model_output": m, "retrieval_run_id": "r"}))
+    rows = [("r", json.dumps({"candidates": [{"id": "e", "text": "these are verbatim words"}]})), run("id", model(["e"])), run("inline", model([json.loads(q)])), run("other", model([json.loads(q) | {"quote": "words"}])), run("scope", model([], "insufficient", "gap", False)), run("broken", "{")]
+    got = {r["answer_id"]: (r["problem"], r["normalised"], r["scope"]) for r in answer.replayed(spark.createDataFrame(rows, "id string, result string")).collect()}
+    assert got["id"] == (None, False, None) and got["inline"] == (None, True, None) and got["other"][0] == "inline citation differs"
+    assert got["scope"] == (None, False, "missing_context") and got["r"][0] == "no model text" and got["broken"][0] == "status"
+    assert spark.sql("select 'key k1 and k1' t").select(answer.redacted(F.col("t"), "k1").alias("t")).first()["t"] == "key [redacted] and [redacted]"
+
+
+def test_guard_with_open_calls_and_large_accounts(spark, monkeypatch):
+    monkeypatch.setattr(answer, "STRETCH", 3)
+    calls = [("x", i, i, 1, "settled", 1) for i in range(40)] + [("y", 1, 1, 60, "settled", 20), ("y", 2, 2, 60, "settled", 60), ("y", 3, 3, 5, "unknown", 0), ("y", 4, 4, 1, "settled", 1), (None, 1, 9, 1, "settled", 1)]
+    df = spark.createDataFrame(calls, "account string, at int, id int, amount bigint, status string, spent bigint")
+    got = answer.guarded(df, limit=100).orderBy("account", "at").collect()
+    assert [(r["accepted"], r["spent_before"]) for r in got if r["account"] == "x"] == [(True, i) for i in range(40)]
+    assert [(r["accepted"], r["spent_before"]) for r in got if r["account"] == "y"] == [(True, 0), (True, 20), (True, 80), (False, 80)]
+    assert answer.guarded(df.limit(0)).count() == 0
+    over = spark.createDataFrame([(1, "settled", 5, 6), (2, "settled", 5, 5), (3, "unknown", 5, 9)], "id int, status string, reserved bigint, spent bigint")
+    assert [r["id"] for r in answer.settlement_problems(over).collect()] == [1]
+
+
 def test_cost_and_guard(spark):
     r = spark.sql("select 1048576 i, 1500 o, cast(3 as decimal(10,4)) a, cast(9 as decimal(10,4)) b, cast(-1 as decimal(10,4)) z").select(answer.cost(F.col("i"), F.col("o"), F.col("a"), F.col("b")).alias("c"), answer.cost(F.col("i"), F.col("o"), F.col("z"), F.col("b")).alias("n")).first()
     assert (r["c"], r["n"]) == (3159228, None)
@@ -104,7 +156,22 @@ def test_files_and_stream(spark, tmp_path):
 
     for _ in range(2):
         import_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert [r["text"] for r in files.published(spark, str(tmp_path / "out/chunks")).collect()] == ["# A\nwords"]
+    assert [r["text"] for r in files.published(spark, str(tmp_path / "out"), "chunks").collect()] == ["# A\nwords"]
+    # what cannot be read is not taken for nothing: the batch fails and the corpus stays
+    import shutil
+
+    last = next(iter(spark.read.json(str(tmp_path / "out/_current")).orderBy(F.desc("at")).collect()))["version"]
+    shutil.move(str(tmp_path / "out" / last), str(tmp_path / "gone"))
+    (src / "c.md").write_text("# C\nmore")
+    try:
+        import_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+        raise AssertionError("the batch went through")
+    except Exception as e:
+        assert not isinstance(e, AssertionError), e
+    shutil.move(str(tmp_path / "gone"), str(tmp_path / "out" / last))
+    import_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert sorted(r["text"] for r in files.published(spark, str(tmp_path / "out"), "chunks").collect()) == ["# A\nwords", "# C\nmore"]
+    assert files.published(spark, str(tmp_path / "never"), "chunks", corpus.CHUNKS).count() == 0
 
 
 def test_runs_and_cases(spark, tmp_path):
@@ -117,6 +184,12 @@ def test_runs_and_cases(spark, tmp_path):
     extra = spark.createDataFrame([(1, 1, '{"x": "2"}'), (1, 2, '{"y": "3"}'), (2, 1, '{"x": "2"}')], "id int, at int, extra string")
     got = {r["id"]: r["result"] for r in files.amended(base, extra).collect()}
     assert sorted(got[1].strip("{}").split(",")) == ['"mode":"m"', '"x":"2"', '"y":"3"'] and got[2] == "broken"
+    typed = spark.createDataFrame([(1, 1, '{"x": 5, "y": {"z": [1, true, null]}}'), (1, 2, "[1]"), (9, 1, "{}")], "id int, at int, extra string")
+    assert json.loads(files.amended(base, typed).where("id = 1").first()["result"]) == {"mode": "m", "x": 5, "y": {"z": [1, True, None]}}
+    assert {(r["id"], r["at"]): r["problem"] for r in files.amend_problems(base, typed.unionByName(extra)).collect()} == {(1, 2): "the amendment is no object", (9, 1): "unknown run", (2, 1): "the stored result is no object"}
+    assert files.run_result(base, 2) == "broken"
+    with pytest.raises(ValueError):
+        files.run_result(base, 3)
     (tmp_path / "c.json").write_text('{"kind": "development", "version": "1", "sources": {"A": "https://a.example"}, "cases": [{"id": "1", "question": "q", "evidence": [{"source": "A", "start_line": 1, "end_line": 2}]}, {"id": "2", "question": " ", "evidence": []}]}')
     c = files.cases(spark, str(tmp_path / "c.json"))
     assert c.where("id = '1'").first()["evidence"][0]["source"] == "https://a.example"

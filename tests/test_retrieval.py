@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import evaluate, rank
+from corpusloom.operators import evaluate, index, rank
 
 ROWS = [("a", "body", "apple pie apple", True), ("b", "metadata", "apple apple apple", True), ("c", "body", "pie crust and pie", True), ("d", "body", "apple", False), ("e", "body", None, True), ("c", "body", "pie crust and pie", True), ("f", "body", "提示注入 is prompt injection", True)]
 
@@ -33,11 +33,52 @@ def test_bm25_formula(spark):
     n, lengths, tf = 5, {"a": 3, "b": 3, "c": 4, "e": 1, "f": 4}, {"a": 2, "b": 3}
     avg = sum(lengths.values()) / n
     idf = math.log(1 + (n - 2 + 0.5) / 2.5)
-    for r in rank.bm25_scores(asked(spark, "apple"), chunks(spark)).collect():
+    for r in rank.bm25(asked(spark, "apple"), chunks(spark)).collect():
         t = tf[r["id"]]
         assert r["score"] == pytest.approx(idf * t * 2.5 / (t + 1.5 * (0.25 + 0.75 * lengths[r["id"]] / avg)), abs=1e-6)
 
 
+def test_more_queries_than_a_block(spark, monkeypatch):
+    q = spark.createDataFrame([(i, ["apple pie", "crust", "  ", "提示注入 pie", "nothing"][i % 5]) for i in range(40)], "query_id int, text string")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in df.collect())
+    whole = [key(f(q, chunks(spark), 3)) for f in (rank.keyword, rank.bm25)]
+    monkeypatch.setattr(rank, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(rank, "QUERY_SCAN", 15)
+    monkeypatch.setattr(rank, "CELLS", 1)
+    assert whole == [key(f(q, chunks(spark), 3)) for f in (rank.keyword, rank.bm25)] and whole[0]
+    assert sorted(r["query_id"] for r in rank.refused(q).collect()) == [i for i in range(40) if i % 5 == 2]
+
+
+def test_exclusion_keeps_the_order(spark):
+    none = spark.createDataFrame([], "doc_id string")
+    assert ids(rank.excluding(rank.bm25, asked(spark, "apple"), chunks(spark), none, 5)) == ["a", "b"]
+    assert ids(rank.excluding(rank.bm25, asked(spark, "apple"), chunks(spark), spark.createDataFrame([("Da",), ("Da",)], "doc_id string"), 5)) == ["b"]
+
+
+def test_vector_index(spark):
+    c = chunks(spark)
+    e = index.hash_encoder()
+    stored = index.build(c, e)
+    q = spark.createDataFrame([("q", "apple pie apple"), ("blank", " ")], "query_id string, text string")
+    got = index.search(q, c, stored, e, 3).orderBy("rank").collect()
+    assert got[0]["id"] == "a" and got[0]["score"] == 1.0 and {r["query_id"] for r in got} == {"q"}
+    with pytest.raises(ValueError, match="stale"):
+        index.search(q, c, stored, index.hash_encoder(4), 3)
+    with pytest.raises(ValueError, match="stale"):
+        index.search(q, c.where("id <> 'f'"), stored, e, 3)
+    with pytest.raises(ValueError, match="no active"):
+        index.build(c.where("not active"), e)
+    assert [r["window"] for r in index.windows(spark.createDataFrame([("x", "w " * 201), ("y", None)], "id string, text string")).orderBy("id", "window").collect()] == [0, 1, 2, 0]
+
+
+def test_fusion_refuses_a_retired_candidate(spark):
+    one = lambda i: spark.createDataFrame([("q", i, 1, 1.0)], "query_id string, id string, rank int, score double")
+    assert ids(rank.fused([("a", one("a"), 1.0), ("b", one("b"), 2.0)], chunks(spark))) == ["b", "a"]
+    with pytest.raises(ValueError, match="not active"):
+        rank.fused([("a", one("a"), 1.0), ("v", one("d"), 1.0)], chunks(spark))
+    assert [r["rank"] for r in rank.rank_of(one("a"), spark.createDataFrame([("q", "a"), ("q", "b")], "query_id string, id string")).orderBy("id").collect()] == [1, None]
+
+
 def test_aliases_and_guards(spark):
     assert ids(rank.keyword(asked(spark, "提示注入"), chunks(spark), 5)) == ["f"]
     assert rank.keyword(asked(spark, "nothing here"), chunks(spark), 5).count() == 0
@@ -86,3 +127,28 @@ def test_bundles(spark):
     assert sc == {"k1": (0.5, 2), "k2": (None, 0), "k3": (1.0, 2)}
     total = evaluate.summary(evaluate.case_scores(s, b, ranked, c)).first()
     assert (total["cases"], total["scored"], total["macro_recall"]) == (3, 2, 0.75)
+
+
+def test_bounded_rounds(spark):
+    cand = "candidates array<struct<id:string,fields:array<string>>>"
+    c = lambda *xs: [(x, []) for x in xs]
+    rows = [
+        ("limit", 0, False, False, False, c("a"), False, None), ("limit", 1, False, False, False, c("a", "b"), False, None), ("limit", 2, False, False, False, c("c"), False, None), ("limit", 3, False, False, False, c("d"), True, None),
+        ("dry", 0, False, False, False, c("a"), False, []), ("dry", 1, False, False, False, c("a"), True, []), ("enough", 0, False, False, False, c("a"), False, ["a"]),
+        ("late", 0, False, False, False, c("a"), False, ["z"]), ("late", 1, True, True, False, c("b"), False, ["z"]), ("broke", 0, False, True, True, c("a"), True, None), ("tool", 0, False, False, False, [("a", ["tool_call"])], True, None),
+        ("noid", 0, False, False, False, [(None, [])], True, None), ("failed", 0, False, False, True, None, True, None), ("missing", 0, False, False, False, c("a"), False, None), ("missing", 2, False, False, False, c("b"), False, None), ("good", 0, False, False, False, c("b", "a"), True, None),
+    ]
+    df = spark.createDataFrame(rows, f"query_id string, round int, late boolean, broke boolean, failed boolean, {cand}, sufficient boolean, required array<string>")
+    got = {r["query_id"]: (r["stop_reason"], r["supplementary_rounds"], r["evidence"]) for r in evaluate.bounded_rounds(df).collect()}
+    assert got["limit"] == ("round_limit", 2, ["a", "b", "c"]) and got["dry"] == ("no_new_evidence", 1, ["a"]) and got["enough"] == ("sufficient", 0, ["a"])
+    assert got["late"] == ("timeout", 1, ["a"]) and got["broke"] == ("budget", 0, []) and got["good"] == ("sufficient", 0, ["b", "a"])
+    assert {got[x][0] for x in ("tool", "noid", "failed")} == {"error"} and got["missing"] == ("no_new_evidence", 0, ["a"])
+
+
+def test_sample_loading_refuses(spark):
+    ev = "evidence array<struct<source:string,start_line:int,end_line:int,must_include:array<string>,required_together:boolean,why:string>>"
+    make = lambda *rows: spark.createDataFrame([(i, k, q, [("u", 1, 2, [], True, "")]) for i, k, q in rows], f"id string, split string, question string, {ev}")
+    assert evaluate.loaded(make(("1", "development", "q")), make(("2", "holdout", "q"))).count() == 2
+    for dev, hold, why in ((make(("1", "holdout", "q")), None, "given as"), (make(("1", "development", "q")), make(("1", "holdout", "q")), "both"), (make(("1", "development", " ")), None, "blank")):
+        with pytest.raises(ValueError, match=why):
+            evaluate.loaded(dev, hold)
