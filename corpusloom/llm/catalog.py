@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.session import cut, table
+from corpusloom.session import cut, remove, shared_dir, table
 
 from . import markup, mixing, packing, rank_walk, repeated_lines, split_overlap, term_weight, token_budget, tokenizers, unwanted, vector_neighbours
 
@@ -51,20 +53,33 @@ def p4_totals(spark: SparkSession, d: str) -> DataFrame:
     return token_budget.totals(token_budget.cube(counted))
 
 
-def p4_update(spark: SparkSession, d: str) -> DataFrame:
-    """The cube of the retired state of the collection (documents rebuilt from retired pieces), brought to today's by signed deltas.
-
-    Retired pieces stand for yesterday's documents; documents that are gone are removed, new ones added, changed ones both.
-    """
+def _states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Yesterday's collection and today's. Retired pieces stand for yesterday's documents, as no earlier state is given;
+    documents that are gone are removed, new ones added, changed ones both."""
     docs = table(spark, d, "documents")
     old = table(spark, d, "chunks").where("not active").select("id", "doc_id", "start_line", "text").dropDuplicates(["id"])
     old = old.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "id", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("text"))
     about = docs.select(F.col("id").alias("doc_id"), "source", "lang", "domain", "splitter")
     yesterday = token_budget.normalised(old.join(about, "doc_id", "left"))
-    today = token_budget.normalised(docs.select(F.col("id").alias("doc_id"), "source", "lang", "domain", "splitter", "text"))
-    before, known = token_budget.counted_rows(yesterday)
-    after, _ = token_budget.counted_rows(today, known)
-    return token_budget.updated_cube(token_budget.cube(before), token_budget.signed_deltas(before, after))
+    return yesterday, token_budget.normalised(docs.select(F.col("id").alias("doc_id"), "source", "lang", "domain", "splitter", "text"))
+
+
+def _updated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(the cube of yesterday brought to today by signed deltas, today's counted rows), over a stored count table."""
+    yesterday, today = _states(spark, d)
+    counts = token_budget.CountTable(f"{shared_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}")
+    before, after = token_budget.counted_with(counts, yesterday), token_budget.counted_with(counts, today)
+    remove(spark, counts.path)
+    return token_budget.updated_cube(token_budget.cube(before), token_budget.signed_deltas(before, after)), after
+
+
+def p4_update(spark: SparkSession, d: str) -> DataFrame:
+    return _updated(spark, d)[0]
+
+
+def p4_update_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the updated cube and one counted afresh agree, slice by slice."""
+    return token_budget.same_slices(_updated(spark, d)[0], token_budget.cube(token_budget.counted_rows(_states(spark, d)[1])[0]))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -89,17 +104,19 @@ def p6_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
-    return tokenizers.counted(docs)
+    """Counted where they are read; only ids and counts go through the exchange that drops repeated rows."""
+    docs = table(spark, d, "documents").select("doc_id", "text").where("doc_id is not null")
+    return tokenizers.counted(docs).dropDuplicates(["doc_id"])
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     capacities = [r[0] for r in table(spark, d, "model_config").select("context_token_upper_bound").distinct().collect()]
-    return packing.containers(cut(_sized(spark, d).drop("source")), capacities)
+    return packing.containers(cut(_sized(spark, d)), capacities)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return markup.markup_kinds(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "markup").distinct()
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return markup.markup_kinds(docs, markup.trained_kinds(docs)).select("doc_id", "markup").distinct()
 
 
 def p7_clean_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +127,7 @@ def p7_clean_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_clean_chunks(spark: SparkSession, d: str) -> DataFrame:
     model = markup.trained_model(table(spark, d, "documents").select("id", "text", "snapshot"), table(spark, d, "chunks"))
-    return markup.cleaned(table(spark, d, "chunks").select("id", "text").dropDuplicates(["id"]), model, "id", "text", least=0.0)
+    return markup.cleaned(table(spark, d, "chunks").select("id", "text").dropDuplicates(["id"]), model, "id", "text")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -125,14 +142,33 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
     listed = targets.select(repeated_lines.source_key().alias("src")).distinct()
     docs = table(spark, d, "documents").select("doc_id", "source", "text").where("doc_id is not null").withColumn("src", repeated_lines.source_key())
-    wanted = docs.join(F.broadcast(listed), "src", "left_semi").drop("src").dropDuplicates(["doc_id"])
-    return mixing.mixed(tokenizers.counted(wanted), targets)
+    wanted = docs.join(F.broadcast(listed), "src", "left_semi").drop("src")
+    return mixing.mixed(tokenizers.counted(wanted).dropDuplicates(["doc_id"]), targets)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(cut(p9_mixture(spark, d)), table(spark, d, "mix_targets"))
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document with tokens: whether all of them are packed, and whether it is whole unless it exceeds the largest container; of every document, whether its containers hold what is in them."""
+    sized = cut(_sized(spark, d))
+    capacities = [r[0] for r in table(spark, d, "model_config").select("context_token_upper_bound").distinct().collect()]
+    packed = cut(packing.containers(sized, capacities))
+    full = packed.groupBy("block", "container").agg((F.sum("tokens") <= F.first("capacity")).alias("fits"))
+    per = packed.join(full, ["block", "container"]).groupBy("doc_id").agg(F.sum("tokens").alias("packed"), F.count(F.lit(1)).alias("pieces"), F.bool_and("fits").alias("fits"))
+    return sized.where("tokens > 0").join(per, "doc_id", "left").select("doc_id", F.coalesce(F.col("packed") == F.col("tokens"), F.lit(False)).alias("complete"), ((F.col("pieces") == 1) | (F.col("tokens") > max(capacities))).alias("whole"), "fits")
+
+
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of every target: whether its share is reached within 2 points, over all and within every stretch, and no document drawn too often."""
+    targets = table(spark, d, "mix_targets")
+    drawn = cut(p9_mixture(spark, d))
+    limits = targets.select(repeated_lines.source_key().alias("source"), "max_repeats").dropDuplicates(["source"])
+    rows = mixing.reached_shares(drawn, targets).join(limits, "source").join(mixing.stretch_errors(drawn, targets), "source", "left")
+    return rows.select("source", (F.abs(F.col("share") - F.col("target_share")) <= 0.02).alias("share_holds"), (F.coalesce("worst", F.lit(0.0)) <= 0.02).alias("stretches_hold"), (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_hold"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     return unwanted.scored(docs, table(spark, d, "review_labels")).where("score > 0.5").select("doc_id").distinct()
@@ -157,6 +193,16 @@ r as (select src, key from c join n using (src) where c >= 5 and c >= 0.10 * doc
 select doc_id, cast(line_no as int) line_no from k join r using (src, key)
 """
 
+ORACLE_SQL["p3_clean_documents"] = ORACLE_SQL["p3_found"].replace("with d as", "with d as", 1).split("select doc_id, cast(line_no")[0] + """,
+l as (select doc_id, unnest(string_split(text, chr(10))) l, unnest(range(1, len(string_split(text, chr(10))) + 1)) line_no from documents),
+b as (select doc_id, line_no, 1 bad from k join r using (src, key)),
+c as (select doc_id, cast(count(bad) as int) removed, coalesce(string_agg(l, chr(10) order by line_no) filter (where bad is null), '') text from l left join b using (doc_id, line_no) group by 1)
+select doc_id, coalesce(removed, 0) removed, c.text from documents left join c using (doc_id)"""
+_SLICE = "coalesce(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '(none)') {0}"
+ORACLE_SQL["p4_update_check"] = f"select distinct {_SLICE.format('source')}, coalesce(nullif(regexp_extract(lower(trim(coalesce(lang, ''))), '^[a-z]+'), ''), 'und') lang, {_SLICE.format('domain')}, {_SLICE.format('splitter')}, true same from documents where id is not null"
+ORACLE_SQL["p8_check"] = "select doc_id, true complete, true whole, true fits from documents where text <> ''"
+ORACLE_SQL["p9_check"] = "select distinct lower(trim(source)) source, true share_holds, true stretches_hold, true repeats_hold from mix_targets"
+
 _TERMS = """
 c as (select id, any_value(kind) kind, any_value(text) text from chunks where active and id is not null group by id),
 t as (select id, kind, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) term from c),

@@ -2,10 +2,11 @@
 
 Slot i of the schedule takes the source in whose part of the cumulative target weights the i-th van der Corput point
 falls, so every stretch of the schedule has the target mix. The r-th slot of a source draws its r-th block of BLOCK
-tokens. Blocks come from the source's documents in an order shuffled anew for every repetition: a document belongs to the
-block in which its middle lies, and the sums that decide this are two-level (bucket totals, then within a bucket of at most
-about BUCKET documents), so no source is ever gathered in one task. The schedule ends at the first slot whose source has
-no block left within its allowed repetitions: the largest mix in which all shares hold.
+tokens. The blocks cut the stream of the source's documents, in an order shuffled anew for every repetition, into equal
+numbers of tokens: a document that lies across an edge has a row in each block, with the tokens that fall in it. The sums
+that place a document are two-level (bucket totals, then within a bucket of at most about BUCKET documents), so no source
+is ever gathered in one task. The schedule ends at the first slot whose source has no full block left within its allowed
+repetitions: the largest mix in which all shares hold. A source's last document may be cut by that end.
 """
 
 from __future__ import annotations
@@ -65,14 +66,14 @@ def schedule_length(edges: np.ndarray, room: np.ndarray, spark) -> tuple[int, li
 
 
 def mixed(sized: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(slot, source, repetition, doc_id, tokens): the drawn documents in mixing order.
+    """(slot, source, repetition, doc_id, start, tokens): the drawn documents in mixing order; start is the first token in the slot.
 
     sized: (doc_id, source, tokens) with unique doc_id; targets: (source, target_share, max_repeats), one row a source
     (repeated rows count once; share and repeats must be positive). A document is drawn at most max_repeats times. Targets
     without any token drop out and the others keep their ratio; no usable target gives no row.
     """
     spark = sized.sparkSession
-    empty = "slot bigint, source string, repetition int, doc_id bigint, tokens bigint"
+    empty = "slot bigint, source string, repetition int, doc_id bigint, start bigint, tokens bigint"
     rows = targets.select(source_key().alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0").dropDuplicates(["source"])
     docs = cut(sized.where("tokens > 0").select("doc_id", source_key().alias("source"), "tokens").join(F.broadcast(rows.select("source")), "source"))  # a configured list of sources
     have = {r["source"]: (r["n"], r["t"]) for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).collect()}
@@ -81,8 +82,7 @@ def mixed(sized: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame
         return spark.createDataFrame([], empty)
     share = np.array([p[1] for p in plan])
     edges = np.cumsum(share / share.sum())
-    blocks = np.array([max(1, -(-have[p[0]][1] // block)) for p in plan], np.int64)
-    slots, starts = schedule_length(edges, blocks * np.array([p[2] for p in plan]), spark)
+    slots, starts = schedule_length(edges, np.array([max(1, have[s][1] * times // block) for s, _, times in plan], np.int64), spark)
     names = [p[0] for p in plan]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,26 +93,42 @@ def mixed(sized: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame
                 for x in range(len(edges)):
                     at = s == x
                     rank[at] = starts[k][x] + np.arange(at.sum())
-                yield pd.DataFrame({"slot": np.arange(k * STRETCH, k * STRETCH + len(s)), "source": np.array(names, object)[s], "repetition": (rank // blocks[s]).astype("int32"), "block": rank % blocks[s]})
+                yield pd.DataFrame({"slot": np.arange(k * STRETCH, k * STRETCH + len(s)), "source": np.array(names, object)[s], "block": rank})
 
     stretches = -(-slots // STRETCH)
-    schedule = spark.range(stretches).mapInPandas(draw, "slot bigint, source string, repetition int, block bigint") if slots else spark.createDataFrame([], "slot bigint, source string, repetition int, block bigint")
-    most = F.broadcast(spark.createDataFrame([(p[0], p[2], int(max(1, have[p[0]][0] // BUCKET))) for p in plan], "source string, times int, buckets int"))
-    each = docs.join(most, "source").select("doc_id", "source", "tokens", "buckets", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("repetition"))
+    schedule = spark.range(stretches).mapInPandas(draw, "slot bigint, source string, block bigint") if slots else spark.createDataFrame([], "slot bigint, source string, block bigint")
+    most = F.broadcast(spark.createDataFrame([(s, times, int(max(1, have[s][0] // BUCKET)), have[s][1]) for s, _, times in plan], "source string, times int, buckets int, whole bigint"))  # the same list
+    each = docs.join(most, "source").select("doc_id", "source", "tokens", "buckets", "whole", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("repetition"))
     key = F.xxhash64("doc_id", "repetition")
     each = each.withColumns({"key": key, "bucket": F.pmod(F.shiftrightunsigned(key, 20), F.col("buckets"))})
     sums = each.groupBy("source", "repetition", "bucket").agg(F.sum("tokens").alias("t"))
     before = sums.select("source", "repetition", "bucket", (F.sum("t").over(Window.partitionBy("source", "repetition").orderBy("bucket")) - F.col("t")).alias("before"))
     inner = Window.partitionBy("source", "repetition", "bucket").orderBy("key", "doc_id")
-    placed = each.join(before, ["source", "repetition", "bucket"]).withColumn("start", F.col("before") + F.sum("tokens").over(inner) - F.col("tokens")).withColumn("block", F.floor((F.col("start") + F.col("tokens") / 2) / F.lit(block)))
-    return placed.join(schedule, ["source", "repetition", "block"]).select("slot", "source", "repetition", "doc_id", "tokens")
+    at = F.col("whole") * F.col("repetition") + F.col("before") + F.sum("tokens").over(inner) - F.col("tokens")
+    placed = each.join(before, ["source", "repetition", "bucket"]).withColumn("at", at)
+    parts = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("tokens") - 1) / block))))
+    first = F.greatest(F.col("block") * block, F.col("at"))
+    part = F.least((F.col("block") + 1) * block, F.col("at") + F.col("tokens")) - first
+    parts = parts.select("source", "repetition", "doc_id", "block", (first - F.col("at")).cast("bigint").alias("start"), part.cast("bigint").alias("tokens"))
+    return parts.join(schedule, ["source", "block"]).select("slot", "source", "repetition", "doc_id", "start", "tokens")
 
 
 def reached_shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, documents, draws, tokens, share, most_repeats) of every target; share is of all drawn tokens."""
-    per_doc = drawn.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.sum("tokens").alias("tokens"))
+    draws = drawn.groupBy("source", "doc_id", "repetition").agg(F.sum("tokens").alias("tokens"))
+    per_doc = draws.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.sum("tokens").alias("tokens"))
     own = cut(per_doc.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("times").alias("draws"), F.sum("tokens").alias("tokens"), F.max("times").alias("most_repeats")))
     total = own.agg(F.sum("tokens")).first()[0] or 1
     rows = targets.select(source_key().alias("source"), "target_share").where("source is not null").dropDuplicates(["source"])
     z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.join(own, "source", "left").select("source", "target_share", z("documents"), z("draws"), z("tokens"), F.coalesce(F.col("tokens") / F.lit(total), F.lit(0.0)).alias("share"), z("most_repeats"))
+
+
+def stretch_errors(drawn: DataFrame, targets: DataFrame, stretch: int = 256) -> DataFrame:
+    """(source, worst): the largest distance between a source's share and its target within any whole stretch of slots."""
+    total = targets.select(source_key().alias("source"), "target_share").where("source is not null and target_share > 0").dropDuplicates(["source"])
+    t = drawn.groupBy(F.floor(F.col("slot") / stretch).alias("stretch"), "source").agg(F.sum("tokens").alias("t"))
+    whole = t.groupBy("stretch").agg(F.sum("t").alias("all"))
+    last = whole.agg(F.max("stretch").alias("last"))
+    rows = t.join(whole, "stretch").join(F.broadcast(last), F.col("stretch") < F.col("last"))  # one row
+    return rows.join(F.broadcast(total), "source").groupBy("source").agg(F.max(F.abs(F.col("t") / F.col("all") - F.col("target_share"))).alias("worst"))

@@ -61,3 +61,26 @@ def counted(texts: DataFrame, text: str = "text", folder: str = FOLDER, name: st
             yield b[names].assign(tokens=pd.array([len(encode(t)) if t else 0 for t in b[text]], dtype="int64"))
 
     return texts.mapInPandas(run, schema)
+
+
+def hashed_and_counted(texts: DataFrame, text: str = "text", folder: str = FOLDER, name: str = NAME) -> DataFrame:
+    """The other columns of `texts`, content (sha256 of the text, null as empty) and tokens, in the scan's own stage; a task encodes equal texts once."""
+    rest = [f for f in texts.schema.fields if f.name != text]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest) + "content string, tokens bigint"
+    names = [f.name for f in rest]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode, known = encoder(folder, name), {}
+        for b in batches:
+            content, tokens = [], []
+            for t in b[text]:
+                h = hashlib.sha256((t or "").encode()).digest()
+                if h not in known:
+                    if len(known) > 500_000:
+                        known.clear()
+                    known[h] = len(encode(t)) if t else 0
+                content.append(h.hex())
+                tokens.append(known[h])
+            yield b[names].assign(content=content, tokens=pd.array(tokens, dtype="int64"))
+
+    return texts.mapInPandas(run, schema)
