@@ -106,7 +106,6 @@ def confirmed_lines(lines: DataFrame, share: float = SHARE, least: int = LEAST)
 
     `lines` has (src, hashes). Blank documents count as documents. An empty input gives no row.
     """
-    spark = lines.sparkSession
     keys = lines.select("src", F.array_distinct(F.filter("hashes", lambda h: h != 0)).alias("keys"))
     totals = keys.groupBy("src").agg(F.count(F.lit(1)).alias("docs_in_source"))
     parts = keys.mapInPandas(summarise(share), "src string, key bigint, n bigint")
@@ -121,7 +120,6 @@ def confirmed_lines(lines: DataFrame, share: float = SHARE, least: int = LEAST)
     )
     few = maybe_broadcast(candidates, candidates.count(), 64)
     exact = keys.select("src", F.explode("keys").alias("key")).join(few, ["src", "key"]).groupBy("src", "key").agg(F.count(F.lit(1)).alias("docs"), F.first("docs_in_source").alias("docs_in_source"))
-    del spark
     return exact.where((F.col("docs") >= share * F.col("docs_in_source")) & (F.col("docs") >= least))
 
 

@@ -152,7 +152,6 @@ def question_classes(cases: DataFrame) -> DataFrame:
 
 def weighted(classes: DataFrame) -> DataFrame:
     """(cls, held, total, row array<struct<w, s, rest>>): the shingles of every class, heaviest first, with the weight that remains from each on."""
-    spark = classes.sparkSession
     n = classes.count()
     flat = classes.select("cls", "held", F.explode("shingles").alias("s"))
     df = flat.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
@@ -165,7 +164,6 @@ def weighted(classes: DataFrame) -> DataFrame:
     row = F.reverse(F.array_sort(F.collect_list(F.struct(w.alias("w"), "s"))))
     sized = full.groupBy("cls", "held").agg(row.alias("r")).withColumn("total", F.aggregate("r", F.lit(0.0), lambda a, x: a + x["w"]))
     rest = F.transform("r", lambda x, i: F.struct(x["w"].alias("w"), x["s"].alias("s"), (F.col("total") - F.aggregate(F.slice("r", 1, i), F.lit(0.0), lambda a, y: a + y["w"])).alias("rest")))
-    del spark
     return sized.select("cls", "held", "total", rest.alias("row"))
 
 
@@ -203,20 +201,25 @@ def prepared(cases: DataFrame) -> DataFrame:
     return cases.select(F.col("id").alias("case"), held.alias("held"), "split", "question", "evidence").where("case is not null and held is not null").dropDuplicates(["case"])
 
 
-def question_pairs(cases: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """(train, held): case ids whose questions ask the same."""
+def question_links(cases: DataFrame, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(links(a, b), members(case, held, cls)): classes of questions that ask the same, training to evaluation."""
     q = cut(question_classes(cases).withColumn("cls", F.xxhash64(F.array_join("shingles", "\u0001"), "sense")))
     classes = q.groupBy("cls", "held").agg(F.first("shingles").alias("shingles"), F.first("sense").alias("sense"))
     sets = cut(weighted(classes))
     near = prefix_join(sets, t)
     sense = classes.groupBy("cls").agg(F.first("sense").alias("sense"))
-    pairs = (
+    links = (
         near.join(sense.select(F.col("cls").alias("a"), F.col("sense").alias("na")), "a")
         .join(sense.select(F.col("cls").alias("b"), F.col("sense").alias("nb")), "b")
         .where(same_question(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb")))
         .select("a", "b")
     )
-    return _expand(pairs, q)
+    return links, q.select("case", "held", "cls")
+
+
+def question_pairs(cases: DataFrame, t: float = THRESHOLD) -> DataFrame:
+    """(train, held): case ids whose questions ask the same."""
+    return _expand(*question_links(cases, t))
 
 
 def _expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -232,8 +235,8 @@ def passages(cases: DataFrame) -> DataFrame:
     return cases.where("evidence is not null").select("case", "held", F.expr(ps).alias("ps")).where("size(ps) > 0")
 
 
-def evidence_pairs(cases: DataFrame) -> DataFrame:
-    """(train, held): case ids whose evidence quotes the same passages, one for one, on overlapping lines."""
+def evidence_links(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links(a, b), members(case, held, cls)): classes of evidence that quotes the same passages, one for one, on overlapping lines."""
     p = cut(passages(cases))
     keyed = p.withColumn("shingles", F.expr("array_sort(array_distinct(transform(ps, x -> x.key)))")).withColumn("cls", F.xxhash64(F.array_join("shingles", "\u0002"), F.size("ps")))
     classes = keyed.groupBy("cls", "held").agg(F.first("shingles").alias("shingles"))
@@ -245,7 +248,12 @@ def evidence_pairs(cases: DataFrame) -> DataFrame:
     b = kinds.where("held").select(F.col("cls").alias("b"), F.col("own").alias("ob"), F.col("ps").alias("pb"))
     covered = "forall({0}, x -> exists({1}, y -> x.key = y.key and x.start <= y.end and y.start <= x.end))"
     same = near.join(a, "a").join(b, "b").where(F.expr(covered.format("pa", "pb")) & F.expr(covered.format("pb", "pa"))).select(F.col("oa").alias("a"), F.col("ob").alias("b"))
-    return _expand(same, lines.select("case", "held", F.col("own").alias("cls")))
+    return same, lines.select("case", "held", F.col("own").alias("cls"))
+
+
+def evidence_pairs(cases: DataFrame) -> DataFrame:
+    """(train, held): case ids whose evidence quotes the same passages."""
+    return _expand(*evidence_links(cases))
 
 
 def overlaps(cases: DataFrame, t: float = THRESHOLD) -> DataFrame:
@@ -258,10 +266,28 @@ def overlaps(cases: DataFrame, t: float = THRESHOLD) -> DataFrame:
 
 
 def overlap_report(cases: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """(split, source, pairs, held_cases, train_cases) of the overlaps by split and by evidence source of the evaluation case; source null where it has no evidence."""
-    found = cut(overlaps(cases, t))
-    info = prepared(cases).select(F.col("case").alias("held_case"), "split", F.explode_outer(F.array_distinct(F.transform("evidence", lambda e: F.regexp_extract(e["source"], r"^[a-z]+://([^/]+)", 1)))).alias("source"))
-    return found.join(info, "held_case").groupBy("split", "source").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("held_case").alias("held_cases"), F.count_distinct("train").alias("train_cases"))
-
-
+    """(split, source, pairs, held_cases, train_cases) of the overlaps by split and by evidence source of the evaluation case; source null where it has no evidence.
 
+    Pairs are counted from classes of equal cases, never written out: a training case counts by its classes of question
+    and evidence, an evaluation case by its classes, split and sources.
+    """
+    rows = cut(prepared(cases))
+    sides = []
+    for links, members in (question_links(rows, t), evidence_links(rows)):
+        sides.append((cut(links.distinct()), members.select("case", "cls")))
+    (by_q, q), (by_e, e) = sides
+    own = rows.select("case", "held", "split", F.array_sort(F.array_distinct(F.transform("evidence", lambda x: F.regexp_extract(x["source"], r"^[a-z]+://([^/]+)", 1)))).alias("sources"))
+    own = own.join(q.withColumnRenamed("cls", "q"), "case", "left").join(e.withColumnRenamed("cls", "e"), "case", "left")
+    trains = cut(own.where("not held").groupBy("q", "e").agg(F.count(F.lit(1)).alias("trains")).withColumn("tc", F.xxhash64("q", "e")))
+    helds = cut(own.where("held").groupBy("q", "e", "split", "sources").agg(F.count(F.lit(1)).alias("helds")).withColumn("hc", F.xxhash64("q", "e", "split", "sources")))
+
+    def linked(links: DataFrame, key: str) -> DataFrame:
+        return trains.join(links.withColumnRenamed("a", key), key).select("tc", "b").join(helds.withColumnRenamed(key, "b"), "b").select("tc", "hc")
+
+    pairs = cut(linked(by_q, "q").unionByName(linked(by_e, "e")).distinct().join(trains.select("tc", "trains"), "tc").join(helds.select("hc", "helds", "split", "sources"), "hc"))
+    flat = pairs.withColumn("source", F.explode_outer("sources"))
+    cell = lambda df, x, count, name: df.select("split", "source", x, count).distinct().groupBy(F.col("split").alias(f"{name}_split"), F.col("source").alias(f"{name}_source")).agg(F.sum(count).alias(name))
+    out = flat.groupBy("split", "source").agg(F.sum(F.col("trains") * F.col("helds")).alias("pairs"))
+    for part, name in ((cell(flat, "hc", "helds", "held_cases"), "held_cases"), (cell(flat, "tc", "trains", "train_cases"), "train_cases")):
+        out = out.join(part, F.col("split").eqNullSafe(F.col(f"{name}_split")) & F.col("source").eqNullSafe(F.col(f"{name}_source")))
+    return out.select("split", "source", "pairs", "held_cases", "train_cases")

@@ -1,13 +1,14 @@
 """The k most similar vectors of every vector: stable projections in a kd-tree with a chi-square stopping test.
 
 Unit vectors are projected on M Gaussian (2-stable) directions, so that the squared projected distance of a pair is its
-squared distance times a chi-square variable of M degrees of freedom. A kd-tree over the projections, fitted on at most
-SAMPLE rows, gives leaves; a block is a subtree of leaves. Every vector is indexed: the rows are written once, clustered
-by block and ordered by leaf, to the shared folder. A task takes the queries of one block and verifies leaves in order
-of projected distance, block by block. A query stops when the next leaf is further off in projection than
-chi2(M, CONFIDENCE) * d_k^2, d_k being the distance of its k-th neighbour so far (or of the similarity floor, if that is
-nearer): a vector closer than d_k would have been met already with that probability. Memory holds two blocks, whatever
-the size of the collection; nothing is replicated in a shuffle.
+squared distance times a chi-square variable of M degrees of freedom. A kd-tree over the projections, fitted on a sample
+of projected rows (SAMPLE, or eight a block where that is more), splits the collection into blocks; within a block, which
+fits a task, the tree goes on to leaves over all its rows. Every vector is indexed: the rows are written once, clustered by
+block and ordered by leaf, to the shared folder, and removed after the search. A task takes the queries of one block and
+verifies leaves in order of projected distance, block by block. A query stops when the next leaf is further off in
+projection than chi2(M, CONFIDENCE) * d_k^2, d_k being the distance of its k-th neighbour so far (or of the similarity
+floor, if that is nearer): a vector closer than d_k would have been met already with that probability. A task holds two
+blocks, the driver one box a block (32 bytes for every BLOCK rows); nothing is replicated in a shuffle.
 
 Exact copies are one vector in the index and are expanded afterwards, so a group of copies costs nothing in the search.
 """
@@ -22,14 +23,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corpusloom.session import cut, shared_dir
+from corpusloom.session import cut, maybe_broadcast, remove, shared_dir
 
 M = 4  # projections; even, for the closed form of the chi-square distribution
 CONFIDENCE = 0.9
-SAMPLE = 40_000  # rows the tree is fitted on, at most
+SAMPLE = 40_000  # rows the tree over blocks is fitted on, or eight a block where that is more
 LEAF = 128  # rows of a leaf, about
 BLOCK = 4096  # rows of a block, about
-DEPTH = 15  # of the tree at most
+TASKS = 20_000  # of a stage over blocks at most
 SEED = 20_240_607
 
 
@@ -73,24 +74,67 @@ def route(points: np.ndarray, dim: np.ndarray, value: np.ndarray, depth: int) ->
     return node - 2**depth
 
 
-def _leafed(proj: np.ndarray, dim: np.ndarray, value: np.ndarray, depth: int, block_bits: int, dims: int):
+def _unit(rows: pd.Series, dims: int) -> np.ndarray:
+    v = np.stack(rows.to_numpy()).astype(np.float32) if len(rows) else np.zeros((0, dims), np.float32)
+    return v / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
+
+
+def _projected(proj: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"p": list(_unit(b["embedding"], len(proj)) @ proj)})
+
+    return run
+
+
+def _blocked(proj: np.ndarray, dim: np.ndarray, value: np.ndarray, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            v = np.stack(b["embedding"].to_numpy()).astype(np.float32) if len(b) else np.zeros((0, dims), np.float32)
-            v /= np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
-            leaf = route(v @ proj, dim, value, depth)
-            yield pd.DataFrame({"block": (leaf >> (depth - block_bits)).astype("int32"), "leaf": leaf.astype("int32"), "id": b["id"], "ask": b["ask"], "vec": [x.tobytes() for x in v]})
+            v = _unit(b["embedding"], len(proj))
+            yield pd.DataFrame({"block": route(v @ proj, dim, value, bits).astype("int32"), "id": b["id"], "ask": b["ask"], "vec": [x.tobytes() for x in v]})
 
     return run
 
 
+def _leafed(proj: np.ndarray):
+    """mapInPandas function over rows that come block by block: every block ordered by the leaves of its own tree."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        p = np.frombuffer(b"".join(rows["vec"]), np.float32).reshape(len(rows), -1) @ proj
+        depth = max(0, round(math.log2(max(1, len(rows) / LEAF))))
+        leaf = route(p, *fit_tree(p, depth), depth)
+        order = np.argsort(leaf, kind="stable")
+        return rows.iloc[order].assign(leaf=leaf[order].astype("int32"))[["block", "leaf", "id", "ask", "vec"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            for block, rows in b.groupby("block", sort=False):
+                if held and held[0]["block"].iloc[0] != block:
+                    yield one(pd.concat(held))
+                    held = []
+                held.append(rows)
+        if held:
+            yield one(pd.concat(held))
+
+    return run
+
+
+def arrow_uri(path: str) -> str:
+    """A Hadoop path as Arrow names it: schemes of S3 are s3, a mounted dbfs is a file."""
+    for scheme, own in (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "file:///dbfs/")):
+        if path.startswith(scheme):
+            return own + path[len(scheme) :].lstrip("/")
+    return path
+
+
 class Blocks:
     """Reads one block of the written index: leaf numbers, ids, unit vectors."""
 
     def __init__(self, path: str, dims: int):
         from pyarrow import fs
 
-        self.fs, self.path = fs.FileSystem.from_uri(path)
+        self.fs, self.path = fs.FileSystem.from_uri(arrow_uri(path))
         self.dims = dims
 
     def read(self, block: int):
@@ -123,8 +167,7 @@ def _boxes(path: str, proj: np.ndarray, dims: int):
                 if not len(leaf):
                     continue
                 p = v @ proj
-                starts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
-                yield pd.DataFrame({"block": np.int32(block), "leaf": leaf[starts], "low": list(np.minimum.reduceat(p, starts)), "high": list(np.maximum.reduceat(p, starts))})
+                yield pd.DataFrame({"block": [np.int32(block)], "low": [p.min(0)], "high": [p.max(0)]})
 
     return run
 
@@ -135,18 +178,15 @@ def _gap2(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.n
     return (gap * gap).sum(2)
 
 
-def _search(path: str, leaf_block: np.ndarray, leaf_no: np.ndarray, low: np.ndarray, high: np.ndarray, proj: np.ndarray, dims: int, k: int, floor: float | None, confidence: float):
+def _search(path: str, names: np.ndarray, block_low: np.ndarray, block_high: np.ndarray, proj: np.ndarray, dims: int, k: int, floor: float | None, confidence: float):
     stretch = chi2_quantile(proj.shape[1], confidence)
     floor_d2 = np.inf if floor is None else 2 - 2 * floor
-    names = np.unique(leaf_block)
-    first = np.searchsorted(leaf_block, names)
-    block_low, block_high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blocks = Blocks(path, dims)
         for b in batches:
             for block in b["id"]:
-                if block in names:
+                if names[min(len(names) - 1, np.searchsorted(names, block))] == block:
                     yield one(blocks, int(block))
 
     def one(blocks: Blocks, block: int) -> pd.DataFrame:
@@ -169,18 +209,18 @@ def _search(path: str, leaf_block: np.ndarray, leaf_no: np.ndarray, low: np.ndar
             radius2 = stretch * np.minimum(floor_d2, np.maximum(0, 2 - 2 * best[:, k - 1]))
             if gaps[at] > radius2.max():
                 break
-            inside = np.flatnonzero(leaf_block == names[at])
-            near = _gap2(q_low, q_high, low[inside], high[inside])
-            wanted = near <= np.maximum.reduceat(radius2, starts)[:, None]
-            if not wanted.any():
+            if not (_gap2(q_low, q_high, block_low[at : at + 1], block_high[at : at + 1])[:, 0] <= np.maximum.reduceat(radius2, starts)).any():
                 continue
             d_leaf, d_ids, d, _ = blocks.read(int(names[at]))
-            d_start = np.searchsorted(d_leaf, leaf_no[inside])
-            d_end = np.searchsorted(d_leaf, leaf_no[inside], side="right")
+            dp = d @ proj
+            d_start = np.flatnonzero(np.r_[True, d_leaf[1:] != d_leaf[:-1]])
+            d_end = np.r_[d_start[1:], len(d_leaf)]
+            low, high = np.minimum.reduceat(dp, d_start), np.maximum.reduceat(dp, d_start)
+            wanted = _gap2(q_low, q_high, low, high) <= np.maximum.reduceat(radius2, starts)[:, None]
             group = np.repeat(np.arange(len(starts)), ends - starts)
             for x in np.flatnonzero(wanted.any(0)):
                 mine = np.flatnonzero(wanted[group, x])
-                gap = np.maximum(0, np.maximum(low[inside[x]] - qp[mine], qp[mine] - high[inside[x]]))
+                gap = np.maximum(0, np.maximum(low[x] - qp[mine], qp[mine] - high[x]))
                 mine = mine[(gap * gap).sum(1) <= radius2[mine]]  # the others have stopped
                 if not len(mine):
                     continue
@@ -248,22 +288,21 @@ def nearest(vectors: DataFrame, k: int = 10, floor: float | None = None, dims: i
     groups = cut(members.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     copies = members.join(groups, ["h", "g"]).select("id", "rep")
     proj = directions(dims)
-    depth = max(0, min(DEPTH, round(math.log2(max(1, n / LEAF)))))
-    bits = max(0, min(depth, round(math.log2(max(1, n / BLOCK)))))
-    rows = [r[0] for r in good.sample(fraction=min(1.0, SAMPLE / n), seed=7).select("embedding").limit(2 * SAMPLE).collect()] if depth else []
-    points = np.array(rows, np.float32).reshape(-1, dims)
-    points = (points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-30)) @ proj if len(points) else np.zeros((0, M), np.float32)
-    dim, value = fit_tree(points, depth)
+    bits = max(0, round(math.log2(max(1, n / BLOCK))))
+    size = max(SAMPLE, 8 << bits)
+    rows = good.sample(fraction=min(1.0, size / n), seed=7).select("embedding").mapInPandas(_projected(proj), "p array<float>").limit(2 * size).collect() if bits else []
+    dim, value = fit_tree(np.array([r[0] for r in rows], np.float32).reshape(-1, M), bits)
     path = f"{shared_dir(spark).rstrip('/')}/vector-index-{uuid.uuid4().hex}"
-    parts = int(min(2**bits, 2000))
     # of a group of copies one vector is indexed; it is a query if any of the copies is
     single = good.join(copies.where("id <> rep").select("id"), "id", "left_anti") if not modulus else good.join(copies.select("id"), "id", "left_anti").unionByName(_asking_representatives(good, copies))
-    leafed = single.select("id", "ask", "embedding").mapInPandas(_leafed(proj, dim, value, depth, bits, dims), "block int, leaf int, id string, ask boolean, vec binary")
-    leafed.repartition(parts, "block").dropDuplicates(["block", "id"]).sortWithinPartitions("block", "leaf").write.partitionBy("block").parquet(path)
-    tasks = spark.range(2**bits).repartition(int(2**bits))
-    boxes = tasks.mapInPandas(_boxes(path, proj, dims), "block int, leaf int, low array<float>, high array<float>").toPandas().sort_values(["block", "leaf"])  # at most 2^DEPTH rows
-    search = _search(path, boxes["block"].to_numpy(), boxes["leaf"].to_numpy(), np.stack(boxes["low"].to_numpy()), np.stack(boxes["high"].to_numpy()), proj, dims, k, floor, confidence)
+    blocked = single.select("id", "ask", "embedding").mapInPandas(_blocked(proj, dim, value, bits), "block int, id string, ask boolean, vec binary")
+    once = blocked.repartition(int(min(2**bits, TASKS)), "block").dropDuplicates(["block", "id"]).sortWithinPartitions("block")
+    once.mapInPandas(_leafed(proj), "block int, leaf int, id string, ask boolean, vec binary").write.partitionBy("block").parquet(path)
+    tasks = spark.range(2**bits).repartition(int(min(2**bits, TASKS)))
+    boxes = tasks.mapInPandas(_boxes(path, proj, dims), "block int, low array<float>, high array<float>").toPandas().sort_values("block")  # one row a block
+    search = _search(path, boxes["block"].to_numpy(), np.stack(boxes["low"].to_numpy()), np.stack(boxes["high"].to_numpy()), proj, dims, k, floor, confidence)
     found = cut(tasks.mapInPandas(search, "id string, other string, similarity double"))
+    remove(spark, path)
     return _with_copies(found, copies, k, floor, modulus)
 
 
@@ -280,11 +319,13 @@ def _with_copies(found: DataFrame, copies: DataFrame, k: int, floor: float | Non
     members = cut(copies)
     if not members.isEmpty():
         targets = cut(members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1).drop("n"))
-        own = members.join(targets.withColumnRenamed("id", "other"), "rep").where("id <> other").select("id", "other", F.lit(1.0).alias("similarity"))
+        few, size = maybe_broadcast, targets.count()  # the small side of every join with a group, so that a large group is not gathered
+        own = members.join(few(targets.withColumnRenamed("id", "other"), size, 200), "rep").where("id <> other").select("id", "other", F.lit(1.0).alias("similarity"))
         t = targets.select(F.col("rep").alias("other"), F.col("id").alias("t"))
-        out = found.join(t, "other", "left").select("id", F.coalesce("t", "other").alias("other"), "similarity")
-        m = members.select(F.col("rep").alias("id"), F.col("id").alias("m"))
-        pairs = out.join(m, "id", "left").select(F.coalesce("m", "id").alias("id"), "other", "similarity").unionByName(own)
+        out = cut(found.join(few(t, size, 200), "other", "left").select("id", F.coalesce("t", "other").alias("other"), "similarity"))
+        reps = few(targets.select(F.col("rep").alias("id")).distinct(), size, 100)
+        asked = cut(out.join(reps, "id", "left_semi").withColumnRenamed("id", "rep"))
+        pairs = out.join(reps, "id", "left_anti").unionByName(members.join(few(asked, asked.count(), 200), "rep").select("id", "other", "similarity")).unionByName(own)
     if modulus:
         pairs = pairs.where(_divisible(modulus)("id"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))

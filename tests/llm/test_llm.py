@@ -35,6 +35,11 @@ def test_overlap(spark):
     assert split_overlap.overlaps(c.limit(0)).count() == 0
     rep = {(r["split"], r["source"]): r["pairs"] for r in split_overlap.overlap_report(c.withColumn("evidence", F.col("evidence"))).collect()}
     assert sum(rep.values()) == 2
+    # the report from class counts agrees with the pairs written out
+    many = cases(spark, [(f"{r[0]}{i}", *r[1:]) for r in rows + filler if r[0] for i in range(3)])
+    want = split_overlap.overlaps(many).join(many.select(F.col("id").alias("held_case"), F.col("split").alias("of")).distinct(), "held_case").groupBy("of").agg(F.count(F.lit(1)), F.count_distinct("held_case"), F.count_distinct("train"))
+    got = split_overlap.overlap_report(many).groupBy("split").agg(F.sum("pairs"), F.sum("held_cases"), F.sum("train_cases"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
 
 
 def test_within_one():
