@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from corpusloom.operators import rank
 from corpusloom.session import cut, remove, shared_dir, table
 
 from . import markup, mixing, packing, rank_walk, repeated_lines, split_overlap, term_weight, token_budget, tokenizers, unwanted, vector_neighbours
@@ -28,6 +29,19 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return vector_neighbours.nearest(table(spark, d, "vectors"), modulus=20)
 
 
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the vectors whose id is divisible by 20, against all: how many there are, and whether at least 0.9 of their ten nearest by brute force are found."""
+    vectors = table(spark, d, "vectors")
+    found = cut(vector_neighbours.nearest(vectors, modulus=20))
+    unit = F.expr("transform(embedding, x -> x / sqrt(aggregate(embedding, 0D, (a, y) -> a + cast(y as double) * y)))")
+    every = vector_neighbours.usable(vectors).select("id", unit.alias("embedding"))
+    asked = every.join(found.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "query_id")
+    exact = rank.vector(asked, every, 11).where("id <> query_id")
+    tenth = exact.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("n = 10").select(F.col("query_id").alias("id"), F.col("score").alias("tenth"))
+    good = found.join(tenth, "id").groupBy("id").agg(F.count_if(F.col("similarity") >= F.col("tenth") - 1e-5).alias("good"))
+    return good.agg(F.count(F.lit(1)).alias("queries"), (F.avg(F.col("good") / 10) >= 0.9).alias("holds"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_line_numbers(table(spark, d, "documents").select("doc_id", "text", "source"))
 
@@ -196,8 +210,18 @@ select doc_id, cast(line_no as int) line_no from k join r using (src, key)
 ORACLE_SQL["p3_clean_documents"] = ORACLE_SQL["p3_found"].replace("with d as", "with d as", 1).split("select doc_id, cast(line_no")[0] + """,
 l as (select doc_id, unnest(string_split(text, chr(10))) l, unnest(range(1, len(string_split(text, chr(10))) + 1)) line_no from documents),
 b as (select doc_id, line_no, 1 bad from k join r using (src, key)),
-c as (select doc_id, cast(count(bad) as int) removed, coalesce(string_agg(l, chr(10) order by line_no) filter (where bad is null), '') text from l left join b using (doc_id, line_no) group by 1)
-select doc_id, coalesce(removed, 0) removed, c.text from documents left join c using (doc_id)"""
+w as (select doc_id, cast(count(bad) as int) removed, coalesce(string_agg(l, chr(10) order by line_no) filter (where bad is null), '') text from l left join b using (doc_id, line_no) group by 1)
+select doc_id, coalesce(removed, 0) removed, w.text from documents left join w using (doc_id)"""
+ORACLE_SQL["p3_clean_chunks"] = ORACLE_SQL["p3_found"].split("select doc_id, cast(line_no")[0] + f""",
+h as (select id, any_value(doc_id) doc_id, any_value(text) text from chunks group by id),
+m as (select h.id, lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) src, unnest(string_split(h.text, chr(10))) l, unnest(range(1, len(string_split(h.text, chr(10))) + 1)) line_no from h left join documents e on e.id = h.doc_id),
+q as (select id, src, line_no, l, replace({_KEY}, 'ß', 'ss') key from m),
+w as (select q.id, cast(count(r.key) as int) removed, coalesce(string_agg(l, chr(10) order by line_no) filter (where r.key is null), '') text from q left join r on r.src = q.src and r.key = q.key group by 1)
+select h.id, coalesce(removed, 0) removed, w.text from h left join w using (id)"""
+ORACLE_SQL["p2_recall"] = """
+with v as (select id, any_value(embedding) e from vectors where id is not null and len(embedding) = 64 and list_sum(list_transform(embedding, lambda x: abs(x))) > 0 group by id),
+c as (select id, list_transform(string_split(regexp_replace(lower(id), '[^0-9a-f]', '', 'g'), ''), lambda x: case when x between '0' and '9' then cast(x as int) else ascii(x) - 87 end) h from v)
+select count(*) queries, true holds from c where h[-1] % 4 = 0 and list_sum(h) % 5 = 0"""
 _SLICE = "coalesce(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '(none)') {0}"
 ORACLE_SQL["p4_update_check"] = f"select distinct {_SLICE.format('source')}, coalesce(nullif(regexp_extract(lower(trim(coalesce(lang, ''))), '^[a-z]+'), ''), 'und') lang, {_SLICE.format('domain')}, {_SLICE.format('splitter')}, true same from documents where id is not null"
 ORACLE_SQL["p8_check"] = "select doc_id, true complete, true whole, true fits from documents where text <> ''"

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 DAMPING = 0.85
 TOLERANCE = 1e-13
 STEPS = 300
+CELLS = 1 << 21  # of a padded array of scores, at most, unless one run alone has more
 
 _SCHEMA = (
     "struct<parameters: struct<order: map<string, string>>,"
@@ -26,7 +27,7 @@ _SCHEMA = (
 
 
 def run_scores(runs: DataFrame) -> DataFrame:
-    """(run_id, kinds, up, ids, item, kind, value): the scores of a run as flat arrays, from any of the three layouts.
+    """(run_id, kinds, up, ids, item, kind, value): names of kinds and candidates and the scores of a run as flat arrays, from any of the three layouts.
 
     Repeated run ids count once. Null, cut-off or score-less JSON and runs without parameters.order give no row.
     Values that are no finite number are missing.
@@ -45,7 +46,7 @@ def run_scores(runs: DataFrame) -> DataFrame:
         r.select("run_id", "r", order.alias("o"), flat.alias("s"))
         .select("run_id", F.expr("transform(o, x -> x.kind)").alias("kinds"), F.expr("transform(o, x -> x.up)").alias("up"), items.alias("ids"), F.expr("filter(s, x -> x.item is not null and x.kind is not null and x.value is not null)").alias("s"))
         .where("size(kinds) > 0 and size(ids) > 0")
-        .select("run_id", "kinds", "up", "ids", F.expr("transform(s, x -> cast(array_position(ids, x.item) as int) - 1)").alias("item"), F.expr("transform(s, x -> cast(array_position(kinds, x.kind) as int) - 1)").alias("kind"), F.expr("transform(s, x -> try_cast(x.value as double))").alias("value"))
+        .select("run_id", "kinds", "up", "ids", F.col("s.item").alias("item"), F.col("s.kind").alias("kind"), F.expr("transform(s, x -> try_cast(x.value as double))").alias("value"))
     )
 
 
@@ -100,9 +101,13 @@ def number_above(scores: np.ndarray) -> np.ndarray:
 def _rank(damping: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            size = b["ids"].str.len().to_numpy() * b["kinds"].str.len().to_numpy()
-            for _, part in b.groupby(np.ceil(np.log2(np.maximum(size, 1))).astype(int), sort=False):  # runs of like size share one padded array
-                yield _rank_part(part, damping)
+            items, kinds = (np.maximum(1, b[c].str.len().to_numpy()) for c in ("ids", "kinds"))
+            shape = [np.ceil(np.log2(x)).astype(int) for x in (items, kinds)]  # runs of like shape share one padded array
+            for _, part in b.groupby(shape, sort=False):
+                cells = part["ids"].str.len().max() * part["kinds"].str.len().max()
+                step = max(1, CELLS // max(1, int(cells)))
+                for first in range(0, len(part), step):
+                    yield _rank_part(part.iloc[first : first + step], damping)
 
     return run
 
@@ -112,10 +117,12 @@ def _rank_part(b: pd.DataFrame, damping: float) -> pd.DataFrame:
     n, most = int(items.max()), int(kinds.max())
     scores = np.full((len(b), most, n), -np.inf)
     present = np.zeros((len(b), most), bool)
-    for i, (up, item, kind, value) in enumerate(zip(b["up"], b["item"], b["kind"], b["value"])):
+    for i, (up, names, own_kinds, item, kind, value) in enumerate(zip(b["up"], b["ids"], b["kinds"], b["item"], b["kind"], b["value"])):
         if not len(item):
             continue
-        item, kind, value = np.asarray(item, int), np.asarray(kind, int), np.asarray(value, float)
+        place = {x: j for j, x in enumerate(names)}
+        of = {x: j for j, x in enumerate(own_kinds)}
+        item, kind, value = np.array([place[x] for x in item]), np.array([of.get(x, -1) for x in kind]), np.asarray(value, float)
         ok = (kind >= 0) & (item >= 0) & np.isfinite(value)
         item, kind = item[ok], kind[ok]
         value = np.where(np.asarray(up, bool)[kind], value[ok], -value[ok])

@@ -85,9 +85,11 @@ def summarise(share: float = SHARE, room: int = 400_000):
             counts = new if counts is None else pd.concat([counts, new]).groupby(["src", "key"], sort=False)["n"].sum().reset_index()
             if len(counts) > room:
                 counts = _shrink(counts, docs, lines, errors, share)
-                room_now = len(counts)
-                if room_now > room:  # many sources in one partition: let the table grow rather than lose error bounds
-                    continue
+                if len(counts) > room // 2:  # many sources in one partition: this summary is done, another begins; their errors add up to no more than one's
+                    yield counts[["src", "key", "n"]].astype({"n": "int64"})
+                    if errors:
+                        yield pd.DataFrame({"src": list(errors), "key": pd.array([None] * len(errors), dtype="Int64"), "n": list(errors.values())})
+                    docs, lines, errors, counts = {}, {}, {}, None
         if counts is not None:
             yield _shrink(counts, docs, lines, errors, share)[["src", "key", "n"]].astype({"n": "int64"})
             if errors:

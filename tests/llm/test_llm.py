@@ -100,6 +100,10 @@ def test_summary_never_loses_a_heavy_line():
     out = pd.concat(repeated_lines.summarise(0.1, room=300)(iter([frame.iloc[:250], frame.iloc[250:]])))
     err = out[out["key"].isna()]["n"].sum()
     assert out[out["key"] == 7]["n"].sum() + err >= 56 and err <= 0.1 * 500 / repeated_lines.SLACK
+    # a table that stays too large is given out and begun anew; nothing is lost
+    many = pd.DataFrame({"src": [f"s{i % 100}" for i in range(400)], "keys": [np.arange(i % 100, i % 100 + 30) + 1 for i in range(400)]})
+    parts = list(repeated_lines.summarise(0.1, room=500)(iter([many.iloc[i : i + 40] for i in range(0, 400, 40)])))
+    assert len(parts) > 5 and (pd.concat(parts).groupby(["src", "key"])["n"].sum() == 4).all()
 
 
 # ---- 4, 8, 9
