@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -133,36 +134,48 @@ def _best_in_task(ids: list, terms: list[np.ndarray], weights: list[np.ndarray],
     return run
 
 
-def _term_batches(queries: DataFrame, chunks: DataFrame, k: int, weigh: bool) -> DataFrame:
-    """(query_id, id, body, score): the best of every task and query."""
+@dataclass(frozen=True)
+class Held:
+    """A batch of queries, QUERY_SCAN at a time, with what the chunks hold of their terms; several retrievers can share it."""
+
+    kind: str  # type of query ids
+    scans: list[tuple[list, list[np.ndarray], int, DataFrame]]  # ids, numbers of the terms of each, how many terms, held_terms
+
+
+def held(queries: DataFrame, chunks: DataFrame) -> Held:
     asked = cut(queries.select("query_id", F.array_distinct(T.search_terms(F.col("text"))).alias("terms")).where("size(terms) > 0"))
-    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id string, body boolean, score double"
-    scans = max(1, -(-asked.count() // QUERY_SCAN))
-    out = chunks.sparkSession.createDataFrame([], schema)
-    for x in range(scans):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(scans)) == x).orderBy("query_id").collect()  # about QUERY_SCAN short rows
-        if not part:
-            continue
+    n = max(1, -(-asked.count() // QUERY_SCAN))
+    out = []
+    for x in range(n):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == x).orderBy("query_id").collect()  # about QUERY_SCAN short rows
         words = sorted({w for r in part for w in r["terms"]})
         number = {w: i for i, w in enumerate(words)}
-        rows = held_terms(chunks, words)
-        terms = [np.array([number[w] for w in r["terms"]]) for r in part]
-        weight, avgdl = np.ones(len(words)), None
+        if part:
+            out.append(([r["query_id"] for r in part], [np.array([number[w] for w in r["terms"]]) for r in part], len(words), held_terms(chunks, words)))
+    return Held(asked.schema["query_id"].dataType.simpleString(), out)
+
+
+def _term_batches(batch: Held, spark, k: int, weigh: bool) -> DataFrame:
+    """(query_id, id, body, score): the best of every task and query."""
+    schema = f"query_id {batch.kind}, id string, body boolean, score double"
+    out = spark.createDataFrame([], schema)
+    for ids, terms, words, rows in batch.scans:
+        weight, avgdl = np.ones(words), None
         if weigh:
             n, mean = rows.agg(F.count(F.lit(1)), F.avg("length")).first()
             avgdl = float(mean or 1.0)
-            df = np.zeros(len(words))
+            df = np.zeros(words)
             for t, c in rows.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():  # one row a word of the queries
                 df[t] = c
             weight = np.log1p((n - df + 0.5) / (df + 0.5))
-        out = out.unionByName(rows.mapInPandas(_best_in_task([r["query_id"] for r in part], terms, [weight[t] for t in terms], avgdl, k), schema))
+        out = out.unionByName(rows.mapInPandas(_best_in_task(ids, terms, [weight[t] for t in terms], avgdl, k), schema))
     return out
 
 
-def keyword(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+def keyword(queries: DataFrame, chunks: DataFrame, k: int = 5, batch: Held | None = None) -> DataFrame:
     """Number of query terms a chunk has; ties: body before others, then id."""
     check_arguments(None, k)
-    return top(_term_batches(queries, chunks, k, False), k, F.desc("score"), F.desc("body"), "id").select("query_id", "id", "rank", "score")
+    return top(_term_batches(batch or held(queries, chunks), chunks.sparkSession, k, False), k, F.desc("score"), F.desc("body"), "id").select("query_id", "id", "rank", "score")
 
 
 def bm25_parts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,10 +185,10 @@ def bm25_parts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, batch: Held | None = None) -> DataFrame:
     """Body chunks precede others whatever their score; then score (rounded to 6), then id."""
     check_arguments(None, k)
-    return top(_term_batches(queries, chunks, k, True), k, F.desc("body"), F.desc("score"), "id").select("query_id", "id", "rank", "score")
+    return top(_term_batches(batch or held(queries, chunks), chunks.sparkSession, k, True), k, F.desc("body"), F.desc("score"), "id").select("query_id", "id", "rank", "score")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -196,7 +196,8 @@ def q_pool(spark, d):
 
 def _fused(spark, d, k=5):
     q, c = _questions(spark, d), _chunks(spark, d)
-    return rank.rrf([("keyword", rank.keyword(q, c, 10), 1.0), ("bm25", rank.bm25(q, c, 10), 1.0)], k)
+    h = rank.held(q, c)
+    return rank.rrf([("keyword", rank.keyword(q, c, 10, h), 1.0), ("bm25", rank.bm25(q, c, 10, h), 1.0)], k)
 
 
 @query
@@ -233,7 +234,8 @@ def q_vector_index(spark, d):
 def _lists(spark, d):
     """Ten candidates a question by each mode; the index is built and searched through its guard."""
     q, c = cut(_questions(spark, d)), _chunks(spark, d)
-    return {"keyword": cut(rank.keyword(q, c, 10)), "bm25": cut(rank.bm25(q, c, 10)), "vector": cut(index.search(q, c, index.build(c, ENCODER), ENCODER, 10))}
+    h = rank.held(q, c)
+    return {"keyword": cut(rank.keyword(q, c, 10, h)), "bm25": cut(rank.bm25(q, c, 10, h)), "vector": cut(index.search(q, c, index.build(c, ENCODER), ENCODER, 10))}
 
 
 @query
@@ -474,7 +476,8 @@ def q_compare_splitters(spark, d):
 @query
 def q_compare_retrievers(spark, d):
     q, c = _questions(spark, d), _chunks(spark, d)
-    both = {"keyword": cut(rank.keyword(q, c, 5)), "bm25": cut(rank.bm25(q, c, 5))}
+    h = rank.held(q, c)
+    both = {"keyword": cut(rank.keyword(q, c, 5, h)), "bm25": cut(rank.bm25(q, c, 5, h))}
     return _with_split(spark, d, evaluate.compared({n: _scores(spark, d, r) for n, r in both.items()}, "keyword"))
 
 
