@@ -24,6 +24,21 @@ g as (select id, any_value(hash) hash, sec, piece, min(line_no) start_line, max(
 base as (select sha256(g.id || ':' || hash || ':heading-lines-v1:20:' || start_line || ':' || end_line) id, g.id doc_id, coalesce(title, '(正文)') section, cast(start_line as int) start_line, cast(end_line as int) end_line, text, 'body' kind
  from g join t on g.id = t.id and g.sec = t.sec where regexp_matches(text, '\\S'))
 """
+_META = f"'(?i)^{_S}*(Source|Publisher|License|Retrieved|Title|Author|Date){_S}*[:：]'"
+_NOTE = f"'(?i)^{_S}*(This is a (selected )?excerpt|Formatting and|Adapted from|Note:)'"
+# sections, their provenance part (0) and the rest (1), and where a piece starts: one step a line
+_BLOCKS = f"""{_LINES},
+h as (select *, regexp_matches(line, {_HEAD}) head, {_BLANK.format('line')} blank, regexp_matches(line, {_META}) meta, regexp_matches(line, {_NOTE}) note, regexp_matches(line, '^{_S}*([-*+]|\\d+[.)]){_S}+') item, regexp_matches(line, '[:：]{_S}*$') colon from l),
+s as (select *, sum(cast(head as int)) over (partition by id order by line_no) sec from h),
+u as (select *, row_number() over (partition by id, sec order by line_no) n from s),
+w as (select id, sec, any_value(case when n = 1 and head then regexp_extract(line, {_HEAD}, 1) end) title, bool_or(n = 1 and head) headed, min(case when n > 1 and not blank and not meta and not note then n end) body_at from u group by 1, 2),
+v as (select id, sec, coalesce(headed and bool_or(n > 1 and (meta or note) and (body_at is null or n < body_at)), false) peel from u join w using (id, sec) group by id, sec, headed),
+p as (select u.*, title, case when peel and (body_at is null or n < body_at) then 0 else 1 end part from u join w using (id, sec) join v using (id, sec)),
+i as (select *, row_number() over (partition by id, sec, part order by line_no) k, coalesce(lead(item) over (partition by id, sec, part order by line_no), false) next_item from p),
+r as (select id, sec, part, k, line_no, line_no starts, colon and not blank open, next_item from i where k = 1
+ union all select i.id, i.sec, i.part, i.k, i.line_no, case when r.line_no - r.starts + 1 >= 20 and not (r.open and r.next_item) then i.line_no else r.starts end,
+  case when not i.blank then i.colon else r.open and not (r.line_no - r.starts + 1 >= 20 and not (r.open and r.next_item)) end, i.next_item from r join i on i.id = r.id and i.sec = r.sec and i.part = r.part and i.k = r.k + 1),
+g as (select id, sec, part, starts, any_value(hash) hash, max(line_no) ends, any_value(title) title, string_agg(line, chr(10) order by line_no) text, bool_and(blank or meta) provenance, bool_and(blank) blank from r join i using (id, sec, part, k, line_no) group by 1, 2, 3, 4)"""
 _TOK = "regexp_extract_all(lower({0}), '[a-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]+')"
 _ALIAS = (("提示注入", "prompt injection"), ("工具权限", "tool permissions"), ("最小权限", "least privilege"), ("间接注入", "indirect injection"))
 
@@ -109,6 +124,8 @@ for _a, _b in (("id, doc_id, hash, text, string_split_regex", "id, doc_id, hash,
 ORACLE_SQL: dict[str, str] = {
     "q_lines": f"with {_LINES} select doc_id, cast(line_no as int) line_no, line from l",
     "q_chunk_baseline": f"with {_BASE} select * from base",
+    "q_chunk_blocks": f"""with recursive {_BLOCKS} select sha256(id || ':' || hash || ':heading-block-v2:' || starts || ':' || ends) id, id doc_id, case when part = 0 then '(说明性元数据)' else coalesce(title, '(正文)') end section, cast(starts as int) start_line, cast(ends as int) end_line, text,
+ case when part = 0 or provenance then 'metadata' else 'body' end kind from g where not blank""",
     "q_chunk_census": f"with {_BASE} select doc_id, count(*) chunks, count(*) filter (where kind = 'metadata') metadata, count(*) filter (where kind <> 'metadata') body, cast(round(avg(length(text)), 0) as bigint) mean_chars from base group by 1",
     "q_page_furniture": f"""
 with {_PAGES}, pg as (select id, page, string_split(t, chr(10)) ls from pp),
