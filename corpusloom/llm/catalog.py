@@ -105,6 +105,13 @@ def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
     return rank_walk.combined_ranking(table(spark, d, "runs").select("id", "result"))
 
 
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of every ranked run: its candidates, and whether the ranking is whole: every place once, all mass given out."""
+    ranked = rank_walk.combined_ranking(table(spark, d, "runs").select("id", "result"))
+    n = ranked.groupBy("run_id").agg(F.count(F.lit(1)).alias("items"), F.max("place").alias("last"), F.count_distinct("place").alias("places"), F.sum("mass").alias("mass"))
+    return n.select("run_id", "items", ((F.col("last") == F.col("items")) & (F.col("places") == F.col("items")) & (F.abs(F.col("mass") - 1) < 1e-9)).alias("whole"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms that mark out a chunk significantly by their score; counts and document frequencies are checked exactly."""
     active = table(spark, d, "chunks").where("active").select("id", "kind", "text")
@@ -222,6 +229,10 @@ ORACLE_SQL["p2_recall"] = """
 with v as (select id, any_value(embedding) e from vectors where id is not null and len(embedding) = 64 and list_sum(list_transform(embedding, lambda x: abs(x))) > 0 group by id),
 c as (select id, list_transform(string_split(regexp_replace(lower(id), '[^0-9a-f]', '', 'g'), ''), lambda x: case when x between '0' and '9' then cast(x as int) else ascii(x) - 87 end) h from v)
 select count(*) queries, true holds from c where h[-1] % 4 = 0 and list_sum(h) % 5 = 0"""
+ORACLE_SQL["p5_check"] = """
+with r as (select id, any_value(result) j from runs where id is not null and result is not null group by id), o as (select id, case when json_valid(j) then cast(j as json) end j from r),
+c as (select id, list_distinct(list_filter(list_concat(json_extract_string(j, '$.candidates[*].id'), json_extract_string(j, '$.lists.*[*].id')), lambda x: x is not null)) ids from o where len(json_keys(j, '$.parameters.order')) > 0)
+select id run_id, cast(len(ids) as bigint) items, true whole from c where len(ids) > 0"""
 _SLICE = "coalesce(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '(none)') {0}"
 ORACLE_SQL["p4_update_check"] = f"select distinct {_SLICE.format('source')}, coalesce(nullif(regexp_extract(lower(trim(coalesce(lang, ''))), '^[a-z]+'), ''), 'und') lang, {_SLICE.format('domain')}, {_SLICE.format('splitter')}, true same from documents where id is not null"
 ORACLE_SQL["p8_check"] = "select doc_id, true complete, true whole, true fits from documents where text <> ''"

@@ -395,5 +395,31 @@ def test_unwanted(spark):
     assert unwanted.scored(d.limit(0), lab).count() == 0
 
 
+def test_risk_sums_on_executors_equal_the_drivers(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(sorted({int(x) for x in rng.integers(0, 12, rng.integers(1, 5))}), int(rng.integers(1, 9)), int(rng.integers(0, 2))) for _ in range(60)] + [([], 500, 50)]
+    table = spark.createDataFrame(rows, "pattern array<int>, everywhere bigint, cleared bigint").repartition(3)
+    w, b = rng.standard_normal((12, 2)), rng.standard_normal(2)
+    local = unwanted.Corpus(table, 12)
+    monkeypatch.setattr(unwanted, "LOCAL", 0)
+    spread = unwanted.Corpus(table, 12)
+    assert local.rows is not None and spread.rows is None
+    assert all(np.allclose(x, y) for x, y in zip(local.sums(w, b), spread.sums(w, b)))
+    edges = np.array([2.0, 0.5, -1.0])
+    assert np.allclose(local.tail(w[:, 0], 0.1, edges), spread.tail(w[:, 0], 0.1, edges))
+
+
+def test_prior_and_boundary_of_a_known_mixture():
+    rng = np.random.default_rng(4)
+    mixture = np.r_[rng.normal(6, 1, 200), rng.normal(0, 1, 19_800)]
+    witness = rng.normal(6, 1, 300)
+    tail_of = lambda edges: np.array([(mixture >= e).sum() for e in edges], float)
+    edges, own, everywhere = unwanted.stretches(witness, tail_of)
+    prior = unwanted.mixture_prior(witness, edges, np.cumsum(everywhere), len(mixture))
+    assert 0.007 <= prior <= 0.0125
+    edge = unwanted.lowest(edges, prior * len(mixture) * own / len(witness), 0.5 * everywhere)
+    assert 2.5 <= edge <= 4.5  # where both densities meet at that prior
+
+
 def test_disguises():
     assert unwanted.words_of("you m o r o n , $h1t k.i.l.l fuuuull") == ["you", "moron", "shit", "kill", "full"]
