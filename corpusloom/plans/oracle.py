@@ -39,6 +39,24 @@ r as (select id, sec, part, k, line_no, line_no starts, colon and not blank open
  union all select i.id, i.sec, i.part, i.k, i.line_no, case when r.line_no - r.starts + 1 >= 20 and not (r.open and r.next_item) then i.line_no else r.starts end,
   case when not i.blank then i.colon else r.open and not (r.line_no - r.starts + 1 >= 20 and not (r.open and r.next_item)) end, i.next_item from r join i on i.id = r.id and i.sec = r.sec and i.part = r.part and i.k = r.k + 1),
 g as (select id, sec, part, starts, any_value(hash) hash, max(line_no) ends, any_value(title) title, string_agg(line, chr(10) order by line_no) text, bool_and(blank or meta) provenance, bool_and(blank) blank from r join i using (id, sec, part, k, line_no) group by 1, 2, 3, 4)"""
+# the same with fences heeded, titles inherited over peeled ones, and pieces of prose and fences: one step a line
+_PROCEDURES = f"""{_LINES},
+f as (select *, regexp_matches(line, '^{_S}*(```|~~~)') fence, {_BLANK.format('line')} blank, regexp_matches(line, {_META}) or regexp_matches(line, {_NOTE}) meta, regexp_matches(line, {_HEAD}) headlike from l),
+h as (select *, headlike and sum(cast(fence as int)) over (partition by id order by line_no) % 2 = 0 head from f),
+s as (select *, sum(cast(head as int)) over (partition by id order by line_no) sec from h),
+u as (select *, row_number() over (partition by id, sec order by line_no) n from s),
+w as (select id, sec, coalesce(any_value(case when n = 1 and head then regexp_extract(line, {_HEAD}, 1) end), '(正文)') title, bool_or(n = 1 and headlike) headed, min(case when n > 1 and not blank and not meta then n end) body_at from u group by 1, 2 having not bool_and(blank)),
+v as (select id, sec, title, body_at, coalesce(headed and bool_or(n > 1 and meta and (body_at is null or n < body_at)), false) peel from u join w using (id, sec) group by id, sec, title, headed, body_at),
+t as (select *, last_value(case when not peel then title end ignore nulls) over o own, first_value(case when peel and body_at is not null then title end ignore nulls) over o opening from v window o as (partition by id order by sec rows between unbounded preceding and 1 preceding)),
+p as (select u.*, case when peel and (body_at is null or n < body_at) then 0 else 1 end part, case when peel and (body_at is null or n < body_at) then '(说明性元数据)' when peel then coalesce(own, opening, title) else title end label from u join t using (id, sec)),
+q as (select *, row_number() over (partition by id, sec, part order by line_no) k, first_value(headlike) over (partition by id, sec, part order by line_no) headed, first_value(line_no) over (partition by id, sec, part order by line_no) starts_at from p),
+i as (select *, k - cast(headed as int) j from q where k > cast(headed as int)),
+r as (select id, sec, part, j, line_no, case when not blank then line_no end cur, fence inf, blank done from i where j = 1
+ union all select i.id, i.sec, i.part, i.j, i.line_no, case when r.inf then r.cur when i.blank then null else coalesce(case when not r.done then r.cur end, i.line_no) end, case when r.inf then not i.fence else i.fence end,
+  case when r.inf then i.fence when i.blank then true when i.fence then false else i.line_no - coalesce(case when not r.done then r.cur end, i.line_no) + 1 >= 20 end from r join i on i.id = r.id and i.sec = r.sec and i.part = r.part and i.j = r.j + 1),
+c as (select id, sec, part, cur, max(line_no) ends from r where cur is not null group by 1, 2, 3, 4),
+a as (select c.*, label, case when headed and cur = min(cur) over (partition by c.id, c.sec, c.part) then starts_at else cur end starts from c join (select distinct id, sec, part, label, headed, starts_at from q) using (id, sec, part)),
+g as (select a.id, label, part, starts, ends, any_value(hash) hash, string_agg(line, chr(10) order by line_no) text, bool_or(fence) fenced from a join f on f.id = a.id and f.line_no between starts and ends group by 1, 2, 3, 4, 5)"""
 _TOK = "regexp_extract_all(lower({0}), '[a-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]+')"
 _ALIAS = (("提示注入", "prompt injection"), ("工具权限", "tool permissions"), ("最小权限", "least privilege"), ("间接注入", "indirect injection"))
 
@@ -50,6 +68,19 @@ def _expanded(q: str) -> str:
 _ACTIVE = "ch as (select id, any_value(kind) kind, any_value(doc_id) doc_id, any_value(text) text, any_value(start_line) start_line, any_value(end_line) end_line from chunks where active group by id)"
 _PAGES = """pc as (select id, any_value(doc_id) doc_id, any_value(version) version, any_value(page) page, any_value(start_line) start_line, any_value(text) text from chunks where active and page is not null group by id),
 pp as (select doc_id id, row_number() over (partition by doc_id, version order by page) page, string_agg(text, chr(10) order by start_line, id) t from pc group by doc_id, version, page)"""
+_PAGED = f"""{_PAGES}, pv as (select doc_id id, any_value(version) hash from pc group by 1), pl as (select id, page, unnest(string_split(t, chr(10))) line, unnest(range(1, len(string_split(t, chr(10))) + 1)) pos from pp),
+pa as (select *, row_number() over (partition by id order by page, pos) n, {_BLANK.format('line')} blank, regexp_replace(regexp_replace(line, '^{_S}+|{_S}+$', '', 'g'), '\\d+', '#', 'g') key from pl),
+pe as (select *, pos = min(case when not blank then pos end) over (partition by id, page) top, pos = max(case when not blank then pos end) over (partition by id, page) bottom from pa),
+po as (select id, count(distinct page) total from pa group by 1),
+pk as (select id, 'top' edge, key from pe join po using (id) where top and total >= 2 group by id, key, total having count(*) >= greatest(2, (total + 1) // 2) union all select id, 'bottom', key from pe join po using (id) where bottom and total >= 2 group by id, key, total having count(*) >= greatest(2, (total + 1) // 2)),
+pf as (select pe.*, coalesce(top, false) and exists (select 1 from pk where pk.id = pe.id and pk.key = pe.key and edge = 'top') or coalesce(bottom, false) and exists (select 1 from pk where pk.id = pe.id and pk.key = pe.key and edge = 'bottom') furniture,
+ regexp_matches(line, {_HEAD}) headlike, coalesce(sum(cast(regexp_matches(line, '^{_S}*(```|~~~)') as int)) over (partition by id order by n rows between unbounded preceding and 1 preceding), 0) % 2 = 0 plain from pe),
+ps as (select *, case when n = 1 or furniture or (headlike and plain) or lag(furniture) over o or lag(page) over o <> page then 1 else 0 end new, last_value(case when headlike and plain and not furniture then regexp_extract(line, {_HEAD}, 1) end ignore nulls) over (partition by id order by n) title from pf window o as (partition by id order by n)),
+pn as (select *, sum(new) over (partition by id order by n) piece from ps), pm as (select *, row_number() over (partition by id, piece order by n) k, regexp_matches(line, {_META}) or regexp_matches(line, {_NOTE}) boiler from pn),
+pw as (select id, piece, bool_or(k = 1 and headlike) headed, min(case when k > 1 and not blank and not boiler then k end) body_at from pm group by 1, 2),
+px as (select id, piece, body_at, headed and bool_or(k > 1 and boiler and k < body_at) peel from pm join pw using (id, piece) group by id, piece, body_at, headed),
+py as (select pm.*, case when coalesce(peel, false) and not furniture and k < body_at then 0 else 1 end part from pm join px using (id, piece)),
+pg as (select id, piece, part, any_value(page) page, bool_or(furniture) furniture, first(title order by n) title, min(n) starts, max(n) ends, string_agg(line, chr(10) order by n) text, bool_and(blank) blank from py group by 1, 2, 3)"""
 _SAMPLE = "sm as (select id case_id, any_value(split) split, any_value(question) question, any_value(evidence) evidence from cases where split in ('development', 'holdout') and id is not null and trim(question) <> '' and len(evidence) > 0 group by id)"
 _ONE = f"qs as (select 'q' query_id, '{QUESTION}' text)"
 _DEV = f"{_SAMPLE}, qs as (select case_id query_id, question text from sm)"
@@ -126,6 +157,10 @@ ORACLE_SQL: dict[str, str] = {
     "q_chunk_baseline": f"with {_BASE} select * from base",
     "q_chunk_blocks": f"""with recursive {_BLOCKS} select sha256(id || ':' || hash || ':heading-block-v2:' || starts || ':' || ends) id, id doc_id, case when part = 0 then '(说明性元数据)' else coalesce(title, '(正文)') end section, cast(starts as int) start_line, cast(ends as int) end_line, text,
  case when part = 0 or provenance then 'metadata' else 'body' end kind from g where not blank""",
+    "q_chunk_procedures": f"""with recursive {_PROCEDURES} select sha256(id || ':' || hash || ':heading-procedure-v3:' || starts || ':' || ends) id, id doc_id, case when fenced and label not in ('(正文)', '(说明性元数据)') then '代码（' || label || '）' else label end section,
+ cast(starts as int) start_line, cast(ends as int) end_line, text, case when part = 0 then 'metadata' else 'body' end kind from g""",
+    "q_chunk_pages": f"""with {_PAGED} select sha256(pg.id || ':' || hash || ':pdf-pages-v1:' || page || ':' || starts || ':' || ends) id, pg.id doc_id, case when part = 0 then '(说明性元数据)' else coalesce(title, '(正文)') end section, cast(starts as int) start_line, cast(ends as int) end_line,
+ case when part = 0 or furniture then 'metadata' else 'body' end kind, cast(page as int) page from pg join pv using (id) where not blank""",
     "q_chunk_census": f"with {_BASE} select doc_id, count(*) chunks, count(*) filter (where kind = 'metadata') metadata, count(*) filter (where kind <> 'metadata') body, cast(round(avg(length(text)), 0) as bigint) mean_chars from base group by 1",
     "q_page_furniture": f"""
 with {_PAGES}, pg as (select id, page, string_split(t, chr(10)) ls from pp),
