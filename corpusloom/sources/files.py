@@ -6,13 +6,18 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CASES = (
     "kind string, version string, note string, sources map<string,string>, cases array<struct<id:string,question:string,expected_status:string,kind:string,structure:string,"
     "evidence:array<struct<source:string,start_line:int,end_line:int,must_include:array<string>,required_together:boolean,why:string>>,human_review:array<string>,note:string>>"
 )
 
+#: Published tables are split by document, so that a change of some documents rewrites their buckets only
+BUCKETS = 256
+KEYS = {"documents": "id", "chunks": "doc_id"}
+MANIFEST = "version string, at timestamp, parts struct<documents: map<string, string>, chunks: map<string, string>>"
+
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """(file, hash, text, problem) of .md files: hash of the bytes, text as UTF-8 without a byte order mark; blank files have a problem."""
@@ -117,20 +122,47 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def publish(tables: dict[str, DataFrame], root: str) -> str:
-    """Writes a new version of tables that belong together next to the old ones and only then points to it: readers see all of the old or all of the new."""
+def bucket_of(key: Column) -> Column:
+    """The bucket that a document and its chunks are published in, by document id."""
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _manifest(spark: SparkSession, root: str) -> dict[str, dict[int, str]]:
+    """Of every table: the version that holds each of its buckets; buckets without rows are not listed."""
+    rows = spark.read.schema(MANIFEST).json(f"{root}/_current")
+    last = rows.orderBy(F.desc("at"), "version").first()
+    return {name: {int(b): v for b, v in own.items()} for name, own in last["parts"].asDict(recursive=True).items() if own} if last else {}
+
+
+def publish(tables: dict[str, DataFrame], root: str, touched: list[int] | None = None) -> str:
+    """Writes new versions of tables that belong together (documents, chunks) next to the old ones and only then points to them: readers see all of the old or all of the new.
+
+    touched: the buckets that the tables hold; the others stay as they are published. By default all are replaced.
+    """
     version = f"v-{uuid.uuid4().hex}"
-    spark = None
+    spark = next(iter(tables.values())).sparkSession
+    now = _manifest(spark, root) if touched is not None and exists(spark, f"{root}/_current") else {}
+    parts = {}
     for name, df in tables.items():
-        spark = df.sparkSession
-        df.write.mode("errorifexists").parquet(f"{root}/{version}/{name}")
-    spark.createDataFrame([(version,)], types.StructType([types.StructField("version", types.StringType())])).coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").json(f"{root}/_current")
+        path = f"{root}/{version}/{name}"
+        df.withColumn("bucket", bucket_of(F.col(KEYS[name]))).write.mode("errorifexists").partitionBy("bucket").parquet(path)
+        new = {b: version for b in (touched if touched is not None else range(BUCKETS)) if exists(spark, f"{path}/bucket={b}")}
+        parts[name] = {str(b): v for b, v in ({b: v for b, v in now.get(name, {}).items() if b not in set(touched or ())} | new).items()}
+    row = spark.createDataFrame([(version, tuple(parts.get(n) for n in KEYS))], f"version string, {MANIFEST.split(', ', 2)[2]}")
+    row.coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").json(f"{root}/_current")
     return version
 
 
-def published(spark: SparkSession, root: str, name: str, schema: str | None = None) -> DataFrame:
-    """A table of the version that was published last. Where nothing was ever published: an empty one of `schema`, if given; any other failure rises."""
-    if schema is not None and not exists(spark, f"{root}/_current"):
-        return spark.createDataFrame([], schema)
-    last = spark.read.schema("version string, at timestamp").json(f"{root}/_current").orderBy(F.desc("at"), "version").first()
-    return spark.read.parquet(f"{root}/{last['version']}/{name}")
+def published(spark: SparkSession, root: str, name: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
+    """A table (or some of its buckets) as it was published last. Where nothing was ever published it is empty; any other failure to read rises."""
+    out = spark.createDataFrame([], schema)
+    if not exists(spark, f"{root}/_current"):
+        return out
+    by: dict[str, list[int]] = {}
+    for b, v in _manifest(spark, root).get(name, {}).items():
+        if buckets is None or b in buckets:
+            by.setdefault(v, []).append(b)
+    for v, own in sorted(by.items()):
+        base = f"{root}/{v}/{name}"
+        out = out.unionByName(spark.read.schema(schema).option("basePath", base).parquet(*(f"{base}/bucket={b}" for b in sorted(own))).select(*out.columns))
+    return out

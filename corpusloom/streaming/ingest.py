@@ -12,8 +12,8 @@ def import_stream(spark: SparkSession, incoming: str, root: str, checkpoint: str
     """Imports the .md files that appear in `incoming`; documents and chunks are published together under `root` once a micro-batch.
 
     A batch that is replayed after a failure finds its documents unchanged, so the result is the same. A failure to
-    read what is published fails the batch; only a root where nothing was ever published counts as empty. A micro-batch writes
-    both tables anew, so batches should be large.
+    read what is published fails the batch; only a root where nothing was ever published counts as empty. A micro-batch reads
+    and writes only the buckets of its documents.
     """
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.md").load(incoming)
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
@@ -21,7 +21,8 @@ def import_stream(spark: SparkSession, incoming: str, root: str, checkpoint: str
 
     def one(batch: DataFrame, _: int) -> None:
         now = batch.sparkSession
-        docs, chunks = corpus.import_documents(files.published(now, root, "documents", corpus.DOCUMENTS), files.published(now, root, "chunks", corpus.CHUNKS), batch)
-        files.publish({"documents": docs, "chunks": chunks}, root)
+        touched = [r[0] for r in batch.select(files.bucket_of(corpus.document_id(F.col("source"))).alias("b")).distinct().collect()]  # at most BUCKETS numbers
+        docs, chunks = corpus.import_documents(files.published(now, root, "documents", corpus.DOCUMENTS, touched), files.published(now, root, "chunks", corpus.CHUNKS, touched), batch)
+        files.publish({"documents": docs, "chunks": chunks}, root, touched)
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

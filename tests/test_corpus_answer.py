@@ -145,7 +145,8 @@ def test_cost_and_guard(spark):
     assert (s["spent"], s["held"], s["available"], s["blocked"]) == (8, 5, 87, True)
 
 
-def test_files_and_stream(spark, tmp_path):
+def test_files_and_stream(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "BUCKETS", 1)
     src = tmp_path / "in"
     src.mkdir()
     (src / "a.md").write_bytes("﻿# A\nwords".encode())
@@ -156,7 +157,7 @@ def test_files_and_stream(spark, tmp_path):
 
     for _ in range(2):
         import_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert [r["text"] for r in files.published(spark, str(tmp_path / "out"), "chunks").collect()] == ["# A\nwords"]
+    assert [r["text"] for r in files.published(spark, str(tmp_path / "out"), "chunks", corpus.CHUNKS).collect()] == ["# A\nwords"]
     # what cannot be read is not taken for nothing: the batch fails and the corpus stays
     import shutil
 
@@ -170,10 +171,28 @@ def test_files_and_stream(spark, tmp_path):
         assert not isinstance(e, AssertionError), e
     shutil.move(str(tmp_path / "gone"), str(tmp_path / "out" / last))
     import_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert sorted(r["text"] for r in files.published(spark, str(tmp_path / "out"), "chunks").collect()) == ["# A\nwords", "# C\nmore"]
+    assert sorted(r["text"] for r in files.published(spark, str(tmp_path / "out"), "chunks", corpus.CHUNKS).collect()) == ["# A\nwords", "# C\nmore"]
     assert files.published(spark, str(tmp_path / "never"), "chunks", corpus.CHUNKS).count() == 0
 
 
+def test_a_change_rewrites_its_buckets_only(spark, tmp_path):
+    root = str(tmp_path / "out")
+    d, c = corpus.import_documents(*start(spark), give(spark, *((f"u{i}", f"one {i}", None) for i in range(12))))
+    first = files.publish({"documents": d, "chunks": c}, root)
+    bucket = spark.sql("select 'u3' s").select(files.bucket_of(corpus.document_id(F.col("s")))).first()[0]
+    read = lambda name, schema, b=None: files.published(spark, root, name, schema, b)
+    d, c = read("documents", corpus.DOCUMENTS, [bucket]), read("chunks", corpus.CHUNKS, [bucket])
+    assert 1 <= d.count() < 12
+    second = files.publish(dict(zip(("documents", "chunks"), corpus.import_documents(d, c, give(spark, ("u3", "two", None))))), root, [bucket])
+    assert sorted(r["text"] for r in read("chunks", corpus.CHUNKS).where("active").collect()) == sorted([f"one {i}" for i in range(12) if i != 3] + ["two"])
+    assert read("documents", corpus.DOCUMENTS).count() == 12 and read("chunks", corpus.CHUNKS).count() == 13
+    parts = files._manifest(spark, root)["documents"]
+    assert parts[bucket] == second and set(parts.values()) == {first, second}
+    gone = corpus.delete_documents(read("documents", corpus.DOCUMENTS, [bucket]), read("chunks", corpus.CHUNKS, [bucket]), read("documents", corpus.DOCUMENTS, [bucket]).select("source"))
+    files.publish(dict(zip(("documents", "chunks"), gone)), root, [bucket])
+    assert bucket not in files._manifest(spark, root)["documents"] and read("chunks", corpus.CHUNKS).count() == 13
+
+
 def test_runs_and_cases(spark, tmp_path):
     runs = spark.createDataFrame([("q", '{"mode": "m"}', 1.0)], "query string, result string, elapsed_ms double")
     files.append_runs(runs, str(tmp_path / "runs"))
