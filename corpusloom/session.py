@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -70,6 +72,22 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage with a written table in the shared folder: compressed, unlike a checkpoint, and read by column. It is removed when the process ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_removed_at_end, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _removed_at_end(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # the session ended before the process
+        pass
+
+
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only if the counted rows fit the bound; beyond it the join shuffles."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
