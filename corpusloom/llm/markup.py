@@ -344,7 +344,7 @@ _PRE = re.compile(r"</?(?:pre|code)\b[^>]*>")
 _BLOCK_TAGS = r"(?:p|div|li|tr|h[1-6]|table|ul|ol|dl|dt|dd|section|article|blockquote|header|footer|nav|main|thead|tbody)"
 #: Where a line of HTML is cut: before and after elements that stand for themselves
 _PARTS = re.compile(rf"(?=<{_BLOCK_TAGS}\b)|(?<=</p>)|(?<=</div>)|(?<=</li>)|(?<=</tr>)|(?<=</h[1-6]>)|(?<=</ul>)|(?<=</ol>)|(?<=</table>)|(?<=<br>)|(?<=<br/>)|(?<=<br />)", re.I)
-FEATURES = 10
+FEATURES = 13
 
 
 def blocks_of(text: str) -> list[tuple[str, str]]:
@@ -466,18 +466,24 @@ def numbered_blocks(text: str) -> list[tuple[int, str, str]]:
     return out
 
 
-def _features(kind: str, line: str, at: float) -> np.ndarray:
+def _features(kind: str, line: str, at: float, alone: bool) -> np.ndarray:
     bare = re.sub(r"<[^>]*>", "", line).strip()
     n = len(bare)
     return np.array(
         [
             bool(_META.match(bare)), kind == "heading", kind in ("code", "formula", "row"), kind == "item", n < 40, n > 120,
             bare[-1:] in ".。!?！？:", bool(re.search(r"https?://|©|»|>", bare)), at < 0.1, at > 0.9,
+            alone, bool(re.search(r"\d|[:：—]", bare)), alone and n < 80 and not re.search(r"\d|[:：—»>©]", bare),
         ],
         float,
     )
 
 
+def _alone(blocks: list[tuple[str, str]], i: int) -> bool:
+    """Whether a line stands between blank lines, as titles do."""
+    return (i == 0 or blocks[i - 1][0] in ("blank", "rule")) and (i + 1 == len(blocks) or blocks[i + 1][0] in ("blank", "rule"))
+
+
 def _tree(blocks: list[tuple[str, str]]) -> tuple[list[int], list[int], list[int]]:
     """(parents, edges, where): the tree document > nested sections > lines, and the node of every line."""
     levels = [1 if not (m := _HEADING.match(line)) else len(m[1] or m[3] or "") or (len(m[5] or "") // 3 + 1 if m[6] else int(m[7] or 1)) for kind, line in blocks if kind == "heading"]
@@ -512,14 +518,15 @@ class ContentModel:
             for a, z, is_body in spans:
                 for i in range(max(1, a) - 1, min(z, len(label))):
                     label[i] = is_body
-            parent, edge, where = _tree([(k, x) for _, k, x in lines])
+            blocks = [(k, x) for _, k, x in lines]
+            parent, edge, where = _tree(blocks)
             votes = np.zeros((len(parent), 2))
             own = np.full(len(parent), -1)
             for i, (at, kind, line) in enumerate(lines):
                 if label[at] is None or kind in ("blank", "rule", "fence"):
                     continue
                 c = int(label[at])
-                seen[c] += _features(kind, line, i / len(lines))
+                seen[c] += _features(kind, line, i / len(lines), _alone(blocks, i))
                 body[c] += 1
                 own[where[i]] = c
                 n = parent[where[i]]
@@ -547,7 +554,7 @@ class ContentModel:
         prior[0] = self.root
         for i, (kind, line) in enumerate(blocks):
             if kind not in ("blank", "rule", "fence"):
-                x = _features(kind, line, i / len(blocks))
+                x = _features(kind, line, i / len(blocks), _alone(blocks, i))
                 prior[where[i], 1] = float(x @ self.on + (1 - x) @ self.off)
         forest = Forest(parent, edge, [0] * len(parent), [1] * len(parent))
         return np.exp(forest.run(prior, self.pair)[0][where, 1])
@@ -582,7 +589,8 @@ def _inline(s: str) -> str:
 
 
 def clean(text: str | None, model: ContentModel, least: float = 0.5) -> str | None:
-    """Clean text: markup gone; headings, list items, table rows, code and formulas kept; of plain text, blocks below `least` content dropped.
+    """Clean text: markup gone; headings, list items, table rows, code and formulas kept; of plain text, blocks below `least` content dropped,
+    but for a first line that looks like a title.
 
     Code that its marks set apart stands between fences, with its language where the mark names one; indented code stays indented.
     """
@@ -593,7 +601,10 @@ def clean(text: str | None, model: ContentModel, least: float = 0.5) -> str | No
     out: list[str] = []
     inside = False  # a fence that was opened here, for code without fences of its own
     fenced = False
-    for (kind, line), q in zip(blocks, p):
+    title = next((i for i, (k, _) in enumerate(blocks) if k not in ("blank", "rule")), None)
+    if title is not None and not (blocks[title][0] == "text" and _alone(blocks, title) and _features(*blocks[title], 0.0, True)[-1]):
+        title = None  # only what looks like one is kept as the title of the text
+    for i, ((kind, line), q) in enumerate(zip(blocks, p)):
         if kind == "fence":
             fenced = not fenced
             out.append("```" + (line.strip().lstrip("`~ ").split() or [""])[0] if fenced else "```")
@@ -613,7 +624,7 @@ def clean(text: str | None, model: ContentModel, least: float = 0.5) -> str | No
                 out.append("```")
                 inside = True
             out.append(html.unescape(bare) if "<pre" in line.lower() or inside and "&" in bare and "<pre" in text.lower() else bare)
-        elif kind == "rule" or (kind == "text" and q < least):
+        elif kind == "rule" or (kind == "text" and q < least and i != title):
             continue
         elif kind == "heading":
             m = _HEADING.match(line)

@@ -353,6 +353,7 @@ def test_clean_drops_plain_text_only():
     out = markup.clean(text, m).split("\n")
     removed = {k: kinds.count(k) - n for k, n in {"heading": out.count("# A"), "item": out.count("- b") + out.count("- c"), "row": out.count("d | e") + out.count("1 | 2"), "formula": out.count("$x_{i} \\leq 2$"), "code": out.count("    code"), "text": out.count("plain")}.items()}
     assert removed == {"heading": 0, "item": 0, "row": 0, "formula": 0, "code": 0, "text": 2}
+    assert markup.clean("Roles around the index\n\nSource: x\n\nRoles of 7", m) == "Roles around the index"
 
 
 def test_messages_against_enumeration():
