@@ -152,3 +152,27 @@ def test_sample_loading_refuses(spark):
     for dev, hold, why in ((make(("1", "holdout", "q")), None, "given as"), (make(("1", "development", "q")), make(("1", "holdout", "q")), "both"), (make(("1", "development", " ")), None, "blank")):
         with pytest.raises(ValueError, match=why):
             evaluate.loaded(dev, hold)
+
+
+def test_supplied_section_recall_and_report(spark):
+    c = chunks(spark).withColumn("section", F.when(F.col("id").isin("a", "c"), "S").otherwise("T"))
+    given = spark.createDataFrame([("q", "c", 1), ("q", "a", 0), ("q", "b", 2)], "query_id string, id string, at int")
+    ranked = rank.supplied(given, 2)
+    assert ids(ranked) == ["a", "c"]
+    wanted = spark.createDataFrame([("q", "S"), ("q", "T"), ("q", "none"), ("r", "S")], "query_id string, section string")
+    got = {(r["query_id"], r["section"]): (r["chunks"], r["retrieved"], r["recall"]) for r in evaluate.section_recall(wanted, ranked, c).collect()}
+    assert got == {("q", "S"): (2, 2, 1.0), ("q", "T"): (3, 0, 0.0), ("q", "none"): (0, 0, None), ("r", "S"): (2, 0, 0.0)}
+    scores = spark.createDataFrame([("1", 0.5, 10, 0, 1), ("2", None, 0, 0, 0)], "case_id string, recall double, tokens bigint, metadata_chunks bigint, broken bigint")
+    frozen = spark.createDataFrame([(2, "a", 3, "b")], "cases bigint, cases_hash string, documents bigint, documents_hash string")
+    r = evaluate.report(scores, frozen, "e").first()
+    assert (r["cases"], r["scored"], r["macro_recall"], r["mean_tokens"], r["complete"], r["cost"], r["encoder"], r["cases_hash"]) == (2, 1, 0.5, 5.0, False, 0, "e", "a")
+    assert evaluate.summary(scores.limit(0)).first()["macro_recall"] is None
+
+
+def test_supplement_modes(spark):
+    q = spark.createDataFrame([("wide",), ("dry",), ("none",)], "query_id string")
+    ranked = spark.createDataFrame([("wide", f"c{i}", i) for i in range(1, 7)] + [("dry", f"c{i}", i) for i in range(1, 3)], "query_id string, id string, rank int")
+    got = {(r["query_id"], r["mode"]): (r["rounds"], r["reached"], r["stop_reason"], r["change"]) for r in evaluate.supplement_modes(q, ranked, 2).collect()}
+    assert got["wide", "off"] == (0, 2, "round_limit", "same") and got["wide", "on"] == (1, 2, "no_new_evidence", "same") and got["wide", "widening"] == (2, 6, "round_limit", "gained")
+    assert got["dry", "widening"] == (1, 2, "no_new_evidence", "same") and got["none", "widening"] == (1, 0, "no_new_evidence", "same")
+    assert {(r["mode"], r["stop_reason"]): r["queries"] for r in evaluate.stop_histogram(evaluate.supplement_modes(q, ranked, 2)).collect()}["widening", "no_new_evidence"] == 2
