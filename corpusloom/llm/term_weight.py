@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.session import cut
+from corpusloom.session import cut, written
 
 HEAD = 20_000
 SIGNIFICANT = 10.83  # fixed value: the 0.999 quantile of the chi-square distribution with one degree of freedom
@@ -66,7 +66,7 @@ def distinctive_terms(
 
     min_tf, df_range and where choose which scores are wanted; totals always cover all records. Empty input: no row.
     """
-    counted = cut(record_terms(records, id_col, text, keep))
+    counted = written(record_terms(records, id_col, text, keep))
     tf = flattened(counted, keep)
     totals = cut(term_totals(tf))
     everything = totals.agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
