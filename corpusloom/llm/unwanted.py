@@ -295,9 +295,10 @@ def stretches(best: np.ndarray, tail_of) -> tuple[np.ndarray, np.ndarray, np.nda
     return edges, np.diff(np.r_[0, own]), np.maximum(np.diff(np.r_[0, tail_of(edges)]), 0.5)
 
 
-def lowest(edges: np.ndarray, gain: np.ndarray, loss: np.ndarray) -> float:
-    """The edge down to which, from the top, the stretches gain most over what they lose; a stretch that falls short is made up for by better ones below."""
-    return float(edges[int(np.argmax(np.cumsum(gain - loss)))])
+def lowest(edges: np.ndarray, gain: np.ndarray, loss: np.ndarray) -> float | None:
+    """The edge down to which, from the top, the stretches gain most over what they lose; a stretch that falls short is made up for by better ones below. None if there is nothing to gain."""
+    sums = np.cumsum(gain - loss)
+    return float(edges[int(np.argmax(sums))]) if sums.max(initial=0) > 0 else None
 
 
 def mixture_prior(witness: np.ndarray, edges: np.ndarray, tail: np.ndarray, total: float) -> float:
@@ -352,7 +353,13 @@ def fit(bags: list[list], corpus: Corpus, width: int, docs: float, total: float,
         best = _best_of_bags(bag, score)
         edges, own, everywhere = stretches(np.r_[score[best], np.full(len(bags) - best.sum(), -1e9)], tail_of)
         # confirmed documents stand out: a stretch holds LIFT times the share of them that it holds of all documents
-        witness = score >= lowest(edges, own / len(bags), LIFT * everywhere / docs)
+        edge = lowest(edges, own / len(bags), LIFT * everywhere / docs)
+        if edge is None:
+            # held-out documents do not stand out, as with few labels: the witnesses of the round before and the risk's own boundary stay
+            if round_:
+                return w, b, prior
+            edge = -np.inf
+        witness = best if edge == -np.inf else score >= edge
         prior = mixture_prior(score[witness & best], edges, np.cumsum(everywhere), total)
         if round_ == ROUNDS:
             break
@@ -364,7 +371,8 @@ def fit(bags: list[list], corpus: Corpus, width: int, docs: float, total: float,
         tail_of = lambda edges, w=w, b=b: corpus.tail(w, b, edges)
     # the boundary at the base rate: down to where half of what lies in a stretch is accounted for by positives
     expected = prior * total * own / max(1, (witness & best).sum())
-    return w, b - lowest(edges, expected, 0.5 * everywhere) + 1e-6, prior
+    boundary = lowest(edges, expected, 0.5 * everywhere)
+    return w, b if boundary is None else b - boundary + 1e-6, prior
 
 
 def _best_of_bags(bag: np.ndarray, score: np.ndarray) -> np.ndarray:
