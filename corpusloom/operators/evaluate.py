@@ -96,11 +96,13 @@ def report(scores: DataFrame, frozen: DataFrame, encoder: str = "", not_run: tup
 
 def section_recall(wanted: DataFrame, ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, section, chunks, retrieved, recall): of wanted(query_id, section), the share of the section's active chunks in the list; null where it has none."""
-    c = chunks.where("active").select("id", "section").dropDuplicates(["id"])
-    got = ranked.select("query_id", "id", F.lit(1).alias("hit"))
-    rows = wanted.select("query_id", "section").distinct().join(c, "section", "left").join(got, ["query_id", "id"], "left")
-    n, r = F.count("id"), F.count("hit")
-    return rows.groupBy("query_id", "section").agg(n.alias("chunks"), r.alias("retrieved"), F.when(n > 0, F.round(r / n, 6)).alias("recall"))
+    c = chunks.where("active and id is not null").select("id", "section").dropDuplicates(["id"])
+    size = c.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    # what a list holds is counted from the list: a section's chunks never multiply with the queries that want it
+    got = ranked.select("query_id", "id").distinct().join(c, "id").groupBy("query_id", "section").agg(F.count(F.lit(1)).alias("r"))
+    rows = wanted.select("query_id", "section").distinct().join(size, "section", "left").join(got, ["query_id", "section"], "left")
+    n, r = F.coalesce("n", F.lit(0)), F.coalesce("r", F.lit(0))
+    return rows.select("query_id", "section", n.alias("chunks"), r.alias("retrieved"), F.when(n > 0, F.round(r / n, 6)).alias("recall"))
 
 
 def compared(scores: dict[str, DataFrame], baseline: str) -> DataFrame:

@@ -176,3 +176,20 @@ def test_supplement_modes(spark):
     assert got["wide", "off"] == (0, 2, "round_limit", "same") and got["wide", "on"] == (1, 2, "no_new_evidence", "same") and got["wide", "widening"] == (2, 6, "round_limit", "gained")
     assert got["dry", "widening"] == (1, 2, "no_new_evidence", "same") and got["none", "widening"] == (1, 0, "no_new_evidence", "same")
     assert {(r["mode"], r["stop_reason"]): r["queries"] for r in evaluate.stop_histogram(evaluate.supplement_modes(q, ranked, 2)).collect()}["widening", "no_new_evidence"] == 2
+
+
+def executed(plan):
+    """The nodes of a plan that ran, those within its stages too."""
+    name = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return [plan, *(n for p in inner for n in executed(p))]
+
+
+def test_section_recall_never_multiplies_queries_by_chunks(spark):
+    c = spark.range(300).selectExpr("cast(id as string) id", "true active", "'S' section")
+    wanted = spark.range(200).selectExpr("cast(id as string) query_id", "'S' section")
+    ranked = wanted.selectExpr("query_id", "query_id id")
+    got = evaluate.section_recall(wanted, ranked, c)
+    assert {(r["chunks"], r["retrieved"], r["recall"]) for r in got.collect()} == {(300, 1, 0.003333)}
+    rows = [m.get().value() for m in (n.metrics().get("numOutputRows") for n in executed(got._jdf.queryExecution().executedPlan())) if m.isDefined()]
+    assert 300 <= max(rows) < 1000
