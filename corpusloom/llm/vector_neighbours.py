@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corpusloom.session import cut, maybe_broadcast, remove, shared_dir
+from corpusloom.session import arrow_uri, cut, maybe_broadcast, remove, shared_dir
 
 M = 4  # projections; even, for the closed form of the chi-square distribution
 CONFIDENCE = 0.9
@@ -120,14 +120,6 @@ def _leafed(proj: np.ndarray):
     return run
 
 
-def arrow_uri(path: str) -> str:
-    """A Hadoop path as Arrow names it: schemes of S3 are s3, a mounted dbfs is a file."""
-    for scheme, own in (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "file:///dbfs/")):
-        if path.startswith(scheme):
-            return own + path[len(scheme) :].lstrip("/")
-    return path
-
-
 class Blocks:
     """Reads one block of the written index: leaf numbers, ids, unit vectors."""
 

@@ -1,9 +1,10 @@
 """Retrieval, batch first: a retriever maps queries(query_id, text) to ranked(query_id, id, rank, score).
 
 Chunks are split into terms once: what a chunk holds of the queries' terms is kept as one short row of numbers, and only
-that row goes through an exchange (repeated chunks count once) and is written. Statistics come from these rows, and a task
-scores its rows against every query of the batch, block by block in one scan, and lets only the k best of a batch and
-query go, so a frequent term never multiplies rows. Texts are joined after top-k.
+that row goes through an exchange (repeated chunks count once) and is written. Statistics come from these rows. A task takes
+a block of queries and runs over the written rows, slice by slice: sums of short numbers, shared by queries that begin with the
+same terms, tell which rows can reach the k best so far, and only those are scored exactly. So a frequent term never multiplies
+rows, and little more than k rows a query leave the tasks. Vectors are searched the same way. Texts are joined after top-k.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.session import cut
+from corpusloom.session import arrow_files, cut, written_at
 
 # Parameters of the scores
 K1, B, RRF_K, MOST = 1.5, 0.75, 60, 20
-QUERY_BLOCK = 1024  # queries a task holds scores of at once
-QUERY_SCAN = 16 * QUERY_BLOCK  # queries, about, that one scan of the rows answers; more take further scans
-CELLS = 4 << 20  # of a task's matrix of terms by chunks
+QUERY_BLOCK = 4096  # queries of a task
+QUERY_SCAN = 16 * QUERY_BLOCK  # queries, about, that one job answers; more take further jobs over the same rows
+CELLS = 16 << 20  # of a task's matrix of terms by chunks
+SLICE = 8192  # rows a task scores at once, at most
 
 
 def check_arguments(query: str | None, limit: int) -> None:
@@ -58,9 +60,10 @@ def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def held_terms(chunks: DataFrame, words: list[str]) -> DataFrame:
-    """(id, body, length, ts, tfs): of every active chunk once, which of `words` (by number) it holds, and how often; without terms its length is 1."""
-    number = chunks.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # the words of QUERY_SCAN queries
+def held_terms(chunks: DataFrame, words: list[str]) -> str:
+    """Path of written rows (id, length, ts, tfs) in folders by body: of every active chunk once, which of `words` (by number) it holds, and how often; without terms its length is 1."""
+    spark = chunks.sparkSession
+    number = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
     pattern = re.compile(T.TOKEN)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,8 +78,10 @@ def held_terms(chunks: DataFrame, words: list[str]) -> DataFrame:
                 tfs.append(n.astype(np.int32))
             yield pd.DataFrame({"id": b["id"], "body": b["kind"] == "body", "length": np.array(lengths, np.int32), "ts": ts, "tfs": tfs})
 
-    rows = chunks.where("active and id is not null").select("id", "kind", "text")
-    return cut(rows.mapInPandas(run, "id string, body boolean, length int, ts array<int>, tfs array<int>").dropDuplicates(["id"]))
+    rows = chunks.where("active and id is not null").select("id", "kind", "text").mapInPandas(run, "id string, body boolean, length int, ts array<int>, tfs array<int>")
+    # a number of partitions that is not made fewer: each is a file, of which tasks take their share
+    once = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").dropDuplicates(["id"])
+    return written_at(once.sortWithinPartitions("body", "id"), "body")
 
 
 def best_columns(key: np.ndarray, k: int) -> np.ndarray:
@@ -89,47 +94,127 @@ def best_columns(key: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def _best_in_task(ids: list, terms: list[np.ndarray], weights: list[np.ndarray], avgdl: float | None, k: int):
-    """mapInPandas function over held_terms: the k best of a slice for every query.
+def _whole(column) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of a column of arrays."""
+    import pyarrow as pa
 
-    A query is the numbers of its terms and what it gives each (idf or 1); avgdl None counts terms instead of weighing them.
+    a = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return a.offsets.to_numpy(), a.values.to_numpy(zero_copy_only=False)
+
+
+def _shares(blocks: int, spark) -> int:
+    """Into how many parts the files go, so that a few blocks of queries keep all cores busy too."""
+    return max(1, -(-3 * spark.sparkContext.defaultParallelism // max(1, blocks)))
+
+
+class Best:
+    """The k best (key, id, score) of each of n queries: highest key, then lowest id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.rows = k, [[] for _ in range(n)]
+        self.least = np.full(n, -np.inf)  # key of the last place where all are taken
+
+    def add(self, at: np.ndarray, key: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """at: numbers of queries in rising order."""
+        edges = np.r_[0, np.flatnonzero(np.diff(at)) + 1, len(at)] if len(at) else [0]
+        key, ids, score = (-key).tolist(), ids.tolist(), score.tolist()
+        for a, z in zip(edges[:-1], edges[1:]):
+            e = at[a]
+            own = self.rows[e] = sorted(self.rows[e] + list(zip(key[a:z], ids[a:z], score[a:z])))[: self.k]
+            if len(own) == self.k:
+                self.least[e] = -own[-1][0]
+
+
+def _best_in_task(path: str, ids: list[list], sets: list[np.ndarray], weight: np.ndarray, avgdl: float | None, k: int, parts: int):
+    """mapInPandas function over numbers of tasks: the k best rows of a part of held_terms for every query of a block.
+
+    sets: terms of queries, sorted so that neighbours begin alike; ids: the queries of each; weight: what a term gives (idf or 1);
+    avgdl None counts terms instead of weighing them. Sums in 32 bits, or counts in 8, pick what can be among the best, with
+    room for their error; what is picked is scored in 64 bits.
     """
-    blocks = []
-    for first in range(0, len(ids), QUERY_BLOCK):
-        own = terms[first : first + QUERY_BLOCK]
-        used = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
-        blocks.append((first, used, [np.searchsorted(used, t) for t in own]))
+    block, cells = QUERY_BLOCK, CELLS  # as they are on the driver
+
+    def search(number: int) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+
+        first, part = number // parts * block, number % parts
+        own = sets[first : first + block]
+        used = np.unique(np.concatenate(own))
+        place = np.full(len(weight), -1)
+        place[used] = np.arange(len(used))
+        w = weight[used]
+        asked = [place[q] for q in own]
+        size = np.array([len(q) for q in asked])
+        start, flat = np.cumsum(size) - size, np.concatenate(asked)
+        alike = [0] + [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(asked, asked[1:])]
+        asked = [q.tolist() for q in asked]
+        most = np.array([w[q].sum() for q in asked]) * (K1 + 1 if avgdl is not None else 1)
+        room = 1e-6 + 2.0**-23 * (size + 2) * most if avgdl is not None else np.zeros(len(own))
+        step = int(max(64, min(SLICE * (1 if avgdl is not None else 4), cells // len(used))))
+        kind = np.float32 if avgdl is not None else np.uint8 if size.max() < 256 else np.uint32
+        m = np.zeros((len(used), step), kind)
+        sums = np.zeros((size.max() + 1, step), kind)  # by how many terms are summed up
+        best, bonus = Best(len(own), k), 1e6 if avgdl is not None else 0.5  # body decides first or breaks ties
+        at, names = arrow_files(path)
+        for body in (True, False):
+            for name in [n for n in names if f"/body={str(body).lower()}/" in n][part::parts]:
+                t = pq.ParquetFile(at.open_input_file(name)).read(columns=["id", "length", "ts", "tfs"])
+                row_ids, length = t["id"].to_numpy(), t["length"].to_numpy().astype(float)
+                (edge, ts), (_, tfs) = _whole(t["ts"]), _whole(t["tfs"])
+                for a in range(0, len(row_ids), step):
+                    z = min(len(row_ids), a + step)
+                    low = best.least - bonus * body  # score that a row must reach
+                    if (low > most + 1).all():
+                        continue
+                    inside = slice(edge[a], edge[z])
+                    row, col, tf = np.repeat(np.arange(z - a), np.diff(edge[a : z + 1])), place[ts[inside]], tfs[inside].astype(float)
+                    hit = col >= 0
+                    row, col, tf = row[hit], col[hit], tf[hit]
+                    value = w[col] * (1 if avgdl is None else tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[a:z][row] / avgdl)))
+                    m[col, row] = value
+                    rows, upto = list(m[:, : z - a]), list(sums[:, : z - a])
+                    need = (np.maximum(1, np.ceil(low)).astype(int) - 1 if avgdl is None else np.maximum(0, low - room)).tolist()
+                    skip, open_ = (low > most + 1).tolist(), np.isneginf(low).tolist()
+                    found, common = [], 0
+                    for e, q in enumerate(asked):
+                        common = min(common, alike[e])
+                        if skip[e]:
+                            continue
+                        for i in range(common, len(q)):
+                            np.add(upto[i], rows[q[i]], out=upto[i + 1])
+                        common = len(q)
+                        total = upto[len(q)]
+                        c = np.flatnonzero(total > need[e])
+                        if len(c) > (k if open_[e] or avgdl is None else 4 * k):
+                            v = total[c]
+                            last = np.partition(v, len(c) - k)[len(c) - k]
+                            if avgdl is None:
+                                more = c[v > last]
+                                c = np.r_[more, c[v == last][: k - len(more)]]  # rows of a file lie by id
+                            else:
+                                c = c[v >= float(last) - 2 * room[e]]
+                        if len(c):
+                            found.append((e, c))
+                    if found:
+                        pe, pc = np.repeat([e for e, _ in found], [len(c) for _, c in found]), np.concatenate([c for _, c in found])
+                        n = size[pe]
+                        pair = np.repeat(np.arange(len(pe)), n)
+                        term = flat[np.arange(len(pair)) + np.repeat(start[pe] - (np.cumsum(n) - n), n)]
+                        held, wanted = row * len(used) + col, pc[pair] * len(used) + term
+                        where = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+                        score = np.round(np.bincount(pair, np.where(held[where] == wanted, value[where], 0.0), len(pe)), 6)
+                        keep = (score > 0) & (score + bonus * body >= best.least[pe])
+                        pe, pc, score = pe[keep], pc[keep], score[keep]
+                        best.add(pe, score + bonus * body, row_ids[a:z][pc], score)
+                    m[col, row] = 0
+        out = [(q, i, -key - s > bonus / 2, s) for e, rows in enumerate(best.rows) for key, i, s in rows for q in ids[first + e]]
+        if out:
+            yield pd.DataFrame(out, columns=["query_id", "id", "body", "score"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b.sort_values("id", kind="stable")  # ties are by id
-            own, body, length = b["id"].to_numpy(), b["body"].to_numpy(), b["length"].to_numpy(float)
-            sizes = b["ts"].str.len().to_numpy()
-            t = np.concatenate(b["ts"].to_numpy()).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
-            tf = np.concatenate(b["tfs"].to_numpy()).astype(float) if sizes.sum() else np.zeros(0)
-            row = np.repeat(np.arange(len(b)), sizes)
-            value = np.ones(len(tf)) if avgdl is None else tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / avgdl))
-            at = np.r_[0, np.cumsum(sizes)]
-            for first, used, asked in blocks:
-                if not len(used):
-                    continue
-                step = max(64, CELLS // len(used))
-                for a in range(0, len(b), step):
-                    z = min(len(b), a + step)
-                    inside = slice(at[a], at[z])
-                    col = np.searchsorted(used, t[inside])
-                    hit = used[np.minimum(col, len(used) - 1)] == t[inside]
-                    m = np.zeros((len(used), z - a))
-                    m[col[hit], row[inside][hit] - a] = value[inside][hit]
-                    out = []
-                    for j, q in enumerate(asked):
-                        score = np.round(weights[first + j] @ m[q], 6)
-                        key = np.where(score > 0, score + (1e6 if avgdl is not None else 0.5) * body[a:z], -1)  # body decides first or breaks ties
-                        c = best_columns(key, k)
-                        out.append((np.full(len(c), first + j), c + a, score[c]))
-                    j, c, score = (np.concatenate(x) for x in zip(*out))
-                    if len(c):
-                        yield pd.DataFrame({"query_id": [ids[x] for x in j], "id": own[c], "body": body[c], "score": score})
+            for number in b["id"]:
+                yield from search(int(number))
 
     return run
 
@@ -139,36 +224,51 @@ class Held:
     """A batch of queries, QUERY_SCAN at a time, with what the chunks hold of their terms; several retrievers can share it."""
 
     kind: str  # type of query ids
-    scans: list[tuple[list, list[np.ndarray], int, DataFrame]]  # ids, numbers of the terms of each, how many terms, held_terms
+    scans: list[tuple[list, list[np.ndarray]]]  # ids, numbers of the terms of each
+    path: str  # of held_terms
+    n: int  # chunks
+    avgdl: float
+    df: np.ndarray  # chunks that hold each term
 
 
 def held(queries: DataFrame, chunks: DataFrame) -> Held:
+    spark = chunks.sparkSession
     asked = cut(queries.select("query_id", F.array_distinct(T.search_terms(F.col("text"))).alias("terms")).where("size(terms) > 0"))
-    n = max(1, -(-asked.count() // QUERY_SCAN))
+    words = sorted(r["w"] for r in asked.select(F.explode("terms").alias("w")).distinct().collect())  # the words of the queries
+    number = {w: i for i, w in enumerate(words)}
+    path = held_terms(chunks, words)
+    rows = spark.read.schema("id string, length int, ts array<int>, tfs array<int>").parquet(path)
+    n, mean = rows.agg(F.count(F.lit(1)), F.avg("length")).first()
+    df = np.zeros(len(words))
+    for t, c in rows.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():  # one row a word of the queries
+        df[t] = c
+    scans = max(1, -(-asked.count() // QUERY_SCAN))
     out = []
-    for x in range(n):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == x).orderBy("query_id").collect()  # about QUERY_SCAN short rows
-        words = sorted({w for r in part for w in r["terms"]})
-        number = {w: i for i, w in enumerate(words)}
+    for x in range(scans):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(scans)) == x).orderBy("query_id").collect()  # about QUERY_SCAN short rows
         if part:
-            out.append(([r["query_id"] for r in part], [np.array([number[w] for w in r["terms"]]) for r in part], len(words), held_terms(chunks, words)))
-    return Held(asked.schema["query_id"].dataType.simpleString(), out)
+            out.append(([r["query_id"] for r in part], [np.array([number[w] for w in r["terms"]]) for r in part]))
+    return Held(asked.schema["query_id"].dataType.simpleString(), out, path, n, float(mean or 1.0), df)
 
 
 def _term_batches(batch: Held, spark, k: int, weigh: bool) -> DataFrame:
     """(query_id, id, body, score): the best of every task and query."""
     schema = f"query_id {batch.kind}, id string, body boolean, score double"
     out = spark.createDataFrame([], schema)
-    for ids, terms, words, rows in batch.scans:
-        weight, avgdl = np.ones(words), None
-        if weigh:
-            n, mean = rows.agg(F.count(F.lit(1)), F.avg("length")).first()
-            avgdl = float(mean or 1.0)
-            df = np.zeros(words)
-            for t, c in rows.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():  # one row a word of the queries
-                df[t] = c
-            weight = np.log1p((n - df + 0.5) / (df + 0.5))
-        out = out.unionByName(rows.mapInPandas(_best_in_task(ids, terms, [weight[t] for t in terms], avgdl, k), schema))
+    weight = np.log1p((batch.n - batch.df + 0.5) / (batch.df + 0.5)) if weigh else np.ones(len(batch.df))
+    for ids, terms in batch.scans:
+        often = np.bincount(np.concatenate(terms), minlength=len(weight))
+        alike: dict[tuple, list] = {}  # queries that ask for the same of what is held; frequent terms first, so that sums are shared
+        for i, t in zip(ids, terms):
+            t = t[batch.df[t] > 0]
+            if len(t):
+                alike.setdefault(tuple(sorted(zip((-often[t]).tolist(), t.tolist()))), []).append(i)
+        if alike:
+            order = sorted(alike)
+            blocks = -(-len(order) // QUERY_BLOCK)
+            parts = _shares(blocks, spark)
+            f = _best_in_task(batch.path, [alike[x] for x in order], [np.array([t for _, t in x]) for x in order], weight, batch.avgdl if weigh else None, k, parts)
+            out = out.unionByName(spark.range(0, blocks * parts, 1, blocks * parts).mapInPandas(f, schema))
     return out
 
 

@@ -72,13 +72,34 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage with a written table in the shared folder: compressed, unlike a checkpoint, and read by column. It is removed when the process ends."""
+def written_at(df: DataFrame, *by: str) -> str:
+    """Writes a table to the shared folder, in folders by some columns, and gives its path. It is removed when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     atexit.register(_removed_at_end, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage with a written table in the shared folder: compressed, unlike a checkpoint, and read by column. It is removed when the process ends."""
+    return df.sparkSession.read.schema(df.schema).parquet(written_at(df))
+
+
+def arrow_uri(path: str) -> str:
+    """A Hadoop path as Arrow names it: schemes of S3 are s3, a mounted dbfs is a file."""
+    for scheme, own in (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "file:///dbfs/")):
+        if path.startswith(scheme):
+            return own + path[len(scheme) :].lstrip("/")
+    return path
+
+
+def arrow_files(path: str) -> tuple:
+    """Arrow's file system and the sorted names of a written table's files."""
+    from pyarrow import fs
+
+    at, root = fs.FileSystem.from_uri(arrow_uri(path))
+    return at, sorted(x.path for x in at.get_file_info(fs.FileSelector(root, recursive=True)) if x.path.endswith(".parquet"))
 
 
 def _removed_at_end(spark: SparkSession, path: str) -> None:

@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +195,48 @@ def test_section_recall_never_multiplies_queries_by_chunks(spark):
     assert {(r["chunks"], r["retrieved"], r["recall"]) for r in got.collect()} == {(300, 1, 0.003333)}
     rows = [m.get().value() for m in (n.metrics().get("numOutputRows") for n in executed(got._jdf.queryExecution().executedPlan())) if m.isDefined()]
     assert 300 <= max(rows) < 1000
+
+
+def by_hand(queries, rows, k, weigh):
+    """Every query against every row: {(query, rank): (id, score)}."""
+    held = {i: T_TOKENS(t) for i, _, t in rows}
+    n, avg = len(rows), sum(max(1, len(x)) for x in held.values()) / len(rows)
+    df = {w: sum(w in x for x in held.values()) for w in {w for x in held.values() for w in x}}
+    out = {}
+    for q, text in queries:
+        scored = []
+        for i, kind, _ in rows:
+            own, score = held[i], 0.0
+            for w in set(T_TOKENS(text)) & set(own):
+                tf = own.count(w)
+                score += math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(own) / avg)) if weigh else 1
+            if round(score, 6) > 0:
+                scored.append(((kind != "body", -round(score, 6), i) if weigh else (-score, kind != "body", i), i, round(score, 6)))
+        out |= {(q, r): (i, s) for r, (_, i, s) in enumerate(sorted(scored)[:k], 1)}
+    return out
+
+
+def T_TOKENS(text):
+    return re.findall(T.TOKEN, text.lower())
+
+
+def test_batches_split_texts_once_and_equal_scores_by_hand(spark, monkeypatch):
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(30)] + ["提示", "网关"]
+    text = lambda n: " ".join(words[min(int(draw.expovariate(0.15)), 31)] for _ in range(n))
+    rows = [(f"{i * 7919 % 1009:04}", draw.choice(["body", "body", "metadata"]), text(draw.randint(0, 12))) for i in range(250)]
+    rows += [(f"x{i:03}", "body", rows[i][2]) for i in range(40)]  # equal texts tie
+    queries = [(i, text(draw.randint(1, 8))) for i in range(50)]
+    c = spark.createDataFrame([(*r, True) for r in rows], "id string, kind string, text string, active boolean").repartition(3)
+    q = spark.createDataFrame(queries, "query_id int, text string")
+    monkeypatch.setattr(rank, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(rank, "QUERY_SCAN", 20)
+    monkeypatch.setattr(rank, "CELLS", 1)
+    calls, own = [], rank.held_terms
+    monkeypatch.setattr(rank, "held_terms", lambda *a: calls.append(1) or own(*a))
+    for f, weigh in ((rank.keyword, False), (rank.bm25, True)):
+        got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in f(q, c, 7).collect()}
+        want = by_hand(queries, rows, 7, weigh)
+        assert {x: i for x, (i, _) in got.items()} == {x: i for x, (i, _) in want.items()}
+        assert all(got[x][1] == pytest.approx(s, abs=2e-6) for x, (_, s) in want.items())
+    assert len(calls) == 2  # once a batch, not once every QUERY_SCAN queries
