@@ -84,16 +84,6 @@ def held_terms(chunks: DataFrame, words: list[str]) -> str:
     return written_at(once.sortWithinPartitions("body", "id"), "body")
 
 
-def best_columns(key: np.ndarray, k: int) -> np.ndarray:
-    """The k columns with the highest key above 0; of equal keys at the edge the first ones."""
-    c = np.flatnonzero(key > 0)
-    if len(c) > k:
-        edge = np.partition(key[c], len(c) - k)[len(c) - k]
-        more = c[key[c] > edge]
-        c = np.concatenate([more, c[key[c] == edge][: k - len(more)]])
-    return c
-
-
 def _whole(column) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, values) of a column of arrays."""
     import pyarrow as pa
@@ -295,24 +285,58 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _nearest_in_task(ids: list, q: np.ndarray, k: int):
-    """mapInPandas function: the k best rows of a task for every query, by matrix products of a batch with blocks of queries."""
+def _nearest_in_task(path: str, ids: list, q: np.ndarray, k: int, parts: int):
+    """mapInPandas function over numbers of tasks: the k best of a part of the written vectors for every query of a block.
+
+    Products in 32 bits pick what can be among the best so far, with room for their error; what is picked is scored in 64 bits.
+    """
+    block, few = QUERY_BLOCK, 256  # few: queries of a matrix product, so that it stays in the cache
+
+    def search(number: int) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+
+        first, part = number // parts * block, number % parts
+        own = q[first : first + block]
+        wide = np.abs(own).max(initial=0)
+        lists: dict[str, Best] = {}  # by how often an id came before: a list holds an id once
+        at, names = arrow_files(path)
+        for name in names[part::parts]:
+            best = lists.setdefault(re.search(r"/nth=(\d+)/", name)[1], Best(len(own), k))
+            t = pq.ParquetFile(at.open_input_file(name)).read(columns=["id", "embedding"])
+            row_ids = t["id"].to_numpy()
+            edge, values = _whole(t["embedding"])
+            fit = np.flatnonzero(np.diff(edge) == own.shape[1])
+            for a in range(0, len(fit), SLICE):
+                here = fit[a : a + SLICE]
+                x = values[edge[here][:, None] + np.arange(own.shape[1])].astype(float)
+                real = ~np.isnan(x).any(axis=1)
+                here, x = here[real], x[real]
+                kind = np.float32 if wide * np.abs(x).max(initial=0) * own.shape[1] < 1e30 else np.float64
+                small, narrow = x.T.astype(kind), own.astype(kind)
+                room = 1e-6 + 2.0**-21 * (own.shape[1] + 2) * np.linalg.norm(own, axis=1) * np.linalg.norm(x, axis=1).max(initial=0)
+                for low in range(0, len(own), few):
+                    score = narrow[low : low + few] @ small
+                    need = best.least[low : low + few] - room[low : low + few]
+                    if len(here) > k and np.isneginf(need).any():
+                        last = np.partition(score, len(here) - k, axis=1)[:, len(here) - k]
+                        need = np.where(np.isneginf(need), last - 2 * room[low : low + few], need)
+                    j, c = np.divmod(np.flatnonzero(score >= need[:, None].astype(kind)), max(1, len(here)))
+                    j += low
+                    exact = np.round(np.einsum("ij,ij->i", own[j], x[c]), 6)
+                    keep = exact >= best.least[j]
+                    j, c, exact = j[keep], c[keep], exact[keep]
+                    order = np.lexsort((c, -exact, j))  # rows of a file lie by id
+                    j, c, exact = j[order], c[order], exact[order]
+                    keep = np.arange(len(j)) - np.searchsorted(j, j) < k
+                    best.add(j[keep], exact[keep], row_ids[here[c[keep]]], exact[keep])
+        out = [(ids[first + e], i, s) for best in lists.values() for e, rows in enumerate(best.rows) for _, i, s in rows]
+        if out:
+            yield pd.DataFrame(out, columns=["query_id", "id", "score"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b[b["embedding"].str.len() == q.shape[1]].sort_values("id", kind="stable").drop_duplicates("id")
-            if not len(b):
-                continue
-            own, x = b["id"].to_numpy(), np.stack(b["embedding"].to_numpy()).astype(np.float64)
-            for first in range(0, len(ids), QUERY_BLOCK):
-                scores = np.round(q[first : first + QUERY_BLOCK] @ x.T, 6)
-                low = scores.min(initial=0) - 1
-                out = []
-                for j in range(len(scores)):
-                    c = best_columns(scores[j] - low, k)
-                    out.append((np.full(len(c), first + j), c, scores[j, c]))
-                j, c, score = (np.concatenate(z) for z in zip(*out))
-                yield pd.DataFrame({"query_id": [ids[i] for i in j], "id": own[c], "score": score})
+            for number in b["id"]:
+                yield from search(int(number))
 
     return run
 
@@ -320,23 +344,29 @@ def _nearest_in_task(ids: list, q: np.ndarray, k: int):
 def vector(queries: DataFrame, vectors: DataFrame, k: int = 5, live: DataFrame | None = None) -> DataFrame:
     """queries(query_id, embedding) against vectors(id, embedding) by dot product, exact, no floor; ties by id.
 
-    Each vector is scored where it lies, against blocks of QUERY_BLOCK queries in one scan, and only k rows a batch and query
-    leave it. Rows without an embedding or of another length are left out, repeated ids count once (with their best score).
+    The vectors are written once; a task holds QUERY_BLOCK queries and runs over all of them, or over a part where the blocks
+    are few. Rows without an embedding or of another length are left out, repeated ids count once (with their best score).
     """
     check_arguments(None, k)
+    spark = vectors.sparkSession
     rows = vectors.where("embedding is not null and id is not null").select("id", "embedding")
     if live is not None:
         rows = rows.join(live.where("active").select("id").distinct(), "id", "left_semi")
     asked = cut(queries.where("embedding is not null").select("query_id", "embedding"))
-    scans = max(1, -(-asked.count() // QUERY_SCAN))
     schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
-    out = vectors.sparkSession.createDataFrame([], schema)
+    each = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").groupBy("id").agg(F.collect_list("embedding").alias("es")).select("id", F.posexplode("es").alias("nth", "embedding"))
+    path = written_at(each.sortWithinPartitions("nth", "id"), "nth")
+    scans = max(1, -(-asked.count() // QUERY_SCAN))
+    out = spark.createDataFrame([], schema)
     for n in range(scans):
-        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(scans)) == n).orderBy("query_id").collect()  # about QUERY_SCAN rows
-        dims = max((len(r["embedding"]) for r in block), default=0)
-        kept = [r for r in block if len(r["embedding"]) == dims]
+        scan = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(scans)) == n).orderBy("query_id").collect()  # about QUERY_SCAN rows
+        dims = max((len(r["embedding"]) for r in scan), default=0)
+        kept = [r for r in scan if len(r["embedding"]) == dims]
         if kept:
-            out = out.unionByName(rows.mapInPandas(_nearest_in_task([r["query_id"] for r in kept], np.array([r["embedding"] for r in kept], np.float64), k), schema))
+            blocks = -(-len(kept) // QUERY_BLOCK)
+            parts = _shares(blocks, spark)
+            f = _nearest_in_task(path, [r["query_id"] for r in kept], np.array([r["embedding"] for r in kept], np.float64), k, parts)
+            out = out.unionByName(spark.range(0, blocks * parts, 1, blocks * parts).mapInPandas(f, schema))
     once = out.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return top(once, k, F.desc("score"), "id").select("query_id", "id", "rank", "score")
 

@@ -240,3 +240,25 @@ def test_batches_split_texts_once_and_equal_scores_by_hand(spark, monkeypatch):
         assert {x: i for x, (i, _) in got.items()} == {x: i for x, (i, _) in want.items()}
         assert all(got[x][1] == pytest.approx(s, abs=2e-6) for x, (_, s) in want.items())
     assert len(calls) == 2  # once a batch, not once every QUERY_SCAN queries
+
+
+def test_vector_scores_by_hand_with_repeated_ids(spark, monkeypatch):
+    draw = random.Random(5)
+    some = [[round(draw.uniform(-1, 1), 1) for _ in range(3)] for _ in range(60)]  # equal scores occur
+    rows = [(i, draw.choice(some)) for i in range(200)] + [(i % 50, draw.choice(some)) for i in range(80)] + [(300, [1.0, 2.0]), (301, None)]
+    queries = [(q, draw.choice(some)) for q in range(30)]
+    monkeypatch.setattr(rank, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(rank, "QUERY_SCAN", 20)
+    v = spark.createDataFrame(rows, "id int, embedding array<double>").repartition(3)
+    tasks, own = [], rank._nearest_in_task
+    monkeypatch.setattr(rank, "_nearest_in_task", lambda *a: tasks.append(a) or own(*a))
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in rank.vector(spark.createDataFrame(queries, "query_id int, embedding array<double>"), v, 6).collect()}
+    best = {}
+    for q, a in queries:
+        for i, b in rows:
+            if b and len(b) == 3:
+                best[q, i] = max(best.get((q, i), -9), round(sum(x * y for x, y in zip(a, b)), 6))
+    for q, _ in queries:
+        want = sorted((-s, i) for (x, i), s in best.items() if x == q)[:6]
+        assert [(got[q, r][0], got[q, r][1]) for r in range(1, 7)] == [(i, pytest.approx(-s, abs=2e-6)) for s, i in want]
+    assert {a[0] for a in tasks} and len({a[0] for a in tasks}) == 1  # the vectors are prepared once for all queries
