@@ -54,33 +54,75 @@ def active_once(chunks: DataFrame) -> DataFrame:
     return chunks.where("active").select("id", "kind", "text").dropDuplicates(["id"])
 
 
-def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
+def top(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
     """The first k of every query; the rank limit works before the exchange, so a query's candidates are never gathered whole."""
-    w = Window.partitionBy("query_id").orderBy(*order)
+    w = Window.partitionBy(by).orderBy(*order)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class Terms:
+    """Which of `words` (by number) texts hold; made for batches of texts, as passes over their bytes, which find the terms of T.TOKEN."""
+
+    def __init__(self, words: list[str]):
+        import pyarrow as pa
+
+        self.words, self.values = max(1, len(words)), pa.array(words, pa.string())
+        self.kinds = np.zeros(256, np.uint8)
+        self.kinds[list(b"abcdefghijklmnopqrstuvwxyz0123456789_")] = 1
+
+    def found(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, bounds): numbers of all terms in order, -1 for one that is no word; the terms of text i lie from bounds[i] up to bounds[i + 1]."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        one = "\x00".join(t.replace("\x00", " ") if t else "" for t in texts) + "\x00"
+        data = np.frombuffer(one.lower().encode(), np.uint8)
+        kind = self.kinds[data]
+        han = np.flatnonzero((data >= 0xE4) & (data <= 0xE9))  # first bytes of U+4000 to U+9FFF
+        han = han[(data[han] > 0xE4) | (data[han + 1] >= 0xB8)]  # from U+4E00
+        for i in range(3):
+            kind[han + i] = 2
+        begin = np.flatnonzero((kind > 0) & (kind != np.r_[np.uint8(0), kind[:-1]]))
+        kept = np.cumsum(kind > 0, dtype=np.int32)  # bytes of terms, up to and with each
+        edge = np.r_[kept[begin] - 1, kept[-1]].astype(np.int32)
+        terms = pa.StringArray.from_buffers(len(begin), pa.py_buffer(edge), pa.py_buffer(data[kind > 0]))
+        number = pc.fill_null(pc.index_in(terms, value_set=self.values), -1).to_numpy(zero_copy_only=False)
+        return number, np.r_[0, np.searchsorted(begin, np.flatnonzero(data == 0))] if texts else np.zeros(1, int)
+
+    def counted(self, terms: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple:
+        """Arrow arrays (ts, tfs) of rows, each the terms from first up to last; rows may share terms."""
+        import pyarrow as pa
+
+        kept = np.r_[0, np.cumsum(terms >= 0)]  # only words are laid out
+        numbers, a, n = terms[terms >= 0], kept[first], kept[last] - kept[first]
+        row = np.repeat(np.arange(len(n)), n)
+        own = numbers[np.arange(len(row)) + np.repeat(a - (np.cumsum(n) - n), n)]
+        key, times = np.unique(row * self.words + own, return_counts=True)
+        edge = pa.array(np.searchsorted(key, np.arange(len(n) + 1) * self.words), pa.int32())
+        return tuple(pa.ListArray.from_arrays(edge, pa.array(x.astype(np.int32))) for x in (key % self.words, times))
+
+
 def held_terms(chunks: DataFrame, words: list[str]) -> str:
     """Path of written rows (id, length, ts, tfs) in folders by body: of every active chunk once, which of `words` (by number) it holds, and how often; without terms its length is 1."""
     spark = chunks.sparkSession
-    number = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    pattern = re.compile(T.TOKEN)
+    shared = spark.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = number.value.get
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        terms, seen = Terms(shared.value), set()
         for b in batches:
-            lengths, ts, tfs = [], [], []
-            for text in b["text"]:
-                own = pattern.findall(text.lower()) if text else ()
-                at, n = np.unique([i for i in map(get, own) if i is not None], return_counts=True)
-                lengths.append(max(1, len(own)))
-                ts.append(at.astype(np.int32))
-                tfs.append(n.astype(np.int32))
-            yield pd.DataFrame({"id": b["id"], "body": b["kind"] == "body", "length": np.array(lengths, np.int32), "ts": ts, "tfs": tfs})
-
-    rows = chunks.where("active and id is not null").select("id", "kind", "text").mapInPandas(run, "id string, body boolean, length int, ts array<int>, tfs array<int>")
-    # a number of partitions that is not made fewer: each is a file, of which tasks take their share
-    once = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").dropDuplicates(["id"])
+            new = [not (i in seen or seen.add(i)) for i in b.column("id").to_pylist()]
+            b = b.filter(pa.array(new))
+            found, bounds = terms.found(b.column("text").to_pylist())
+            ts, tfs = terms.counted(found, bounds[:-1], bounds[1:])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pc.fill_null(pc.equal(b.column("kind"), "body"), False), pa.array(np.maximum(1, np.diff(bounds)), pa.int32()), ts, tfs], ["id", "body", "length", "ts", "tfs"])
+
+    # few large row groups must not leave cores idle: the exchange comes before the work, by id, so that a task sees all repeats
+    # of a chunk; its number of partitions is not made fewer: each is a file, of which tasks take their share
+    rows = chunks.where("active and id is not null").select("id", "kind", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    once = rows.mapInArrow(run, "id string, body boolean, length int, ts array<int>, tfs array<int>")
     return written_at(once.sortWithinPartitions("body", "id"), "body")
 
 
@@ -115,40 +157,56 @@ class Best:
                 self.least[e] = -own[-1][0]
 
 
-def _best_in_task(path: str, ids: list[list], sets: list[np.ndarray], weight: np.ndarray, avgdl: float | None, k: int, parts: int):
+def _tables(at, names: list[str], rows: int) -> Iterator:
+    """The files' rows by id, files together as long as they hold no more than so many rows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    held, n = [], 0
+    for name in [*names, None]:
+        t = pq.ParquetFile(at.open_input_file(name)).read(columns=["id", "length", "ts", "tfs"]) if name else None
+        if held and (t is None or n + len(t) > rows):
+            one = pa.concat_tables(held)
+            yield (one.take(pa.compute.sort_indices(one["id"])) if len(held) > 1 else one).combine_chunks()
+            held, n = [], 0
+        if t is not None:
+            held, n = [*held, t], n + len(t)
+
+
+def _best_in_task(path: str, sets: list[np.ndarray], weight: np.ndarray, often: np.ndarray, avgdl: float | None, k: int, parts: int):
     """mapInPandas function over numbers of tasks: the k best rows of a part of held_terms for every query of a block.
 
-    sets: terms of queries, sorted so that neighbours begin alike; ids: the queries of each; weight: what a term gives (idf or 1);
-    avgdl None counts terms instead of weighing them. Sums in 32 bits, or counts in 8, pick what can be among the best, with
-    room for their error; what is picked is scored in 64 bits.
+    sets: terms of queries, sorted so that neighbours begin alike; weight: what a term gives (idf or 1); often: the terms that
+    many rows hold, which are summed over all rows, the others only where they are; avgdl None counts terms instead of weighing
+    them. Whole numbers of few bits, weights rounded up, pick what can be among the best; what is picked is scored in 64 bits.
     """
     block, cells = QUERY_BLOCK, CELLS  # as they are on the driver
 
     def search(number: int) -> Iterator[pd.DataFrame]:
-        import pyarrow.parquet as pq
-
         first, part = number // parts * block, number % parts
         own = sets[first : first + block]
         used = np.unique(np.concatenate(own))
         place = np.full(len(weight), -1)
         place[used] = np.arange(len(used))
-        w = weight[used]
+        w, wide = weight[used], often[used]
+        column = np.cumsum(wide) - 1  # of a term summed over all rows
         asked = [place[q] for q in own]
         size = np.array([len(q) for q in asked])
         start, flat = np.cumsum(size) - size, np.concatenate(asked)
+        few = [q[~wide[q]].tolist() for q in asked]
+        asked = [column[q[wide[q]]].tolist() for q in asked]
         alike = [0] + [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(asked, asked[1:])]
-        asked = [q.tolist() for q in asked]
-        most = np.array([w[q].sum() for q in asked]) * (K1 + 1 if avgdl is not None else 1)
-        room = 1e-6 + 2.0**-23 * (size + 2) * most if avgdl is not None else np.zeros(len(own))
-        step = int(max(64, min(SLICE * (1 if avgdl is not None else 4), cells // len(used))))
-        kind = np.float32 if avgdl is not None else np.uint8 if size.max() < 256 else np.uint32
-        m = np.zeros((len(used), step), kind)
-        sums = np.zeros((size.max() + 1, step), kind)  # by how many terms are summed up
+        most = np.bincount(np.repeat(np.arange(len(own)), size), w[flat]) * (K1 + 1 if avgdl is not None else 1)
+        small = size.max() < (4096 if avgdl is not None else 256)
+        kind = np.uint32 if not small else np.uint16 if avgdl is not None else np.uint8
+        scale = 60000 / most.max() if avgdl is not None else 1
+        step = int(max(64, min(SLICE * (2 if avgdl is not None else 4), cells // max(1, wide.sum()))))
+        m = np.zeros((wide.sum(), step), kind)
+        sums = np.zeros((max(map(len, asked)) + 2, step), kind)  # by how many terms are summed up; the last with the others too
         best, bonus = Best(len(own), k), 1e6 if avgdl is not None else 0.5  # body decides first or breaks ties
         at, names = arrow_files(path)
         for body in (True, False):
-            for name in [n for n in names if f"/body={str(body).lower()}/" in n][part::parts]:
-                t = pq.ParquetFile(at.open_input_file(name)).read(columns=["id", "length", "ts", "tfs"])
+            for t in _tables(at, [n for n in names if f"/body={str(body).lower()}/" in n][part::parts], 8 * SLICE):
                 row_ids, length = t["id"].to_numpy(), t["length"].to_numpy().astype(float)
                 (edge, ts), (_, tfs) = _whole(t["ts"]), _whole(t["tfs"])
                 for a in range(0, len(row_ids), step):
@@ -161,9 +219,16 @@ def _best_in_task(path: str, ids: list[list], sets: list[np.ndarray], weight: np
                     hit = col >= 0
                     row, col, tf = row[hit], col[hit], tf[hit]
                     value = w[col] * (1 if avgdl is None else tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[a:z][row] / avgdl)))
-                    m[col, row] = value
+                    number = np.ceil(value * scale).astype(kind)
+                    dense = wide[col]
+                    m[column[col[dense]], row[dense]] = number[dense]
+                    by = np.flatnonzero(~dense)
+                    by = by[np.argsort(col[by], kind="stable")]
+                    few_rows, few_numbers = row[by], number[by]
+                    few_edge = np.searchsorted(col[by], np.arange(len(used) + 1)).tolist()
                     rows, upto = list(m[:, : z - a]), list(sums[:, : z - a])
-                    need = (np.maximum(1, np.ceil(low)).astype(int) - 1 if avgdl is None else np.maximum(0, low - room)).tolist()
+                    # a sum of numbers is at least the score by scale, and less than one a term above it
+                    need = (np.maximum(1, np.ceil(low)) - 1 if avgdl is None else np.maximum(0, np.ceil((low - 1e-6) * scale) - 1)).tolist()
                     skip, open_ = (low > most + 1).tolist(), np.isneginf(low).tolist()
                     found, common = [], 0
                     for e, q in enumerate(asked):
@@ -174,17 +239,31 @@ def _best_in_task(path: str, ids: list[list], sets: list[np.ndarray], weight: np
                             np.add(upto[i], rows[q[i]], out=upto[i + 1])
                         common = len(q)
                         total = upto[len(q)]
-                        c = np.flatnonzero(total > need[e])
-                        if len(c) > (k if open_[e] or avgdl is None else 4 * k):
-                            v = total[c]
-                            last = np.partition(v, len(c) - k)[len(c) - k]
-                            if avgdl is None:
-                                more = c[v > last]
-                                c = np.r_[more, c[v == last][: k - len(more)]]  # rows of a file lie by id
-                            else:
-                                c = c[v >= float(last) - 2 * room[e]]
-                        if len(c):
-                            found.append((e, c))
+                        others = [(few_edge[i], few_edge[i + 1]) for i in few[e] if few_edge[i] < few_edge[i + 1]]
+                        if others:
+                            upto[-1][:] = total
+                            total = upto[-1]
+                            for x, y in others:
+                                total[few_rows[x:y]] += few_numbers[x:y]
+                        high = int(total.max())
+                        if high <= need[e]:
+                            continue
+                        if avgdl is None:  # from the highest count down, to where k rows have it
+                            while high > need[e] + 1 and np.count_nonzero(total >= high) < k:
+                                high -= 1
+                            c = np.flatnonzero(total >= high)
+                            if len(c) > k:
+                                more = total[c] > high
+                                c = np.concatenate([c[more], c[~more][: k - np.count_nonzero(more)]])  # rows lie by id
+                        else:
+                            least = need[e] + 1
+                            if open_[e] and len(total) > k:
+                                least = max(least, int(np.partition(total, len(total) - k)[len(total) - k]) - int(size[e]) - 2)
+                            c = np.flatnonzero(total >= least)
+                            if len(c) > 4 * k:
+                                v = total[c]
+                                c = c[v >= int(np.partition(v, len(c) - k)[len(c) - k]) - int(size[e]) - 2]
+                        found.append((e, c))
                     if found:
                         pe, pc = np.repeat([e for e, _ in found], [len(c) for _, c in found]), np.concatenate([c for _, c in found])
                         n = size[pe]
@@ -196,10 +275,10 @@ def _best_in_task(path: str, ids: list[list], sets: list[np.ndarray], weight: np
                         keep = (score > 0) & (score + bonus * body >= best.least[pe])
                         pe, pc, score = pe[keep], pc[keep], score[keep]
                         best.add(pe, score + bonus * body, row_ids[a:z][pc], score)
-                    m[col, row] = 0
-        out = [(q, i, -key - s > bonus / 2, s) for e, rows in enumerate(best.rows) for key, i, s in rows for q in ids[first + e]]
+                    m[column[col[dense]], row[dense]] = 0
+        out = [(first + e, i, -key - s > bonus / 2, s) for e, rows in enumerate(best.rows) for key, i, s in rows]
         if out:
-            yield pd.DataFrame(out, columns=["query_id", "id", "body", "score"])
+            yield pd.DataFrame(out, columns=["at", "id", "body", "score"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -221,31 +300,43 @@ class Held:
     df: np.ndarray  # chunks that hold each term
 
 
-def held(queries: DataFrame, chunks: DataFrame) -> Held:
-    spark = chunks.sparkSession
+def asked_terms(queries: DataFrame) -> tuple[str, list[str], list]:
+    """(kind, words, scans) of a batch: the type of its ids, the distinct terms, and queries as in Held."""
     asked = cut(queries.select("query_id", F.array_distinct(T.search_terms(F.col("text"))).alias("terms")).where("size(terms) > 0"))
     words = sorted(r["w"] for r in asked.select(F.explode("terms").alias("w")).distinct().collect())  # the words of the queries
     number = {w: i for i, w in enumerate(words)}
-    path = held_terms(chunks, words)
-    rows = spark.read.schema("id string, length int, ts array<int>, tfs array<int>").parquet(path)
-    n, mean = rows.agg(F.count(F.lit(1)), F.avg("length")).first()
-    df = np.zeros(len(words))
-    for t, c in rows.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():  # one row a word of the queries
-        df[t] = c
     scans = max(1, -(-asked.count() // QUERY_SCAN))
     out = []
     for x in range(scans):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(scans)) == x).orderBy("query_id").collect()  # about QUERY_SCAN short rows
         if part:
             out.append(([r["query_id"] for r in part], [np.array([number[w] for w in r["terms"]]) for r in part]))
-    return Held(asked.schema["query_id"].dataType.simpleString(), out, path, n, float(mean or 1.0), df)
+    return asked.schema["query_id"].dataType.simpleString(), words, out
+
+
+def statistics(rows: DataFrame, words: int) -> dict[str, tuple[int, float, np.ndarray]]:
+    """Of rows (name, length, ts) for every name: (rows, mean length, rows that hold each word)."""
+    out = {r["name"]: (r["n"], r["mean"], np.zeros(words)) for r in rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).collect()}
+    for name, t, c in rows.select("name", F.explode("ts").alias("t")).groupBy("name", "t").agg(F.count(F.lit(1)).alias("df")).collect():  # one row a word of the queries
+        out[name][2][t] = c
+    return out
+
+
+def held(queries: DataFrame, chunks: DataFrame) -> Held:
+    kind, words, scans = asked_terms(queries)
+    path = held_terms(chunks, words)
+    rows = chunks.sparkSession.read.schema("id string, length int, ts array<int>, tfs array<int>").parquet(path)
+    n, mean, df = statistics(rows.withColumn("name", F.lit("")), len(words)).get("", (0, 1.0, np.zeros(len(words))))
+    return Held(kind, scans, path, n, float(mean), df)
 
 
 def _term_batches(batch: Held, spark, k: int, weigh: bool) -> DataFrame:
-    """(query_id, id, body, score): the best of every task and query."""
-    schema = f"query_id {batch.kind}, id string, body boolean, score double"
-    out = spark.createDataFrame([], schema)
+    """(query_id, id, rank, score): the k best of every query."""
+    import pyarrow as pa
+
+    out = spark.createDataFrame([], f"query_id {batch.kind}, id string, rank int, score double")
     weight = np.log1p((batch.n - batch.df + 0.5) / (batch.df + 0.5)) if weigh else np.ones(len(batch.df))
+    order_by = [F.desc("body"), F.desc("score"), F.col("id")] if weigh else [F.desc("score"), F.desc("body"), F.col("id")]
     for ids, terms in batch.scans:
         often = np.bincount(np.concatenate(terms), minlength=len(weight))
         alike: dict[tuple, list] = {}  # queries that ask for the same of what is held; frequent terms first, so that sums are shared
@@ -257,15 +348,20 @@ def _term_batches(batch: Held, spark, k: int, weigh: bool) -> DataFrame:
             order = sorted(alike)
             blocks = -(-len(order) // QUERY_BLOCK)
             parts = _shares(blocks, spark)
-            f = _best_in_task(batch.path, [alike[x] for x in order], [np.array([t for _, t in x]) for x in order], weight, batch.avgdl if weigh else None, k, parts)
-            out = out.unionByName(spark.range(0, blocks * parts, 1, blocks * parts).mapInPandas(f, schema))
+            f = _best_in_task(batch.path, [np.array([t for _, t in x]) for x in order], weight, batch.df > batch.n / 100, batch.avgdl if weigh else None, k, parts)
+            found = spark.range(0, blocks * parts, 1, blocks * parts).mapInPandas(f, "at int, id string, body boolean, score double")
+            # ranked once for queries that ask for the same, then given to each of them
+            of = pa.table({"at": pa.array(np.repeat(np.arange(len(order), dtype=np.int32), [len(alike[x]) for x in order])), "query_id": pa.array([i for x in order for i in alike[x]])})
+            of = spark.createDataFrame(of).select("at", F.col("query_id").cast(batch.kind).alias("query_id"))
+            part = top(found, k, *order_by, by="at").join(F.broadcast(of), "at")  # at most about QUERY_SCAN short rows
+            out = out.unionByName(part.select("query_id", "id", "rank", "score"))
     return out
 
 
 def keyword(queries: DataFrame, chunks: DataFrame, k: int = 5, batch: Held | None = None) -> DataFrame:
     """Number of query terms a chunk has; ties: body before others, then id."""
     check_arguments(None, k)
-    return top(_term_batches(batch or held(queries, chunks), chunks.sparkSession, k, False), k, F.desc("score"), F.desc("body"), "id").select("query_id", "id", "rank", "score")
+    return _term_batches(batch or held(queries, chunks), chunks.sparkSession, k, False)
 
 
 def bm25_parts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -278,7 +374,7 @@ def bm25_parts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, batch: Held | None = None) -> DataFrame:
     """Body chunks precede others whatever their score; then score (rounded to 6), then id."""
     check_arguments(None, k)
-    return top(_term_batches(batch or held(queries, chunks), chunks.sparkSession, k, True), k, F.desc("body"), F.desc("score"), "id").select("query_id", "id", "rank", "score")
+    return _term_batches(batch or held(queries, chunks), chunks.sparkSession, k, True)
 
 
 def dot(a: Column, b: Column) -> Column:

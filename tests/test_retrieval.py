@@ -262,3 +262,34 @@ def test_vector_scores_by_hand_with_repeated_ids(spark, monkeypatch):
         want = sorted((-s, i) for (x, i), s in best.items() if x == q)[:6]
         assert [(got[q, r][0], got[q, r][1]) for r in range(1, 7)] == [(i, pytest.approx(-s, abs=2e-6)) for s, i in want]
     assert {a[0] for a in tasks} and len({a[0] for a in tasks}) == 1  # the vectors are prepared once for all queries
+
+
+def test_terms_of_a_batch_are_those_of_the_pattern():
+    texts = ["", None, "Ab_1 c9提示x", "䷿一鿿ꀀ", "提示注入，网关", "a\x00b", "İKß-É é_", "x", "", "\U0001f600y龥〇z一"]
+    words = sorted({w for t in texts for w in T_TOKENS((t or "").replace("a", " "))})
+    terms = rank.Terms(words)
+    found, bounds = terms.found(texts)
+    for i, t in enumerate(texts):
+        own = T_TOKENS(t or "")
+        assert found[bounds[i] : bounds[i + 1]].tolist() == [words.index(w) if w in words else -1 for w in own]
+    ts, tfs = terms.counted(found, bounds[[2, 0, 3]], bounds[[5, 0, 4]])  # rows may share terms
+    for row, own in zip(range(3), (T_TOKENS(" ".join(texts[2:5])), [], T_TOKENS(texts[3]))):
+        assert dict(zip(ts[row].as_py(), tfs[row].as_py())) == {words.index(w): own.count(w) for w in own if w in words}
+    assert terms.found([])[1].tolist() == [0] and rank.Terms([]).found(["a b"])[0].tolist() == [-1, -1]
+
+
+def test_terms_are_found_after_the_exchange(spark, monkeypatch):
+    plans, own = [], rank.written_at
+    monkeypatch.setattr(rank, "written_at", lambda df, *by: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, *by))
+    monkeypatch.setattr(rank, "SLICE", 1)
+    assert ids(rank.bm25(asked(spark, "apple pie"), chunks(spark).coalesce(1), 5)) == ["a", "c", "b"]
+    nodes = [x for x in plans[0].split("\n") if "Exchange" in x or "MapIn" in x]  # from the last step down
+    assert "MapIn" in nodes[0] and "Exchange" in nodes[1]  # one large row group is worked on by all cores
+
+
+def test_queries_that_ask_for_the_same_are_ranked_once(spark):
+    q = spark.createDataFrame([(i, ["apple pie", "pie  apple unheard"][i % 2]) for i in range(50)], "query_id int, text string")
+    got = rank.bm25(q, chunks(spark), 3)
+    assert {(r["query_id"], r["rank"], r["id"]) for r in got.collect()} == {(i, n, x) for i in range(50) for n, x in ((1, "a"), (2, "c"), (3, "b"))}
+    window = [n for n in executed(got._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() == "WindowExec"]
+    assert window and all("query_id" not in w.toString().split("\n")[0] for w in window)
