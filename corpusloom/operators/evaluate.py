@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import rank, split
+from corpusloom.session import written_at
 
 
 def sample(cases: DataFrame, kinds: tuple[str, ...] = ("development",)) -> DataFrame:
@@ -53,9 +58,9 @@ def covering(span_rows: DataFrame, documents: DataFrame, chunks: DataFrame) -> D
     by_url = documents.select(F.col("url").alias("source"), F.col("id").alias("by_url")).dropDuplicates(["source"])
     by_id = documents.select(F.col("id").alias("source"), F.col("id").alias("by_id")).dropDuplicates(["source"])
     s = span_rows.join(by_url, "source", "left").join(by_id, "source", "left").withColumn("doc", F.coalesce("by_url", "by_id"))
-    c = chunks.where("active").select("id", "doc_id", F.col("start_line").alias("a"), F.col("end_line").alias("z")).dropDuplicates(["id"])
+    c = chunks.where("active").select("id", "doc_id", F.col("start_line").alias("a"), F.col("end_line").alias("z"))
     hit = s.join(c, (s["doc"] == c["doc_id"]) & (c["a"] <= s["end_line"]) & (c["z"] >= s["start_line"]), "left")
-    return hit.select("case_id", "span_no", "required_together", "id")
+    return hit.select("case_id", "span_no", "required_together", "id").dropDuplicates(["case_id", "span_no", "id"])  # of the hits, which are few
 
 
 def bundles(cover: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -70,9 +75,10 @@ def bundles(cover: DataFrame, ranked: DataFrame) -> DataFrame:
 def case_scores(sampled: DataFrame, bundle_rows: DataFrame, ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """(case_id, relevant, whole, broken, recall, tokens, metadata_chunks); recall is null and tokens 0 where an annotation is stale."""
     b = bundle_rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("relevant"), F.count_if("whole").alias("whole"), F.count_if("broken").alias("broken"), F.bool_or("stale").alias("stale"))
-    c = chunks.where("active").select("id", "kind", T.estimated_tokens(F.coalesce("text", F.lit(""))).alias("t")).dropDuplicates(["id"])
-    # the ranked side is k rows a case: it is what is small here
-    e = ranked.select(F.col("query_id").alias("case_id"), "id").join(c, "id").groupBy("case_id").agg(F.sum("t").alias("t"), F.count_if(F.col("kind") == "metadata").alias("m"))
+    t = F.col("tokens") if "tokens" in chunks.columns else T.estimated_tokens(F.coalesce("text", F.lit("")))
+    c = chunks.where("active").select("id", "kind", t.alias("t"))
+    # the ranked side is k rows a case: it is what is small here, so repeated chunks are dropped after the join
+    e = ranked.select(F.col("query_id").alias("case_id"), "id").join(c, "id").dropDuplicates(["case_id", "id"]).groupBy("case_id").agg(F.sum("t").alias("t"), F.count_if(F.col("kind") == "metadata").alias("m"))
     rows = sampled.select("case_id").join(b, "case_id", "left").join(e, "case_id", "left")
     bad = F.coalesce("stale", F.lit(True))
     zero = lambda x: F.when(bad, 0).otherwise(F.coalesce(x, F.lit(0))).cast("bigint")
@@ -105,6 +111,61 @@ def section_recall(wanted: DataFrame, ranked: DataFrame, chunks: DataFrame) -> D
     return rows.select("query_id", "section", n.alias("chunks"), r.alias("retrieved"), F.when(n > 0, F.round(r / n, 6)).alias("recall"))
 
 
+def split_and_held(queries: DataFrame, documents: DataFrame, splitters: dict[str, str]) -> dict[str, tuple[DataFrame, rank.Held]]:
+    """Of documents(id, hash, snapshot), for every name: (chunks under its text splitter, the batch of queries held against them).
+
+    What corpus.rebuilt and rank.held give, the usual fallback included, but a text is split into lines and terms once for all
+    splitters, and no text is written: chunks(id, doc_id, start_line, end_line, kind, active, tokens).
+    """
+    from corpusloom.operators import corpus
+
+    spark = documents.sparkSession
+    kind, words, scans = rank.asked_terms(queries)
+    shared = spark.sparkContext.broadcast(words)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        terms, seen = rank.Terms(shared.value), set()
+        for b in batches:
+            out, lines = [], []
+            for doc, version, text, *own in zip(*(b.column(c).to_pylist() for c in ("id", "hash", "snapshot", *splitters))):
+                if (doc, version) in seen:
+                    continue
+                seen.add((doc, version))
+                at, ls, pieces = len(lines), split.own_lines(text), {}
+                lines += ls
+                for name, splitter in zip(splitters, own):
+                    if splitter not in pieces:
+                        pieces[splitter] = [(split.chunk_name(doc, version, splitter, a, z), doc, a, z, k, at + a - 1, at + z) for _, a, z, k in split.RULES[splitter](ls)]
+                    out += [(name, *x) for x in pieces[splitter]]
+            if out:
+                found, bounds = terms.found(lines)
+                chars = np.r_[0, np.cumsum([len(x) for x in lines])]
+                name, ids, doc, a, z, k, first, last = zip(*out)
+                first, last = np.array(first), np.array(last)
+                ts, tfs = terms.counted(found, bounds[first], bounds[last])
+                tokens = np.maximum(1, (chars[last] - chars[first] + last - first - 1) // 4)  # a line break between lines
+                length = np.maximum(1, bounds[last] - bounds[first])
+                columns = [pa.array(name), pa.array(ids), pa.array(doc, pa.string()), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(k), pa.array([x == "body" for x in k]), pa.array(tokens, pa.int64()), pa.array(length, pa.int32()), ts, tfs]
+                yield pa.RecordBatch.from_arrays(columns, ["name", "id", "doc_id", "start_line", "end_line", "kind", "body", "tokens", "length", "ts", "tfs"])
+
+    # by document, so that a task sees all repeats of one, and few large row groups leave no core idle
+    text = F.col("snapshot")
+    docs = documents.select("id", "hash", "snapshot").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    docs = docs.select("*", *(corpus.effective_splitter(text, F.lit(s)).alias(n) for n, s in splitters.items()))
+    fields = "id string, doc_id string, start_line int, end_line int, kind string, tokens bigint, length int, ts array<int>, tfs array<int>"
+    rows = docs.mapInArrow(run, f"name string, {fields.replace('tokens', 'body boolean, tokens')}")
+    path = written_at(rows.sortWithinPartitions("name", "body", "id"), "name", "body")
+    chunks = spark.read.schema(f"{fields}, name string, body boolean").parquet(path)
+    counts = rank.statistics(chunks.select("name", "length", "ts"), len(words))
+    out = {}
+    for name in splitters:
+        n, mean, df = counts.get(name, (0, 1.0, np.zeros(len(words))))
+        out[name] = chunks.where(F.col("name") == name).select("id", "doc_id", "start_line", "end_line", "kind", F.lit(True).alias("active"), "tokens"), rank.Held(kind, scans, f"{path}/name={name}", n, float(mean), df)
+    return out
+
+
 def compared(scores: dict[str, DataFrame], baseline: str) -> DataFrame:
     """(case_id, one recall column a strategy, change_<strategy> gained | lost | same | unscored against the baseline)."""
     out = None

@@ -179,23 +179,31 @@ def line_chunks(lines: list[str]) -> list[tuple[str, int, int, str]]:
     return [x for x in out if any(r.strip() for r in lines[x[1] - 1 : x[2]])]
 
 
+RULES = {LINES: line_chunks, BLOCK: block_chunks, PROCEDURE: procedure_chunks}
+
+
+def own_lines(text: str | None) -> list[str]:
+    """Lines as T.lines gives them; Python's line breaks are those of T.LINE_BREAK."""
+    return text.splitlines() if text else []
+
+
+def chunk_name(doc: str, version: str, splitter: str, start: int, end: int) -> str:
+    return hashlib.sha256(f"{doc}:{version}:{splitter}:{start}:{end}".encode()).hexdigest()
+
+
 def split_by_name(docs: DataFrame) -> DataFrame:
     """Chunks of (doc_id, hash, text, splitter) by each row's own text splitter, in one pass; other splitters give none."""
-    breaks = re.compile(T.LINE_BREAK)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rules = {LINES: line_chunks, BLOCK: block_chunks, PROCEDURE: procedure_chunks}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for doc, version, text, splitter in zip(b["doc_id"], b["hash"], b["text"], b["splitter"]):
-                if splitter not in rules:
+                if splitter not in RULES:
                     continue
-                ls = breaks.split(text) if text else []
-                ls = ls[:-1] if ls and ls[-1] == "" else ls
-                for section, a, z, k in rules[splitter](ls):
-                    name = hashlib.sha256(f"{doc}:{version}:{splitter}:{a}:{z}".encode()).hexdigest()
-                    out.append((name, doc, section, a, z, "\n".join(ls[a - 1 : z]), version, True, k))
+                ls = own_lines(text)
+                for section, a, z, k in RULES[splitter](ls):
+                    out.append((chunk_name(doc, version, splitter, a, z), doc, section, a, z, "\n".join(ls[a - 1 : z]), version, True, k))
             if out:
                 yield pd.DataFrame(out, columns=CHUNK_COLUMNS[:-1])
 

@@ -463,12 +463,10 @@ def q_eval_report(spark, d):
 @query
 def q_compare_splitters(spark, d):
     """Recall by splitter: the corpus is rebuilt from its snapshots under each, chunk lines being what passages overlap."""
-    docs = _current(spark, d)
-    q, sampled, urls = cut(_questions(spark, d)), cut(_sample(spark, d)), table(spark, d, "documents").select("id", "url")
+    q, sampled, urls = _questions(spark, d), cut(_sample(spark, d)), table(spark, d, "documents").select("id", "url")
     out = {}
-    for name, splitter in (("lines", split.LINES), ("blocks", split.BLOCK), ("procedures", split.PROCEDURE)):
-        chunks = cut(corpus.rebuilt(docs, splitter))
-        ranked = cut(rank.bm25(q, chunks, 5))
+    for name, (chunks, batch) in evaluate.split_and_held(q, _current(spark, d), {"lines": split.LINES, "blocks": split.BLOCK, "procedures": split.PROCEDURE}).items():
+        ranked = cut(rank.bm25(q, chunks, 5, batch))
         out[name] = evaluate.case_scores(sampled, evaluate.bundles(evaluate.covering(evaluate.spans(sampled), urls, chunks), ranked), ranked, chunks)
     return _with_split(spark, d, evaluate.compared(out, "lines"))
 

@@ -293,3 +293,23 @@ def test_queries_that_ask_for_the_same_are_ranked_once(spark):
     assert {(r["query_id"], r["rank"], r["id"]) for r in got.collect()} == {(i, n, x) for i in range(50) for n, x in ((1, "a"), (2, "c"), (3, "b"))}
     window = [n for n in executed(got._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() == "WindowExec"]
     assert window and all("query_id" not in w.toString().split("\n")[0] for w in window)
+
+
+def test_split_and_held_equal_rebuilt_chunks_and_their_ranking(spark):
+    from corpusloom.operators import corpus, split
+
+    texts = ["# Gateway\nSource: x\n\nThe gateway checks tokens.\n\n```\ntokens\n```\nMore\r\ntokens", "no heading\n" * 25 + "gateway", "", "# A\n\n## B\n- gateway 提示注入\n\n", "# Gateway\n" + "token line\n\n" * 30]
+    docs = spark.createDataFrame([(f"d{i % 5}", f"h{i % 5}", texts[i % 5]) for i in range(7)], "id string, hash string, snapshot string")
+    q = spark.createDataFrame([(1, "gateway tokens"), (2, "提示注入"), (3, "line heading"), (4, "none"), (5, " ")], "query_id int, text string")
+    splitters = {"lines": split.LINES, "blocks": split.BLOCK, "procedures": split.PROCEDURE}
+    got = evaluate.split_and_held(q, docs, splitters)
+    columns = ["id", "doc_id", "start_line", "end_line", "kind", "active"]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for name, splitter in splitters.items():
+        chunks, batch = got[name]
+        old = corpus.rebuilt(docs, splitter)
+        assert rows(chunks.select(*columns, "tokens")) == rows(old.dropDuplicates(["id"]).select(*columns, T.estimated_tokens(F.col("text")).alias("tokens")))
+        assert rows(rank.bm25(q, chunks, 4, batch)) == rows(rank.bm25(q, old, 4)) != []
+    assert len({batch.path.rsplit("/", 1)[0] for _, batch in got.values()}) == 1  # the texts were read once
+    empty = evaluate.split_and_held(q, docs.limit(0), splitters)
+    assert all(c.count() == 0 and rank.bm25(q, c, 4, h).count() == 0 for c, h in empty.values())
